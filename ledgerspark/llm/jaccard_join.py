@@ -237,7 +237,10 @@ def compared(stars: DataFrame, texts: DataFrame, k: int, percent: int, deltas: b
                 assert star.as_py() == hub, "a star's part lacks its hub"
                 common = len(np.intersect1d(own, tokens, assume_unique=True))
                 linked = 100 * common >= percent * (len(own) + len(tokens) - common)
-                apart = np.setxor1d(own, tokens, assume_unique=True).view(np.int64) if deltas else []
+                apart = []
+                if deltas:
+                    added, lost = np.setdiff1d(tokens, own, assume_unique=True), np.setdiff1d(own, tokens, assume_unique=True)
+                    apart = np.concatenate([added, lost]).view(np.int64)
                 rows.append((hub, mine.as_py(), len(tokens), len(own), linked, apart))
             if rows:
                 kinds = [pa.int64()] * 4 + [pa.bool_(), pa.list_(pa.int64())]
@@ -271,28 +274,38 @@ def open_pairs(stars: DataFrame, held: DataFrame, labels: DataFrame, percent: in
     apart, so a link needs 2 |D(a) & D(b)| >= e(a) + e(b), where e(x) = |D(x)| - r |x| and
     r = (1 - t) / (1 + t). A set that doesn't link with the hub can link only with one
     that shares a part of its difference: pairs come from an index on D, in which a
-    set needs only so many of its rarest shingles that a partner sharing enough
-    can't miss them all."""
+    set needs only so many of its first shingles that a partner sharing enough can't
+    miss them all. D is in one order for the star: what the hub lacks, as that is
+    rare, then what the set lacks."""
     r = (100 - percent) / (100 + percent)
     of = labels.select(F.col("id").alias("set_id"), "component")
     hubs = labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    rows = held.join(of, "set_id").join(hubs, "hub").withColumn("open", F.col("component") != F.col("hub_component"))
-    mixed = rows.groupBy("hub").agg(F.max("open").alias("mixed")).where("mixed").select("hub")
-    rows = rows.join(mixed, "hub").withColumn("d", F.size("apart")).withColumn("excess", F.col("d") - r * F.col("size"))
-    kind = F.when(F.col("linked"), "near").otherwise("far").alias("kind")
-    least = rows.select("hub", kind, "excess").groupBy("hub", "kind").agg(F.min("excess").alias("least"))
-    opened = rows.where("open").groupBy("hub").agg(F.min("excess").alias("least"))
-    counts = rows.select("hub", F.explode("apart").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("n")).where("n > 1")
-    each = rows.select("hub", "set_id", "size", "component", "open", kind, "excess", "d", F.explode("apart").alias("token")).join(counts, ["hub", "token"])
-    rarest = Window.partitionBy("hub", "set_id").orderBy("n", "token")
-    alone = F.col("d") - F.count("*").over(Window.partitionBy("hub", "set_id"))
-    each = written(each.withColumn("rank", F.row_number().over(rarest) + alone), "differences")
-
-    share = F.greatest(F.lit(1.0), F.ceil((F.col("excess") + F.col("least")) / 2 - 1e-9))
-    needed = F.col("rank") <= F.col("d") - share + 1
-    columns = ["hub", "token", "kind", "set_id", "size", "component", "open", "excess", "d"]
-    a = each.where("open").drop("kind").join(least, "hub").where(needed).select(*columns).alias("a")
-    b = each.join(opened, "hub").where(needed).select(*columns).alias("b")
+    slim = held.select("hub", "set_id", "size", "linked", F.size("apart").alias("d"))
+    rows = slim.join(of, "set_id").join(hubs, "hub").select(
+        "hub", "set_id", "size", "component", "d", (F.col("component") != F.col("hub_component")).alias("open"),
+        F.when(F.col("linked"), "near").otherwise("far").alias("kind"), (F.col("d") - r * F.col("size")).alias("excess"),
+    )
+    groups = {"far": F.col("kind") == "far", "near": F.col("kind") == "near", "opened": F.col("open")}
+    bounds = [x for g, c in groups.items() for x in (F.min(F.when(c, F.col("excess"))).alias(f"{g}_least"), F.max(F.when(c, F.col("d"))).alias(f"{g}_most"))]
+    stars_open = rows.groupBy("hub").agg(F.max("open").alias("mixed"), *bounds).where("mixed").drop("mixed")
+
+    def depth(group: str):
+        """How many of a set's tokens can be the first it shares with a partner."""
+        need = F.col("excess") + F.col(f"{group}_least")
+        share = F.greatest(F.lit(1.0), F.ceil(need / 2 - 1e-9))
+        able = 2 * F.least("d", F.col(f"{group}_most")) + 1e-6 >= need
+        return F.coalesce(F.when(able, F.greatest(F.lit(0.0), F.col("d") - share + 1)), F.lit(0.0)).cast("int")
+
+    plan = rows.join(stars_open, "hub").select(
+        "hub", "set_id", "size", "component", "d", "open", "kind", "excess", depth("opened").alias("own"),
+        *[F.when(F.col("open"), depth(g)).otherwise(F.lit(0)).alias(g) for g in ("far", "near")],
+    )
+    plan = written(plan.where("own > 0 OR far > 0 OR near > 0"), "plan")
+    sets = written(plan.join(held.select("hub", "set_id", "apart"), ["hub", "set_id"]), "differences")
+    columns = ["hub", "set_id", "size", "component", "open", "excess", "d"]
+    ask = F.explode(F.array(*[F.struct(F.lit(g).alias("kind"), F.col(g).alias("n")) for g in ("far", "near")])).alias("ask")
+    a = sets.where("open").select(*columns, "apart", ask).select(*columns, "ask.kind", F.explode(F.slice("apart", 1, F.col("ask.n"))).alias("token")).alias("a")
+    b = sets.select(*columns, "kind", F.explode(F.slice("apart", 1, F.col("own"))).alias("token")).alias("b")
     same = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.kind") == F.col("b.kind"))
     once = ~F.col("b.open") | (F.col("a.set_id") < F.col("b.set_id"))
     fits = (F.col("a.component") != F.col("b.component")) & (2 * F.least("a.d", "b.d") + 1e-6 >= F.col("a.excess") + F.col("b.excess"))
