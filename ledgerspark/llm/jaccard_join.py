@@ -13,8 +13,8 @@ row a shingle. Candidates are verified on their whole shingle sets.
 Near copies come in groups, so matches are never expanded into pairs: equal sets
 are one class, the classes of a key are held against the key's hub (the class with
 the most matches), and links give components. Classes that share a hub and yet lie
-in different components are then compared across components, after a filter on
-what each differs from the hub by, until no such pair is open. No link between
+in different components are then compared across components, through what each
+differs from the hub by, until no such pair is open. No link between
 components is lost; links inside one need not be listed.
 
 Null, empty and blank texts have an empty set and link with nothing: their
@@ -212,21 +212,24 @@ def keys_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, KEYS)
 
 
-def compared(stars: DataFrame, texts: DataFrame, k: int, percent: int, deltas: bool) -> DataFrame:
-    """Holds each set of a star against its hub. stars: distinct (hub, set_id), no
-    set its own hub; texts: set_id, text. A large star is split and its hub copied
-    to each part, so no task gets a whole star; a task holds one set at a time."""
+def compared(stars: DataFrame, owners: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Holds each set of a star against its hub, and says what sets them apart.
+
+    stars: distinct (hub, set_id), no set its own hub; owners: set_id, doc_id of a
+    document that has it; rows: doc_id, text. A large star is split and its hub
+    copied to each part, so no task gets a whole star; a task holds one set at a
+    time. Texts, not sets, are dealt out: they are smaller."""
     parts = stars.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).alias("parts"))
     members = stars.join(parts, "hub").select("hub", F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("part"), "set_id")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("set_id"))
-    both = members.unionByName(hubs).join(texts, "set_id")
+    both = members.unionByName(hubs).join(owners, "set_id").join(rows, "doc_id")
     dealt = both.select("hub", "part", (F.col("set_id") != F.col("hub")).alias("member"), "set_id", "text")
     dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "member", "set_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hub, own = Words(), None, np.empty(0, np.uint64)
         for batch in batches:
-            rows = []
+            out = []
             for star, member, mine, text in zip(*(batch.column(i) for i in (0, 2, 3, 4))):
                 tokens = shingles(text.as_py(), words, k)
                 if set_id(tokens) != mine.as_py():  # another text under the same doc_id
@@ -237,14 +240,11 @@ def compared(stars: DataFrame, texts: DataFrame, k: int, percent: int, deltas: b
                 assert star.as_py() == hub, "a star's part lacks its hub"
                 common = len(np.intersect1d(own, tokens, assume_unique=True))
                 linked = 100 * common >= percent * (len(own) + len(tokens) - common)
-                apart = []
-                if deltas:
-                    added, lost = np.setdiff1d(tokens, own, assume_unique=True), np.setdiff1d(own, tokens, assume_unique=True)
-                    apart = np.concatenate([added, lost]).view(np.int64)
-                rows.append((hub, mine.as_py(), len(tokens), len(own), linked, apart))
-            if rows:
+                added, lost = np.setdiff1d(tokens, own, assume_unique=True), np.setdiff1d(own, tokens, assume_unique=True)
+                out.append((hub, mine.as_py(), len(tokens), len(own), linked, np.concatenate([added, lost]).view(np.int64)))
+            if out:
                 kinds = [pa.int64()] * 4 + [pa.bool_(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=COMPARED.fieldNames())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=COMPARED.fieldNames())
 
     return dealt.mapInArrow(run, COMPARED)
 
@@ -267,8 +267,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
-def open_pairs(stars: DataFrame, held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a star, lie in different components, and may link.
+def open_links(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets that share a star and lie in different components.
 
     With x's difference from the hub D(x), two sets are |D(a)| + |D(b)| - 2 |D(a) & D(b)|
     apart, so a link needs 2 |D(a) & D(b)| >= e(a) + e(b), where e(x) = |D(x)| - r |x| and
@@ -276,7 +276,7 @@ def open_pairs(stars: DataFrame, held: DataFrame, labels: DataFrame, percent: in
     that shares a part of its difference: pairs come from an index on D, in which a
     set needs only so many of its first shingles that a partner sharing enough can't
     miss them all. D is in one order for the star: what the hub lacks, as that is
-    rare, then what the set lacks."""
+    rare, then what the set lacks. What the sets share then follows from D alone."""
     r = (100 - percent) / (100 + percent)
     of = labels.select(F.col("id").alias("set_id"), "component")
     hubs = labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
@@ -310,7 +310,13 @@ def open_pairs(stars: DataFrame, held: DataFrame, labels: DataFrame, percent: in
     once = ~F.col("b.open") | (F.col("a.set_id") < F.col("b.set_id"))
     fits = (F.col("a.component") != F.col("b.component")) & (2 * F.least("a.d", "b.d") + 1e-6 >= F.col("a.excess") + F.col("b.excess"))
     fits = fits & (F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * percent)
-    return a.join(b, same & once & fits).select(F.col("a.set_id").alias("hub"), F.col("b.set_id").alias("set_id")).distinct()
+    near = a.join(b, same & once & fits).select(F.col("a.hub").alias("hub"), F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
+    left = sets.select("hub", F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("apart").alias("apart_a"))
+    right = sets.select("hub", F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("apart").alias("apart_b"))
+    pairs = near.join(left, ["hub", "a"]).join(right, ["hub", "b"])
+    differ = F.size("apart_a") + F.size("apart_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
+    both = (F.col("size_a") + F.col("size_b") - differ) / 2
+    return pairs.where(100 * both >= percent * (F.col("size_a") + F.col("size_b") - both)).select("a", "b").distinct()
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -329,17 +335,15 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     stars = written(hubbed.where("hub <> set_id").select("hub", "set_id").distinct(), "stars")
 
     named = stars.select("set_id").union(stars.select(F.col("hub").alias("set_id"))).distinct()
-    keepers = full.join(named, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    texts = written(rows.join(keepers, "doc_id"), "texts").select("set_id", "text")
-    held = written(compared(stars, texts, k, percent, True), "compared")
+    owners = full.join(named, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    held = written(compared(stars, owners, rows, k, percent), "compared")
     edges = held.where("linked").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
     nodes = named.withColumnRenamed("set_id", "id")
     labels = written(components(nodes, edges), "components")
 
-    more = written(open_pairs(stars, held, labels, percent), "open")
+    more = written(open_links(held, labels, percent), "open")
     if more.limit(1).count():
-        joined = compared(more, texts, k, percent, False).where("linked").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
-        labels = written(components(nodes, edges.union(joined)), "components")
+        labels = written(components(nodes, edges.union(more)), "components")
 
     classed = ids.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     group = F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id"))
