@@ -39,6 +39,8 @@ from ledgerspark.llm.common import written
 
 #: Growth of a band's sizes, and classes compared with one copy of a hub.
 BAND, STAR_ROWS = 1.45, 500
+#: Classes of a key up to which its pairs are looked at directly.
+FEW = 16
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -267,7 +269,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
-def open_links(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def open_links(held: DataFrame, many: DataFrame, few: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between sets that share a star and lie in different components.
 
     With x's difference from the hub D(x), two sets are |D(a)| + |D(b)| - 2 |D(a) & D(b)|
@@ -276,11 +278,14 @@ def open_links(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     that shares a part of its difference: pairs come from an index on D, in which a
     set needs only so many of its first shingles that a partner sharing enough can't
     miss them all. D is in one order for the star: what the hub lacks, as that is
-    rare, then what the set lacks. What the sets share then follows from D alone."""
+    rare, then what the set lacks. What the sets share then follows from D alone.
+
+    Only sets that met in a key of many (many: hub, set_id) need that index; the
+    pairs of a key of up to FEW sets (few: key, hub, set_id) are listed."""
     r = (100 - percent) / (100 + percent)
     of = labels.select(F.col("id").alias("set_id"), "component")
     hubs = labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    slim = held.select("hub", "set_id", "size", "linked", F.size("apart").alias("d"))
+    slim = held.join(many, ["hub", "set_id"], "left_semi").select("hub", "set_id", "size", "linked", F.size("apart").alias("d"))
     rows = slim.join(of, "set_id").join(hubs, "hub").select(
         "hub", "set_id", "size", "component", "d", (F.col("component") != F.col("hub_component")).alias("open"),
         F.when(F.col("linked"), "near").otherwise("far").alias("kind"), (F.col("d") - r * F.col("size")).alias("excess"),
@@ -301,7 +306,7 @@ def open_links(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         *[F.when(F.col("open"), depth(g)).otherwise(F.lit(0)).alias(g) for g in ("far", "near")],
     )
     plan = written(plan.where("own > 0 OR far > 0 OR near > 0"), "plan")
-    sets = written(plan.join(held.select("hub", "set_id", "apart"), ["hub", "set_id"]), "differences")
+    sets = plan.join(held.select("hub", "set_id", "apart"), ["hub", "set_id"])
     columns = ["hub", "set_id", "size", "component", "open", "excess", "d"]
     ask = F.explode(F.array(*[F.struct(F.lit(g).alias("kind"), F.col(g).alias("n")) for g in ("far", "near")])).alias("ask")
     a = sets.where("open").select(*columns, "apart", ask).select(*columns, "ask.kind", F.explode(F.slice("apart", 1, F.col("ask.n"))).alias("token")).alias("a")
@@ -310,9 +315,14 @@ def open_links(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     once = ~F.col("b.open") | (F.col("a.set_id") < F.col("b.set_id"))
     fits = (F.col("a.component") != F.col("b.component")) & (2 * F.least("a.d", "b.d") + 1e-6 >= F.col("a.excess") + F.col("b.excess"))
     fits = fits & (F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * percent)
-    near = a.join(b, same & once & fits).select(F.col("a.hub").alias("hub"), F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
-    left = sets.select("hub", F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("apart").alias("apart_a"))
-    right = sets.select("hub", F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("apart").alias("apart_b"))
+    near = a.join(b, same & once & fits).select(F.col("a.hub").alias("hub"), F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
+    of_few = few.join(of, "set_id")
+    x, y = of_few.alias("a"), of_few.alias("b")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component"))
+    listed = x.join(y, apart).select(F.col("a.hub").alias("hub"), F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
+    near = near.union(listed).distinct()
+    left = held.select("hub", F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("apart").alias("apart_a"))
+    right = held.select("hub", F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("apart").alias("apart_b"))
     pairs = near.join(left, ["hub", "a"]).join(right, ["hub", "b"])
     differ = F.size("apart_a") + F.size("apart_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
     both = (F.col("size_a") + F.col("size_b") - differ) / 2
@@ -332,7 +342,11 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     matched = written(matched.where("least <> most").select("key", "set_id").distinct(), "matches")
     scored = matched.withColumn("score", F.count("*").over(Window.partitionBy("set_id")))
     hubbed = scored.withColumn("hub", F.first("set_id").over(Window.partitionBy("key").orderBy(F.desc("score"), "set_id").rowsBetween(Window.unboundedPreceding, 0)))
-    stars = written(hubbed.where("hub <> set_id").select("hub", "set_id").distinct(), "stars")
+    hubbed = hubbed.withColumn("n", F.count("*").over(by_key)).where("n > 1 AND hub <> set_id")
+    hubbed = written(hubbed.select("key", "hub", "set_id", "n"), "hubs")
+    stars = written(hubbed.select("hub", "set_id").distinct(), "stars")
+    many = hubbed.where(F.col("n") > FEW).select("hub", "set_id").distinct()
+    few = hubbed.where((F.col("n") > 2) & (F.col("n") <= FEW)).select("key", "hub", "set_id")
 
     named = stars.select("set_id").union(stars.select(F.col("hub").alias("set_id"))).distinct()
     owners = full.join(named, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
@@ -341,7 +355,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     nodes = named.withColumnRenamed("set_id", "id")
     labels = written(components(nodes, edges), "components")
 
-    more = written(open_links(held, labels, percent), "open")
+    more = written(open_links(held, many, few, labels, percent), "open")
     if more.limit(1).count():
         labels = written(components(nodes, edges.union(more)), "components")
 
