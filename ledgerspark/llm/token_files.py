@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 #: Ids of one sequence, and sequences of one batch.
 LENGTH, BATCH_ROWS = 2048, 128
 #: Distinct words whose ids a worker remembers before it starts anew.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 1_000_000
 
 _IRREGULAR = re.compile(r"\s\s|^\s|\s$")
 _WORD_STARTS = re.compile(r"(?<=\S)(?= \S)")
@@ -61,10 +61,17 @@ class ByteBpe:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > MEMORY_WORDS:
+    @staticmethod
+    def _stem(word: str) -> str:
+        """A word without the stop behind it, which is always a token's start."""
+        return word[:-1] if len(word) > 2 and word[-1] in ",." and word[1:-1].isalpha() else word
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > MEMORY_WORDS:
             self.known.clear()
-        for word, got in zip(words, self.lib.encode_batch(words, add_special_tokens=False), strict=True):
+            new = list(words)
+        for word, got in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
             self.known[word] = np.array(got.ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -78,8 +85,11 @@ class ByteBpe:
         get = self.known.get
         out = [get(w) for w in words]
         if None in out:
-            self._learn(list({w for w, ids in zip(words, out) if ids is None}))
-            out = [b if b is not None else self.known[w] for w, b in zip(words, out)]
+            missed = {w: self._stem(w) for w, ids in zip(words, out) if ids is None}
+            self._learn({*missed.values(), ",", "."})
+            known = self.known
+            whole = {w: known[s] if s == w else known[s] + known[w[-1]] for w, s in missed.items()}
+            out = [b if b is not None else whole[w] for w, b in zip(words, out)]
         return b"".join(out)
 
 
