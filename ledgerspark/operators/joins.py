@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.operators.predicates import seconds_between
+
 
 def eligible_recordings(recordings: DataFrame, jobs: DataFrame, results: DataFrame) -> DataFrame:
     """Recordings with a completed job and a result, oldest first."""
@@ -17,6 +19,12 @@ def eligible_recordings(recordings: DataFrame, jobs: DataFrame, results: DataFra
     return recordings.join(done, "recording_id").join(results, "recording_id").orderBy("created_at", "recording_id")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once for the row: as a lambda's argument it
+    isn't computed again inside the lambdas within."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_occurrences(values: Column) -> Column:
     """Values of a list of (pos, value) structs in order, each once."""
     return F.array_distinct(F.transform(F.sort_array(values), lambda x: x[1]))
@@ -52,7 +60,7 @@ def reconcile_inventory(refs: DataFrame, objects: DataFrame, now: Column, min_ag
     have = objects.groupBy("storage_key").agg(F.max("size_bytes").alias("have_size"), F.max("sha256").alias("have_hash"), F.max("modified_at").alias("modified_at"))
     both = want.join(have, "storage_key", "full")
     known, there = F.col("n_refs").isNotNull(), F.col("have_size").isNotNull()
-    age = (F.unix_micros(now) - F.unix_micros(F.col("modified_at"))) / 1e6
+    age = seconds_between(now, F.col("modified_at"))
     bad_key = ~safe if safe is not None else F.lit(False)
     differs = (F.col("want_size") > 0) & (F.col("want_size") != F.col("have_size"))
     issues = F.array_compact(
@@ -127,9 +135,13 @@ def shingled(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, n, gram): the distinct word k-grams of each text, hashed, with how many
     the text has. Texts of fewer than k words have none."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
-    base = df.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") >= k)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
-    return base.select("id", F.array_distinct(grams).alias("g")).select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    none = F.array().cast("array<bigint>")
+
+    def grams(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
+        return F.when(F.size(w) >= k, F.array_distinct(each)).otherwise(none)
+
+    return df.select(F.col(id_col).alias("id"), F.explode(F.array(bound(words, grams))).alias("g")).select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, threshold: float = 0.12) -> DataFrame:
@@ -208,19 +220,14 @@ def gazetteer_mentions(docs: DataFrame, names: DataFrame, most_words: int = 4, i
     Texts are word n-grams up to ``most_words``, joined to names by equality. A hit
     falls out if a longer hit (or an equal one further left) overlaps it."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
-    base = docs.select(F.col(id_col).alias("doc_id"), words.alias("w"))
-    grams = F.explode(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(most_words)),
-                lambda n: F.when(
-                    F.size("w") >= n,
-                    F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("name"))),
-                ).otherwise(F.array().cast("array<struct<pos:int,n:int,name:string>>")),
-            )
-        )
-    ).alias("g")
-    hits = base.select("doc_id", grams).select("doc_id", "g.*").join(names.select(F.lower("name").alias("name")).distinct(), "name")
+    none = F.array().cast("array<struct<pos:int,n:int,name:string>>")
+
+    def of_length(w: Column, n: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice(w, i, n), " ").alias("name")))
+        return F.when(F.size(w) >= n, each).otherwise(none)
+
+    grams = bound(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: of_length(w, n))))
+    hits = docs.select(F.col(id_col).alias("doc_id"), F.explode(grams).alias("g")).select("doc_id", "g.*").join(names.select(F.lower("name").alias("name")).distinct(), "name")
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-most_words * most_words, most_words * most_words)
     near = F.collect_list(F.struct("pos", "n")).over(order)
     beaten = F.exists(

@@ -6,6 +6,7 @@ expressions only, so that they push down to the scan and stay in generated code.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def excerpt(text: Column | str, most: int = 280) -> Column:
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     """Seconds with their fraction."""
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 1e6
 
 
 def retry_state(jobs: DataFrame, now: Column, waiting: str = "waiting_for_asr") -> DataFrame:
@@ -167,7 +168,7 @@ def ai_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
     tokens = missed * F.col("_input_rate") + cached * F.coalesce("_cached_rate", "_input_rate") + F.coalesce("output_tokens", F.lit(0)) * F.col("_output_rate")
     audio = F.col("audio_seconds") * F.col("_audio_rate")
     has_tokens = F.col("_input_rate").isNotNull() & (F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull())
-    total = F.when(has_tokens, tokens / 1000000)
+    total = F.when(has_tokens, tokens.cast("decimal(24,6)") * F.lit(Decimal("0.000001")))
     cost = F.when(total.isNotNull() | audio.isNotNull(), F.coalesce(total, F.lit(0)) + F.coalesce(audio, F.lit(0)))
     joined = usage.join(keyed, (name("provider") == F.col("_p")) & (name("model") == F.col("_m")), "left")
     return joined.select(*usage.columns, F.round(cost.cast("decimal(24,12)"), 6).cast("decimal(18,6)").alias("cost"))

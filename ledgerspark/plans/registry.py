@@ -1,11 +1,160 @@
-"""Queries of the library by name, and SQL that gives the same rows."""
+"""Queries of the library by name, and SQL that gives the same rows.
+
+A query reads the given tables, or tables that views.py derives from them, whole."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerspark.operators import aggregates as A
+from ledgerspark.operators import graph as G
+from ledgerspark.operators import joins as J
+from ledgerspark.operators import ordering as O
+from ledgerspark.operators import predicates as P
+from ledgerspark.plans.views import NOW, NOW_EVENTS, view, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def now():
+    return F.expr(NOW)
+
+
+def now_events():
+    return F.expr(NOW_EVENTS)
+
+
+
+def query(name: str, tables: str, run: Callable[..., DataFrame], sql: str | None = None) -> None:
+    """Registers a query over tables; ``sql`` may name them."""
+    names = tables.split()
+    QUERIES[name] = lambda spark, sf_dir: run(*[view(spark, sf_dir, t) for t in names])
+    if sql:
+        from ledgerspark.plans.views import VIEWS
+
+        SQL[name] = with_views(sql, *[t for t in dict.fromkeys(names) if t in VIEWS])
+
+
+def with_evidence(claims: DataFrame) -> DataFrame:
+    return claims.withColumn("evidence_ids", F.when(F.col("evidence_id") % 4 > 0, F.array("evidence_id")).otherwise(F.array().cast("array<bigint>")))
+
+
+SECONDS = "(epoch_us({0}) - epoch_us({1})) / 1e6"
+
+# Predicates.
+query("P1_family_scope", "jobs", lambda j: P.family_scope(j, 7).select("job_id", "status"), "SELECT job_id, status FROM jobs WHERE family_id = 7")
+_GROUNDED = "subject_person_id IS NOT NULL AND evidence_class IN ('A','B','C') AND evidence_id % 4 > 0"
+query("P2_grounded_claims", "claims", lambda c: P.grounded_claims(with_evidence(c)).select("claim_id", "evidence_class"), f"SELECT claim_id, evidence_class FROM claims WHERE {_GROUNDED}")
+query("P3_grounded_relationships", "claims", lambda c: P.grounded_relationships(with_evidence(c)).select("claim_id"), f"SELECT claim_id FROM claims WHERE {_GROUNDED} AND object_person_id IS NOT NULL AND subject_person_id <> object_person_id AND status = 'active'")
+query("P4_relationship_status", "claims", lambda c: P.relationship_status(c).groupBy("status").agg(F.count("*").alias("n")), """SELECT CASE WHEN subject_person_id IS NULL OR object_person_id IS NULL OR uncertain THEN 'unresolved' WHEN state = 'former' THEN 'historical' WHEN state = 'ended' THEN 'ended' ELSE 'active' END AS status, count(*) AS n FROM claims GROUP BY 1""")
+query("P5_truth_eligible", "claims selected", lambda c, s: P.truth_eligible(with_evidence(c), s).select("claim_id"), """SELECT claim_id FROM claims WHERE recording_id IN (SELECT recording_id FROM selected) AND status = 'active' AND verification <> 'rejected' AND assertion_mode IS NULL AND evidence_class IN ('A','B','C') AND evidence_id % 4 > 0 AND object_type <> 'unresolved_question' AND (object_type <> 'relationship' OR (state = 'current' AND NOT uncertain AND object_person_id IS NOT NULL))""")
+query("P6_uncertainty_eligible", "claims selected", lambda c, s: P.uncertainty_eligible(with_evidence(c), s).select("claim_id"), "SELECT claim_id FROM claims WHERE recording_id IN (SELECT recording_id FROM selected) AND object_type = 'unresolved_question' AND status = 'open' AND verification <> 'rejected' AND evidence_id % 4 > 0")
+query("P8_excerpt", "documents", lambda d: d.select("doc_id", P.excerpt("text").alias("excerpt")), r"""SELECT doc_id, CASE WHEN length(t) > 280 THEN rtrim(t[1:279]) || '…' ELSE t END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
+query("P9_retry_state", "jobs", lambda j: P.retry_state(j, now()).select("job_id", "retryable", "retry_in_seconds"), f"SELECT job_id, r AS retryable, CASE WHEN r THEN CAST(ceil(greatest(0.0, {SECONDS.format('next_attempt_at', NOW)})) AS BIGINT) END AS retry_in_seconds FROM (SELECT *, status = 'queued' AND stage = 'waiting_for_asr' AS r FROM jobs)")
+query("P10_safe_key", "pages", lambda p: p.select("page_id", P.safe_key(F.regexp_replace("url", "^https?:", "")).alias("safe")), r"""SELECT page_id, k <> '' AND len(list_filter(string_split(k, '/'), lambda s: trim(s) IN ('', '.', '..'))) = 0 AS safe FROM (SELECT page_id, regexp_replace(replace(regexp_replace(url, '^https?:', ''), '\', '/'), '^/+|/+$', '', 'g') AS k FROM pages)""")
+query("P13_opaque_ids", "claims", lambda c: c.select("claim_id", P.opaque(F.col("recording_id").cast("string")).alias("opaque_id")), "SELECT claim_id, 'object_' || sha256(recording_id::VARCHAR)[1:16] AS opaque_id FROM claims")
+query("P14_stable_id", "claims", lambda c: c.select("claim_id", P.stable_id("edge", F.col("relationship_type"), F.col("subject_person_id"), F.col("object_person_id")).alias("id")), "SELECT claim_id, 'edge_' || sha256(relationship_type || chr(31) || subject_person_id::VARCHAR || chr(31) || coalesce(object_person_id::VARCHAR, ''))[1:32] AS id FROM claims")
+
+
+def rates(events: DataFrame) -> DataFrame:
+    """Rates of the models that occur, from the events themselves."""
+    d = lambda x: F.expr(f"CAST({x} AS DECIMAL(12,6))")
+    kinds = events.where("provider <> 'gamma' OR model = 'purchase'").select("provider", "model").distinct()
+    return kinds.select("provider", F.upper("model").alias("model"), d("2").alias("input_rate"), d("1").alias("cached_rate"), d("6").alias("output_rate"), d("0.001").alias("audio_rate"))
+
+
+query("P15_ai_cost", "usage_events", lambda e: P.ai_cost(e.drop("cost"), rates(e)).select("event_id", F.col("cost").cast("double").alias("cost")), "SELECT event_id, CASE WHEN provider <> 'gamma' OR model = 'purchase' THEN round(((input_tokens - least(cached_tokens, input_tokens)) * 2 + least(cached_tokens, input_tokens) + output_tokens * 6) / 1000000.0 + audio_seconds * 0.001, 6)::DOUBLE END AS cost FROM usage_events")
+
+# Joins.
+query("J1_eligible_recordings", "recordings jobs results", lambda r, j, x: J.eligible_recordings(r, j.drop("user_id", "created_at"), x).select("recording_id", "job_id", "n_people"), "SELECT recording_id, job_id, n_people FROM recordings JOIN (SELECT recording_id, job_id FROM jobs WHERE status = 'completed') USING (recording_id) JOIN results USING (recording_id)")
+query("J3_valid_edges", "claims people", lambda c, p: J.valid_edges(c, p).select("claim_id"), "SELECT claim_id FROM claims WHERE subject_person_id IN (SELECT person_id FROM people) AND object_person_id IN (SELECT person_id FROM people)")
+query("J4_members_with_users", "jobs customer", lambda j, c: J.members_with_users(j.select("job_id", "user_id"), c.select(F.col("c_custkey").alias("user_id"), "c_name")), "SELECT job_id, user_id, c_name FROM jobs LEFT JOIN customer ON c_custkey = user_id")
+_ISSUES = f"""both_ AS (SELECT coalesce(w.storage_key, h.storage_key) AS storage_key, w.storage_key IS NOT NULL AS known, h.storage_key IS NOT NULL AS there, w.size_bytes AS ws, h.size_bytes AS hs, w.sha256 AS wh, h.sha256 AS hh, {SECONDS.format(NOW, 'h.modified_at')} AS age FROM refs w FULL JOIN objects h ON w.storage_key = h.storage_key),
+issues AS (SELECT storage_key, unnest(CASE WHEN known AND NOT there THEN ['missing'] WHEN known AND ws > 0 AND ws <> hs AND wh <> hh THEN ['size_mismatch','hash_mismatch'] WHEN known AND ws > 0 AND ws <> hs THEN ['size_mismatch'] WHEN known AND wh <> hh THEN ['hash_mismatch'] WHEN known THEN ['healthy'] WHEN age >= 86400 THEN ['orphan'] ELSE [] END) AS issue FROM both_)"""
+query("J5_reconcile_inventory", "refs objects", lambda r, o: J.reconcile_inventory(r, o, now(), 86400, P.safe_key("storage_key")))
+SQL["J5_reconcile_inventory"] = with_views("", "refs", "objects").rstrip() + f", {_ISSUES} SELECT storage_key, issue FROM issues"
+query("J5_reconciliation_summary", "refs objects", lambda r, o: J.reconciliation_summary(J.reconcile_inventory(r, o, now(), 86400)))
+SQL["J5_reconciliation_summary"] = with_views("", "refs", "objects").rstrip() + f", {_ISSUES} SELECT 0 AS invalid_key, " + ", ".join(f"count(*) FILTER (issue = '{k}') AS {k}" for k in ("missing", "size_mismatch", "hash_mismatch", "orphan", "healthy")) + ", CASE WHEN count(*) FILTER (issue <> 'healthy') = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM issues"
+query("J6_orphans", "claims selected", lambda c, s: J.orphans(c, s, "recording_id", "recording_id").select("claim_id"), "SELECT claim_id FROM claims WHERE recording_id NOT IN (SELECT recording_id FROM selected)")
+
+
+def grouped_refs(claims: DataFrame) -> DataFrame:
+    return claims.groupBy("recording_id").agg(F.collect_list("object_person_id").alias("person_ids"))
+
+
+query("J7_dangling_refs", "claims people", lambda c, p: J.dangling_refs(grouped_refs(c), "recording_id", "person_ids", p.where("person_id % 3 > 0"), "person_id").select("recording_id", F.array_join("missing", ",").alias("missing")), "SELECT recording_id, string_agg(o::VARCHAR, ',' ORDER BY o) AS missing FROM (SELECT DISTINCT recording_id, object_person_id AS o FROM claims WHERE object_person_id IS NOT NULL AND object_person_id NOT IN (SELECT person_id FROM people WHERE person_id % 3 > 0)) GROUP BY 1")
+query("J8_contained_conflicts", "claims claims", lambda c, k: J.contained_conflicts(c.groupBy(F.col("recording_id").alias("conflict_id")).agg(F.collect_list("claim_id").alias("claim_ids"), F.min("claim_id").alias("preferred_claim_id")), k.where("evidence_class <> 'U'")).select("conflict_id", "preferred_claim_id"), "SELECT recording_id AS conflict_id, min(claim_id) AS preferred_claim_id FROM claims GROUP BY 1 HAVING bool_and(claim_id IN (SELECT claim_id FROM claims WHERE evidence_class <> 'U'))")
+query("J11_shared_parent_siblings", "claims", lambda c: J.shared_parent_siblings(c.where("object_person_id IS NOT NULL AND recording_id % 10 = claim_id % 10")), "SELECT DISTINCT * FROM (WITH e AS (SELECT * FROM claims WHERE object_person_id IS NOT NULL AND recording_id % 10 = claim_id % 10), k AS (SELECT DISTINCT subject_person_id AS p, object_person_id AS c FROM e WHERE relationship_type = 'parent_child') SELECT subject_person_id AS person_id, object_person_id AS sibling_id FROM e WHERE relationship_type = 'sibling' UNION ALL SELECT object_person_id, subject_person_id FROM e WHERE relationship_type = 'sibling' UNION ALL SELECT a.c, b.c FROM k a JOIN k b ON a.p = b.p) WHERE person_id <> sibling_id")
+_J12 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{Nd}\p{Pc}]+') AS w FROM documents),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM w WHERE len(w) >= 8)),
+p AS (SELECT a.doc_id AS earlier, b.doc_id AS later, count(*) / (a.n + b.n - count(*)) AS similarity FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+c AS (SELECT later, min(earlier) AS first FROM p WHERE similarity = 1 GROUP BY 1)
+SELECT earlier, later, similarity FROM p WHERE similarity > 0.12 AND earlier NOT IN (SELECT later FROM c) AND (later NOT IN (SELECT later FROM c) OR (later, earlier) IN (SELECT (later, first) FROM c))"""
+query("J12_near_duplicates", "documents", J.near_duplicates, _J12)
+query("J14_short_year_resolve", "documents orders", lambda d, o: J.short_year_resolve(d.select("doc_id", (F.col("n_chars") % 100).cast("int").alias("short_year")), o.select(F.year("o_orderdate").alias("year"))).select("doc_id", "resolved_year", "ambiguous"), "WITH y AS (SELECT year(o_orderdate) % 100 AS s, count(DISTINCT year(o_orderdate)) AS n, max(year(o_orderdate)) AS y FROM orders GROUP BY 1) SELECT doc_id, CASE WHEN n IS NULL THEN CASE WHEN n_chars % 100 >= 30 THEN n_chars % 100 + 1900 ELSE n_chars % 100 + 2000 END WHEN n = 1 THEN y END AS resolved_year, coalesce(n > 1, FALSE) AS ambiguous FROM documents LEFT JOIN y ON s = n_chars % 100")
+query("J18_gazetteer_mentions", "documents benchmark", lambda d, b: J.gazetteer_mentions(d, b.select(F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)), 1, 3), " ").alias("name"))))
+query("J19_search_archive", "people documents", lambda p, d: J.search_archive(p.withColumn("aliases", F.array("canonical_name")), d.select(F.col("doc_id").alias("story_id"), F.col("source").alias("title"), F.col("text").alias("excerpt")), "er 1"), "SELECT 'story' AS kind, doc_id::VARCHAR AS id, source AS label FROM documents WHERE contains(lower(source), 'er 1') OR contains(lower(text), 'er 1') UNION ALL SELECT 'person', person_id::VARCHAR, canonical_name FROM people WHERE contains(lower(canonical_name), 'er 1')")
+
+# Aggregations.
+query("A1_queue_health", "jobs", lambda j: A.queue_health(j, now()), f"SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'transcribing') AS running, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, max(CASE WHEN status = 'queued' THEN {SECONDS.format(NOW, 'created_at')} END) AS oldest_queued_seconds, count(*) FILTER (status = 'transcribing' AND lease_expires_at <= {NOW}) AS expired_leases FROM jobs")
+query("A2_throughput_24h", "jobs", lambda j: A.throughput(j, now()), f"SELECT count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM jobs WHERE completed_at >= {NOW} - INTERVAL 24 HOURS")
+query("A4_cleanup_health", "jobs", lambda j: A.cleanup_health(j, now()), f"SELECT count(*) FILTER (status = 'queued' AND next_attempt_at <= {NOW}) AS due, count(*) FILTER (status = 'queued' AND next_attempt_at > {NOW}) AS waiting, count(*) FILTER (status = 'transcribing') AS running, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (attempts >= max_attempts) AS exhausted FROM jobs")
+_USAGE = f"""SELECT *, greatest(committed_cost, telemetry_cost) + active_cost AS consumed_cost FROM (SELECT count(*) AS n_events, count(*) FILTER (success) AS n_success, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cost)::DOUBLE AS telemetry_cost FROM usage_events WHERE created_at >= {NOW_EVENTS} - INTERVAL 24 HOURS),
+(SELECT sum(CASE WHEN status = 'committed' THEN coalesce(actual_cost, reserved_cost) END)::DOUBLE AS committed_cost, coalesce(sum(CASE WHEN status = 'reserved' AND expires_at > {NOW_EVENTS} THEN reserved_cost END), 0)::DOUBLE AS active_cost FROM reservations WHERE created_at >= {NOW_EVENTS} - INTERVAL 24 HOURS)"""
+
+
+def doubles(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+
+
+query("A5_usage_24h", "usage_events reservations", lambda e, r: doubles(A.usage_window(e, r, now_events())), _USAGE)
+query("A6_budget_available", "usage_events reservations", lambda e, r: A.budget_available(A.usage_window(e, r, now_events()), F.lit(10), F.lit(20000)).select("available"), f"SELECT consumed_cost + 10 <= 20000 AS available FROM ({_USAGE})")
+_QUOTA = "SELECT {0}, count(*) FILTER (active) AS active_jobs, count(*) FILTER (created_at >= " + NOW + " - INTERVAL 24 HOURS) AS recordings_24h, sum(size_bytes)::BIGINT AS stored_bytes, coalesce(sum(CASE WHEN created_at >= " + NOW + " - INTERVAL 24 HOURS THEN duration_seconds END), 0)::BIGINT AS audio_24h FROM jobs GROUP BY 1"
+query("A7_quota_usage", "jobs", lambda j: A.quota_usage(j, now(), "family_id"), _QUOTA.format("family_id"))
+LIMITS = {"max_audio": 550, "active": 400, "family_day": 3, "user_day": 1, "storage": 78_000_000, "user_audio": 900, "family_audio": 2000}
+query("A8_quota_decision", "jobs", lambda j: A.quota_decision(j.select("job_id", "family_id", "user_id", "size_bytes", "duration_seconds"), A.quota_usage(j, now(), "family_id"), A.quota_usage(j, now(), "user_id"), LIMITS).select("job_id", "decision"), f"SELECT job_id, CASE WHEN duration_seconds > 550 THEN 'audio_too_long' WHEN f.active_jobs >= 400 THEN 'family_active' WHEN f.recordings_24h >= 3 THEN 'family_daily' WHEN u.recordings_24h >= 1 THEN 'user_daily' WHEN f.stored_bytes + size_bytes > 78000000 THEN 'family_storage' WHEN u.audio_24h + duration_seconds > 900 THEN 'user_audio' WHEN f.audio_24h + duration_seconds > 2000 THEN 'family_audio' ELSE 'allowed' END AS decision FROM jobs JOIN ({_QUOTA.format('family_id')}) f USING (family_id) JOIN ({_QUOTA.format('user_id')}) u USING (user_id)")
+query("A10_stage_durations", "trace", lambda t: A.stage_durations(t).select("job_id", "total_ms", F.array_join("attempts", ",").alias("attempts"), F.array_join(F.transform(F.array_sort(F.map_entries("stages")), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ",").alias("stages")), "SELECT job_id, sum(ms)::BIGINT AS total_ms, (SELECT string_agg(a::VARCHAR, ',' ORDER BY a) FROM (SELECT DISTINCT attempt AS a FROM trace t WHERE t.job_id = s.job_id)) AS attempts, string_agg(stage || '=' || ms::VARCHAR, ',' ORDER BY stage) AS stages FROM (SELECT job_id, stage, sum(duration_ms)::BIGINT AS ms FROM trace GROUP BY 1, 2) s GROUP BY job_id")
+query("A11_latency_profile", "trace", lambda t: A.latency_profile(t, "stage", "duration_ms").withColumns({c: F.round(c, 6) for c in ("p50", "p90", "p95", "p99", "mean")}), "SELECT stage, count(*) AS n, min(duration_ms) AS min, " + ", ".join(f"round(quantile_cont(duration_ms, {q}), 6) AS {p}" for p, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + ", max(duration_ms) AS max, round(avg(duration_ms), 6) AS mean FROM trace GROUP BY 1")
+_PRF = "SELECT tp, fp, fn, p AS precision, r AS recall, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1 FROM (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END AS r FROM ({0}))"
+_COUNTS = "SELECT coalesce(sum(least(a, e)), 0)::BIGINT AS tp, coalesce(sum(greatest(a - e, 0)), 0)::BIGINT AS fp, coalesce(sum(greatest(e - a, 0)), 0)::BIGINT AS fn FROM (SELECT coalesce(x.n, 0) AS a, coalesce(y.n, 0) AS e FROM (SELECT {0}, count(*) AS n FROM predicted GROUP BY ALL) x FULL JOIN (SELECT {0}, count(*) AS n FROM gold GROUP BY ALL) y USING ({0}))"
+query("A12_multiset_prf", "predicted gold", lambda p, g: A.multiset_prf(p, g, ["quality"]), _PRF.format(_COUNTS.format("quality")))
+query("A13_set_prf", "predicted gold", lambda p, g: A.set_prf(p, g, ["doc_id", "quality"]), _PRF.format(_COUNTS.format("doc_id, quality")))
+query("A14_micro_average", "predicted gold", lambda p, g: A.micro_average(A.multiset_prf(p, g, ["doc_id"], ["quality"])), _PRF.format(_COUNTS.format("quality, doc_id")))
+query("A18_attribute_conflicts", "claims", lambda c: A.attribute_conflicts(P.grounded_claims(with_evidence(c)), ["recording_id", "predicate"], "value").select("recording_id", "predicate", F.array_join("values", ",").alias("values")), f"SELECT recording_id, predicate, string_agg(DISTINCT value, ',' ORDER BY value) AS values FROM claims WHERE {_GROUNDED} GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
+query("A19_relationship_conflicts", "claims", A.relationship_conflicts, "SELECT least(subject_person_id, object_person_id) AS person_a, greatest(subject_person_id, object_person_id) AS person_b, count(DISTINCT relationship_type || CASE WHEN relationship_type = 'parent_child' AND subject_person_id > object_person_id THEN 'x' ELSE '' END) AS n_signatures FROM claims WHERE subject_person_id <> object_person_id GROUP BY 1, 2 HAVING n_signatures > 1")
+_CANON = "SELECT claim_id, relationship_type, CASE WHEN relationship_type <> 'parent_child' THEN least(subject_person_id, object_person_id) WHEN subject_role = 'child' THEN object_person_id ELSE subject_person_id END AS s, CASE WHEN relationship_type <> 'parent_child' THEN greatest(subject_person_id, object_person_id) WHEN subject_role = 'child' THEN subject_person_id ELSE object_person_id END AS o FROM claims WHERE subject_person_id <> object_person_id"
+query("A21_graph_edges", "claims", lambda c: A.graph_edges(G.canonical_relationship(c)).withColumn("source_claim_ids", F.array_join("source_claim_ids", ",")), f"SELECT relationship_type, s AS subject_person_id, o AS object_person_id, string_agg(claim_id::VARCHAR, ',' ORDER BY claim_id) AS source_claim_ids FROM (SELECT DISTINCT * FROM ({_CANON})) GROUP BY 1, 2, 3")
+query("A22_person_profiles", "claims people", lambda c, p: A.person_profiles(P.grounded_claims(with_evidence(c)), p.select("person_id")).select("person_id", "n_claims", F.array_join(F.transform("facets", lambda f: F.concat(f.predicate, F.lit("="), f.value)), ",").alias("facets")), f"SELECT p.person_id, coalesce(n, 0) AS n_claims, facets FROM people p LEFT JOIN (SELECT person_id, sum(n)::BIGINT AS n, string_agg(predicate || '=' || v, ',' ORDER BY predicate) AS facets FROM (SELECT person_id, predicate, arg_min(value, (created_at, claim_id)) AS v, count(*) AS n FROM claims WHERE {_GROUNDED} GROUP BY 1, 2) GROUP BY 1) USING (person_id)")
+query("A26_issue_histogram", "refs objects", lambda r, o: A.histogram(J.reconcile_inventory(r, o, now(), 86400), "issue"))
+SQL["A26_issue_histogram"] = with_views("", "refs", "objects").rstrip() + f", {_ISSUES} SELECT issue, count(*) AS n FROM issues GROUP BY 1"
+query("A27_duplicate_count", "documents", lambda d: A.duplicate_count(d, ["text"]), "SELECT (count(*) - count(DISTINCT coalesce(text, chr(1))))::BIGINT AS duplicates FROM documents")
+query("A33_gate_report", "trace", lambda t: A.gate_report(t.groupBy(F.col("stage").alias("metric")).agg(F.max("duration_ms").cast("double").alias("value")), t.groupBy(F.col("stage").alias("metric")).agg(F.lit("max").alias("rule"), F.lit(350000.0).alias("bound"))), "SELECT stage AS metric, 'max' AS rule, 350000.0::DOUBLE AS bound, max(duration_ms)::DOUBLE AS value, max(duration_ms) <= 350000 AS passed FROM trace GROUP BY 1")
+query("A36_weakest_class", "claims claims", lambda c, e: A.weakest_class(c.groupBy(F.col("recording_id").alias("object_id")).agg(F.collect_set("claim_id").alias("evidence_ids")), e.select(F.col("claim_id").alias("evidence_id"), "evidence_class")), "SELECT recording_id AS object_id, max(evidence_class) AS evidence_class FROM claims GROUP BY 1")
+
+# Windows, order and sets.
+query("W9_stuck_jobs", "jobs", lambda j: O.stuck_jobs(j, now(), 48, 30), f"SELECT job_id, arg_min(reason, rank) AS reason FROM (SELECT * FROM (SELECT job_id, 'pending_too_long' AS reason, 0 AS rank FROM jobs WHERE status = 'queued' AND created_at < {NOW} - INTERVAL 48 HOURS ORDER BY created_at, job_id LIMIT 50) UNION ALL SELECT * FROM (SELECT job_id, 'lease_expired', 1 FROM jobs WHERE status = 'transcribing' AND lease_expires_at < {NOW} - INTERVAL 30 MINUTES ORDER BY lease_expires_at, job_id LIMIT 50) UNION ALL SELECT * FROM (SELECT job_id, 'max_retries', 2 FROM jobs WHERE status IN ('queued', 'transcribing') AND attempts >= max_attempts ORDER BY created_at, job_id LIMIT 50)) GROUP BY 1")
+query("W11_latest_state", "decisions", lambda d: O.latest_state(d, "conflict_id", "resulting_status", ["created_at", "event_id"]), "SELECT conflict_id, resulting_status AS current, p AS previous FROM (SELECT *, lead(resulting_status) OVER w AS p, row_number() OVER w AS n FROM decisions WINDOW w AS (PARTITION BY conflict_id ORDER BY created_at DESC, event_id DESC)) WHERE n = 1")
+query("W14_first_duplicate_wins", "documents", lambda d: A.first_duplicate_wins(d, ["text", "n_chars"], ["doc_id"]).select("doc_id", "repeated"), "SELECT doc_id, (text IS NOT NULL AND row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1) OR (n_chars IS NOT NULL AND row_number() OVER (PARTITION BY n_chars ORDER BY doc_id) > 1) AS repeated FROM documents")
+query("W15_coverage_plan", "part region nation", lambda p, r, n: O.coverage_plan(p.select(F.col("p_partkey").alias("slot")), {"region": r.select(F.col("r_regionkey").alias("position"), F.col("r_name").alias("value")), "nation": n.select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("value"))}), "SELECT p_partkey AS slot, r_name AS region, n_name AS nation FROM part JOIN region ON r_regionkey = p_partkey % 5 JOIN nation ON n_nationkey = p_partkey % 25")
+query("K1_page", "jobs", lambda j: O.page(j.select("job_id", "created_at"), [F.desc("created_at"), F.asc("job_id")], 30, 60), "SELECT job_id, created_at FROM jobs ORDER BY created_at DESC, job_id LIMIT 30 OFFSET 60")
+query("K2_recent_stories", "jobs", lambda j: O.newest(j.select("family_id", "job_id", "created_at"), "family_id", [F.desc("created_at"), F.asc("job_id")]), "SELECT family_id, job_id, created_at, n::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY created_at DESC, job_id) AS n FROM jobs) WHERE n <= 5")
+query("K3_claimable_jobs", "jobs", lambda j: O.claimable_jobs(j, now()).select("job_id"), f"SELECT job_id FROM jobs WHERE (status = 'queued' AND next_attempt_at <= {NOW}) OR (status = 'transcribing' AND lease_expires_at <= {NOW})")
+query("U2_manifest_equal", "refs objects", lambda a, b: O.manifest_equal(a, b, "storage_key"), "SELECT coalesce(a.storage_key, b.storage_key) AS storage_key, CASE WHEN a.storage_key IS NULL THEN 'unexpected' ELSE 'missing' END AS problem FROM refs a FULL JOIN objects b ON a.storage_key = b.storage_key WHERE a.storage_key IS NULL OR b.storage_key IS NULL")
+query("S8_idempotent_append", "selected recordings", lambda t, b: O.idempotent_append(t, b, "recording_id").select("recording_id", "user_id"), "SELECT recording_id, user_id FROM recordings WHERE recording_id NOT IN (SELECT recording_id FROM selected)")
+
+# Graphs.
+query("G1_canonical_relationship", "claims", lambda c: G.canonical_relationship(c).select("claim_id", "subject_person_id", "object_person_id"), f"SELECT claim_id, s AS subject_person_id, o AS object_person_id FROM ({_CANON})")
+query("G6_neighbours", "claims", lambda c: G.neighbours(c.where("object_person_id IS NOT NULL")).select("person_id", *[F.size(k).cast("long").alias(k) for k in ("parent", "child", "spouse", "sibling")]), "SELECT person_id, " + ", ".join(f"count(DISTINCT CASE WHEN kind = '{k}' THEN other END) AS {k}" for k in ("parent", "child", "spouse", "sibling")) + " FROM (SELECT subject_person_id AS person_id, CASE WHEN relationship_type = 'parent_child' THEN 'child' ELSE relationship_type END AS kind, object_person_id AS other FROM claims WHERE object_person_id IS NOT NULL UNION ALL SELECT object_person_id, CASE WHEN relationship_type = 'parent_child' THEN 'parent' ELSE relationship_type END, subject_person_id FROM claims WHERE object_person_id IS NOT NULL) GROUP BY 1")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
