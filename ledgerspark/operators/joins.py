@@ -26,8 +26,8 @@ def bound(value: Column, use) -> Column:
 
 
 def first_occurrences(values: Column) -> Column:
-    """Values of a list of (pos, value) structs in order, each once."""
-    return F.array_distinct(F.transform(F.sort_array(values), lambda x: x[1]))
+    """Persons of a list of (pos, person_id) structs in order, each once."""
+    return F.array_distinct(F.transform(F.sort_array(values), lambda x: x.person_id))
 
 
 def resolve_mentions(stories: DataFrame, claims: DataFrame, keys: Sequence[str] = ("recording_id", "story_id")) -> DataFrame:
