@@ -110,10 +110,10 @@ def allocation(band: int, percent: int) -> tuple[tuple[int, ...], int]:
 
     Sets of the band link with sets of up to high / t shingles; their symmetric
     difference is at most (1 - t) / (1 + t) of both sizes together. For each number
-    of segments the cheapest worths are found: cost is a row for each key, plus
-    the rows that chance matches would cost, which fewer shingles a segment make
-    likelier. Worth 2 is taken where a neighbourhood is no dearer than the two keys
-    it replaces."""
+    of segments the cheapest worths are found: cost is a row for each key, plus what
+    chance matches would cost. Those are mostly of segments that are empty in both
+    sets, which takes few shingles a segment. So worth 1 suits large sets, and worth
+    2 the small ones, whose segments would else be next to empty."""
     low, high = band_limits(band)
     partner = high * 100 // percent
     need = (100 - percent) * (high + partner) // (100 + percent) + 1
@@ -122,7 +122,7 @@ def allocation(band: int, percent: int) -> tuple[tuple[int, ...], int]:
         ones = need - 2 * twos
         m = ones + twos
         each = (low + high) / 2 / m
-        chance = 2.0 ** (-2.0 * each) * 1e4
+        chance = 1e3 * math.exp(-2 * each)
         cost = ones * (1 + chance) + twos * (1 + each + chance * (1 + each))
         if best is None or cost < best[0]:
             best = cost, (2,) * twos + (1,) * ones
@@ -145,12 +145,12 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         if size > partner:
             break
         m = len(worths)
-        place = (mix(tokens + np.uint64(band + 1) * _C[3]) % np.uint64(m)).astype(np.int64)
+        place = (mix(tokens + mix(np.array([band + 1], np.uint64))) % np.uint64(m)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         hashed, place = mix(tokens[order] ^ _C[2]), place[order]
         total = np.zeros(m, np.uint64)
         np.add.at(total, place, hashed)
-        salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(band) * _C[1])
+        salt = mix(np.arange(m, dtype=np.uint64) + mix(np.array([band], np.uint64)))
         out.append(mix(total ^ salt))
         if worths[0] == 2:
             twos = worths.count(2)
