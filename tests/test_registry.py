@@ -61,6 +61,7 @@ def test_mentions_and_people(spark):
 def test_masks(spark):
     df = spark.createDataFrame([({"Auth_Token": "x", "input_tokens": "3", "note": "Bearer abc.def", " K ": "1", "k": "2"},)], "m map<string,string>")
     assert P.redact_map(df, "m").first().m == {"Auth_Token": "[redacted]", "input_tokens": "3", "note": "Bearer [redacted]", " K ": "1", "k": "2"}
+    df = df.select(F.create_map(*[F.lit(x) for x in ("Auth_Token", "x", "input_tokens", "3", "note", "Bearer abc.def", " K ", "1", "k", "2", "", "y")]).alias("m"))
     assert P.trace_attributes(df, "m").first().m == {"input_tokens": "3", "note": "Bearer abc.def", "k": "2"}
 
 
