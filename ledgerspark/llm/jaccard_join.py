@@ -344,15 +344,27 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     hubbed = scored.withColumn("hub", F.first("set_id").over(Window.partitionBy("key").orderBy(F.desc("score"), "set_id").rowsBetween(Window.unboundedPreceding, 0)))
     hubbed = hubbed.withColumn("n", F.count("*").over(by_key)).where("n > 1 AND hub <> set_id")
     hubbed = written(hubbed.select("key", "hub", "set_id", "n"), "hubs")
-    stars = written(hubbed.select("hub", "set_id").distinct(), "stars")
+    stars = written(hubbed.groupBy("hub", "set_id").agg(F.count("*").alias("keys")), "stars")
     many = hubbed.where(F.col("n") > FEW).select("hub", "set_id").distinct()
     few = hubbed.where((F.col("n") > 2) & (F.col("n") <= FEW)).select("key", "hub", "set_id")
 
     named = stars.select("set_id").union(stars.select(F.col("hub").alias("set_id"))).distinct()
     owners = full.join(named, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    held = written(compared(stars, owners, rows, k, percent), "compared")
-    edges = held.where("linked").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
     nodes = named.withColumnRenamed("set_id", "id")
+
+    def linked(held: DataFrame) -> DataFrame:
+        return held.where("linked").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
+
+    # First each set against the hub it shares most keys with; then, only for stars
+    # that still hold several components, the rest.
+    nearest = stars.groupBy("set_id").agg(F.max_by("hub", F.struct("keys", "hub")).alias("hub")).select("hub", "set_id")
+    held = written(compared(nearest, owners, rows, k, percent), "compared")
+    labels = written(components(nodes, linked(held)), "components")
+    near, far = labels.select(F.col("id").alias("set_id"), "component"), labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
+    mixed = stars.join(near, "set_id").join(far, "hub").where("component <> of_hub").select("hub").distinct()
+    rest = written(stars.join(mixed, "hub", "left_semi").join(held.select("hub", "set_id"), ["hub", "set_id"], "left_anti").select("hub", "set_id"), "rest")
+    held = held.unionByName(written(compared(rest, owners, rows, k, percent), "compared"))
+    edges = linked(held)
     labels = written(components(nodes, edges), "components")
 
     more = written(open_links(held, many, few, labels, percent), "open")
