@@ -41,6 +41,8 @@ from ledgerspark.llm.common import written
 BAND, STAR_ROWS = 1.45, 500
 #: Classes of a key up to which its pairs are looked at directly.
 FEW = 16
+#: Bits of a set's sketch.
+SKETCH_BITS = 2048
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -92,6 +94,21 @@ def set_id(tokens: np.ndarray) -> int:
         return int(mix(np.array([mix(tokens ^ _C[3]).sum(dtype=np.uint64) + np.uint64(len(tokens)) * _C[0]]))[0].view(np.int64))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in SKETCH_BITS places. Each shingle that two sets
+    don't share changes one bit, so bits that differ never outnumber those shingles:
+    too many of them rule a link out for certain."""
+    bits = np.bincount((mix(tokens ^ _C[0]) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def may_link(size_a, size_b, sketch_a, sketch_b, percent: int):
+    """Whether sizes and sketches allow a link; never false for sets that link."""
+    differ = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sizes = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent
+    return sizes & (differ * (100 + percent) <= (100 - percent) * (size_a + size_b))
+
+
 def band_of(size: int) -> int:
     return int(math.log(size) / math.log(BAND) + 1e-9)
 
@@ -160,7 +177,7 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-IDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType(), False), T.StructField("set_id", T.LongType(), False)])
+IDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType(), False), T.StructField("set_id", T.LongType(), False), T.StructField("sketch", T.ArrayType(T.LongType(), False), False)])
 KEYS = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("set_id", T.LongType(), False)])
 COMPARED = T.StructType(
     [
@@ -180,12 +197,14 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, sketches = [], [], []
             for text in batch.column(1):
                 tokens = shingles(text.as_py(), words, k)
                 sizes.append(len(tokens))
                 ids.append(set_id(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=IDS.fieldNames())
+                sketches.append(sketch(tokens))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=IDS.fieldNames())
 
     return docs.mapInArrow(run, IDS)
 
@@ -269,7 +288,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
-def open_links(held: DataFrame, many: DataFrame, few: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def open_links(held: DataFrame, many: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between sets that share a star and lie in different components.
 
     With x's difference from the hub D(x), two sets are |D(a)| + |D(b)| - 2 |D(a) & D(b)|
@@ -280,8 +299,7 @@ def open_links(held: DataFrame, many: DataFrame, few: DataFrame, labels: DataFra
     miss them all. D is in one order for the star: what the hub lacks, as that is
     rare, then what the set lacks. What the sets share then follows from D alone.
 
-    Only sets that met in a key of many (many: hub, set_id) need that index; the
-    pairs of a key of up to FEW sets (few: key, hub, set_id) are listed."""
+    many: (hub, set_id) of the sets that met in a key of more than FEW."""
     r = (100 - percent) / (100 + percent)
     of = labels.select(F.col("id").alias("set_id"), "component")
     hubs = labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
@@ -316,11 +334,7 @@ def open_links(held: DataFrame, many: DataFrame, few: DataFrame, labels: DataFra
     fits = (F.col("a.component") != F.col("b.component")) & (2 * F.least("a.d", "b.d") + 1e-6 >= F.col("a.excess") + F.col("b.excess"))
     fits = fits & (F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * percent)
     near = a.join(b, same & once & fits).select(F.col("a.hub").alias("hub"), F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
-    of_few = few.join(of, "set_id")
-    x, y = of_few.alias("a"), of_few.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component"))
-    listed = x.join(y, apart).select(F.col("a.hub").alias("hub"), F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
-    near = near.union(listed).distinct()
+    near = near.distinct()
     left = held.select("hub", F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("apart").alias("apart_a"))
     right = held.select("hub", F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("apart").alias("apart_b"))
     pairs = near.join(left, ["hub", "a"]).join(right, ["hub", "b"])
@@ -342,36 +356,53 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     matched = written(matched.where("least <> most").select("key", "set_id").distinct(), "matches")
     scored = matched.withColumn("score", F.count("*").over(Window.partitionBy("set_id")))
     hubbed = scored.withColumn("hub", F.first("set_id").over(Window.partitionBy("key").orderBy(F.desc("score"), "set_id").rowsBetween(Window.unboundedPreceding, 0)))
-    hubbed = hubbed.withColumn("n", F.count("*").over(by_key)).where("n > 1 AND hub <> set_id")
-    hubbed = written(hubbed.select("key", "hub", "set_id", "n"), "hubs")
-    stars = written(hubbed.groupBy("hub", "set_id").agg(F.count("*").alias("keys")), "stars")
-    many = hubbed.where(F.col("n") > FEW).select("hub", "set_id").distinct()
-    few = hubbed.where((F.col("n") > 2) & (F.col("n") <= FEW)).select("key", "hub", "set_id")
-
-    named = stars.select("set_id").union(stars.select(F.col("hub").alias("set_id"))).distinct()
-    owners = full.join(named, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    hubbed = written(hubbed.withColumn("n", F.count("*").over(by_key)).select("key", "hub", "set_id", "n"), "hubs")
+    named = hubbed.select("set_id").distinct()
     nodes = named.withColumnRenamed("set_id", "id")
-
-    def linked(held: DataFrame) -> DataFrame:
+    owners = full.join(named, "set_id", "left_semi").groupBy("set_id").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")
+    )
+    owners = written(owners, "owners")
+    docs_of = owners.select("set_id", "doc_id")
+
+    def promising(pairs: DataFrame) -> DataFrame:
+        """Pairs (hub, set_id) that sizes and sketches leave possible."""
+        of_set = owners.select("set_id", F.col("size").alias("_a"), F.col("sketch").alias("_x"))
+        of_hub = owners.select(F.col("set_id").alias("hub"), F.col("size").alias("_b"), F.col("sketch").alias("_y"))
+        both = pairs.join(of_set, "set_id").join(of_hub, "hub")
+        return both.where(may_link(F.col("_a"), F.col("_b"), F.col("_x"), F.col("_y"), percent)).select(*pairs.columns)
+
+    def links(held: DataFrame) -> DataFrame:
         return held.where("linked").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
 
-    # First each set against the hub it shares most keys with; then, only for stars
-    # that still hold several components, the rest.
+    # First each set against the hub it shares most keys with.
+    stars = promising(hubbed.where("hub <> set_id").groupBy("hub", "set_id").agg(F.count("*").alias("keys")))
     nearest = stars.groupBy("set_id").agg(F.max_by("hub", F.struct("keys", "hub")).alias("hub")).select("hub", "set_id")
-    held = written(compared(nearest, owners, rows, k, percent), "compared")
-    labels = written(components(nodes, linked(held)), "components")
-    near, far = labels.select(F.col("id").alias("set_id"), "component"), labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
-    mixed = stars.join(near, "set_id").join(far, "hub").where("component <> of_hub").select("hub").distinct()
-    rest = written(stars.join(mixed, "hub", "left_semi").join(held.select("hub", "set_id"), ["hub", "set_id"], "left_anti").select("hub", "set_id"), "rest")
-    held = held.unionByName(written(compared(rest, owners, rows, k, percent), "compared"))
-    edges = linked(held)
+    edges = written(links(compared(nearest, docs_of, rows, k, percent)), "links")
     labels = written(components(nodes, edges), "components")
 
-    more = written(open_links(held, many, few, labels, percent), "open")
-    if more.limit(1).count():
-        labels = written(components(nodes, edges.union(more)), "components")
+    # Then the pairs of keys of few sets that lie in different components.
+    few = hubbed.where((F.col("n") > 1) & (F.col("n") <= FEW)).join(labels.withColumnRenamed("id", "set_id"), "set_id")
+    x, y = few.alias("a"), few.alias("b")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component"))
+    pairs = promising(x.join(y, apart).select(F.col("a.set_id").alias("hub"), F.col("b.set_id").alias("set_id")).distinct())
+    edges = edges.union(written(links(compared(written(pairs, "pairs"), docs_of, rows, k, percent)), "links"))
+    labels = written(components(nodes, edges), "components")
 
-    classed = ids.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
+    # Then the stars of keys of many that still hold several components.
+    many = hubbed.where((F.col("n") > FEW) & (F.col("hub") != F.col("set_id"))).select("hub", "set_id").distinct()
+    near, far = labels.select(F.col("id").alias("set_id"), "component"), labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
+    mixed = many.join(near, "set_id").join(far, "hub").where("component <> of_hub").select("hub").distinct()
+    rest = written(many.join(mixed, "hub", "left_semi"), "rest")
+    if rest.limit(1).count():
+        held = written(compared(rest, docs_of, rows, k, percent), "compared")
+        edges = edges.union(links(held))
+        labels = written(components(nodes, edges), "components")
+        more = written(open_links(held, many, labels, percent), "open")
+        if more.limit(1).count():
+            labels = written(components(nodes, edges.union(more)), "components")
+
+    classed = ids.drop("sketch").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     group = F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id"))
     classed = classed.withColumn("component", group)
     smallest = classed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
