@@ -14,6 +14,7 @@ stay, in order of their text; null ids come first. An empty table gives no shard
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -21,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,9 +33,18 @@ from pyspark.sql import types as T
 LENGTH, BATCH_ROWS = 2048, 128
 #: Distinct words whose ids a worker remembers before it starts anew.
 MEMORY_WORDS = 1_000_000
-
-_IRREGULAR = re.compile(r"\s\s|^\s|\s$")
-_WORD_STARTS = re.compile(r"(?<=\S)(?= \S)")
+#: Characters of the texts whose words are looked up together.
+GROUP_CHARS = 4_000_000
+
+#: Where white space other than one space between words makes splitting at spaces unsure.
+_IRREGULAR = re.compile(r" \s")
+_WORD_STARTS = re.compile(r"(?= \S)")
+#: Runs that the byte-level pattern always keeps apart: letters of every Unicode
+#: version, digits, marks but for the apostrophe (contractions), and a lone newline.
+_RUNS = re.compile(
+    r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01bf\u0400-\u0481\u048a-\u04ff]+"
+    r"| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|(?<!\s)\n(?!\s)"
+)
 
 SHARDS = "shard int, path string, n_docs long, n_ids long"
 INDEX = T.StructType(
@@ -50,10 +61,12 @@ INDEX = T.StructType(
 
 class ByteBpe:
     """The tokenizers library with a memory of words. The byte-level pattern never
-    joins text across a space between two characters that aren't white space, so a
-    text's ids are those of its words, each with the space before it."""
+    joins text across a space before a character that isn't white space, so a
+    text's ids are those of its words, each with the space before it; a word's are
+    those of its runs of letters, digits and marks."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -61,36 +74,54 @@ class ByteBpe:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def _stem(word: str) -> str:
-        """A word without the stop behind it, which is always a token's start."""
-        return word[:-1] if len(word) > 2 and word[-1] in ",." and word[1:-1].isalpha() else word
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _marked(self, text: str) -> str | None:
+        """The text with a null character between words; None if it must stay whole."""
+        if "\0" in text or any(t in text for t in self.special):
+            return None
+        return "\0".join(_WORD_STARTS.split(text)) if _IRREGULAR.search(text) else text.replace(" ", "\0 ")
 
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MEMORY_WORDS:
+    @staticmethod
+    def _runs(word: str) -> list[str]:
+        runs = _RUNS.findall(word)
+        return runs if sum(map(len, runs)) == len(word) else [word]
+
+    def _learned(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that aren't known, most of which are known from then on."""
+        runs = {w: self._runs(w) for w in words}
+        new = [*{r for rs in runs.values() for r in rs if r not in self.known}]
+        found = {r: np.array(g.ids, self.dtype).tobytes() for r, g in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        whole = {w: b"".join([found[r] if r in found else self.known[r] for r in rs]) for w, rs in runs.items()}
+        if len(self.known) + len(found) + len(whole) > MEMORY_WORDS:
             self.known.clear()
-            new = list(words)
-        for word, got in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, self.dtype).tobytes()
+        self.known.update(found)
+        self.known.update((w, ids) for w, ids in whole.items() if "\n" not in w)
+        return whole
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each whole text, in the file's integer type. Each distinct word
+        of the texts is looked up once."""
+        marked = [self._marked(t) for t in texts]
+        words = pc.split_pattern(pa.array([m or "" for m in marked], pa.large_string()), "\0")
+        coded = words.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = list(map(self.known.get, distinct))
+        if missed := {w for w, b in zip(distinct, ids) if b is None}:
+            new = self._learned(missed)
+            ids = [new[w] if b is None else b for w, b in zip(distinct, ids)]
+        size = self.dtype.itemsize
+        held = np.frombuffer(b"".join(ids), self.dtype)
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        first, n_at = (np.cumsum(n) - n)[at], n[at]
+        ends = np.concatenate([[0], np.cumsum(n_at)])
+        flat = held[np.repeat(first - ends[:-1], n_at) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[words.offsets.to_numpy()] * size).tolist()
+        return [flat[a:b] if m is not None else self._plain(t) for t, m, a, b in zip(texts, marked, cuts, cuts[1:])]
 
     def encode(self, text: str) -> bytes:
-        """The ids of the whole text, in the file's integer type."""
-        if any(s in text for s in self.special):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if _IRREGULAR.search(text):
-            words = _WORD_STARTS.split(text)
-        else:
-            words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _WORD_STARTS.split(text)
-        get = self.known.get
-        out = [get(w) for w in words]
-        if None in out:
-            missed = {w: self._stem(w) for w, ids in zip(words, out) if ids is None}
-            self._learn({*missed.values(), ",", "."})
-            known = self.known
-            whole = {w: known[s] if s == w else known[s] + known[w[-1]] for w, s in missed.items()}
-            out = [b if b is not None else whole[w] for w, b in zip(words, out)]
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -185,6 +216,19 @@ def _put_file(folder: str, name: str, fill) -> str:
     return f"{folder}/{name}"
 
 
+def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Lists of whole texts, each of about GROUP_CHARS or one longer text."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> list[tuple[int, str, int]]:
@@ -207,10 +251,10 @@ def write_token_files(
             out = ShardWriter(sink, bpe.dtype)
             for batch in batches:
                 keys.append(batch.column(0))
-                for text in batch.column(1):
-                    ids = bpe.encode(text.as_py()) + end
-                    counts.append(len(ids) // bpe.dtype.itemsize)
-                    out.add(ids)
+                for texts in _groups(x.as_py() for x in batch.column(1)):
+                    for ids in bpe.encode_all(texts):
+                        counts.append(len(ids) // bpe.dtype.itemsize + 1)
+                        out.add(ids + end)
             out.close()
 
         path = _put_file(folder, f"shard-{shard:06d}.arrow", fill)
