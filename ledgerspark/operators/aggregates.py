@@ -213,3 +213,65 @@ def first_duplicate_wins(df: DataFrame, cols: Sequence[str], order: Sequence[str
         w = Window.partitionBy(c).orderBy(*order)
         seen = seen | (F.col(c).isNotNull() & (F.row_number().over(w) > 1))
     return df.withColumn("repeated", seen)
+
+
+def book_quota_decision(requests: DataFrame, usage: DataFrame, by: str, most_a_day: int = 3) -> DataFrame:
+    """conflict where one is active, then the daily limit, then the budget (column
+    ``affordable`` of the request), else accepted."""
+    known = requests.join(usage.select(by, "active_jobs", "recordings_24h"), by, "left")
+    decision = (
+        F.when(F.coalesce("active_jobs", F.lit(0)) >= 1, "conflict")
+        .when(F.coalesce("recordings_24h", F.lit(0)) >= most_a_day, "daily_limit")
+        .when(~F.coalesce("affordable", F.lit(False)), "budget_exhausted")
+        .otherwise("accepted")
+    )
+    return known.select(*[F.col(c) for c in requests.columns], decision.alias("decision"))
+
+
+def resolution_scores(predicted: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+    """One row: accuracy of the status over all gold rows and of the identity over
+    those resolved in gold; false merges (another person, or one where gold has
+    none) and false splits (none where gold has one). No gold rows score 1."""
+    p = predicted.select(key, F.col("status").alias("_ps"), F.col("person_id").alias("_pp"))
+    j = gold.join(p, key, "left")
+    resolved = F.col("person_id").isNotNull()
+    same = F.col("_pp").eqNullSafe(F.col("person_id"))
+    n = j.agg(
+        F.count("*").alias("n"),
+        count_if(F.col("_ps").eqNullSafe(F.col("status"))).alias("status_right"),
+        count_if(resolved).alias("n_resolved"),
+        count_if(resolved & same).alias("identity_right"),
+        count_if(F.col("_pp").isNotNull() & ~same).alias("false_merges"),
+        count_if(resolved & F.col("_pp").isNull()).alias("false_splits"),
+    )
+    return n.select(
+        "n", ratio(F.col("status_right"), F.col("n")).alias("status_accuracy"), ratio(F.col("identity_right"), F.col("n_resolved")).alias("identity_accuracy"), "false_merges", "false_splits"
+    )
+
+
+def event_date_conflicts(events: DataFrame, by: Sequence[str], date: Sequence[str]) -> DataFrame:
+    """Birth and death events of the same participants, in any order, that give more
+    than one date."""
+    keyed = events.where(F.col("event_type").isin("birth", "death")).withColumn("participants", F.sort_array("participants"))
+    n = keyed.groupBy(*by, "event_type", "participants").agg(F.count("*").alias("n_events"), F.count_distinct(F.struct(*date)).alias("n_dates"))
+    return n.where("n_events >= 2 AND n_dates > 1")
+
+
+def people_summary(people: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Per person: distinct stories and recordings, and the earliest relation that isn't blank."""
+    n = mentions.groupBy("person_id").agg(
+        F.count_distinct("story_id").alias("n_stories"),
+        F.count_distinct("recording_id").alias("n_recordings"),
+        F.min_by("relation", F.when(F.trim("relation") != "", F.struct("created_at", "claim_id"))).alias("relation"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return people.select("person_id").join(n, "person_id", "left").select("person_id", zero("n_stories"), zero("n_recordings"), "relation")
+
+
+def entity_counts(entities: dict[str, DataFrame], by: str) -> DataFrame:
+    """Rows of each entity in each group; each table is counted before the union."""
+    parts = [df.groupBy(by).agg(F.count("*").alias("n")).select(by, F.lit(name).alias("entity"), "n") for name, df in entities.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

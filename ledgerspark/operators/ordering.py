@@ -92,3 +92,50 @@ def merge_unique(a: Column, b: Column) -> Column:
     """U4: ordered union of names; of names that fold alike the first stays."""
     both = F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
     return F.aggregate(both, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+def first_by(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The columns of each key's first row in the given order; rows combine before the shuffle."""
+    first = F.min_by(F.struct(*cols), F.struct(*order))
+    return df.groupBy(key).agg(first.alias("_first")).select(key, "_first.*")
+
+
+def stuck_cleanup(jobs: DataFrame, now: Column, due_hours: int, grace_minutes: int, most: int = 50) -> DataFrame:
+    """The oldest cleanup jobs that wait too long, fail or outlive their lease. Where
+    several reasons hold, the last of these three stands."""
+    waits = (F.col("status") == "queued") & (F.col("next_attempt_at") < now - F.make_dt_interval(hours=F.lit(due_hours)))
+    late = (F.col("status") == "transcribing") & (F.col("lease_expires_at") < now - F.make_dt_interval(mins=F.lit(grace_minutes)))
+    reason = F.when(late, "lease_expired").when(F.col("status") == "failed", "failed").when(waits, "overdue")
+    return jobs.withColumn("reason", reason).where("reason IS NOT NULL").orderBy("created_at", "job_id").limit(most)
+
+
+def review_queue(questions: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Open questions with a text, then open conflicts, each newest first: (section,
+    id, text, created_at), to be ordered by section, created_at descending and id."""
+    part = lambda df, n: df.where("status = 'open' AND trim(text) <> ''").select(F.lit(n).alias("section"), "id", "text", "created_at")
+    return part(questions, 0).unionByName(part(conflicts, 1)).orderBy("section", F.desc("created_at"), "id")
+
+
+def evidence_budget(evidence: DataFrame, by: str, budget: int, order: Sequence[str]) -> DataFrame:
+    """All required evidence, and optional evidence in order until each group holds
+    the budget. Groups whose required rows alone exceed it are marked."""
+    w = Window.partitionBy(by).orderBy(F.desc("required"), *order)
+    n = F.sum(F.col("required").cast("int")).over(Window.partitionBy(by))
+    ranked = evidence.withColumns({"_n": F.row_number().over(w), "over_budget": n > budget})
+    return ranked.where(F.col("required") | (F.col("_n") <= budget)).drop("_n")
+
+
+def merged_ranges(ranges: DataFrame, key: str, max_len: float = 22.0, max_gap: float = 1.2) -> DataFrame:
+    """Neighbouring ranges of a key as one while gaps and the whole length stay within
+    the bounds. Gaps alone split a key first, so an array holds one island only; within
+    it the cut depends on the running start, which a fold carries."""
+    w = Window.partitionBy(key).orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce((F.col("start") - reach > max_gap).cast("int"), F.lit(1))
+    islands = ranges.select(key, "start", "end", cut.alias("_cut")).withColumn("_island", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    arrays = islands.groupBy(key, "_island").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("r"))
+    fold = f"""aggregate(r, CAST(array() AS array<struct<start:double,end:double>>), (acc, x) -> CASE
+        WHEN size(acc) > 0 AND x.end - element_at(acc, -1).start <= {max_len} AND x.start - element_at(acc, -1).end <= {max_gap}
+        THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, CAST(x.end AS double)))))
+        ELSE concat(acc, array(named_struct('start', CAST(x.start AS double), 'end', CAST(x.end AS double)))) END)"""
+    return arrays.select(key, F.explode(F.expr(fold)).alias("m")).select(key, "m.start", "m.end")

@@ -9,12 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.functions import text as X
 from ledgerspark.operators import aggregates as A
 from ledgerspark.operators import graph as G
 from ledgerspark.operators import joins as J
 from ledgerspark.operators import ordering as O
 from ledgerspark.operators import predicates as P
-from ledgerspark.plans.views import NOW, NOW_EVENTS, view, with_views
+from ledgerspark.streaming import windows as S
+from ledgerspark.plans.views import NOW, NOW_EVENTS, split_columns, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,6 +149,36 @@ query("K3_claimable_jobs", "jobs", lambda j: O.claimable_jobs(j, now()).select("
 query("U2_manifest_equal", "refs objects", lambda a, b: O.manifest_equal(a, b, "storage_key"), "SELECT coalesce(a.storage_key, b.storage_key) AS storage_key, CASE WHEN a.storage_key IS NULL THEN 'unexpected' ELSE 'missing' END AS problem FROM refs a FULL JOIN objects b ON a.storage_key = b.storage_key WHERE a.storage_key IS NULL OR b.storage_key IS NULL")
 query("S8_idempotent_append", "selected recordings", lambda t, b: O.idempotent_append(t, b, "recording_id").select("recording_id", "user_id"), "SELECT recording_id, user_id FROM recordings WHERE recording_id NOT IN (SELECT recording_id FROM selected)")
 
+# Text.
+_W = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"
+query("T1_normalize", "documents", lambda d: d.select("doc_id", X.normalized("text").alias("normalized")), r"SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS normalized FROM documents")
+query("T3_estimate_tokens", "documents", lambda d: d.select("doc_id", X.estimated_tokens("text").alias("tokens")), rf"SELECT doc_id, greatest(len(regexp_extract_all(text, '{_W}')), ceil(length(regexp_replace(text, '\s+', '', 'g')) / 3.5))::BIGINT AS tokens FROM documents")
+_SCRIPTS = r"SELECT doc_id, text, length(regexp_replace(text, '[^\p{Cyrillic}]+', '', 'g')) AS cyrillic, length(regexp_replace(text, '[^\p{Latin}]+', '', 'g')) AS latin FROM documents"
+query("T7_detect_script", "documents", lambda d: d.select("doc_id", X.script("text").alias("script")), f"SELECT doc_id, CASE WHEN cyrillic > 0 AND latin > 0 THEN 'mixed' WHEN cyrillic > 0 THEN 'cyrillic' WHEN latin > 0 THEN 'latin' WHEN text IS NOT NULL THEN 'other' END AS script FROM ({_SCRIPTS})")
+query("T8_script_letters", "documents", lambda d: d.select("doc_id", X.letters("text", "Cyrillic").alias("cyrillic"), X.letters("text", "Latin").alias("latin")), f"SELECT doc_id, cyrillic, latin FROM ({_SCRIPTS})")
+query("T9_shingles", "documents", lambda d: d.select("doc_id", F.sha2(F.array_join(F.array_sort(X.shingles("text", 5)), "\n"), 256).alias("shingles")), rf"SELECT doc_id, CASE WHEN w IS NULL THEN NULL WHEN len(w) < 5 THEN sha256('') ELSE sha256(array_to_string(list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))), chr(10))) END AS shingles FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_W}') AS w FROM documents)")
+query("T13_split_statements", "documents", lambda d: X.statements(d, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("statement")).alias("longest")), r"SELECT doc_id, count(*) AS n, max(length(s)) AS longest FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?…])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1))), ' ') AS s FROM documents) WHERE s <> '' GROUP BY 1")
+
+# Scores, summaries and ranges.
+query("A9_book_quota_decision", "jobs", lambda j: A.book_quota_decision(j.select("job_id", "family_id", (F.col("size_bytes") < 200_000).alias("affordable")), A.quota_usage(j, now(), "user_id").withColumnRenamed("user_id", "family_id"), "family_id").select("job_id", "decision"), f"SELECT job_id, CASE WHEN coalesce(active_jobs, 0) >= 1 THEN 'conflict' WHEN coalesce(recordings_24h, 0) >= 3 THEN 'daily_limit' WHEN size_bytes >= 200000 THEN 'budget_exhausted' ELSE 'accepted' END AS decision FROM jobs LEFT JOIN ({_QUOTA.format('user_id')}) q ON q.user_id = jobs.family_id")
+_STATUS = "CASE WHEN quality = 1 THEN 'resolved' ELSE 'new' END AS status, CASE WHEN quality = 1 THEN doc_id END AS person_id"
+query("A16_resolution_scores", "predicted gold", lambda p, g: A.resolution_scores(p.selectExpr("doc_id", *split_columns(_STATUS)), g.dropDuplicates(["doc_id"]).selectExpr("doc_id", *split_columns(_STATUS)), "doc_id"), f"SELECT n, status_right / n AS status_accuracy, identity_right / n_resolved AS identity_accuracy, false_merges, false_splits FROM (SELECT count(*) AS n, count(*) FILTER (p.status = g.status) AS status_right, count(*) FILTER (g.person_id IS NOT NULL) AS n_resolved, count(*) FILTER (g.person_id = p.person_id) AS identity_right, count(*) FILTER (p.person_id IS NOT NULL AND p.person_id IS DISTINCT FROM g.person_id) AS false_merges, count(*) FILTER (g.person_id IS NOT NULL AND p.person_id IS NULL) AS false_splits FROM (SELECT DISTINCT doc_id, {_STATUS} FROM gold) g LEFT JOIN (SELECT doc_id, {_STATUS} FROM predicted) p USING (doc_id))")
+query("A20_event_date_conflicts", "claims", lambda c: A.event_date_conflicts(c.select(F.when(F.col("predicate") == "birth_date", "birth").otherwise("death").alias("event_type"), F.array("subject_person_id", "object_person_id").alias("participants"), "value"), [], ["value"]).select("event_type", F.array_join("participants", ",").alias("participants"), "n_events", "n_dates"), "SELECT event_type, CASE WHEN b IS NULL THEN a::VARCHAR ELSE least(a, b) || ',' || greatest(a, b) END AS participants, count(*) AS n_events, count(DISTINCT value) AS n_dates FROM (SELECT CASE WHEN predicate = 'birth_date' THEN 'birth' ELSE 'death' END AS event_type, CASE WHEN o IS NULL THEN s ELSE least(s, o) END AS a, CASE WHEN o IS NULL THEN NULL ELSE greatest(s, o) END AS b, value FROM (SELECT *, subject_person_id AS s, object_person_id AS o FROM claims)) GROUP BY event_type, a, b HAVING count(*) >= 2 AND count(DISTINCT value) > 1")
+query("A24_people_summary", "people claims", lambda p, c: A.people_summary(p, c.withColumns({"story_id": F.col("recording_id") % 1000, "relation": F.when(F.col("value") == "0", " ").otherwise(F.col("value"))})), "SELECT p.person_id, coalesce(n_stories, 0) AS n_stories, coalesce(n_recordings, 0) AS n_recordings, relation FROM people p LEFT JOIN (SELECT person_id, count(DISTINCT recording_id % 1000) AS n_stories, count(DISTINCT recording_id) AS n_recordings, arg_min(value, (created_at, claim_id)) FILTER (value <> '0') AS relation FROM claims GROUP BY 1) m USING (person_id)")
+query("A31_entity_counts", "jobs recordings", lambda j, r: A.entity_counts({"job": j.select("user_id"), "recording": r.select("user_id")}, "user_id"), "SELECT user_id, 'job' AS entity, count(*) AS n FROM jobs GROUP BY 1 UNION ALL SELECT user_id, 'recording', count(*) FROM recordings GROUP BY 1")
+query("W1_merge_segments", "trace", lambda t: O.merged_ranges(t.select("job_id", (F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6).alias("start"), (F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6 + F.col("duration_ms") / 1000).alias("end")), "job_id", 40000.0, 9000.0))
+query("W8_first_value_by", "claims", lambda c: O.first_by(c, "person_id", ["created_at", "recording_id", "claim_id"], ["predicate", "value"]), "SELECT person_id, predicate, value FROM claims QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY created_at, recording_id, claim_id) = 1")
+query("W10_stuck_cleanup", "jobs", lambda j: O.stuck_cleanup(j, now(), 48, 30).select("job_id", "reason"), f"SELECT job_id, reason FROM (SELECT *, CASE WHEN status = 'transcribing' AND lease_expires_at < {NOW} - INTERVAL 30 MINUTES THEN 'lease_expired' WHEN status = 'failed' THEN 'failed' WHEN status = 'queued' AND next_attempt_at < {NOW} - INTERVAL 48 HOURS THEN 'overdue' END AS reason FROM jobs) WHERE reason IS NOT NULL ORDER BY created_at, job_id LIMIT 50")
+query("K4_review_queue", "claims", lambda c: O.review_queue(c.where("object_type = 'unresolved_question'").select("status", F.col("claim_id").alias("id"), F.col("value").alias("text"), "created_at"), c.where("object_type = 'relationship'").select("status", F.col("claim_id").alias("id"), F.col("predicate").alias("text"), "created_at")), "SELECT CASE object_type WHEN 'relationship' THEN 1 ELSE 0 END AS section, claim_id AS id, CASE object_type WHEN 'relationship' THEN predicate ELSE value END AS text, created_at FROM claims WHERE status = 'open' AND object_type <> 'person_mention'")
+query("K5_evidence_budget", "claims", lambda c: O.evidence_budget(c.withColumn("required", F.col("evidence_class") == "A"), "recording_id", 3, ["claim_id"]).select("claim_id", "over_budget"), "SELECT claim_id, n > 3 AS over_budget FROM (SELECT claim_id, evidence_class = 'A' AS required, count(*) FILTER (evidence_class = 'A') OVER (PARTITION BY recording_id) AS n, row_number() OVER (PARTITION BY recording_id ORDER BY evidence_class <> 'A', claim_id) AS k FROM claims) WHERE required OR k <= 3")
+
+# Streams; a static table gives the same rows.
+query("X1_usage_rolling", "usage_events", lambda e: S.usage_rolling(e).withColumn("cost", F.col("cost").cast("double")), "SELECT start, start + INTERVAL 24 HOURS AS \"end\", count(*) AS n_events, sum(input_tokens)::BIGINT AS input_tokens, sum(cost)::DOUBLE AS cost FROM (SELECT *, unnest(generate_series(date_trunc('hour', created_at) - INTERVAL 23 HOURS, date_trunc('hour', created_at), INTERVAL 1 HOUR)) AS start FROM usage_events) GROUP BY 1")
+query("X2_trace_dedupe", "trace", lambda t: S.trace_deduplicated(t.select(F.col("job_id").alias("trace_id"), "attempt", F.col("stage").alias("sequence"), "created_at")).select("trace_id", "attempt", "sequence"), "SELECT DISTINCT job_id AS trace_id, attempt, stage AS sequence FROM trace")
+query("X6_stage_pairing", "trace", lambda t: S.stage_pairs(t.select(F.col("job_id").alias("trace_id"), F.lit("s").alias("stage"), F.when(F.col("stage") == "view", "start").when(F.col("stage") == "click", "finish").alias("phase"), "created_at")), "SELECT a.job_id AS trace_id, 's' AS stage, a.created_at AS started_at, CAST(floor((epoch_us(b.created_at) - epoch_us(a.created_at)) / 1e6 * 1000) AS BIGINT) AS duration_ms FROM trace a JOIN trace b ON a.job_id = b.job_id AND b.created_at BETWEEN a.created_at AND a.created_at + INTERVAL 1 HOUR WHERE a.stage = 'view' AND b.stage = 'click'")
+query("X8_speech_sessions", "trace", lambda t: S.speech_sessions(t, "job_id"), "SELECT job_id, min(created_at) AS start, max(created_at) + INTERVAL 30 MINUTES AS \"end\", count(*) AS n_events FROM (SELECT *, sum(cut) OVER (PARTITION BY job_id ORDER BY created_at) AS k FROM (SELECT *, CASE WHEN created_at <= lag(created_at) OVER (PARTITION BY job_id ORDER BY created_at) + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS cut FROM trace)) GROUP BY job_id, k")
+
+
 # Graphs.
 query("G1_canonical_relationship", "claims", lambda c: G.canonical_relationship(c).select("claim_id", "subject_person_id", "object_person_id"), f"SELECT claim_id, s AS subject_person_id, o AS object_person_id FROM ({_CANON})")
 query("G6_neighbours", "claims", lambda c: G.neighbours(c.where("object_person_id IS NOT NULL")).select("person_id", *[F.size(k).cast("long").alias(k) for k in ("parent", "child", "spouse", "sibling")]), "SELECT person_id, " + ", ".join(f"count(DISTINCT CASE WHEN kind = '{k}' THEN other END) AS {k}" for k in ("parent", "child", "spouse", "sibling")) + " FROM (SELECT subject_person_id AS person_id, CASE WHEN relationship_type = 'parent_child' THEN 'child' ELSE relationship_type END AS kind, object_person_id AS other FROM claims WHERE object_person_id IS NOT NULL UNION ALL SELECT object_person_id, CASE WHEN relationship_type = 'parent_child' THEN 'parent' ELSE relationship_type END, subject_person_id FROM claims WHERE object_person_id IS NOT NULL) GROUP BY 1")
