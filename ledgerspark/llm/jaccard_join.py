@@ -41,8 +41,8 @@ from ledgerspark.llm.common import written
 BAND, STAR_ROWS = 1.45, 500
 #: Classes of a key up to which its pairs are looked at directly.
 FEW = 16
-#: Bits of a set's sketch.
-SKETCH_BITS = 2048
+#: Least bits of a set's sketch.
+SKETCH_BITS = 512
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -95,18 +95,27 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the shingles in SKETCH_BITS places. Each shingle that two sets
-    don't share changes one bit, so bits that differ never outnumber those shingles:
-    too many of them rule a link out for certain."""
-    bits = np.bincount((mix(tokens ^ _C[0]) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parities of the shingles in as many places as there are shingles, rounded up
+    to a power of two. Each shingle that two sets don't share changes one bit, so bits
+    that differ never outnumber those shingles: too many of them rule a link out for
+    certain. A sketch of fixed width would fill up and rule out nothing for large sets."""
+    width = max(SKETCH_BITS, 1 << (len(tokens) - 1).bit_length())
+    bits = np.bincount((mix(tokens ^ _C[0]) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def may_link(size_a, size_b, sketch_a, sketch_b, percent: int):
-    """Whether sizes and sketches allow a link; never false for sets that link."""
-    differ = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    """Whether sizes and sketches allow a link; never false for sets that link. Sizes
+    that do have, from 50 percent on, sketches of one width, or one of twice the
+    other's: the wider is folded, its halves' parities added."""
+    n, most = F.least(F.size(sketch_a), F.size(sketch_b)), F.greatest(F.size(sketch_a), F.size(sketch_b))
+
+    def folded(sketch):
+        return F.when(F.size(sketch) > n, F.zip_with(F.slice(sketch, F.lit(1), n), F.slice(sketch, n + 1, n), lambda x, y: x.bitwiseXOR(y))).otherwise(sketch)
+
+    differ = F.aggregate(F.zip_with(folded(sketch_a), folded(sketch_b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     sizes = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent
-    return sizes & (differ * (100 + percent) <= (100 - percent) * (size_a + size_b))
+    return sizes & F.when(most > 2 * n, F.lit(True)).otherwise(differ * (100 + percent) <= (100 - percent) * (size_a + size_b))
 
 
 def band_of(size: int) -> int:

@@ -138,6 +138,24 @@ def test_jaccard_odd(spark):
     assert jaccard_join.near_duplicate_components(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_sketches_never_rule_out_a_link(spark):
+    rng, rows = np.random.default_rng(5), []
+    for size in (3, 60, 500, 530, 1020, 4000, 4090):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for share in (0.0, 0.02, 0.1, 0.11, 0.2, 0.5, 1.0):
+            other = base.copy()
+            other[: int(size * share)] = rng.integers(0, 2**63, int(size * share)).astype(np.uint64)
+            other = np.unique(np.concatenate([other, rng.integers(0, 2**63, size // 40).astype(np.uint64)]))
+            a = np.unique(base)
+            common = len(np.intersect1d(a, other))
+            linked = 100 * common >= 80 * (len(a) + len(other) - common)
+            rows.append((len(a), len(other), jaccard_join.sketch(a).tolist(), jaccard_join.sketch(other).tolist(), linked, common / len(a)))
+    df = spark.createDataFrame(rows, "a long, b long, x array<long>, y array<long>, linked boolean, shared double")
+    got = df.withColumn("may", jaccard_join.may_link(F.col("a"), F.col("b"), F.col("x"), F.col("y"), 80)).collect()
+    assert all(r.may for r in got if r.linked) and sum(r.linked for r in got) > 15
+    assert not any(r.may for r in got if r.a > 400 and r.shared <= 0.5)
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_signatures_meet(percent):
     """Any two sets that link share a key."""
