@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
