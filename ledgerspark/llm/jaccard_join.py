@@ -39,6 +39,8 @@ from ledgerspark.llm.common import written
 
 #: Growth of a band's sizes, and classes compared with one copy of a hub.
 BAND, STAR_ROWS = 1.45, 500
+#: A power of two above every band's number.
+BANDS = 64
 #: Classes of a key up to which its pairs are looked at directly.
 FEW = 16
 #: Least bits of a set's sketch.
@@ -157,7 +159,8 @@ def allocation(band: int, percent: int) -> tuple[tuple[int, ...], int]:
 
 def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a set: in its own band, and in each lower band whose sets it may
-    link with. A key names band, segment and the segment's shingles (or all but one)."""
+    link with. A key names band (its low bits), segment and the segment's shingles (or
+    all but one)."""
     size = len(tokens)
     if not size:
         return np.empty(0, np.uint64)
@@ -177,12 +180,13 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         total = np.zeros(m, np.uint64)
         np.add.at(total, place, hashed)
         salt = mix(np.arange(m, dtype=np.uint64) + mix(np.array([band], np.uint64)))
-        out.append(mix(total ^ salt))
+        found = [mix(total ^ salt)]
         if worths[0] == 2:
             twos = worths.count(2)
             inside = place < twos
             where = place[inside]
-            out.append(mix((total[where] - hashed[inside]) ^ salt[where]))
+            found.append(mix((total[where] - hashed[inside]) ^ salt[where]))
+        out += [(f & ~np.uint64(BANDS - 1)) | np.uint64(band) for f in found]
     return np.unique(np.concatenate(out))
 
 
@@ -297,7 +301,39 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
-def open_links(held: DataFrame, many: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def fewest_keys(size, band, bands: int, percent: int):
+    """Segments of a band in which a set of this size matches any set it links with.
+
+    A segment that doesn't match holds as many differing shingles as it is worth, so
+    the worths of those that do add up to all worths less the symmetric difference."""
+    plans = [(allocation(b, percent)[0], band_limits(b)[1]) if band_limits(b)[1] >= 0 else ((1,), 0) for b in range(bands + 1)]
+    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), band.cast("int") + 1)
+    worth, most, high = of(sum(w) for w, _ in plans), of(w[0] for w, _ in plans), of(h for _, h in plans)
+    both = F.when(size <= high, size + F.floor(size * 100 / percent)).otherwise(size + high)
+    return F.ceil((worth - F.floor(both * (100 - percent) / (100 + percent))) / most)
+
+
+def still_open(hubbed: DataFrame, owners: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(hub, set_id) of keys of many that can still hide a link between components.
+
+    Sets that link and yet lie in different components share keys of many only, each
+    with several components: they would have met as a pair of another. A set with
+    fewer such keys than a link takes has no such partner. Without it, some keys have
+    one component left and are no longer keys of the others: so a second round."""
+    top = owners.agg(F.max("size")).first()[0]
+    big = hubbed.where(F.col("n") > FEW).select("key", "hub", "set_id").join(labels.withColumnRenamed("id", "set_id"), "set_id").join(owners.select("set_id", "size"), "set_id")
+    big = big.withColumn("band", F.col("key").bitwiseAND(F.lit(BANDS - 1).cast("long")))
+    for _ in range(2):
+        mixed = big.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+        left = written(big.join(mixed, "key"), "mixed")
+        enough = left.groupBy("set_id", "band").agg(F.count("*").alias("keys"), F.first("size").alias("size"))
+        enough = enough.where(F.col("keys") >= fewest_keys(F.col("size"), F.col("band"), band_of(top or 1), percent)).select("set_id", "band")
+        big = written(left.join(enough, ["set_id", "band"]), "many")
+    mixed = big.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    return big.join(mixed, "key").where("hub <> set_id").select("hub", "set_id").distinct()
+
+
+def open_links(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between sets that share a star and lie in different components.
 
     With x's difference from the hub D(x), two sets are |D(a)| + |D(b)| - 2 |D(a) & D(b)|
@@ -306,13 +342,11 @@ def open_links(held: DataFrame, many: DataFrame, labels: DataFrame, percent: int
     that shares a part of its difference: pairs come from an index on D, in which a
     set needs only so many of its first shingles that a partner sharing enough can't
     miss them all. D is in one order for the star: what the hub lacks, as that is
-    rare, then what the set lacks. What the sets share then follows from D alone.
-
-    many: (hub, set_id) of the sets that met in a key of more than FEW."""
+    rare, then what the set lacks. What the sets share then follows from D alone."""
     r = (100 - percent) / (100 + percent)
     of = labels.select(F.col("id").alias("set_id"), "component")
     hubs = labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    slim = held.join(many, ["hub", "set_id"], "left_semi").select("hub", "set_id", "size", "linked", F.size("apart").alias("d"))
+    slim = held.select("hub", "set_id", "size", "linked", F.size("apart").alias("d"))
     rows = slim.join(of, "set_id").join(hubs, "hub").select(
         "hub", "set_id", "size", "component", "d", (F.col("component") != F.col("hub_component")).alias("open"),
         F.when(F.col("linked"), "near").otherwise("far").alias("kind"), (F.col("d") - r * F.col("size")).alias("excess"),
@@ -398,16 +432,13 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     edges = edges.union(written(links(compared(written(pairs, "pairs"), docs_of, rows, k, percent)), "links"))
     labels = written(components(nodes, edges), "components")
 
-    # Then the stars of keys of many that still hold several components.
-    many = hubbed.where((F.col("n") > FEW) & (F.col("hub") != F.col("set_id"))).select("hub", "set_id").distinct()
-    near, far = labels.select(F.col("id").alias("set_id"), "component"), labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
-    mixed = many.join(near, "set_id").join(far, "hub").where("component <> of_hub").select("hub").distinct()
-    rest = written(many.join(mixed, "hub", "left_semi"), "rest")
+    # Then the stars of keys of many that can still hide a link.
+    rest = written(still_open(hubbed, owners, labels, percent), "rest")
     if rest.limit(1).count():
         held = written(compared(rest, docs_of, rows, k, percent), "compared")
         edges = edges.union(links(held))
         labels = written(components(nodes, edges), "components")
-        more = written(open_links(held, many, labels, percent), "open")
+        more = written(open_links(held, labels, percent), "open")
         if more.limit(1).count():
             labels = written(components(nodes, edges.union(more)), "components")
 
