@@ -9,12 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.functions import evidence as E
 from ledgerspark.functions import text as X
 from ledgerspark.operators import aggregates as A
 from ledgerspark.operators import graph as G
 from ledgerspark.operators import joins as J
 from ledgerspark.operators import ordering as O
 from ledgerspark.operators import predicates as P
+from ledgerspark.operators import reports as R
+from ledgerspark.sources import ledger as L
 from ledgerspark.streaming import windows as S
 from ledgerspark.plans.views import NOW, NOW_EVENTS, split_columns, view, with_views
 
@@ -184,6 +187,94 @@ query("G1_canonical_relationship", "claims", lambda c: G.canonical_relationship(
 query("G6_neighbours", "claims", lambda c: G.neighbours(c.where("object_person_id IS NOT NULL")).select("person_id", *[F.size(k).cast("long").alias(k) for k in ("parent", "child", "spouse", "sibling")]), "SELECT person_id, " + ", ".join(f"count(DISTINCT CASE WHEN kind = '{k}' THEN other END) AS {k}" for k in ("parent", "child", "spouse", "sibling")) + " FROM (SELECT subject_person_id AS person_id, CASE WHEN relationship_type = 'parent_child' THEN 'child' ELSE relationship_type END AS kind, object_person_id AS other FROM claims WHERE object_person_id IS NOT NULL UNION ALL SELECT object_person_id, CASE WHEN relationship_type = 'parent_child' THEN 'parent' ELSE relationship_type END, subject_person_id FROM claims WHERE object_person_id IS NOT NULL) GROUP BY 1")
 
 
+# Evidence and sources.
+def offsets(docs: DataFrame) -> DataFrame:
+    w = F.explode(E.word_offsets("text")).alias("w")
+    return docs.select("doc_id", w).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("w.start").alias("starts"), F.sum("w.end").alias("ends"))
+
+
+query("T2_tokenize", "documents", offsets, rf"""WITH p AS (SELECT doc_id, rid, unnest(g) AS p, generate_subscripts(g, 1) AS k FROM (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(text, '{_W}|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+') AS g FROM documents)),
+q AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY rid ORDER BY k) AS e FROM p) SELECT doc_id, count(*) AS n, sum(e - length(p))::BIGINT AS starts, sum(e)::BIGINT AS ends FROM q WHERE regexp_full_match(p, '{_W}') GROUP BY doc_id""")
+_YEARS = rf"SELECT doc_id, list_filter(list_transform(list_filter(regexp_extract_all(text, '{_W}'), lambda w: regexp_full_match(w, '[0-9]{{4}}')), lambda w: w::INT), lambda y: y BETWEEN 1700 AND 2099) AS y FROM documents"
+query("T20_extract_years", "documents", lambda d: d.select("doc_id", F.array_join(E.years("text").cast("array<string>"), ",").alias("years")), f"SELECT doc_id, array_to_string(y, ',') AS years FROM ({_YEARS})")
+query("A34_year_facet", "documents", lambda d: R.year_facet(d, E.years("text")), f"SELECT DISTINCT unnest(y) AS year FROM ({_YEARS})")
+query("T28_word_count", "documents", lambda d: d.select("doc_id", E.word_count("text").alias("words")), r"SELECT doc_id, len(regexp_extract_all(text, '[^\s\v\x{85}\p{Z}]+')) AS words FROM documents")
+
+
+def quoted(docs: DataFrame) -> DataFrame:
+    """For each text a quote of its own words 2 to 5, turned around in odd ones."""
+    w = F.slice(F.split("text", " "), 2, 4)
+    own = F.when(F.col("doc_id") % 2 == 0, F.array_join(w, "  ")).otherwise(F.array_join(F.reverse(w), " "))
+    return docs.select("doc_id", F.when(F.col("doc_id") % 7 > 0, own).otherwise(" ").alias("quote"))
+
+
+query("T10_verbatim_quotes", "documents", lambda d: E.verbatim_quotes(d.dropDuplicates(["doc_id"]), "doc_id", "text", quoted(d), "quote").select("doc_id", "verdict"), r"""SELECT doc_id, CASE WHEN q = '' THEN 'empty' WHEN contains(t, q) THEN 'verbatim' ELSE 'absent' END AS verdict
+FROM (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '[\s\v\x{85}\p{Z}]+', ' ', 'g')) AS t, trim(regexp_replace(coalesce(nfc_normalize(CASE WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 2 = 0 THEN array_to_string(w, '  ') ELSE array_to_string(list_reverse(w), ' ') END), ''), '[\s\v\x{85}\p{Z}]+', ' ', 'g')) AS q
+FROM (SELECT doc_id, text, string_split(text, ' ')[2:5] AS w FROM documents))""")
+
+
+def spans_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans of the third word with guessed offsets, and their segments."""
+    word = F.element_at(F.split("text", " "), F.when(F.size(F.split("text", " ")) >= 3, 3).otherwise(1))
+    layer = F.when(F.col("doc_id") % 5 == 0, "readable_transcript").when(F.col("doc_id") % 11 == 0, "other")
+    spans = docs.select(F.col("doc_id").alias("evidence_id"), (F.col("doc_id") + F.when(F.col("doc_id") % 13 == 0, 10**12).otherwise(0)).alias("segment_id"), layer.alias("source_layer"), word.alias("text"), F.lit(0).cast("long").alias("start_char"), F.length(word).cast("long").alias("end_char"))
+    segments = docs.select(F.col("doc_id").alias("segment_id"), F.col("text").alias("raw_text"), F.when(F.col("doc_id") % 10 == 0, F.upper("text")).alias("readable_text"))
+    return spans, segments
+
+
+query("T11_recover_offsets", "documents", lambda d: E.recovered_offsets(*spans_of(d)).select("evidence_id", "found", "start_char", "end_char"), r"""WITH s AS (SELECT doc_id, w, length(w) AS n, raw, readable, lay, CASE WHEN lay = 'raw' THEN raw WHEN lay = 'readable' THEN readable END AS t, CASE WHEN lay = 'raw' THEN readable ELSE raw END AS o
+FROM (SELECT doc_id, CASE WHEN len(string_split(text, ' ')) >= 3 THEN string_split(text, ' ')[3] ELSE string_split(text, ' ')[1] END AS w, text AS raw, CASE WHEN doc_id % 10 = 0 THEN upper(text) END AS readable, CASE WHEN doc_id % 5 = 0 THEN 'readable' WHEN doc_id % 11 = 0 THEN 'other' ELSE 'raw' END AS lay FROM documents)),
+f AS (SELECT *, instr(t, w) AS a, CASE WHEN instr(t, w) > 0 THEN instr(t[instr(t, w) + 1:], w) ELSE 0 END AS b FROM s),
+g AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'unknown_segment' WHEN coalesce(w, '') = '' THEN 'invalid_text' WHEN lay = 'other' THEN 'unrecoverable' WHEN t IS NULL THEN 'wrong_source_layer' WHEN t[1:n] = w THEN 'already_valid' WHEN b > 0 THEN 'ambiguous' WHEN a > 0 THEN 'recovered' WHEN coalesce(instr(o, w), 0) > 0 THEN 'wrong_source_layer' ELSE 'missing' END AS found FROM f)
+SELECT doc_id AS evidence_id, found, CASE WHEN found = 'recovered' THEN a - 1 WHEN found <> 'ambiguous' THEN 0 END AS start_char, CASE WHEN found = 'recovered' THEN a - 1 + n WHEN found <> 'ambiguous' THEN n END AS end_char FROM g""")
+_TERMS = ["Ring", "water", "house", "old book", "letter"]
+query("T25_material_terms", "documents", lambda d: d.select("doc_id", F.array_join(E.terms_in("text", _TERMS), ",").alias("terms")), "SELECT doc_id, array_to_string(list_filter(['house', 'letter', 'old book', 'ring', 'water'], lambda k: regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])' || k || '($|[^\\p{L}\\p{N}])')), ',') AS terms FROM documents".replace("\\\\", "\\"))
+query("T27_canonical_hash", "supplier", lambda s: s.select("s_suppkey", E.canonical_digest(s.columns, ("s_acctbal",)).alias("digest")), "SELECT s_suppkey, sha256(json_object('s_name', s_name, 's_nationkey', s_nationkey, 's_suppkey', s_suppkey)::VARCHAR) AS digest FROM supplier")
+
+
+def extractions(claims: DataFrame) -> DataFrame:
+    """Extraction results as JSON: a recording's relations, mentions and spans."""
+    relation = F.struct(F.col("claim_id").cast("string").alias("relationship_id"), "relationship_type")
+    mention = F.struct(F.when(F.col("object_person_id").isNotNull(), F.concat(F.lit("m"), F.col("claim_id").cast("string"))).alias("mention_id"))
+    span = F.struct(F.when(F.col("evidence_id") % 3 > 0, F.col("evidence_id").cast("string")).alias("evidence_id"), F.col("value").alias("text"))
+    body = F.struct(F.collect_list(relation).alias("relationship_claims"), F.collect_list(mention).alias("people_mentions"), F.collect_list(span).alias("evidence_spans"))
+    return claims.groupBy("recording_id").agg(F.to_json(body).alias("extraction"))
+
+
+query("S4_explode_claims", "claims", lambda c: L.exploded_claims(extractions(c)).select("recording_id", "object_type", "source_object_id", "predicate"), "SELECT recording_id, 'relationship' AS object_type, claim_id::VARCHAR AS source_object_id, relationship_type AS predicate FROM claims UNION ALL SELECT recording_id, 'person_mention', 'm' || claim_id::VARCHAR, 'person_mention' FROM claims WHERE object_person_id IS NOT NULL")
+query("S5_explode_evidence", "claims", lambda c: L.exploded_evidence(extractions(c)).select("recording_id", "evidence_id", "text"), "SELECT recording_id, evidence_id::VARCHAR AS evidence_id, value AS text FROM claims WHERE evidence_id % 3 > 0")
+_FIXES = lambda: F.array(F.struct(F.col("predicate").alias("kind"), F.col("value").alias("corrected_value")))
+query("S6_explode_corrections", "claims", lambda c: L.exploded_corrections(c.select("recording_id", _FIXES().alias("corrections"))).select("recording_id", "kind", "corrected_value"), "SELECT DISTINCT recording_id, predicate AS kind, value AS corrected_value FROM claims")
+query("S11_object_manifest", "refs objects", lambda r, o: L.object_manifest(r.withColumn("storage_key", F.when(F.col("size_bytes") % 4 > 0, F.col("storage_key"))), o).select("kind", "storage_key", "sha256", "size_bytes"), "SELECT 'audio' AS kind, storage_key, sha256, size_bytes FROM refs WHERE size_bytes % 4 > 0 UNION ALL SELECT 'book', storage_key, sha256, size_bytes FROM objects")
+
+# Reports.
+_BOOK = "status IN ('queued','transcribing')"
+query("A3_book_queue_health", "jobs", lambda j: R.book_queue_health(j.withColumn("status", F.when(F.col("status") == "transcribing", "running").otherwise(F.col("status"))), now()), f"SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'transcribing') AS running, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'completed') AS completed, round(max(CASE WHEN status = 'queued' THEN {SECONDS.format(NOW, 'created_at')} END), 2) AS oldest_queued_seconds, count(*) FILTER ({_BOOK} AND lease_expires_at <= {NOW}) AS expired_leases FROM jobs")
+_PARTS = {"people": "attempts = 0", "relationships": "attempts = 1", "recordings": "status = 'completed'", "open_conflicts": "status = 'failed'", "open_questions": "attempts = 4"}
+query("A25_overview", "jobs", lambda j: R.overview(j, {n: j.where(c) for n, c in _PARTS.items()}, j.where("attempts = 2").withColumnRenamed("job_id", "story_id")).withColumn("recent_stories", F.array_join("recent_stories", ",")), "SELECT f.family_id, " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in {**_PARTS, "stories": "attempts = 2"}.items()) + ", count(*) FILTER (status = 'failed') + count(*) FILTER (attempts = 4) AS review, any_value(r) AS recent_stories FROM jobs f LEFT JOIN (SELECT family_id, string_agg(job_id::VARCHAR, ',' ORDER BY created_at DESC, job_id) AS r FROM (SELECT * FROM jobs WHERE attempts = 2 QUALIFY row_number() OVER (PARTITION BY family_id ORDER BY created_at DESC, job_id) <= 5) GROUP BY 1) s USING (family_id) GROUP BY f.family_id")
+query("A29_corpus_registry", "documents", lambda d: R.corpus_registry(d.withColumn("lines", F.split("text", "\n")), "doc_id", {"raw_words": "text"}, {"timeline_nodes": "lines"}), r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\s\v\x{85}\p{Z}]+')), 0) AS raw_words, coalesce(len(string_split(text, chr(10))), 0) AS timeline_nodes FROM documents")
+query("A30_plan_coverage", "customer", lambda c: R.plan_coverage(c, "c_nationkey", "c_mktsegment"), "SELECT c_nationkey, count(*) AS slots, count(DISTINCT c_mktsegment) AS anchors FROM customer GROUP BY 1")
+query("A35_book_progress", "claims", lambda c: R.book_progress(c.select(F.col("recording_id").alias("book_id"), (F.col("claim_id") % 10).alias("number"), F.when(F.col("status") == "active", "approved").otherwise("draft").alias("status"), F.col("person_id").alias("words"), F.when(F.col("value") > "2", F.col("value")).alias("continuity"))), "SELECT recording_id AS book_id, count(*) AS chapters, count(*) FILTER (status = 'active') AS approved, sum(person_id)::BIGINT AS words, min(CASE WHEN status <> 'active' THEN claim_id % 10 END) AS next_chapter, arg_max(value, claim_id::VARCHAR || value) FILTER (value > '2') AS continuity FROM claims GROUP BY 1")
+query("A37_acceptance_report", "claims claims", lambda c, i: R.acceptance_report(c.where("status = 'active'").select("object_type", F.col("claim_id").alias("object_id")), i.select("object_type", F.col("object_person_id").alias("object_id"), F.when(F.col("evidence_class") == "U", "error").otherwise("warning").alias("severity")), c.where("object_type = 'relationship'")), "SELECT a AS accepted, q AS quarantined, n AS candidates, r AS relationships, r / n AS acceptance_rate FROM (SELECT count(*) FILTER (status = 'active') AS a, count(DISTINCT claim_id) FILTER (status = 'active' AND object_type = 'relationship') AS r, count(*) FILTER (object_type = 'relationship') AS n, (SELECT count(*) FROM (SELECT DISTINCT object_type, object_person_id FROM claims WHERE evidence_class = 'U' AND object_person_id IS NOT NULL)) AS q FROM claims)")
+query("A37_evidence_classes", "claims", R.evidence_classes, "SELECT evidence_class, count(*) AS n FROM claims GROUP BY 1")
+_REL = lambda c: c.select("relationship_type", F.col("subject_person_id").alias("subject"), F.col("object_person_id").alias("object"))
+query("A38_direction_accuracy", "claims", lambda c: R.direction_accuracy(_REL(c.where("claim_id % 2 = 0 AND object_person_id IS NOT NULL")), _REL(c.where("claim_id % 2 = 1 AND object_person_id IS NOT NULL"))), "SELECT count(*) FILTER (x) AS \"right\", count(*) AS asked, CASE WHEN count(*) = 0 THEN 1.0 ELSE count(*) FILTER (x) / count(*) END AS accuracy FROM (SELECT (t, s, o) IN (SELECT (relationship_type, subject_person_id, object_person_id) FROM claims WHERE claim_id % 2 = 1 AND object_person_id IS NOT NULL) AS x FROM (SELECT relationship_type AS t, subject_person_id AS s, object_person_id AS o FROM claims WHERE claim_id % 2 = 0 AND object_person_id IS NOT NULL) WHERE (t, least(s, o), greatest(s, o)) IN (SELECT (relationship_type, least(subject_person_id, object_person_id), greatest(subject_person_id, object_person_id)) FROM claims WHERE claim_id % 2 = 1 AND object_person_id IS NOT NULL))")
+query("A38_label_accuracy", "predicted gold", lambda p, g: R.label_accuracy(p, g.dropDuplicates(["doc_id"]), "doc_id", "quality"), "SELECT count(*) FILTER (p.quality = g.quality) AS \"right\", count(*) AS asked, count(*) FILTER (p.quality = g.quality) / count(*) AS accuracy FROM gold g LEFT JOIN predicted p USING (doc_id)")
+query("A38_scope_overlap", "predicted gold", lambda p, g: R.scope_overlap(p.where("quality = 1"), g.where("quality = 1"), "doc_id"), "SELECT count(*) FILTER (n = 2) AS common, count(*) AS either, count(*) FILTER (n = 2) / count(*) AS overlap FROM (SELECT doc_id, count(DISTINCT s) AS n FROM (SELECT doc_id, 1 AS s FROM predicted WHERE quality = 1 UNION ALL SELECT doc_id, 2 FROM gold WHERE quality = 1) GROUP BY 1)")
+_CLASS = "CASE {0} % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'personal' WHEN 2 THEN 'sensitive' ELSE 'highly_sensitive' END AS sensitivity"
+query("A40_sensitivity_recall", "claims orders", lambda c, o: R.sensitivity_recall(c.where("claim_id % 5 > 2").selectExpr("recording_id", _CLASS.format("person_id")), o.selectExpr("o_orderkey AS recording_id", _CLASS.format("o_custkey")), ["recording_id"]), "SELECT count(*) AS asked, count(*) FILTER (b >= r) AS met, count(*) FILTER (b < r) AS underclassified, count(*) FILTER (b >= r) / count(*) AS recall FROM (SELECT o_custkey % 4 AS r, b FROM orders LEFT JOIN (SELECT recording_id, max(person_id % 4) AS b FROM claims WHERE claim_id % 5 > 2 GROUP BY 1) ON recording_id = o_orderkey WHERE o_custkey % 4 > 0)")
+query("W2_pad_ranges", "jobs", lambda j: R.padded_ranges(j.select("job_id", (F.col("size_bytes") % 900000).alias("start_sample"), (F.col("size_bytes") % 900000 + F.col("duration_seconds") * 1000).alias("end_sample")), 16000, F.lit(1_000_000)), "SELECT job_id, s + l AS start_sample, e - (x - l) AS end_sample FROM (SELECT *, x // 2 AS l FROM (SELECT *, CASE WHEN e - s > 398400 THEN e - s - 398400 ELSE 0 END AS x FROM (SELECT job_id, greatest(0, size_bytes % 900000 - 7200) AS s, least(1000000, size_bytes % 900000 + duration_seconds * 1000 + 7200) AS e FROM jobs)))")
+
+
+def disagreeing(claims: DataFrame) -> DataFrame:
+    return claims.groupBy(F.col("recording_id").alias("key")).agg(F.sort_array(F.collect_list("claim_id")).alias("claim_ids"))
+
+
+query("W12_reopen_conflicts", "claims", lambda c: R.reopened_conflicts(disagreeing(c.where("recording_id % 5 > 0")), disagreeing(c.where("recording_id % 3 > 0 AND (recording_id % 4 > 0 OR claim_id % 10 > 1)")).select("key", "claim_ids", F.when(F.col("key") % 2 == 0, "resolved").otherwise("dismissed").alias("status"), F.when(F.col("key") % 2 == 0, F.col("claim_ids")[0] + F.when(F.col("key") % 8 == 2, 9).otherwise(0)).alias("preferred_claim_id"))).select("key", "status", "preferred_claim_id", "action", F.array_join(F.col("claim_ids").cast("array<string>"), ",").alias("claim_ids")), """SELECT key, CASE WHEN action = 'keep' THEN status ELSE 'open' END AS status, CASE WHEN action = 'keep' THEN p END AS preferred_claim_id, action, coalesce(array_to_string(n, ','), array_to_string(q, ',')) AS claim_ids
+FROM (SELECT *, CASE WHEN n IS NULL THEN 'keep' WHEN status IS NULL THEN 'insert' WHEN n <> q OR (status = 'resolved' AND NOT list_contains(n, p)) THEN 'auto_reopen' ELSE 'keep' END AS action FROM (SELECT recording_id AS key, list(claim_id ORDER BY claim_id) AS n FROM claims WHERE recording_id % 5 > 0 GROUP BY 1)
+FULL JOIN (SELECT recording_id AS key, list(claim_id ORDER BY claim_id) AS q, CASE WHEN recording_id % 2 = 0 THEN 'resolved' ELSE 'dismissed' END AS status, CASE WHEN recording_id % 2 = 0 THEN min(claim_id) + CASE WHEN recording_id % 8 = 2 THEN 9 ELSE 0 END END AS p FROM claims WHERE recording_id % 3 > 0 AND (recording_id % 4 > 0 OR claim_id % 10 > 1) GROUP BY 1) USING (key))""")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
