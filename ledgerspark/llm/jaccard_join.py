@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -333,7 +333,7 @@ def still_open(hubbed: DataFrame, owners: DataFrame, labels: DataFrame, percent:
     return big.join(mixed, "key").where("hub <> set_id").select("hub", "set_id").distinct()
 
 
-def open_links(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def open_links(held: DataFrame, labels: DataFrame, percent: int, promising: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) between sets that share a star and lie in different components.
 
     With x's difference from the hub D(x), two sets are |D(a)| + |D(b)| - 2 |D(a) & D(b)|
@@ -377,7 +377,9 @@ def open_links(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("a.component") != F.col("b.component")) & (2 * F.least("a.d", "b.d") + 1e-6 >= F.col("a.excess") + F.col("b.excess"))
     fits = fits & (F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * percent)
     near = a.join(b, same & once & fits).select(F.col("a.hub").alias("hub"), F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
-    near = near.distinct()
+    # Sketches first: differences are long, and few pairs need them.
+    near = promising(near.select(F.col("hub").alias("star"), F.col("a").alias("hub"), F.col("b").alias("set_id")).distinct())
+    near = near.select(F.col("star").alias("hub"), F.col("hub").alias("a"), F.col("set_id").alias("b"))
     left = held.select("hub", F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("apart").alias("apart_a"))
     right = held.select("hub", F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("apart").alias("apart_b"))
     pairs = near.join(left, ["hub", "a"]).join(right, ["hub", "b"])
@@ -438,7 +440,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         held = written(compared(rest, docs_of, rows, k, percent), "compared")
         edges = edges.union(links(held))
         labels = written(components(nodes, edges), "components")
-        more = written(open_links(held, labels, percent), "open")
+        more = written(open_links(held, labels, percent, promising), "open")
         if more.limit(1).count():
             labels = written(components(nodes, edges.union(more)), "components")
 
