@@ -79,6 +79,24 @@ def test_distance(spark):
     assert got[0] == pytest.approx(1) and got[1] == pytest.approx(0) and got[2] is None
 
 
+def test_quality_rejects_wrong_language_and_lists(spark):
+    """Labelled clean rows of their own language are kept; the same texts under another
+    language, and lists of uncommon words, are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    clean = docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    long = [r for r in clean.collect() if len(r.text.split()) >= 200]
+    other = {"en": "fr", "fr": "de", "de": "es", "es": "en"}
+    wrong = [(10**6 + i, r.text, other[r.lang]) for i, r in enumerate(long[:20])]
+    listed = [(2 * 10**6 + i, " | ".join(w for w in r.text.split() if w.strip(".,").lower().encode() not in quality._COMMON_AT), r.lang) for i, r in enumerate(long[:20])]
+    added = spark.createDataFrame(wrong + listed, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.quality for r in quality.judge(docs.unionByName(added)).collect()}
+    assert len(long) > 50 and all(got[r.doc_id].kept for r in long)
+    for i, *_ in wrong:
+        assert not got[i].base_failed and got[i].word_distance > quality.MOST_WORD and not got[i].kept
+    for i, *_ in listed:
+        assert got[i].share_distance > quality.MOST_SHARE and not got[i].kept
+
+
 def plain_sets(rows, k):
     out = {}
     for i, t in rows:
