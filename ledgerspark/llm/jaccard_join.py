@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.common import written
+from ledgerspark.llm.common import with_text_struct, written
 
 #: Growth of a band's sizes, and classes compared with one copy of a hub.
 BAND, STAR_ROWS = 1.45, 500
@@ -191,6 +191,7 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
 
 
 IDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType(), False), T.StructField("set_id", T.LongType(), False), T.StructField("sketch", T.ArrayType(T.LongType(), False), False)])
+SET = T.StructType([T.StructField("size", T.LongType(), False), T.StructField("set_id", T.LongType(), False)])
 KEYS = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("set_id", T.LongType(), False)])
 COMPARED = T.StructType(
     [
@@ -246,18 +247,47 @@ def keys_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, KEYS)
 
 
-def compared(stars: DataFrame, owners: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+def with_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
+    """docs with a struct column _set: the size and number of each text's set."""
+
+    def make():
+        words = Words()
+
+        def one(text: str | None) -> tuple:
+            tokens = shingles(text, words, k)
+            return len(tokens), set_id(tokens)
+
+        return one
+
+    return with_text_struct(docs, text_col, "_set", SET, make)
+
+
+def nameless_texts(rows: DataFrame, owners: DataFrame, k: int) -> DataFrame | None:
+    """(set_id, text) of the sets that occur under null ids only, one text each; None
+    if there are none. Only texts without an id are read for it."""
+    lost = owners.where("doc_id IS NULL").select("set_id")
+    if not lost.limit(1).count():
+        return None
+    mine = with_sets(rows.where("doc_id IS NULL"), "text", k).select(F.col("_set.set_id").alias("set_id"), "text")
+    return written(mine.join(lost, "set_id", "left_semi").groupBy("set_id").agg(F.min("text").alias("text")), "nameless")
+
+
+def compared(stars: DataFrame, owners: DataFrame, rows: DataFrame, nameless: DataFrame | None, k: int, percent: int) -> DataFrame:
     """Holds each set of a star against its hub, and says what sets them apart.
 
     stars: distinct (hub, set_id), no set its own hub; owners: set_id, doc_id of a
-    document that has it; rows: doc_id, text. A large star is split and its hub
+    document that has it; rows: doc_id, text; nameless: set_id, text of the sets that
+    no document with an id has. A large star is split and its hub
     copied to each part, so no task gets a whole star; a task holds one set at a
     time. Texts, not sets, are dealt out: they are smaller."""
     parts = stars.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).alias("parts"))
     members = stars.join(parts, "hub").select("hub", F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("part"), "set_id")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("set_id"))
-    both = members.unionByName(hubs).join(owners, "set_id").join(rows, "doc_id")
-    dealt = both.select("hub", "part", (F.col("set_id") != F.col("hub")).alias("member"), "set_id", "text")
+    both = members.unionByName(hubs)
+    texts = both.join(owners, "set_id").join(rows, "doc_id").select("hub", "part", "set_id", "text")
+    if nameless is not None:
+        texts = texts.unionByName(both.join(nameless, "set_id").select("hub", "part", "set_id", "text"))
+    dealt = texts.select("hub", "part", (F.col("set_id") != F.col("hub")).alias("member"), "set_id", "text")
     dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "member", "set_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,6 +439,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     )
     owners = written(owners, "owners")
     docs_of = owners.select("set_id", "doc_id")
+    nameless = nameless_texts(rows, owners, k)
 
     def promising(pairs: DataFrame) -> DataFrame:
         """Pairs (hub, set_id) that sizes and sketches leave possible."""
@@ -423,7 +454,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # First each set against the hub it shares most keys with.
     stars = promising(hubbed.where("hub <> set_id").groupBy("hub", "set_id").agg(F.count("*").alias("keys")))
     nearest = stars.groupBy("set_id").agg(F.max_by("hub", F.struct("keys", "hub")).alias("hub")).select("hub", "set_id")
-    edges = written(links(compared(nearest, docs_of, rows, k, percent)), "links")
+    edges = written(links(compared(nearest, docs_of, rows, nameless, k, percent)), "links")
     labels = written(components(nodes, edges), "components")
 
     # Then the pairs of keys of few sets that lie in different components.
@@ -431,13 +462,13 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     x, y = few.alias("a"), few.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component"))
     pairs = promising(x.join(y, apart).select(F.col("a.set_id").alias("hub"), F.col("b.set_id").alias("set_id")).distinct())
-    edges = edges.union(written(links(compared(written(pairs, "pairs"), docs_of, rows, k, percent)), "links"))
+    edges = edges.union(written(links(compared(written(pairs, "pairs"), docs_of, rows, nameless, k, percent)), "links"))
     labels = written(components(nodes, edges), "components")
 
     # Then the stars of keys of many that can still hide a link.
     rest = written(still_open(hubbed, owners, labels, percent), "rest")
     if rest.limit(1).count():
-        held = written(compared(rest, docs_of, rows, k, percent), "compared")
+        held = written(compared(rest, docs_of, rows, nameless, k, percent), "compared")
         edges = edges.union(links(held))
         labels = written(components(nodes, edges), "components")
         more = written(open_links(held, labels, percent, promising), "open")

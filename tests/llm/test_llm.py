@@ -157,6 +157,26 @@ def test_jaccard_odd(spark):
     assert jaccard_join.near_duplicate_components(odd_docs(spark).limit(0)).count() == 0
 
 
+def edited(family: str, *places: int) -> str:
+    """100 words; with k = 3 and 90 percent, one edit is a link and two far apart aren't."""
+    return " ".join(f"{family}x{i}" if i in places else f"{family}{i}" for i in range(100))
+
+
+@pytest.mark.parametrize("few", [2, 16])
+def test_jaccard_null_ids(spark, monkeypatch, few):
+    """A row without an id as hub, as member, as bridge, and among its like only."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rows = [(None, edited("hub"))] + [(10 + i, edited("hub", 8 + 12 * i)) for i in range(7)]
+    rows += [(30, edited("member"))] + [(31 + i, edited("member", 8 + 12 * i)) for i in range(3)] + [(None, edited("member", 60))]
+    rows += [(7, edited("bridge", 20)), (None, edited("bridge")), (9, edited("bridge", 70))]
+    rows += [(None, edited("own")), (None, edited("own", 50)), (None, edited("own", 50))]
+    got = jaccard_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    assert by == {**{10 + i: 10 for i in range(7)}, **{30 + i: 30 for i in range(4)}, 7: 7, 9: 7}
+    assert sorted(r.component_id or 0 for r in got if r.doc_id is None) == [0, 0, 0, 7, 10, 30]
+
+
 def test_sketches_never_rule_out_a_link(spark):
     rng, rows = np.random.default_rng(5), []
     for size in (3, 60, 500, 530, 1020, 4000, 4090):
