@@ -17,11 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id. Rows
-    that repeat a doc_id stay only if they are of different groups."""
-    found = jaccard_join.near_duplicate_components(docs, k=5, percent=80)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near copies: that of the smallest doc_id, null last.
+    Rows that repeat a doc_id stay only if they are of different groups."""
+    return jaccard_join.one_of_each(docs, k=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

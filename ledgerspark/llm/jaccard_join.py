@@ -418,9 +418,9 @@ def open_links(held: DataFrame, labels: DataFrame, percent: int, promising: Call
     return pairs.where(100 * both >= percent * (F.col("size_a") + F.col("size_b") - both)).select("a", "b").distinct()
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest
-    doc_id reachable over links."""
+def classed_rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, n_shingles, set_id and component, a number of
+    its group; null for an empty set."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = written(sets_of(rows, k), "sets")
     full = ids.where("n_shingles > 0")
@@ -477,6 +477,40 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     classed = ids.drop("sketch").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     group = F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id"))
-    classed = classed.withColumn("component", group)
+    return classed.withColumn("component", group)
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id, the smallest
+    doc_id reachable over links."""
+    classed = classed_rows(docs, id_col, text_col, k, percent)
     smallest = classed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return classed.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """One row of docs of each component, and every row of an empty set.
+
+    The row kept is that of the smallest doc_id, null last; of one doc_id, that of the
+    smallest set number, then of the least values. A doc_id that occurs once names
+    its row; other rows are told apart by their sets, which are made again for them
+    alone."""
+    found = written(classed_rows(docs, id_col, text_col, k, percent).select("doc_id", "set_id", "component"), "classed")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "set_id")).alias("first"))
+    first = written(first.select("first.doc_id", "first.set_id"), "first")
+    again = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    named = first.select("doc_id").union(found.where("component IS NULL").select("doc_id")).where("doc_id IS NOT NULL").join(again, "doc_id", "left_anti")
+    mine = F.col(f"`{id_col}`").cast("long")
+    of = lambda ids: docs.join(ids.select(F.col("doc_id").alias("_of")), mine == F.col("_of"), "left_semi")
+    once = of(named)
+    odd = [of(again)] if again.limit(1).count() else []
+    odd += [docs.where(F.col(f"`{id_col}`").isNull())] if found.where("doc_id IS NULL").limit(1).count() else []
+    for part in odd:
+        rows = with_sets(part, text_col, k)
+        same = mine.eqNullSafe(F.col("_of")) & (F.col("_set.set_id") == F.col("_of_set"))
+        kept = rows.where("_set.size > 0").join(first.select(F.col("doc_id").alias("_of"), F.col("set_id").alias("_of_set")), same, "left_semi")
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        order = [F.col(f"`{text_col}`"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]]
+        kept = kept.groupBy(F.col(f"`{id_col}`").alias("_id"), "_set.set_id").agg(F.min(F.struct(*order)).alias("_row")).select("_row.*").select(*columns)
+        once = once.unionByName(kept).unionByName(rows.where("_set.size = 0").select(*columns))
+    return once

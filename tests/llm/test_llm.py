@@ -418,6 +418,22 @@ def test_sample_pages(spark):
         assert html_text.main_text(r.html) == "\n".join(b for b in blocks if b)
 
 
+def test_pipeline_null_and_repeated_ids(spark):
+    """One row of each group stays, also where doc_ids are null or repeated."""
+    import corpus_pipeline
+
+    a, b, c, d, e, f = ([edited(x), edited(x, 50)] for x in "abcdef")
+    rows = [(None, a[0]), (None, b[0]), (None, b[1]), (None, b[1]), (None, ""), (1, c[0]), (1, c[0]), (1, c[0])]
+    rows += [(2, d[0]), (3, d[1]), (3, e[0]), (4, e[1]), (4, e[1]), (5, f[0]), (None, f[1]), (6, ""), (6, ""), (7, None), (8, c[1])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)], DOCS)
+    left = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "", r.n_chars) for r in left.collect())
+    fixed = [(0, a[0], 0), (0, "", 4), (1, c[0], 5), (2, d[0], 8), (3, e[0], 10), (5, f[0], 13), (6, "", 15), (6, "", 16), (7, "", 17)]
+    of_b = [x for x in got if x[0] == 0 and x[1] in b]
+    assert len(of_b) == 1 and sorted(x for x in got if x not in of_b) == sorted(fixed)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
