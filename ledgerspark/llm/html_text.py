@@ -46,7 +46,8 @@ MARKS = re.compile(
     re.I,
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: One attribute after the other from the start of the tag: its whole name and its value.
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+)))?""")
 #: An element that a start tag of the same kind closes.
 _SIBLING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
@@ -54,7 +55,11 @@ RESULT = T.StructType([T.StructField("text", T.StringType(), False), T.StructFie
 
 
 def is_marked(attributes: str) -> bool:
+    seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in seen:  # the first of a name counts
+            continue
+        seen.add(m[1].lower())
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES):
             return True

@@ -408,6 +408,19 @@ def test_html(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", [
+    'div style="overflow:hidden"', "div title='The hidden valley'", 'div data-hidden="0"', 'div data-id="search"', 'div data-class=menu', 'div title="class=menu id=ad"',
+    'div data-role="navigation"', "div title=hidden", 'div style="a" title="x" data-aria-hidden=true', 'div class="story" class="menu"',
+])
+def test_html_other_attributes(tag):
+    assert html_text.main_text(f"<article><{tag}>Text of the article.</div><p>More.</article>") == "Text of the article.\nMore."
+
+
+@pytest.mark.parametrize("tag", ["div hidden", "div HIDDEN=hidden", 'div title="x"hidden', 'div data-id=1 id="search"', "div class = menu", "div role='navigation'", "div aria-hidden=true"])
+def test_html_marking_attributes(tag):
+    assert html_text.main_text(f"<article><{tag}>Not text.</div><p>More.</article>") == "More."
+
+
 def test_sample_pages(spark):
     """The generator's articles come back whole: headings and paragraphs in order."""
     import html as H
