@@ -2,13 +2,15 @@
 
 Markup is stripped to lines, one for each block element; what belongs to menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
-keeps its lines but loses its text. The text lengths are summed over sliding
-windows of lines. Text begins where the sum surges and ends where it dives to
-nothing; all lines between are kept, whole.
+keeps its lines but loses its text. Tags without text between them make no line. The
+text lengths are summed over sliding windows of lines. Text begins where the sum
+surges and ends where it dives to nothing, which takes a window of lines that aren't
+text. All text between the first surge and the last dive is kept, whole.
 
-Where the page marks its article, the lines are the article's and any text makes a
-surge; elsewhere a surge needs a window of SURGE characters, and lines that are
-mostly links count as empty.
+Where the page marks its article, the article is taken by its tags: its lines are the
+text, and any of them makes a surge. Elsewhere a surge needs a window of SURGE
+characters. There, lines that are mostly links count as empty unless they have SURGE
+other characters; between lines of a surge they are kept.
 
 Null pages count as empty: an empty text. Unclosed and crossing tags are allowed.
 Repeated rows give repeated results."""
@@ -131,22 +133,26 @@ def lines(page: str) -> Iterator[tuple[str, bool, bool, float]]:
 
 def main_text(page: str | None) -> str:
     """The text between surge and dive points, one line per block."""
-    found = list(lines(page or ""))
-    marked = any(t and a and not out for t, out, a, _ in found)
-    texts = [t if not out and (a if marked else share < 0.5) else "" for t, out, a, share in found]
-    surge = 1 if marked else min(SURGE, max(map(len, texts), default=1) or 1)
-    sizes = [len(t) for t in texts]
+    found = [line for line in lines(page or "") if line[0]]
+    marked = any(a and not out for _, out, a, _ in found)
+    texts = [t if not out and (a or not marked) else "" for t, out, a, _ in found]
+    sizes = [len(t) if marked or share < 0.5 or (1 - share) * len(t) >= SURGE else 0 for t, (*_, share) in zip(texts, found)]
+    surge = 1 if marked else min(SURGE, max(sizes, default=1) or 1)
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    kept: list[str] = []
-    inside = False
+    kept: set[int] = set()
+    inside = begun = False
     for i, total in enumerate(sums):
         if not inside and total >= surge:
-            inside = True
+            inside, begun = True, False
         if inside and total == 0:
             inside = False
-        if inside and texts[i]:
-            kept.append(texts[i])
-    return "\n".join(kept)
+        begun = begun or sizes[i] > 0
+        if inside and begun and texts[i]:
+            kept.add(i)
+    if not kept:
+        return ""
+    first, last = min(kept), max(kept)
+    return "\n".join(texts[i] for i in range(first, last + 1) if i in kept or sizes[i])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", out: str = "main") -> DataFrame:

@@ -408,6 +408,24 @@ def test_html(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_html_without_article():
+    """Without article or main, empty tags are no dive, and short blocks and paragraphs
+    of links between kept ones stay; menus and lists of links don't."""
+    long = ("Sentence of the story that goes on for a while, longer than a menu. " * 3).strip()
+    wrap = lambda *blocks: "".join(f"<div><div><section><p>{b}</p></section></div></div><div></div><div></div>" for b in blocks)
+    text = lambda page: html_text.main_text(page).split("\n")
+    assert text(f"<div><p>{long}</p></div><div><h2>Short heading</h2></div><div><p>{long}</p></div>") == [long, "Short heading", long]
+    assert text(wrap("Title", long, "Short.", "Also short.", long, "End.")) == ["Title", long, "Short.", "Also short.", long, "End."]
+    links = "See <a href=x>the whole of the other story</a> too."
+    assert text(wrap(long, links, long)) == [long, "See the whole of the other story too.", long]
+    rich = f"<a href=x>{long}</a> {long[:120]}"
+    assert text(wrap(long, rich)) == [long, f"{long} {long[:120]}"]
+    ads = "<div class=ad><p>Buy</p><p>this</p><p>now</p></div>"
+    menu = "".join(f"<li><a href={i}>Link {i} here</a>" for i in range(5))
+    assert text(wrap(long) + ads + wrap("Short.") + ads + wrap(long)) == [long, "Short.", long]
+    assert text(f"<ul>{menu}</ul>" + wrap(long) + f"<ul>{menu}</ul>" + wrap(long) + f"<ul>{menu}</ul>") == [long, long]
+
+
 @pytest.mark.parametrize("tag", [
     'div style="overflow:hidden"', "div title='The hidden valley'", 'div data-hidden="0"', 'div data-id="search"', 'div data-class=menu', 'div title="class=menu id=ad"',
     'div data-role="navigation"', "div title=hidden", 'div style="a" title="x" data-aria-hidden=true', 'div class="story" class="menu"',
