@@ -214,11 +214,13 @@ def conflict_evidence(conflicts: DataFrame, claims: DataFrame, evidence: DataFra
     return quotes.groupBy("conflict_id", "claim_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("evidence_id", "text"))), lambda e: e.text).alias("quotes"))
 
 
-def gazetteer_mentions(docs: DataFrame, names: DataFrame, most_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def gazetteer_mentions(docs: DataFrame, names: DataFrame, most_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Names found in texts, the longest first and none inside another.
 
-    Texts are word n-grams up to ``most_words``, joined to names by equality. A hit
-    falls out if a longer hit (or an equal one further left) overlaps it."""
+    Texts are word n-grams of the lengths that names have (up to ``most_words``, if
+    given), joined to names by equality. Hits are taken longest first, those of one
+    length from the left; a hit falls out if one already taken overlaps it. That is
+    decided in each island, a run of hits of a text that overlap one another."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
     none = F.array().cast("array<struct<pos:int,n:int,name:string>>")
 
@@ -226,15 +228,24 @@ def gazetteer_mentions(docs: DataFrame, names: DataFrame, most_words: int = 4, i
         each = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice(w, i, n), " ").alias("name")))
         return F.when(F.size(w) >= n, each).otherwise(none)
 
-    grams = bound(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: of_length(w, n))))
-    hits = docs.select(F.col(id_col).alias("doc_id"), F.explode(grams).alias("g")).select("doc_id", "g.*").join(names.select(F.lower("name").alias("name")).distinct(), "name")
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-most_words * most_words, most_words * most_words)
-    near = F.collect_list(F.struct("pos", "n")).over(order)
-    beaten = F.exists(
-        "near",
-        lambda o: (o.pos < F.col("pos") + F.col("n")) & (F.col("pos") < o.pos + o.n) & ((o.n > F.col("n")) | ((o.n == F.col("n")) & (o.pos < F.col("pos")))),
-    )
-    return hits.withColumn("near", near).where(~beaten).select("doc_id", "pos", "n", "name")
+    named = names.where("name IS NOT NULL").select(F.lower("name").alias("name")).distinct()
+    length = F.size(F.split("name", " "))
+    lengths = named.where(F.lit(True) if most_words is None else length <= most_words).agg(F.collect_set(length).alias("lengths"))
+    grams = bound(words, lambda w: F.flatten(F.transform("lengths", lambda n: of_length(w, n))))
+    each = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text_col)).crossJoin(F.broadcast(lengths))
+    hits = each.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.*").join(named, "name")
+    order = Window.partitionBy("doc_id").orderBy("pos", "n")
+    reached = F.max(F.col("pos") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("starts", F.coalesce(F.col("pos") >= reached, F.lit(True)).cast("int"))
+    hits = hits.withColumn("island", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = hits.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "pos", "n", "name"))).alias("hits"))
+
+    def beaten(h: Column, o: Column) -> Column:
+        return (o.pos < h.pos + h.n) & (h.pos < o.pos + o.n) & ((o.pos != h.pos) | (o.n != h.n))  # a repeated row's own hits stay
+
+    first = F.slice("hits", 1, 0)
+    kept = F.aggregate("hits", first, lambda taken, h: F.when(F.exists(taken, lambda o: beaten(h, o)), taken).otherwise(F.concat(taken, F.array(h))))
+    return islands.select("doc_id", F.explode(kept).alias("h")).select("doc_id", "h.pos", "h.n", "h.name")
 
 
 def search_archive(people: DataFrame, stories: DataFrame, query: str, person_id=None, year: int | None = None) -> DataFrame:

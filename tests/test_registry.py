@@ -1,5 +1,7 @@
 """Every registered query against its SQL, and operators on small literal tables."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +43,26 @@ def test_gazetteer_longest_first(spark):
     assert got == [(1, 2, 2, "anna maria"), (1, 6, 1, "maria"), (1, 7, 1, "anna")]
 
 
+def test_gazetteer_chains(spark):
+    """Chains of overlapping hits, against taking them greedily one by one."""
+    r = random.Random(5)
+    names = ["a b", "b c", "c d", "d e a", "e", "a a", "b b b", "a b c d e a b", "c c c c c"]
+    texts = ["a b c d", "a b c d e a b", "a b " * 20, "a " * 31, "b " * 17, "c " * 14, "d e a b c d"] + [" ".join(r.choice("abcde") for _ in range(r.randrange(1, 60))) for _ in range(60)]
+
+    def greedy(text):
+        w, taken = text.split(), []
+        found = [(i, len(x.split()), x) for x in names for i in range(len(w)) if w[i : i + len(x.split())] == x.split()]
+        for i, n, x in sorted(found, key=lambda h: (-h[1], h[0])):
+            if all(i + n <= j or j + m <= i for j, m, _ in taken):
+                taken.append((i, n, x))
+        return [(i + 1, n, x) for i, n, x in taken]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(x) for x in J.gazetteer_mentions(docs, spark.createDataFrame([(x,) for x in [*names, None]], "name string")).collect())
+    assert got == sorted((i, *h) for i, t in enumerate(texts) for h in greedy(t))
+    assert (0, 1, 2, "a b") in got and (0, 3, 2, "c d") in got and (1, 1, 7, "a b c d e a b") in got
+
+
 def test_antecedents(spark):
     a = spark.createDataFrame([(1, 2, 50, 100, 100, "x", None), (1, 3, 5, 300, 200, "y", None), (1, 4, 0, 10, 10, "z", None)], "doc_id long, unit int, pos int, unit_chars int, prev_chars int, anaphor_id string, quote string")
     m = spark.createDataFrame([(1, 2, 10, "m1", None), (1, 2, 60, "m2", None), (1, 3, 1, "m3", None), (1, 3, 2, "m4", None)], "doc_id long, unit int, pos int, mention_id string, quote string")
