@@ -95,6 +95,8 @@ def grouped_refs(claims: DataFrame) -> DataFrame:
 query("J7_dangling_refs", "claims people", lambda c, p: J.dangling_refs(grouped_refs(c), "recording_id", "person_ids", p.where("person_id % 3 > 0"), "person_id").select("recording_id", F.array_join("missing", ",").alias("missing")), "SELECT recording_id, string_agg(o::VARCHAR, ',' ORDER BY o) AS missing FROM (SELECT DISTINCT recording_id, object_person_id AS o FROM claims WHERE object_person_id IS NOT NULL AND object_person_id NOT IN (SELECT person_id FROM people WHERE person_id % 3 > 0)) GROUP BY 1")
 query("J8_contained_conflicts", "claims claims", lambda c, k: J.contained_conflicts(c.groupBy(F.col("recording_id").alias("conflict_id")).agg(F.collect_list("claim_id").alias("claim_ids"), F.min("claim_id").alias("preferred_claim_id")), k.where("evidence_class <> 'U'")).select("conflict_id", "preferred_claim_id"), "SELECT recording_id AS conflict_id, min(claim_id) AS preferred_claim_id FROM claims GROUP BY 1 HAVING bool_and(claim_id IN (SELECT claim_id FROM claims WHERE evidence_class <> 'U'))")
 query("J11_shared_parent_siblings", "claims", lambda c: J.shared_parent_siblings(c.where("object_person_id IS NOT NULL AND recording_id % 10 = claim_id % 10")), "SELECT DISTINCT * FROM (WITH e AS (SELECT * FROM claims WHERE object_person_id IS NOT NULL AND recording_id % 10 = claim_id % 10), k AS (SELECT DISTINCT subject_person_id AS p, object_person_id AS c FROM e WHERE relationship_type = 'parent_child') SELECT subject_person_id AS person_id, object_person_id AS sibling_id FROM e WHERE relationship_type = 'sibling' UNION ALL SELECT object_person_id, subject_person_id FROM e WHERE relationship_type = 'sibling' UNION ALL SELECT a.c, b.c FROM k a JOIN k b ON a.p = b.p) WHERE person_id <> sibling_id")
+# J11 and its SQL look at a tenth of the claims; this one looks at all of them. No SQL: tests use brute force.
+query("J11_all_shared_parent_siblings", "claims", lambda c: J.shared_parent_siblings(c.where("object_person_id IS NOT NULL")))
 _J12 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{Nd}\p{Pc}]+') AS w FROM documents),
 x AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM w WHERE len(w) >= 8)),
 p AS (SELECT a.doc_id AS earlier, b.doc_id AS later, count(*) / (a.n + b.n - count(*)) AS similarity FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),

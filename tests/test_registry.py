@@ -63,6 +63,22 @@ def test_gazetteer_chains(spark):
     assert (0, 1, 2, "a b") in got and (0, 3, 2, "c d") in got and (1, 1, 7, "a b c d e a b") in got
 
 
+def test_siblings_of_all_claims(spark):
+    """Every claim counts, whatever its number."""
+    claims = registry.view(spark, SF, "claims").where("object_person_id IS NOT NULL").collect()
+    children, want = {}, set()
+    for c in claims:
+        if c.relationship_type == "sibling":
+            want |= {(c.subject_person_id, c.object_person_id), (c.object_person_id, c.subject_person_id)}
+        elif c.relationship_type == "parent_child":
+            children.setdefault(c.subject_person_id, set()).add(c.object_person_id)
+    want |= {(a, b) for x in children.values() for a in x for b in x}
+    got = [tuple(x) for x in registry.queries()["J11_all_shared_parent_siblings"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if a != b}
+    part = {tuple(x) for x in registry.queries()["J11_shared_parent_siblings"](spark, SF).collect()}
+    assert part < set(got)
+
+
 def test_antecedents(spark):
     a = spark.createDataFrame([(1, 2, 50, 100, 100, "x", None), (1, 3, 5, 300, 200, "y", None), (1, 4, 0, 10, 10, "z", None)], "doc_id long, unit int, pos int, unit_chars int, prev_chars int, anaphor_id string, quote string")
     m = spark.createDataFrame([(1, 2, 10, "m1", None), (1, 2, 60, "m2", None), (1, 3, 1, "m3", None), (1, 3, 2, "m4", None)], "doc_id long, unit int, pos int, mention_id string, quote string")
