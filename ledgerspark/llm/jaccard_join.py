@@ -1,50 +1,63 @@
 """N-gram Jaccard join by universe partition and pigeonhole.
 
 A document's set is its distinct word shingles. Two sets link when
-100 * |intersection| >= threshold * |union|, which bounds their symmetric
-difference by H. Sets are handled in bands of sizes. In each band the universe of
-shingles is hashed into segments. A segment is worth 0 (not used), 1 (equal
-segments) or 2 (segments at most one shingle apart: equal, or one is in the other's
-one-deletion neighbourhood). If the worths add up to H + 1, sets that link must
-match in some segment by its worth, whatever differs. The allocation is the
-cheapest for the band: an equal-segment key costs a row, a neighbourhood costs a
-row a shingle. Candidates are verified on their whole shingle sets.
-
-Near copies come in groups, so matches are never expanded into pairs: equal sets
-are one class, the classes of a key are held against the key's hub (the class with
-the most matches), and links give components. Classes that share a hub and yet lie
-in different components are then compared across components, through what each
-differs from the hub by, until no such pair is open. No link between
-components is lost; links inside one need not be listed.
-
-Null, empty and blank texts have an empty set and link with nothing: their
-component is their own doc_id. Repeated rows are repeated members of a class; each
-row of a doc_id that occurs with several texts is judged by its own text. A null
-doc_id is never the smallest. Words are split at ASCII white space and A-Z are
-folded."""
+100 * |intersection| >= percent * |union|, which bounds their symmetric difference.
+Sets are handled in bands of sizes. In each band the universe of shingles is hashed
+into segments, in a fixed order. A segment is worth 1 (looked up as a whole) or 2
+(looked up with its one-deletion neighbourhood, which finds segments at most one
+shingle apart); the band takes what costs less, rows and chance matches together. A
+set indexes its first segments only, until their worths exceed the most that any
+partner of its size can differ by; empty segments count nothing. Of two sets that
+link, the one that stops first can't have lost all of its segments to differences, so
+both hold a common key. Candidates are verified on their whole shingle sets.
+
+Near copies come in groups, so matches are never expanded into pairs. Equal sets are
+one class. Every class of a key is held against the key's hub, the class with the most
+matched keys, and links give components. Keys that still hold several components are
+then compared across components inside cells: a hub's classes are dealt into cells of
+bounded size, parities of shingles rule out pairs there, and a cell returns at most as
+many links as it has sets. No link between components is lost; links inside one need
+not be listed.
+
+Null, empty and blank texts have an empty set and link with nothing: their component
+is their own doc_id. Repeated rows are repeated members of a class; each row of a
+doc_id that occurs with several texts is judged by its own text, and rows with a null
+doc_id like all others; null is never the smallest. Ties don't occur: the smallest id
+is unique. An empty table gives no rows. Very long texts are processed whole, one at a
+time. Only the id and text columns are read, whatever else the table holds. Words are
+split at ASCII white space and A-Z are folded. A set is known by a 128-bit digest of
+its sorted 64-bit shingle hashes."""
 
 from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.common import with_text_struct, written
-
-#: Growth of a band's sizes, and classes compared with one copy of a hub.
-BAND, STAR_ROWS = 1.45, 500
-#: A power of two above every band's number.
-BANDS = 64
-#: Classes of a key up to which its pairs are looked at directly.
-FEW = 16
+from ledgerspark.llm.common import SLICE_ROWS, written
+
+#: Growth of a band's sizes; a power of two above every band's number.
+BAND, BANDS = 1.7, 64
+#: Segments beyond those that the worths need, as a share; they make up for empty ones.
+SPARE = 1.06
+#: Sets expected to share one given shingle of a segment, and the share of these that
+#: have one more given shingle of it: the cost of chance matches.
+SHARING, MORE = 100.0, 0.2
+#: Sets and shingles of a cell on average, at most.
+FEW, CELL_SHINGLES = 500, 250_000
 #: Least bits of a set's sketch.
 SKETCH_BITS = 512
+#: Rows of at most 64 bytes up to which a list of sets or rows is broadcast; a longer
+#: one is joined by shuffles.
+BROADCAST_ROWS = 500_000
+#: Bytes of a word, and numbers of words, that a task remembers.
+WORD_BYTES, WORDS = 64, 500_000
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -59,22 +72,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Numbers of words, the same in every process; remembers them in bounds."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = WORDS) -> None:
         import xxhash
 
         self.of, self.most, self.known = xxhash.xxh3_64_intdigest, most, {}
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        known, of = self.known, self.of
+        known = self.known
         if len(known) > self.most:
             known.clear()
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = of(w)
-            return np.array([known[w] for w in words], np.uint64)
+        found = list(map(known.get, words))
+        if None in found:
+            for i, (w, n) in enumerate(zip(words, found)):
+                if n is None:
+                    found[i] = n = self.of(w)
+                    if len(w) <= WORD_BYTES:
+                        known[w] = n
+        return np.array(found, np.uint64)
 
 
 def shingles(text: str | None, words: Words, k: int) -> np.ndarray:
@@ -84,16 +98,21 @@ def shingles(text: str | None, words: Words, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     w = words.numbers(found)
     width = min(k, len(w))
-    h = np.full(len(w) - width + 1, np.uint64(width))
+    n = len(w) - width + 1
+    h, factor = np.full(n, np.uint64(width)), 1
     for i in range(width):
-        h = mix(h * _C[0] + w[i : i + len(h)] + np.uint64(i + 1))
-    return np.unique(h)
+        factor = factor * int(_C[0]) & 0xFFFFFFFFFFFFFFFF
+        h += w[i : i + n] * np.uint64(factor)
+    h = mix(h)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
 
+def set_id(tokens: np.ndarray) -> bytes:
+    """A digest of a set; equal sets have equal ones."""
+    import xxhash
 
-def set_id(tokens: np.ndarray) -> int:
-    """A number for a set; equal sets have equal numbers."""
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(tokens ^ _C[3]).sum(dtype=np.uint64) + np.uint64(len(tokens)) * _C[0]]))[0].view(np.int64))
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -120,6 +139,11 @@ def may_link(size_a, size_b, sketch_a, sketch_b, percent: int):
     return sizes & F.when(most > 2 * n, F.lit(True)).otherwise(differ * (100 + percent) <= (100 - percent) * (size_a + size_b))
 
 
+def differ(a: int, b: int, percent: int) -> int:
+    """The greatest symmetric difference of sets of these sizes that link."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
 def band_of(size: int) -> int:
     return int(math.log(size) / math.log(BAND) + 1e-9)
 
@@ -133,190 +157,238 @@ def band_limits(band: int) -> tuple[int, int]:
 
 
 @functools.cache
-def allocation(band: int, percent: int) -> tuple[tuple[int, ...], int]:
-    """Worths of the band's segments and the largest partner's size.
-
-    Sets of the band link with sets of up to high / t shingles; their symmetric
-    difference is at most (1 - t) / (1 + t) of both sizes together. For each number
-    of segments the cheapest worths are found: cost is a row for each key, plus what
-    chance matches would cost. Those are mostly of segments that are empty in both
-    sets, which takes few shingles a segment. So worth 1 suits large sets, and worth
-    2 the small ones, whose segments would else be next to empty."""
+def allocation(band: int, percent: int) -> tuple[int, int, int]:
+    """Worth of the band's segments, their number, and the largest partner's size.
+
+    All worths together exceed the difference of any two sets that link and of which
+    the smaller is in the band. Cost is, for a set in the middle, a row for each key,
+    and for each key the sets that chance has under it; a key of a deletion
+    neighbourhood has one shingle less. So worth 2, with twice the shingles a segment
+    and as many more rows, suits bands of small sets or high thresholds."""
     low, high = band_limits(band)
     partner = high * 100 // percent
-    need = (100 - percent) * (high + partner) // (100 + percent) + 1
-    best: tuple[float, tuple[int, ...]] | None = None
-    for twos in range(need // 2 + 1):
-        ones = need - 2 * twos
-        m = ones + twos
-        each = (low + high) / 2 / m
-        chance = 1e3 * math.exp(-2 * each)
-        cost = ones * (1 + chance) + twos * (1 + each + chance * (1 + each))
+    most, middle = differ(high, partner, percent) + 1, (low + high) // 2
+    need = differ(middle, middle * 100 // percent, percent) + 1
+    best: tuple[float, int, int] | None = None
+    for worth in (1, 2):
+        segments = math.ceil(most / worth * SPARE)
+        each = middle / segments
+        rows = need / worth * (1 + each * (worth - 1))
+        cost = rows * (1 + SHARING * MORE ** (each - worth + 1))
         if best is None or cost < best[0]:
-            best = cost, (2,) * twos + (1,) * ones
-    return best[1], partner
+            best = cost, worth, segments
+    return best[1], best[2], partner
 
 
 def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a set: in its own band, and in each lower band whose sets it may
     link with. A key names band (its low bits), segment and the segment's shingles (or
-    all but one)."""
+    all but one).
+
+    A set whose segments hold too few worths, as too many are empty, takes all of
+    them, empty ones too: two such sets can match in those only."""
     size = len(tokens)
     if not size:
         return np.empty(0, np.uint64)
-    out = []
-    own = band_of(size)
+    out, own, hashed = [], band_of(size), mix(tokens ^ _C[2])
     for band in range(own, -1, -1):
         low, high = band_limits(band)
         if high < low:
             continue
-        worths, partner = allocation(band, percent)
+        worth, segments, partner = allocation(band, percent)
         if size > partner:
             break
-        m = len(worths)
-        place = (mix(tokens + mix(np.array([band + 1], np.uint64))) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        hashed, place = mix(tokens[order] ^ _C[2]), place[order]
-        total = np.zeros(m, np.uint64)
+        need = differ(size, size * 100 // percent if band == own else high, percent) + 1
+        place = (mix(tokens + mix(np.array([band + 1], np.uint64))) % np.uint64(segments)).astype(np.int64)
+        count = np.bincount(place, minlength=segments)
+        total = np.zeros(segments, np.uint64)
         np.add.at(total, place, hashed)
-        salt = mix(np.arange(m, dtype=np.uint64) + mix(np.array([band], np.uint64)))
-        found = [mix(total ^ salt)]
-        if worths[0] == 2:
-            twos = worths.count(2)
-            inside = place < twos
+        worths = np.cumsum(np.minimum(count, worth))
+        short = worths[-1] < need
+        last = segments if short else int(np.searchsorted(worths, need)) + 1
+        salt = mix(np.arange(last, dtype=np.uint64) + mix(np.array([band], np.uint64)))
+        found = [mix(total[:last] ^ salt)[(count[:last] > 0) | short]]
+        if worth == 2:
+            inside = (place < last) & ((count[place] > 1) | short)
             where = place[inside]
             found.append(mix((total[where] - hashed[inside]) ^ salt[where]))
         out += [(f & ~np.uint64(BANDS - 1)) | np.uint64(band) for f in found]
     return np.unique(np.concatenate(out))
 
 
-IDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType(), False), T.StructField("set_id", T.LongType(), False), T.StructField("sketch", T.ArrayType(T.LongType(), False), False)])
-SET = T.StructType([T.StructField("size", T.LongType(), False), T.StructField("set_id", T.LongType(), False)])
-KEYS = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("set_id", T.LongType(), False)])
-COMPARED = T.StructType(
-    [
-        T.StructField("hub", T.LongType(), False),
-        T.StructField("set_id", T.LongType(), False),
-        T.StructField("size", T.LongType(), False),
-        T.StructField("hub_size", T.LongType(), False),
-        T.StructField("linked", T.BooleanType(), False),
-        T.StructField("apart", T.ArrayType(T.LongType(), False), False),
-    ]
-)
+class Sketches:
+    """Sizes and sketches of the sets of a cell, to hold others against."""
 
+    def __init__(self, sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> None:
+        self.sizes, self.percent, self.by = sizes, percent, {}
+        widths = np.array([len(s) for s in sketches])
+        for width in np.unique(widths):
+            at = np.flatnonzero(widths == width)
+            self.by[int(width)] = at, np.stack([sketches[i] for i in at]).view(np.uint64)
 
-def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, size and number of each document's set."""
+    def near(self, size: int, own: np.ndarray, also: np.ndarray) -> np.ndarray:
+        """Places of the sets for which ``also`` is true and which may link with one."""
+        p, out = self.percent, []
+        fits = also & (100 * np.minimum(size, self.sizes) >= p * np.maximum(size, self.sizes))
+        for width, (at, matrix) in self.by.items():
+            mine = fits[at]
+            if not mine.any():
+                continue
+            at, some, x = at[mine], matrix[mine], own.view(np.uint64)
+            if width == 2 * len(own):
+                some = some[:, : len(own)] ^ some[:, len(own) :]
+            elif len(own) == 2 * width:
+                x = x[:width] ^ x[width:]
+            if some.shape[1] == len(x):
+                apart = np.bitwise_count(some ^ x).sum(1, dtype=np.int64)
+                at = at[apart * (100 + p) <= (100 - p) * (size + self.sizes[at])]
+            out.append(at)
+        return np.concatenate(out) if out else np.empty(0, np.int64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            sizes, ids, sketches = [], [], []
-            for text in batch.column(1):
-                tokens = shingles(text.as_py(), words, k)
-                sizes.append(len(tokens))
-                ids.append(set_id(tokens))
-                sketches.append(sketch(tokens))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=IDS.fieldNames())
 
-    return docs.mapInArrow(run, IDS)
+def _fields(text: str) -> T.StructType:
+    return T.StructType.fromDDL(text)
 
 
-def keys_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, set_id) of every document; a task emits each set once."""
+SIGNED = "doc_id long, t1 long, t2 long, n_shingles long, set_id binary, node long, sketch array<long>, keys array<long>"
+CELL = ["hub", "i", "j"]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(), set()
-        for batch in batches:
-            keys, owners, held = [], [], 0
-            for text in batch.column(1):
-                tokens = shingles(text.as_py(), words, k)
-                if not len(tokens) or (mine := set_id(tokens)) in seen:
-                    continue
-                seen.add(mine)
-                keys.append(signatures(tokens, percent).view(np.int64))
-                owners.append(np.full(len(keys[-1]), mine, np.int64))
-                held += len(keys[-1])
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "set_id"])
-                    keys, owners, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "set_id"])
-
-    return docs.mapInArrow(run, KEYS)
-
-
-def with_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
-    """docs with a struct column _set: the size and number of each text's set."""
-
-    def make():
-        words = Words()
 
-        def one(text: str | None) -> tuple:
-            tokens = shingles(text, words, k)
-            return len(tokens), set_id(tokens)
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, two hashes that name the text, and the text."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
 
-        return one
 
-    return with_text_struct(docs, text_col, "_set", SET, make)
+def signed_sets(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Each row's set: size, digest, the digest's first half, sketch and keys. A task
+    gives the keys of a set once, as long as it remembers having met it."""
+    schema = _fields(SIGNED)
 
+    def lists(found: list[np.ndarray]) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+        values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
-def nameless_texts(rows: DataFrame, owners: DataFrame, k: int) -> DataFrame | None:
-    """(set_id, text) of the sets that occur under null ids only, one text each; None
-    if there are none. Only texts without an id are read for it."""
-    lost = owners.where("doc_id IS NULL").select("set_id")
-    if not lost.limit(1).count():
-        return None
-    mine = with_sets(rows.where("doc_id IS NULL"), "text", k).select(F.col("_set.set_id").alias("set_id"), "text")
-    return written(mine.join(lost, "set_id", "left_semi").groupBy("set_id").agg(F.min("text").alias("text")), "nameless")
-
-
-def compared(stars: DataFrame, owners: DataFrame, rows: DataFrame, nameless: DataFrame | None, k: int, percent: int) -> DataFrame:
-    """Holds each set of a star against its hub, and says what sets them apart.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen, none = Words(), set(), np.empty(0, np.uint64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                sizes, ids, sketches, keys = [], [], [], []
+                for text in part.column(3):
+                    tokens = shingles(text.as_py(), words, k)
+                    mine = set_id(tokens)
+                    sizes.append(len(tokens))
+                    ids.append(mine)
+                    sketches.append(sketch(tokens))
+                    keys.append(none if mine in seen else signatures(tokens, percent))
+                    seen.add(mine)
+                if len(seen) > WORDS:
+                    seen.clear()
+                nodes = np.frombuffer(b"".join(ids), np.int64)[::2]
+                columns = [part.column(0), part.column(1), part.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(nodes), lists(sketches), lists(keys)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
+def in_cells(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def each_cell(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The cells of sorted rows, one at a time, with their first three columns' values."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = [batch.column(i).to_numpy() for i in range(3)]
+        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+            mine = tuple(int(x[lo]) for x in at)
+            if held and mine != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = mine
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def possible_sets(cells: DataFrame, percent: int) -> DataFrame:
+    """Of cells of (hub, i, j, outer, set_id, component, size, sketch): the rows of sets
+    that sizes and sketches leave a partner on the cell's other side."""
+    schema = _fields("hub long, i long, j long, outer boolean, set_id binary, component long")
 
-    stars: distinct (hub, set_id), no set its own hub; owners: set_id, doc_id of a
-    document that has it; rows: doc_id, text; nameless: set_id, text of the sets that
-    no document with an id has. A large star is split and its hub
-    copied to each part, so no task gets a whole star; a task holds one set at a
-    time. Texts, not sets, are dealt out: they are smaller."""
-    parts = stars.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).alias("parts"))
-    members = stars.join(parts, "hub").select("hub", F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("part"), "set_id")
-    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("set_id"))
-    both = members.unionByName(hubs)
-    texts = both.join(owners, "set_id").join(rows, "doc_id").select("hub", "part", "set_id", "text")
-    if nameless is not None:
-        texts = texts.unionByName(both.join(nameless, "set_id").select("hub", "part", "set_id", "text"))
-    dealt = texts.select("hub", "part", (F.col("set_id") != F.col("hub")).alias("member"), "set_id", "text")
-    dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "member", "set_id")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in each_cell(batches):
+            outer, part, sizes = rows["outer"].to_numpy(), rows["component"].to_numpy(), rows["size"].to_numpy()
+            sketches = [np.asarray(s, np.int64) for s in rows["sketch"].to_pylist()]
+            inner = np.flatnonzero(~outer)
+            if not len(inner) or (part == part[0]).all():
+                continue
+            others, found = Sketches(sizes[inner], [sketches[i] for i in inner], percent), np.zeros(len(outer), bool)
+            for o in np.flatnonzero(outer):
+                near = others.near(sizes[o], sketches[o], part[inner] != part[o])
+                found[o] |= len(near) > 0
+                found[inner[near]] = True
+            if found.any():
+                kept = rows.select(schema.fieldNames()).take(pa.array(np.flatnonzero(found))).combine_chunks()
+                yield from kept.to_batches()
+
+    return in_cells(cells).mapInArrow(run, schema)
+
+
+def links_in_cells(cells: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of cells of (hub, i, j, outer, set_id, component, text): links (a, b) between an
+    outer and an inner set of different components, on their whole sets; a null
+    component is the set's own. A cell's
+    components are joined as links are found, so it returns fewer links than it has sets."""
+    schema = _fields("a binary, b binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hub, own = Words(), None, np.empty(0, np.uint64)
-        for batch in batches:
-            out = []
-            for star, member, mine, text in zip(*(batch.column(i) for i in (0, 2, 3, 4))):
-                tokens = shingles(text.as_py(), words, k)
-                if set_id(tokens) != mine.as_py():  # another text under the same doc_id
-                    continue
-                if not member.as_py():
-                    hub, own = star.as_py(), tokens
-                    continue
-                assert star.as_py() == hub, "a star's part lacks its hub"
-                common = len(np.intersect1d(own, tokens, assume_unique=True))
-                linked = 100 * common >= percent * (len(own) + len(tokens) - common)
-                added, lost = np.setdiff1d(tokens, own, assume_unique=True), np.setdiff1d(own, tokens, assume_unique=True)
-                out.append((hub, mine.as_py(), len(tokens), len(own), linked, np.concatenate([added, lost]).view(np.int64)))
-            if out:
-                kinds = [pa.int64()] * 4 + [pa.bool_(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=COMPARED.fieldNames())
-
-    return dealt.mapInArrow(run, COMPARED)
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable over edges (a, b), itself
-    included. Each round passes the least label along the edges and then to labels
-    of labels; rounds are written, so that none recomputes those before."""
+        words = Words()
+        for _, rows in each_cell(batches):
+            outer, ids, found = rows["outer"].to_numpy(), rows["set_id"].to_pylist(), []
+            part = np.array([-1 - n if x is None else x for n, x in enumerate(rows["component"].to_pylist())])
+            sets = [shingles(text.as_py(), words, k) for text in rows["text"]]
+            assert all(set_id(s) == i for s, i in zip(sets, ids)), "a text isn't that of its set"
+            sizes, inner = np.array([len(s) for s in sets]), np.flatnonzero(~outer)
+            if not len(inner):
+                continue
+            others = Sketches(sizes[inner], [sketch(sets[i]) for i in inner], percent)
+            for o in np.flatnonzero(outer):
+                for n in inner[others.near(sizes[o], sketch(sets[o]), part[inner] != part[o])]:
+                    if part[n] == part[o]:
+                        continue
+                    both = len(np.intersect1d(sets[o], sets[n], assume_unique=True))
+                    if 100 * both >= percent * (sizes[o] + sizes[n] - both):
+                        found.append((ids[o], ids[n]))
+                        part[part == part[n]] = part[o]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=schema.fieldNames())
+
+    return in_cells(cells).mapInArrow(run, schema)
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """Written rows, to be broadcast if there are few of them."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def with_texts(cells: DataFrame, owners: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cells with one text of each set; only the texts that cells need are shuffled."""
+    needed = owners.join(cells.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "t1", "t2")
+    found = rows.select("t1", "t2", "text").join(bounded(written(needed, "needed")), ["t1", "t2"])
+    texts = written(found.groupBy("set_id").agg(F.min("text").alias("text")), "texts")
+    return cells.join(texts, "set_id").select(*CELL, "outer", "set_id", "component", "text")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of what edges (a, b) touch: the smallest id reachable. Each
+    round passes the least label along the edges and then to labels of labels; rounds
+    are written, so that none recomputes those before."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     touched = both.groupBy("a").agg(F.min("b").alias("b"))
     labels = written(touched.select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels")
@@ -324,193 +396,126 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
         jump = step.join(labels.select(F.col("id").alias("next"), F.col("label").alias("far")), "next", "left")
-        new = written(jump.select("id", F.least("next", F.coalesce("far", "next")).alias("label"), (F.col("label") != F.least("next", F.coalesce("far", "next"))).alias("moved")), "labels")
+        least = F.least("next", F.coalesce("far", "next"))
+        new = written(jump.select("id", least.alias("label"), (F.col("label") != least).alias("moved")), "labels")
         labels = new.select("id", "label")
         if not new.where("moved").limit(1).count():
-            break
-    return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
-
-
-def fewest_keys(size, band, bands: int, percent: int):
-    """Segments of a band in which a set of this size matches any set it links with.
-
-    A segment that doesn't match holds as many differing shingles as it is worth, so
-    the worths of those that do add up to all worths less the symmetric difference."""
-    plans = [(allocation(b, percent)[0], band_limits(b)[1]) if band_limits(b)[1] >= 0 else ((1,), 0) for b in range(bands + 1)]
-    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), band.cast("int") + 1)
-    worth, most, high = of(sum(w) for w, _ in plans), of(w[0] for w, _ in plans), of(h for _, h in plans)
-    both = F.when(size <= high, size + F.floor(size * 100 / percent)).otherwise(size + high)
-    return F.ceil((worth - F.floor(both * (100 - percent) / (100 + percent))) / most)
-
-
-def still_open(hubbed: DataFrame, owners: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(hub, set_id) of keys of many that can still hide a link between components.
-
-    Sets that link and yet lie in different components share keys of many only, each
-    with several components: they would have met as a pair of another. A set with
-    fewer such keys than a link takes has no such partner. Without it, some keys have
-    one component left and are no longer keys of the others: so a second round."""
-    top = owners.agg(F.max("size")).first()[0]
-    big = hubbed.where(F.col("n") > FEW).select("key", "hub", "set_id").join(labels.withColumnRenamed("id", "set_id"), "set_id").join(owners.select("set_id", "size"), "set_id")
-    big = big.withColumn("band", F.col("key").bitwiseAND(F.lit(BANDS - 1).cast("long")))
-    for _ in range(2):
-        mixed = big.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        left = written(big.join(mixed, "key"), "mixed")
-        enough = left.groupBy("set_id", "band").agg(F.count("*").alias("keys"), F.first("size").alias("size"))
-        enough = enough.where(F.col("keys") >= fewest_keys(F.col("size"), F.col("band"), band_of(top or 1), percent)).select("set_id", "band")
-        big = written(left.join(enough, ["set_id", "band"]), "many")
-    mixed = big.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    return big.join(mixed, "key").where("hub <> set_id").select("hub", "set_id").distinct()
-
-
-def open_links(held: DataFrame, labels: DataFrame, percent: int, promising: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) between sets that share a star and lie in different components.
-
-    With x's difference from the hub D(x), two sets are |D(a)| + |D(b)| - 2 |D(a) & D(b)|
-    apart, so a link needs 2 |D(a) & D(b)| >= e(a) + e(b), where e(x) = |D(x)| - r |x| and
-    r = (1 - t) / (1 + t). A set that doesn't link with the hub can link only with one
-    that shares a part of its difference: pairs come from an index on D, in which a
-    set needs only so many of its first shingles that a partner sharing enough can't
-    miss them all. D is in one order for the star: what the hub lacks, as that is
-    rare, then what the set lacks. What the sets share then follows from D alone."""
-    r = (100 - percent) / (100 + percent)
-    of = labels.select(F.col("id").alias("set_id"), "component")
-    hubs = labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    slim = held.select("hub", "set_id", "size", "linked", F.size("apart").alias("d"))
-    rows = slim.join(of, "set_id").join(hubs, "hub").select(
-        "hub", "set_id", "size", "component", "d", (F.col("component") != F.col("hub_component")).alias("open"),
-        F.when(F.col("linked"), "near").otherwise("far").alias("kind"), (F.col("d") - r * F.col("size")).alias("excess"),
-    )
-    groups = {"far": F.col("kind") == "far", "near": F.col("kind") == "near", "opened": F.col("open")}
-    bounds = [x for g, c in groups.items() for x in (F.min(F.when(c, F.col("excess"))).alias(f"{g}_least"), F.max(F.when(c, F.col("d"))).alias(f"{g}_most"))]
-    stars_open = rows.groupBy("hub").agg(F.max("open").alias("mixed"), *bounds).where("mixed").drop("mixed")
-
-    def depth(group: str):
-        """How many of a set's tokens can be the first it shares with a partner."""
-        need = F.col("excess") + F.col(f"{group}_least")
-        share = F.greatest(F.lit(1.0), F.ceil(need / 2 - 1e-9))
-        able = 2 * F.least("d", F.col(f"{group}_most")) + 1e-6 >= need
-        return F.coalesce(F.when(able, F.greatest(F.lit(0.0), F.col("d") - share + 1)), F.lit(0.0)).cast("int")
-
-    plan = rows.join(stars_open, "hub").select(
-        "hub", "set_id", "size", "component", "d", "open", "kind", "excess", depth("opened").alias("own"),
-        *[F.when(F.col("open"), depth(g)).otherwise(F.lit(0)).alias(g) for g in ("far", "near")],
+            return labels.withColumnRenamed("label", "component")
+
+
+def matched_keys(signed: DataFrame) -> DataFrame:
+    """(key, hub, node) of the keys that several sets hold. The hub of a key is the node
+    with the most such keys. Counts and hubs are aggregates, which combine before
+    they are shuffled, and are joined back as written tables, so that Spark can split
+    a key that very many sets hold."""
+    keys = signed.select(F.explode("keys").alias("key"), "node")
+    several = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
+    raw = written(keys.join(written(several, "keys"), "key"), "matches")
+    once = written(raw.distinct(), "matches")
+    score = written(once.groupBy("node").agg(F.count("*").alias("score")), "scores")
+    best = once.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("best"))
+    hubs = written(best.select("key", F.col("best.node").alias("hub")), "hubs")
+    return written(once.join(hubs, "key").where("hub <> node"), "hubbed")
+
+
+def star_cells(stars: DataFrame) -> DataFrame:
+    """Cells of the pairs (hub, set): each hub with a bounded part of its sets."""
+    parts = written(stars.groupBy("hub", "a").agg(F.greatest(F.ceil(F.count("*") / FEW), F.ceil(F.sum("size") / CELL_SHINGLES)).alias("parts")), "parts")
+    own = parts.select("hub", F.lit(0).cast("long").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.lit(True).alias("outer"), F.col("a").alias("set_id"), F.lit(None).cast("long").alias("component"))
+    member = stars.join(parts, ["hub", "a"]).select(
+        "hub", F.lit(0).cast("long").alias("i"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("j"), F.lit(False).alias("outer"), F.col("b").alias("set_id"), F.lit(None).cast("long").alias("component"),
     )
-    plan = written(plan.where("own > 0 OR far > 0 OR near > 0"), "plan")
-    sets = plan.join(held.select("hub", "set_id", "apart"), ["hub", "set_id"])
-    columns = ["hub", "set_id", "size", "component", "open", "excess", "d"]
-    ask = F.explode(F.array(*[F.struct(F.lit(g).alias("kind"), F.col(g).alias("n")) for g in ("far", "near")])).alias("ask")
-    a = sets.where("open").select(*columns, "apart", ask).select(*columns, "ask.kind", F.explode(F.slice("apart", 1, F.col("ask.n"))).alias("token")).alias("a")
-    b = sets.select(*columns, "kind", F.explode(F.slice("apart", 1, F.col("own"))).alias("token")).alias("b")
-    same = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.kind") == F.col("b.kind"))
-    once = ~F.col("b.open") | (F.col("a.set_id") < F.col("b.set_id"))
-    fits = (F.col("a.component") != F.col("b.component")) & (2 * F.least("a.d", "b.d") + 1e-6 >= F.col("a.excess") + F.col("b.excess"))
-    fits = fits & (F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * percent)
-    near = a.join(b, same & once & fits).select(F.col("a.hub").alias("hub"), F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
-    # Sketches first: differences are long, and few pairs need them.
-    near = promising(near.select(F.col("hub").alias("star"), F.col("a").alias("hub"), F.col("b").alias("set_id")).distinct())
-    near = near.select(F.col("star").alias("hub"), F.col("hub").alias("a"), F.col("set_id").alias("b"))
-    left = held.select("hub", F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("apart").alias("apart_a"))
-    right = held.select("hub", F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("apart").alias("apart_b"))
-    pairs = near.join(left, ["hub", "a"]).join(right, ["hub", "b"])
-    differ = F.size("apart_a") + F.size("apart_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
-    both = (F.col("size_a") + F.col("size_b") - differ) / 2
-    return pairs.where(100 * both >= percent * (F.col("size_a") + F.col("size_b") - both)).select("a", "b").distinct()
+    return own.unionByName(member)
+
+
+def open_cells(hubbed: DataFrame, owners: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cells for what can still hide a link between components: sets of one hub that
+    share a key of several components. Each hub's sets outside its component are held
+    against all its sets, in cells of so many of either."""
+    sides = owners.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
+    number = F.conv(F.substring(F.hex(F.coalesce("component", "set_id")), 1, 15), 16, 10).cast("long")
+    sides = written(sides.select("node", "set_id", "size", "sketch", number.alias("component")), "sides")
+    of_node = sides.groupBy("node").agg(F.min("component").alias("component"), F.max("component").alias("other"))
+    placed = written(hubbed.join(of_node, "node"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max(F.greatest("component", "other")).alias("most")).where("least <> most").select("key")
+    stars = written(placed.join(written(mixed, "mixed"), "key").select("hub", "node").distinct(), "open")
+    home = of_node.select(F.col("node").alias("hub"), F.col("component").alias("home"))
+    rows = written(stars.join(home, "hub").join(sides, "node").select("hub", "set_id", "size", "sketch", "component", (F.col("component") != F.col("home")).alias("away")), "stars")
+    of = lambda n, size: F.greatest(F.ceil(n / FEW), F.ceil(size / CELL_SHINGLES), F.lit(1))
+    away = F.col("away").cast("long")
+    parts = rows.groupBy("hub").agg(of(F.count("*"), F.sum("size")).alias("js"), of(F.sum(away), F.sum(away * F.col("size"))).alias("is"), F.max("away").alias("any"))
+    rows = rows.join(written(parts.where("any"), "parts"), "hub")
+    spot, each = (lambda n: F.pmod(F.xxhash64("set_id"), F.col(n))), (lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    columns = ["set_id", "component", "size", "sketch"]
+    outer = rows.where("away").select("hub", spot("is").alias("i"), each("js").alias("j"), F.lit(True).alias("outer"), *columns)
+    inner = rows.select("hub", each("is").alias("i"), spot("js").alias("j"), F.lit(False).alias("outer"), *columns)
+    return outer.unionByName(inner)
 
 
 def classed_rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_id and component, a number of
-    its group; null for an empty set."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = written(sets_of(rows, k), "sets")
-    full = ids.where("n_shingles > 0")
-
-    matched = keys_of(rows, k, percent)
-    by_key = Window.partitionBy("key")
-    matched = matched.withColumn("least", F.min("set_id").over(by_key)).withColumn("most", F.max("set_id").over(by_key))
-    matched = written(matched.where("least <> most").select("key", "set_id").distinct(), "matches")
-    scored = matched.withColumn("score", F.count("*").over(Window.partitionBy("set_id")))
-    hubbed = scored.withColumn("hub", F.first("set_id").over(Window.partitionBy("key").orderBy(F.desc("score"), "set_id").rowsBetween(Window.unboundedPreceding, 0)))
-    hubbed = written(hubbed.withColumn("n", F.count("*").over(by_key)).select("key", "hub", "set_id", "n"), "hubs")
-    named = hubbed.select("set_id").distinct()
-    nodes = named.withColumnRenamed("set_id", "id")
-    owners = full.join(named, "set_id", "left_semi").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")
-    )
-    owners = written(owners, "owners")
-    docs_of = owners.select("set_id", "doc_id")
-    nameless = nameless_texts(rows, owners, k)
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        """Pairs (hub, set_id) that sizes and sketches leave possible."""
-        of_set = owners.select("set_id", F.col("size").alias("_a"), F.col("sketch").alias("_x"))
-        of_hub = owners.select(F.col("set_id").alias("hub"), F.col("size").alias("_b"), F.col("sketch").alias("_y"))
-        both = pairs.join(of_set, "set_id").join(of_hub, "hub")
-        return both.where(may_link(F.col("_a"), F.col("_b"), F.col("_x"), F.col("_y"), percent)).select(*pairs.columns)
-
-    def links(held: DataFrame) -> DataFrame:
-        return held.where("linked").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
-
-    # First each set against the hub it shares most keys with.
-    stars = promising(hubbed.where("hub <> set_id").groupBy("hub", "set_id").agg(F.count("*").alias("keys")))
-    nearest = stars.groupBy("set_id").agg(F.max_by("hub", F.struct("keys", "hub")).alias("hub")).select("hub", "set_id")
-    edges = written(links(compared(nearest, docs_of, rows, nameless, k, percent)), "links")
-    labels = written(components(nodes, edges), "components")
-
-    # Then the pairs of keys of few sets that lie in different components.
-    few = hubbed.where((F.col("n") > 1) & (F.col("n") <= FEW)).join(labels.withColumnRenamed("id", "set_id"), "set_id")
-    x, y = few.alias("a"), few.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component"))
-    pairs = promising(x.join(y, apart).select(F.col("a.set_id").alias("hub"), F.col("b.set_id").alias("set_id")).distinct())
-    edges = edges.union(written(links(compared(written(pairs, "pairs"), docs_of, rows, nameless, k, percent)), "links"))
-    labels = written(components(nodes, edges), "components")
-
-    # Then the stars of keys of many that can still hide a link.
-    rest = written(still_open(hubbed, owners, labels, percent), "rest")
-    if rest.limit(1).count():
-        held = written(compared(rest, docs_of, rows, nameless, k, percent), "compared")
-        edges = edges.union(links(held))
-        labels = written(components(nodes, edges), "components")
-        more = written(open_links(held, labels, percent, promising), "open")
+    """One row per document: doc_id, t1, t2, n_shingles, set_id and component, the
+    number of its group; null for an empty set."""
+    rows = text_rows(docs, id_col, text_col)
+    signed = written(signed_sets(rows, k, percent), "sets")
+    hubbed = matched_keys(signed)
+
+    named = hubbed.select("node").union(hubbed.select("hub")).distinct()
+    owned = signed.where("n_shingles > 0").drop("keys").join(named, "node", "left_semi")
+    owners = owned.groupBy("node", "set_id").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.min(F.struct("t1", "t2")).alias("t"))
+    owners = written(owners.select("node", "set_id", "size", "sketch", "t.t1", "t.t2"), "owners")
+
+    # Each set against the hubs of its keys.
+    a = owners.select(F.col("node").alias("hub"), F.col("set_id").alias("a"), F.col("size").alias("_a"), F.col("sketch").alias("_x"))
+    b = owners.select("node", F.col("set_id").alias("b"), "size", F.col("sketch").alias("_y"))
+    stars = hubbed.select("hub", "node").distinct().join(b, "node").join(a, "hub")
+    stars = written(stars.where(may_link(F.col("_a"), F.col("size"), F.col("_x"), F.col("_y"), percent)).select("hub", "a", "b", "size"), "pairs")
+    edges = written(links_in_cells(with_texts(star_cells(stars), owners, rows), k, percent), "links")
+    labels = components(edges)
+
+    # Then what can still hide a link between components.
+    left = written(possible_sets(open_cells(hubbed, owners, labels), percent), "possible")
+    if left.limit(1).count():
+        more = written(links_in_cells(with_texts(left, owners, rows), k, percent), "links")
         if more.limit(1).count():
-            labels = written(components(nodes, edges.union(more)), "components")
+            labels = components(edges.union(more))
 
-    classed = ids.drop("sketch").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
-    group = F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id"))
-    return classed.withColumn("component", group)
+    classed = signed.select("doc_id", "t1", "t2", "n_shingles", "set_id").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
+    return classed.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id")))
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest
     doc_id reachable over links."""
-    classed = classed_rows(docs, id_col, text_col, k, percent)
-    smallest = classed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return classed.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    classed = written(classed_rows(docs, id_col, text_col, k, percent).select("doc_id", "n_shingles", "component"), "classed")
+    smallest = classed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    several = written(smallest.where("n > 1").select("component", "component_id"), "smallest")
+    return classed.join(several, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """One row of docs of each component, and every row of an empty set.
 
     The row kept is that of the smallest doc_id, null last; of one doc_id, that of the
-    smallest set number, then of the least values. A doc_id that occurs once names
-    its row; other rows are told apart by their sets, which are made again for them
-    alone."""
-    found = written(classed_rows(docs, id_col, text_col, k, percent).select("doc_id", "set_id", "component"), "classed")
-    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "set_id")).alias("first"))
-    first = written(first.select("first.doc_id", "first.set_id"), "first")
-    again = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    named = first.select("doc_id").union(found.where("component IS NULL").select("doc_id")).where("doc_id IS NOT NULL").join(again, "doc_id", "left_anti")
-    mine = F.col(f"`{id_col}`").cast("long")
-    of = lambda ids: docs.join(ids.select(F.col("doc_id").alias("_of")), mine == F.col("_of"), "left_semi")
-    once = of(named)
-    odd = [of(again)] if again.limit(1).count() else []
-    odd += [docs.where(F.col(f"`{id_col}`").isNull())] if found.where("doc_id IS NULL").limit(1).count() else []
-    for part in odd:
-        rows = with_sets(part, text_col, k)
-        same = mine.eqNullSafe(F.col("_of")) & (F.col("_set.set_id") == F.col("_of_set"))
-        kept = rows.where("_set.size > 0").join(first.select(F.col("doc_id").alias("_of"), F.col("set_id").alias("_of_set")), same, "left_semi")
-        columns = [F.col(f"`{c}`") for c in docs.columns]
-        order = [F.col(f"`{text_col}`"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]]
-        kept = kept.groupBy(F.col(f"`{id_col}`").alias("_id"), "_set.set_id").agg(F.min(F.struct(*order)).alias("_row")).select("_row.*").select(*columns)
-        once = once.unionByName(kept).unionByName(rows.where("_set.size = 0").select(*columns))
-    return once
+    least hashes of the text, then of the least values of all columns. All columns
+    pass, whatever their names."""
+    row = ["doc_id", "t1", "t2"]
+    found = written(classed_rows(docs, id_col, text_col, k, percent).where("component IS NOT NULL").select(*row, "component"), "classed")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), *row)
+    groups = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = written(groups.select("component", F.col("first.doc_id").alias("id"), F.col("first.t1").alias("x"), F.col("first.t2").alias("y")), "groups")
+    is_first = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("x")) & (F.col("t2") == F.col("y"))
+    judged = found.join(groups, "component").select(*row, is_first.alias("first"))
+    judged = written(judged.groupBy(*row).agg(F.max("first").alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1"), "judged")
+
+    names = {"doc_id": "_jj_id", "t1": "_jj_x", "t2": "_jj_y"}
+    text = F.col(f"d.`{text_col}`")
+    mine = F.col(f"d.`{id_col}`").cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    of = lambda rows: bounded(rows.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    same = F.coalesce(mine[0], F.lit(0)).eqNullSafe(F.coalesce(F.col("_jj_id"), F.lit(0))) & (mine[0].isNull() == F.col("_jj_id").isNull()) & (mine[1] == F.col("_jj_x")) & (mine[2] == F.col("_jj_y"))
+    left = docs.alias("d").join(of(judged), same, "left_anti")
+    again = judged.where("first")
+    if not again.limit(1).count():
+        return left
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    repeated = docs.alias("d").join(of(again), same).groupBy(*names.values()).agg(F.min(F.struct(*columns)).alias("_jj_row"))
+    return left.unionByName(repeated.select("_jj_row.*"))
