@@ -17,8 +17,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that of the smallest doc_id, null last.
-    Rows that repeat a doc_id stay only if they are of different groups."""
+    """One row of each group of near copies, and every row of an empty set (null, empty
+    and blank texts). The row of the smallest doc_id stays, null last; of repeated rows
+    that of the least values. Rows that repeat a doc_id, or have none, are judged by
+    their own texts, so they all stay if their texts are of different groups."""
     return jaccard_join.one_of_each(docs, k=5, percent=80)
 
 

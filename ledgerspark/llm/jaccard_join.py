@@ -460,8 +460,9 @@ def classed_rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: i
     hubbed = matched_keys(signed)
 
     named = hubbed.select("node").union(hubbed.select("hub")).distinct()
-    owned = signed.where("n_shingles > 0").drop("keys").join(named, "node", "left_semi")
-    owners = owned.groupBy("node", "set_id").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.min(F.struct("t1", "t2")).alias("t"))
+    # Combined before the join, so that a set that very many rows have is one row there.
+    sets = signed.where("n_shingles > 0").groupBy("node", "set_id").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.min(F.struct("t1", "t2")).alias("t"))
+    owners = sets.join(written(named, "named"), "node", "left_semi")
     owners = written(owners.select("node", "set_id", "size", "sketch", "t.t1", "t.t2"), "owners")
 
     # Each set against the hubs of its keys.
