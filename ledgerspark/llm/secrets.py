@@ -2,11 +2,15 @@
 
 Each rule's regular expression is analysed once into a Boolean query over the
 trigrams (of lower-cased text) that any match must contain. For each block of
-texts, postings are made for the trigrams that some rule asks for; queries
-intersect and unite them, and only candidates are verified by the expression.
-Rules whose expression has no mandatory trigram scan every text.
+texts, one pass over its bytes makes postings of all trigrams that some rule asks for;
+queries intersect and unite them, and only candidates are verified by the expression.
+Rules whose expression has no mandatory trigram scan every text. The index is of a
+block, and isn't kept: each text is read once.
 
-Null texts count as empty: no spans. Repeated rows give repeated results."""
+Null and empty texts have no spans. Repeated rows give repeated results. Very long
+texts are scanned whole, in blocks of bounded bytes or a single text. An empty table
+gives no rows. Other columns pass unchanged, whatever their names; one that has the
+name of the result is replaced."""
 
 from __future__ import annotations
 
@@ -19,7 +23,6 @@ from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,8 +31,11 @@ from ledgerspark.llm.common import SLICE_ROWS, without
 
 #: Strings a part of an expression may stand for, above which they aren't listed.
 MOST_STRINGS = 24
+#: Bytes of a block's texts above which each text is a block of its own.
+BLOCK_BYTES = 1 << 24
 
 BASE = ("assign", "access", "hex")
+_FOLDED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 RESULT = T.StructType(
     [T.StructField(f"n_{k}", T.LongType(), False) for k in BASE]
     + [T.StructField("base_sha256", T.StringType(), False), T.StructField("spans", T.StringType(), False)]
@@ -39,14 +45,17 @@ RESULT = T.StructType(
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: its expression, and how long a match (or one of its
-    groups) must be. ``before`` is a character class that can't precede a match:
-    it spares rescans inside long runs and changes no result."""
+    groups) must be. ``runs`` says that the expression is one class, repeated: its
+    matches are whole runs, and the least length can stand in the expression itself."""
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
-    before: str = ""
+    runs: bool = False
+
+    def compiled(self) -> re.Pattern:
+        return re.compile(f"{self.pattern[:-1]}{{{self.least},}}" if self.runs else self.pattern)
 
 
 def any_case(word: str) -> str:
@@ -57,7 +66,7 @@ def any_case(word: str) -> str:
 RULES = (
     Rule("assign", "(" + "|".join([*map(any_case, ("password", "passwd", "secret", "token")), any_case("api") + "_?" + any_case("key")]) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
     Rule("access", "AKIA[A-Z0-9]+", 20),
-    Rule("hex", "[0-9a-f]+", 24, before="[0-9a-f]"),
+    Rule("hex", "[0-9a-f]+", 24, runs=True),
     Rule("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
     Rule("host_token", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 24),
@@ -165,15 +174,36 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
-        self.patterns = [re.compile((f"(?<!{r.before})" if r.before else "") + r.pattern) for r in rules]
+        self.patterns = [r.compiled() for r in rules]
         self.queries = [trigram_query(r.pattern) for r in rules]
         self.grams = sorted(set().union(*(q.trigrams() for q in self.queries)))
+        self.place = np.zeros(1 << 24, np.uint8)  # a trigram's number, from 1; 0: not asked for
+        for n, g in enumerate(self.grams, 1):
+            a, b, c = g.encode("ascii")
+            self.place[a << 16 | b << 8 | c] = n
+        assert len(self.grams) < 256, "a byte numbers the trigrams"
+
+    def postings(self, texts: pa.Array) -> np.ndarray:
+        """For each trigram asked for (rows) and text (columns) whether it occurs, from
+        one pass over the block's bytes. Only A-Z are folded: what lower-cases to
+        ASCII in the rules is ASCII."""
+        whole = pa.array(texts.to_pylist() if texts.null_count else texts, pa.large_string())
+        ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+        found = np.zeros((len(self.grams) + 1, len(whole)), bool)
+        if ends[-1] - ends[0] < 3:
+            return found
+        data = np.frombuffer(whole.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        data = _FOLDED[data].astype(np.uint32)
+        number = self.place[data[:-2] << 16 | data[1:-1] << 8 | data[2:]]
+        at = np.flatnonzero(number)
+        text = np.searchsorted(ends - ends[0], at, "right") - 1
+        inside = at + 2 < (ends - ends[0])[text + 1]
+        found[number[at[inside]], text[inside]] = True
+        return found
 
     def candidates(self, texts: pa.Array) -> list[np.ndarray]:
-        """For each rule, whether a text of the block may have a match. Characters
-        that lower-case to ASCII are ASCII here: only those are folded."""
-        folded = pc.ascii_lower(pc.fill_null(texts, ""))
-        postings = {g: pc.match_substring(folded, g).to_numpy(zero_copy_only=False) for g in self.grams}
+        """For each rule, whether a text of the block may have a match."""
+        postings = dict(zip(self.grams, self.postings(texts)[1:]))
         everything = np.ones(len(texts), bool)
         return [q.matches(postings, everything) for q in self.queries]
 
@@ -192,6 +222,15 @@ class Scanner:
         return found
 
 
+def blocks(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of some rows, of one row where their texts are long."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            small = part.column(at).nbytes <= BLOCK_BYTES
+            yield from [part] if small else (part.slice(i, 1) for i in range(part.num_rows))
+
+
 def listed(spans: Iterable[tuple[int, int, int]], rules: tuple[Rule, ...] = RULES, kinds: int = len(RULES)) -> str:
     return ",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in spans if k < kinds)
 
@@ -206,15 +245,13 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                rows = scanner.scan(part.column(at))
-                base_lists = [listed(r, kinds=len(BASE)) for r in rows]
-                columns = [[sum(k == b for _, k, _ in r) for r in rows] for b in range(len(BASE))]
-                columns += [[hashlib.sha256(x.encode()).hexdigest() for x in base_lists], [listed(r) for r in rows]]
-                struct = pa.StructArray.from_arrays([pa.array(c, type=k.type) for c, k in zip(columns, kinds, strict=True)], fields=kinds)
-                yield pa.RecordBatch.from_arrays([*part.columns, struct], names=names)
+        for part in blocks(batches, at):
+            rows = scanner.scan(part.column(at))
+            base_lists = [listed(r, kinds=len(BASE)) for r in rows]
+            columns = [[sum(k == b for _, k, _ in r) for r in rows] for b in range(len(BASE))]
+            columns += [[hashlib.sha256(x.encode()).hexdigest() for x in base_lists], [listed(r) for r in rows]]
+            struct = pa.StructArray.from_arrays([pa.array(c, type=k.type) for c, k in zip(columns, kinds, strict=True)], fields=kinds)
+            yield pa.RecordBatch.from_arrays([*part.columns, struct], names=names)
 
     return base.mapInArrow(run, schema)
 
@@ -227,17 +264,15 @@ def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                texts = part.column(at)
-                rows = scanner.scan(texts)
-                if any(rows):
-                    new = [redacted(t.as_py(), r) if r else t.as_py() for t, r in zip(texts, rows, strict=True)]
-                    columns = part.columns
-                    columns[at] = pa.array(new, texts.type)
-                    part = pa.RecordBatch.from_arrays(columns, names=names)
-                yield pa.RecordBatch.from_arrays(part.columns, names=names)
+        for part in blocks(batches, at):
+            texts = part.column(at)
+            rows = scanner.scan(texts)
+            if any(rows):
+                new = [redacted(t.as_py(), r) if r else t.as_py() for t, r in zip(texts, rows, strict=True)]
+                columns = part.columns
+                columns[at] = pa.array(new, texts.type)
+                part = pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(part.columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)
 
