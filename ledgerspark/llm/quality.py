@@ -9,8 +9,10 @@ tells prose from lists. In one histogram the other words would swamp both. Short
 documents are never judged by divergence, nor are languages whose reference rests on
 few documents.
 
-Null texts count as empty and have no words. A null language is a language of its
-own. Repeated rows give repeated results and count again in the references."""
+Null and empty texts have no words. A null language is a language of its
+own. Repeated rows give repeated results and count again in the references. Very long
+texts count whole. An empty table gives no rows. Other columns pass unchanged, whatever
+their names."""
 
 from __future__ import annotations
 
@@ -157,14 +159,19 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms; null if either is empty."""
+    """Jensen-Shannon distance of two histograms; null if either is empty. Both and
+    their totals are bound once, so that the time is linear in the bins."""
     total = lambda h: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x)
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    terms = F.zip_with(
-        F.transform(p, lambda x: x / total(p)), F.transform(q, lambda x: x / total(q)), lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2)
-    )
-    sound = (total(p) > 0) & (total(q) > 0)
-    return F.when(sound, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2)))
+
+    def of(both: Column) -> Column:
+        shares = F.zip_with(both.p, both.q, lambda x, y: F.struct((x / both.a).alias("x"), (y / both.b).alias("y")))
+        terms = F.transform(shares, lambda s: part(s.x, (s.x + s.y) / 2) + part(s.y, (s.x + s.y) / 2))
+        sound = (both.a > 0) & (both.b > 0)
+        return F.when(sound, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2)))
+
+    bound = F.array(F.struct(p.alias("p"), q.alias("q"), total(p).alias("a"), total(q).alias("b")))
+    return F.element_at(F.transform(bound, of), 1)
 
 
 def own_words(words: Column) -> Column:
@@ -177,10 +184,21 @@ def shares(words: Column) -> Column:
     return F.array(F.aggregate(own_words(words), F.lit(0).cast("long"), lambda a, x: a + x), F.element_at(words, -1))
 
 
+def private(name: str, columns: list[str]) -> str:
+    """A column name that none of these is, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", out: str = "quality") -> DataFrame:
     """docs with a struct column: the counts, base_failed, the distances (null where
-    not judged) and kept. An existing column of that name is replaced."""
-    refs = references(docs, text_col, lang_col).withColumnRenamed("lang", "_lang")
+    not judged) and kept. An existing column of that name is replaced; all others pass
+    unchanged, whatever their names."""
+    ref, far = private("_reference", [*docs.columns, out]), private("_distances", [*docs.columns, out])
+    names = ("lang", "n_docs", "ref_classes", "ref_words")
+    refs = references(docs, text_col, lang_col).select(F.struct(*names).alias(ref))
     rows = small_rows(refs, MOST_LANGUAGES)
     if rows is not None:
         refs = F.broadcast(docs.sparkSession.createDataFrame(rows, refs.schema))
@@ -189,20 +207,20 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", out:
         return features
 
     each = with_text_struct(docs, text_col, out, FEATURES, make)
-    held = each.join(refs, F.col(lang_col).eqNullSafe(F.col("_lang")), "left")
-    f = lambda n: F.col(f"{out}.{n}")
-    long_enough = (f("n_words") >= LEAST_WORDS) & (f("word_chars") >= LEAST_CHARS) & (F.col("n_docs") >= LEAST_DOCS)
-    held = held.withColumn("_c", F.when(long_enough, distance(f("classes"), F.col("ref_classes")))).withColumn(
-        "_w", F.when(long_enough, distance(own_words(f("words")), own_words(F.col("ref_words"))))
-    )
-    held = held.withColumn("_s", F.when(long_enough, distance(shares(f("words")), shares(F.col("ref_words")))))
-    bounds = {"_c": MOST_CLASS, "_w": MOST_WORD, "_s": MOST_SHARE}
-    far = functools.reduce(lambda a, b: a | b, [F.coalesce(F.col(c) > most, F.lit(False)) for c, most in bounds.items()])
+    held = each.join(refs, F.col(f"`{lang_col}`").eqNullSafe(F.col(f"`{ref}`.lang")), "left")
+    f, r = (lambda n: F.col(f"`{out}`.{n}")), (lambda n: F.col(f"`{ref}`.{n}"))
+    long_enough = (f("n_words") >= LEAST_WORDS) & (f("word_chars") >= LEAST_CHARS) & (r("n_docs") >= LEAST_DOCS)
+    words = f("words"), r("ref_words")
+    pairs = {"class_distance": (f("classes"), r("ref_classes")), "word_distance": tuple(map(own_words, words)), "share_distance": tuple(map(shares, words))}
+    held = held.withColumn(far, F.struct(*[F.when(long_enough, distance(*both)).alias(n) for n, both in pairs.items()]))
+    d = lambda n: F.col(f"`{far}`.{n}")
+    bounds = {"class_distance": MOST_CLASS, "word_distance": MOST_WORD, "share_distance": MOST_SHARE}
+    too_far = functools.reduce(lambda a, b: a | b, [F.coalesce(d(n) > most, F.lit(False)) for n, most in bounds.items()])
     return held.select(
         *[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()],
         F.struct(
             *[f(n).alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
-            F.col("_c").alias("class_distance"), F.col("_w").alias("word_distance"), F.col("_s").alias("share_distance"), (~f("base_failed") & ~far).alias("kept"),
+            *[d(n).alias(n) for n in pairs], (~f("base_failed") & ~too_far).alias("kept"),
         ).alias(out),
     )
 
