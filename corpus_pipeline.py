@@ -11,9 +11,17 @@ from ledgerspark.llm import bpe_stream, decontaminate, jaccard_join, quality, se
 from ledgerspark.llm.common import written
 
 
+def own_columns(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The columns of docs, without the one that a stage added."""
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return quality.judge(docs, out="_quality").where("_quality.kept").drop("_quality")
+    """Documents that the rules keep. Null, empty and very short texts go; repeated rows
+    are judged alike; an empty table gives no rows; other columns pass, whatever their
+    names."""
+    out = quality.private("_quality", docs.columns)
+    return own_columns(docs, quality.judge(docs, out=out).where(F.col(f"{out}.kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,19 +33,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts have none and
+    stay, as do all rows where the benchmark is empty; repeated rows are judged alike;
+    other columns pass, whatever their names."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.scan_benchmark(docs, benchmark, out="_scan").where(F.size("_scan.words") == 0).drop("_scan")
+    out = quality.private("_scan", docs.columns)
+    return own_columns(docs, decontaminate.scan_benchmark(docs, benchmark, out=out).where(F.size(f"{out}.words") == 0))
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by its kind in brackets."""
+    """All documents, with each secret replaced by its kind in brackets; overlapping ones
+    are one. Null texts stay null, repeated rows stay, other columns pass."""
     return secrets.without_secrets(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, number of tokens, ids (little-endian 32-bit) and a digest of
-    the text that the ids decode to."""
+    the text that the ids decode to; a row for each row. Null and empty texts have no
+    tokens; other columns are left out. A text's ids are one value: what is very long
+    takes as much memory as its ids."""
     found = bpe_stream.encode_column(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), out="_bpe")
     return found.select(
         "doc_id", "source", F.col("_bpe.n_tokens").alias("n_tokens"), F.col("_bpe.ids").alias("ids"), F.sha2("_bpe.decoded", 256).alias("decoded_sha256")

@@ -508,15 +508,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = found.join(groups, "component").select(*row, is_first.alias("first"))
     judged = written(judged.groupBy(*row).agg(F.max("first").alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1"), "judged")
 
-    names = {"doc_id": "_jj_id", "t1": "_jj_x", "t2": "_jj_y"}
     text = F.col(f"d.`{text_col}`")
     mine = F.col(f"d.`{id_col}`").cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)
-    of = lambda rows: bounded(rows.select(*[F.col(c).alias(n) for c, n in names.items()]))
-    same = F.coalesce(mine[0], F.lit(0)).eqNullSafe(F.coalesce(F.col("_jj_id"), F.lit(0))) & (mine[0].isNull() == F.col("_jj_id").isNull()) & (mine[1] == F.col("_jj_x")) & (mine[2] == F.col("_jj_y"))
+    of = lambda rows: bounded(rows.select(*row)).alias("m")
+    other = F.col("m.doc_id")
+    same = F.coalesce(mine[0], F.lit(0)).eqNullSafe(F.coalesce(other, F.lit(0))) & (mine[0].isNull() == other.isNull()) & (mine[1] == F.col("m.t1")) & (mine[2] == F.col("m.t2"))
     left = docs.alias("d").join(of(judged), same, "left_anti")
     again = judged.where("first")
     if not again.limit(1).count():
         return left
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    repeated = docs.alias("d").join(of(again), same).groupBy(*names.values()).agg(F.min(F.struct(*columns)).alias("_jj_row"))
-    return left.unionByName(repeated.select("_jj_row.*"))
+    repeated = docs.alias("d").join(of(again), same).groupBy(*[F.col(f"m.{c}").alias(f"_{c}") for c in row]).agg(F.min(F.struct(*columns)).alias("_row"))
+    return left.union(repeated.select("_row.*"))
