@@ -1,7 +1,7 @@
 """WARC archives: writing with revisits and segments, reading with reassembly.
 
-Writing: of records with equal payloads that of the smallest page_id is a
-response, others revisit it. The block of a response is an HTTP message in chunked
+Writing: every row is one record, with an id of its own. Of rows with equal payloads
+that of the smallest page_id is a response, those of other page_ids revisit it. The block of a response is an HTTP message in chunked
 transfer framing; a block over SEGMENT_BYTES is split into a first record and
 continuation records that name the first as their origin. Each task writes one
 file of gzip members.
@@ -10,8 +10,12 @@ Reading: each file is one stream of records. Whole records are decoded where the
 are read; segments are dealt by their origin, ordered by number within it, joined,
 checked against the total length that the last one states, and decoded.
 
-Null pages count as empty. Rows with the same page_id and payload are one record;
-rows without page_id stay apart by payload. An empty table gives no archive."""
+Null pages count as empty. Repeated rows are records of their own: those of the smallest
+page_id of a payload are all responses, and revisits refer to the first of them; rows
+without page_id are never the smallest, and all responses where no row of the payload
+has one. Very long pages are written and joined whole, one at a time; a page of
+several segments is the only thing that a task gathers. An empty table gives no
+archive. Only the three named columns are read, whatever else the table holds."""
 
 from __future__ import annotations
 
@@ -60,8 +64,10 @@ _RECORD_ARROW = pa.schema(
 )
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'page:{page_id}:{digest}')}>"
+def record_id(page_id: int | None, digest: str, copy: str = "") -> str:
+    """The id of a row's record. Rows of one page_id and payload are told apart by
+    ``copy``; revisits refer to the one where it is empty."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'page:{page_id}:{digest}{copy}')}>"
 
 
 def chunked(payload: bytes) -> bytes:
@@ -99,9 +105,9 @@ def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return pack.compress(raw) + pack.flush()
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, when: str) -> Iterator[bytes]:
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, copy: str, when: str) -> Iterator[bytes]:
     """The records of one page: a revisit, a response, or a response in segments."""
-    mine = record_id(page_id, digest)
+    mine = record_id(page_id, digest, copy)
     common = [("WARC-Date", when), ("WARC-Target-URI", "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "about:blank"))]
     common += [("WARC-Payload-Digest", f"sha256:{digest}")] + ([("X-Page-ID", str(page_id))] if page_id is not None else [])
     http = ("Content-Type", "application/http; msgtype=response")
@@ -137,22 +143,38 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]
         yield headers, block
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Rows that share page_id and payload, counted by their url and made anew with
+    what tells them apart: nothing for one of each page_id and payload."""
+    key = ["page_id", "digest"]
+    counted = rows.groupBy(*key, "url", "first_id").agg(F.min("html").alias("html"), F.count("*").alias("n"))
+    order = F.struct(F.col("url").isNull().alias("none"), "url")
+    lead = counted.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.min(order).alias("lead"))
+    both = counted.join(lead, F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.col("digest") == F.col("_digest")))
+    both = both.select(*key, "url", "html", "first_id", F.col("url").eqNullSafe(F.col("lead.url")).alias("lead"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    told = F.concat(F.lit(":"), F.col("k").cast("string"), F.when(F.col("url").isNull(), "").otherwise(F.concat(F.lit(":"), "url")))
+    return both.repartition("digest", "k").select("page_id", "url", "html", "digest", "first_id", F.when(F.col("lead") & (F.col("k") == 1), "").otherwise(told).alias("copy"))
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[str]:
     """Writes the archives; returns the paths, one entry a file."""
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
+        F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html")
     ).withColumn("digest", F.sha2("html", 256))
-    slim = rows.select("page_id", "digest", F.octet_length("html").alias("n"))
-    firsts = slim.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 AND first_id IS NOT NULL")
-    again = (
-        slim.join(firsts.select("digest", "first_id"), "digest")
-        .where(~F.col("page_id").eqNullSafe(F.col("first_id")))
-        .select("page_id", "digest", "first_id").distinct()
-    )
-    joined = (
-        rows.alias("r").join(again.alias("a"), F.col("r.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("r.digest") == F.col("a.digest")), "left")
-        .select("r.page_id", "r.url", "r.html", "r.digest", "a.first_id")
-    )
+    # What is told about pages that share their payload or their id: a row for each
+    # (page_id, payload), so that neither copies nor repeated rows meet in one task.
+    each = rows.select("page_id", "digest", F.octet_length("html").alias("n")).groupBy("page_id", "digest").agg(F.first("n").alias("n"), F.count("*").alias("rows"))
+    each = written(each, "warc-pages")
+    firsts = each.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("ids"), F.first("n").alias("n"))
+    firsts = written(firsts.where((F.col("n") >= LEAST_REVISIT) & (F.col("ids") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id"), "warc-firsts")
+    told = each.join(firsts, "digest", "left").withColumn("first_id", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")))
+    told = written(told.where("first_id IS NOT NULL OR rows > 1").select("page_id", "digest", "first_id", "rows"), "warc-told")
+    same = F.col("r.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("r.digest") == F.col("a.digest"))
+    own = ["r.page_id", "r.url", "r.html", "r.digest", "a.first_id"]
+    joined = rows.alias("r").join(told.alias("a"), same, "left").where("a.rows IS NULL OR a.rows = 1").select(*own, F.lit("").alias("copy"))
+    repeated = told.where("rows > 1")
+    if repeated.limit(1).count():
+        joined = joined.unionByName(_repeated(rows.alias("r").join(repeated.alias("a"), same).select(*own)))
     when = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +184,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         draft, n = f"{at}/.{name}.{uuid.uuid4().hex[:8]}", 0
         with fs.open_output_stream(draft) as sink:
             for batch in batches:
-                columns = [batch.column(i) for i in range(5)]
-                for page_id, url, html, digest, first in zip(*columns):
-                    for data in page_records(page_id.as_py(), url.as_py(), html.as_py().encode("utf-8", "surrogatepass"), digest.as_py(), first.as_py(), when):
+                columns = [batch.column(i) for i in range(6)]
+                for page_id, url, html, digest, first, copy in zip(*columns):
+                    for data in page_records(page_id.as_py(), url.as_py(), html.as_py().encode("utf-8", "surrogatepass"), digest.as_py(), first.as_py(), copy.as_py(), when):
                         sink.write(data)
                         n += 1
         if n:
