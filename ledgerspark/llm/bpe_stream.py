@@ -7,7 +7,10 @@ that far before the window's end: they are stable. Decoding is an incremental
 state machine from token bytes to text.
 
 Null texts count as empty; an empty text has no tokens. Repeated rows give
-repeated results. Texts of any length pass in pieces of bounded size."""
+repeated results. Texts of any length pass in pieces of bounded size. An empty table
+gives no rows. Other columns pass unchanged, whatever their names; one that has the
+name of the result is replaced. Ids are unpacked in the byte order of the machine,
+little-endian."""
 
 from __future__ import annotations
 
@@ -193,34 +196,33 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in (vocab | self.special).items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.shown = {i: " " + t for i, t in self.token.items()}
+        self.shown = {i: b" " + t.encode() for i, t in self.token.items()}
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _word(self, unit: str) -> tuple[bytes, bytes]:
-        """Ids and spaced tokens of a stretch between white space, remembered."""
+    def _word(self, unit: str) -> bytes:
+        """Ids of a stretch between white space, remembered."""
         if len(unit) > 1 and unit[-1] in ",." and unit[:-1].isalpha():
-            (a, b), (c, d) = (self.known.get(u) or self._word(u) for u in (unit[:-1], unit[-1]))
-            out = a + c, b + d
+            a, b = (self.known.get(u) or self._word(u) for u in (unit[:-1], unit[-1]))
+            out = a + b
         else:
             ids: list[int] = []
             for run in [unit] if unit.isalpha() else self.words.findall(unit):
                 ids.extend(self.merges.stream(run.encode()))
-            out = struct.pack(f"<{len(ids)}I", *ids), "".join([self.shown[i] for i in ids]).encode()
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(unit) <= 64:
             if len(self.known) >= MEMORY_WORDS:
                 self.known.clear()
             self.known[unit] = out
         return out
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, bytes]]:
-        """Ids and spaced tokens of the text, a bounded stretch at a time."""
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Ids of the text, a bounded stretch at a time."""
         parts = self.at_special.split(text) if self.at_special and "<" in text else [text]
         for part in parts:
             if part in self.special:
-                i = self.special[part]
-                yield struct.pack("<I", i), b" " + self.token[i].encode()
+                yield struct.pack("<I", self.special[part])
                 continue
             for piece in [part] if len(part) <= PIECE_CHARS else (m[0] for m in _PIECE.finditer(part)):
                 if not piece.isascii():
@@ -228,26 +230,36 @@ class WordBpe:
                 piece = piece.lower()
                 units = _SPACES.split(piece) if _SEPARATORS.search(piece) else piece.split()
                 known, word = self.known.get, self._word
-                pairs = [known(u) or word(u) for u in units if u]
-                if pairs:
-                    yield b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
+                found = [known(u) or word(u) for u in units if u]
+                if found:
+                    yield b"".join(found)
 
     def encode(self, text: str) -> list[int]:
-        data = b"".join(ids for ids, _ in self.pieces(text))
+        data = b"".join(self.pieces(text))
         return list(struct.unpack(f"<{len(data) // 4}I", data))
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decoding(self.token[i].encode() for i in ids))
+        state = Decoding(self.shown)
+        return state.feed(ids) + state.end()
 
-    @staticmethod
-    def decoding(tokens: Iterable[bytes], between: bytes = b" ") -> Iterator[str]:
-        """Text of a stream of token bytes: a state machine that keeps at most the
-        three bytes of a character begun; what can't be text becomes U+FFFD."""
-        state, first = codecs.getincrementaldecoder("utf-8")("replace"), True
-        for token in tokens:
-            yield state.decode(token if first else between + token)
-            first = False
-        yield state.decode(b"", True)
+
+class Decoding:
+    """Text of a stream of ids: a state machine over the bytes of their tokens, a space
+    before each but the first. Between calls it keeps whether a token has been, and at
+    most the three bytes of a character begun; what can't be text becomes U+FFFD."""
+
+    def __init__(self, shown: dict[int, bytes]) -> None:
+        self.shown, self.state, self.begun = shown, codecs.getincrementaldecoder("utf-8")("replace"), False
+
+    def feed(self, ids: Iterable[int]) -> str:
+        """The text that is certain after these ids."""
+        data = b"".join(map(self.shown.__getitem__, ids))
+        if data and not self.begun:
+            data, self.begun = data[1:], True
+        return self.state.decode(data)
+
+    def end(self) -> str:
+        return self.state.decode(b"", True)
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -268,10 +280,9 @@ def encode_column(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
         bpe = tokenizer(tokenizer_path)
 
         def one(text: str | None) -> tuple[int, bytes, str]:
-            both = list(bpe.pieces(text or ""))
-            ids = b"".join(a for a, _ in both)
-            state = codecs.getincrementaldecoder("utf-8")("replace")
-            return len(ids) // 4, ids, "".join(state.decode(b) for _, b in both)[1:]
+            ids = b"".join(bpe.pieces(text or ""))
+            back = Decoding(bpe.shown)
+            return len(ids) // 4, ids, back.feed(memoryview(ids).cast("I")) + back.end()
 
         return one
 
@@ -286,14 +297,13 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
         bpe = tokenizer(tokenizer_path)
 
         def one(text: str | None) -> tuple[int, str, str]:
-            n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-            state = codecs.getincrementaldecoder("utf-8")("replace")
-            for a, b in bpe.pieces(text or ""):
-                ids.update(a)
-                back.update(state.decode(b if n else b[1:]).encode())
-                n += len(a) // 4
-            back.update(state.decode(b"", True).encode())
-            return n, ids.hexdigest(), back.hexdigest()
+            n, digest, text_digest, back = 0, hashlib.sha256(), hashlib.sha256(), Decoding(bpe.shown)
+            for ids in bpe.pieces(text or ""):
+                n += len(ids) // 4
+                digest.update(ids)
+                text_digest.update(back.feed(memoryview(ids).cast("I")).encode())
+            text_digest.update(back.end().encode())
+            return n, digest.hexdigest(), text_digest.hexdigest()
 
         return one
 
