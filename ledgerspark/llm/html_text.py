@@ -1,23 +1,27 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped to lines, one for each block element; what belongs to menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
-keeps its lines but loses its text. Tags without text between them make no line. The
-text lengths are summed over sliding windows of lines. Text begins where the sum
-surges and ends where it dives to nothing, which takes a window of lines that aren't
-text. All text between the first surge and the last dive is kept, whole.
-
-Where the page marks its article, the article is taken by its tags: its lines are the
-text, and any of them makes a surge. Elsewhere a surge needs a window of SURGE
-characters. There, lines that are mostly links count as empty unless they have SURGE
-other characters; between lines of a surge they are kept.
-
-Null pages count as empty: an empty text. Unclosed and crossing tags are allowed.
-Repeated rows give repeated results."""
+Markup is stripped to lines, one for each block element. A line's size is its length
+times a weight that the markup gives it: nothing in menus, headers, footers, sidebars,
+notices, adverts, forms, comments, scripts and styles, and for lines that are mostly
+links; where the page marks its article, SURGE inside it and nothing outside. Tags
+without text between them make no line. Sizes are summed over sliding windows of WINDOW
+lines. Text dives where a window's sum is nothing, so what lies between two dives is
+a stretch; a stretch in which some window surges, to SURGE or the page's largest sum,
+is text, and is kept whole: its short lines too, and its lines of links. Between the
+first and the last such stretch every line with a size stays.
+
+So a marked article is all text, as each of its lines surges, and its tags do most of
+the work there. On other pages the sums alone tell text from what is between.
+
+Null and empty pages have an empty text. Unclosed and crossing tags are allowed. Very
+long pages are read whole, in time proportional to their length for well-formed tags.
+Repeated rows give repeated results; an empty table gives no rows. Other columns pass
+unchanged, whatever their names; one that has the name of the result is replaced."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,8 +30,7 @@ from pyspark.sql import types as T
 
 from ledgerspark.llm.common import with_text_struct
 
-#: Lines of a window; characters of a window that begin the text of a page
-#: without a marked article.
+#: Lines of a window; the sum over a window that makes a stretch text.
 WINDOW, SURGE = 3, 80
 
 BLOCKS = frozenset(
@@ -37,17 +40,21 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't markup and not text.
 RAW = frozenset("script style noscript template textarea title svg iframe object".split())
+#: Of these, what takes the rest of the page if it isn't closed.
+CODE = frozenset("script style".split())
 #: Elements whose text isn't the article's.
 ASIDE = frozenset("nav header footer aside form menu button select dialog head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-#: Words in a class or id that mark what isn't the article.
+#: Words of a class or id that mark what isn't the article: first or last of the words
+#: of one name, or only last (a form for search, but not what is said of search engines).
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar\w*|side|aside|"
-    r"comment\w*|disqus|repl(?:y|ies)|respond|notice\w*|cookie\w*|consent|gdpr|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|"
-    r"related|recommend\w*|widget\w*|toolbar|pagination|pager|form|search)(?:$|[\s_-])",
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|masthead|footer|sidebar\w*|aside|comments?|disqus|cookie\w*|consent|gdpr|"
+    r"popup|modal|overlay|newsletter|subscri\w*|signup|share|sharing|social|related|recommend\w*|widget\w*|toolbar|pagination|pager",
     re.I,
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+LAST_MARKS = re.compile(r"header|side|repl(?:y|ies)|respond|notices?|alerts?|login|form|search", re.I)
+_WORDS = re.compile(r"[_-]+")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 #: One attribute after the other from the start of the tag: its whole name and its value.
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+)))?""")
 #: An element that a start tag of the same kind closes.
@@ -65,14 +72,21 @@ def is_marked(attributes: str) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES):
             return True
-        if name in ("class", "id") and MARKS.search(value):
+        if name in ("class", "id") and any(map(names_aside, value.split())):
             return True
     return False
 
 
+def names_aside(name: str) -> bool:
+    words = [w for w in _WORDS.split(name) if w]
+    return bool(words) and any(MARKS.fullmatch(w) for w in (words[0], words[-1])) or bool(words and LAST_MARKS.fullmatch(words[-1]))
+
+
 def lines(page: str) -> Iterator[tuple[str, bool, bool, float]]:
     """The page's lines: text, whether aside, whether in an article, share of links."""
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is aside
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
     aside = article = link = 0
     parts: list[str] = []
     linked = 0
@@ -105,54 +119,77 @@ def lines(page: str) -> Iterator[tuple[str, bool, bool, float]]:
             parts.append(" ")
             continue
         if closing:
-            if any(x == name for x, _ in stack):
+            if opened[name]:
                 while stack:
                     x, out = stack.pop()
+                    opened[x] -= 1
                     aside -= out
                     article -= x in ("article", "main")
                     link -= x == "a"
                     if x == name:
                         break
             continue
-        if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
         if name in VOID or m[3].endswith("/"):
             continue
+        if name in RAW:
+            close = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            elif name in CODE:
+                at = n
+            else:
+                unclosed.add(name)
+            continue
         while stack and name in _SIBLING and stack[-1][0] in _SIBLING[name]:
-            aside -= stack.pop()[1]
+            x, was = stack.pop()
+            opened[x] -= 1
+            aside -= was
         out = (name in ASIDE and not (name == "header" and article > 0)) or is_marked(m[3])
         out = out and name not in ("html", "body", "article", "main")
         stack.append((name, out))
+        opened[name] += 1
         aside += out
         article += name in ("article", "main")
         link += name == "a"
     yield flush(aside > 0, article > 0)
 
 
+def sized(found: list[tuple[str, bool, bool, float]]) -> list[float]:
+    """Sizes of lines: their length by the weight that the markup gives them."""
+    marked = any(inside and not aside for _, aside, inside, _ in found)
+    out = []
+    for text, aside, inside, share in found:
+        own = len(text) if share < 0.5 or (1 - share) * len(text) >= SURGE else 0
+        out.append(0 if aside else (len(text) * SURGE if inside else 0) if marked else own)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The text between surge and dive points, one line per block."""
     found = [line for line in lines(page or "") if line[0]]
-    marked = any(a and not out for _, out, a, _ in found)
-    texts = [t if not out and (a or not marked) else "" for t, out, a, _ in found]
-    sizes = [len(t) if marked or share < 0.5 or (1 - share) * len(t) >= SURGE else 0 for t, (*_, share) in zip(texts, found)]
-    surge = 1 if marked else min(SURGE, max(sizes, default=1) or 1)
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
+    sizes = sized(found)
+    n, sums, total = len(sizes), [], 0
+    for i, size in enumerate(sizes):  # of the windows that end at each line
+        total += size - (sizes[i - WINDOW] if i >= WINDOW else 0)
+        sums.append(total)
+    surge = min(SURGE, max(sums, default=0))
     kept: set[int] = set()
-    inside = begun = False
-    for i, total in enumerate(sums):
-        if not inside and total >= surge:
-            inside, begun = True, False
-        if inside and total == 0:
-            inside = False
-        begun = begun or sizes[i] > 0
-        if inside and begun and texts[i]:
-            kept.add(i)
-    if not kept:
-        return ""
-    first, last = min(kept), max(kept)
-    return "\n".join(texts[i] for i in range(first, last + 1) if i in kept or sizes[i])
+    at = 0
+    while at < n:
+        if not sizes[at]:
+            at += 1
+            continue
+        end, top, last = at, 0, at
+        while end < n and (end - last < WINDOW):  # WINDOW lines of no size are a dive
+            if sizes[end]:
+                last = end
+            top = max(top, sums[end])
+            end += 1
+        if top >= surge:
+            marked = sizes[at] >= SURGE * len(found[at][0])
+            kept.update(i for i in range(at, last + 1) if sizes[i] or not (found[i][1] or marked))
+        at = max(end, last + 1)
+    return "\n".join(found[i][0] for i in range(min(kept), max(kept) + 1) if i in kept or sizes[i]) if kept else ""
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", out: str = "main") -> DataFrame:
