@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -79,6 +80,81 @@ def test_distance(spark):
     assert got[0] == pytest.approx(1) and got[1] == pytest.approx(0) and got[2] is None
 
 
+def plain_distance(p, q):
+    import math
+
+    if not sum(p) or not sum(q):
+        return None
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    kl = lambda a, m: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
+    m = [(x + y) / 2 for x, y in zip(p, q)]
+    return math.sqrt(max(0.0, (kl(p, m) + kl(q, m)) / 2))
+
+
+def test_quality_against_plain_distances(spark):
+    """References, distances and verdicts of the small table, histograms made char by
+    char and word by word."""
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    common = {w: i for i, w in enumerate(quality.WORDS)}
+
+    def histograms(text):
+        classes, words = [0] * len(quality.CLASSES), [0] * (len(quality.WORDS) + 1)
+        for c in text or "":
+            classes[quality._class_of(c.encode()[0])] += 1
+        for w in quality.words_of(text or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), w.strip(".,;:!?\"'()[]"))
+            words[common.get(w, -1)] += 1
+        return classes, words
+
+    by, refs = {r.doc_id: histograms(r.text) for r in docs}, {}
+    for r in docs:
+        if len(quality.words_of(r.text or "")) >= quality.LEAST_WORDS and len(r.text) >= quality.LEAST_CHARS:
+            ref = refs.setdefault(r.lang, [0, [0] * len(quality.CLASSES), [0] * (len(quality.WORDS) + 1)])
+            ref[0] += 1
+            for mine, more in zip(ref[1:], by[r.doc_id]):
+                mine[:] = [a + b for a, b in zip(mine, more)]
+    got, judged = {r.doc_id: r for r in queries.op1_quality_rules(spark, SF).collect()}, 0
+    for r in docs:
+        x, (classes, words), ref = got[r.doc_id], by[r.doc_id], refs.get(r.lang, [0, [], []])
+        want = [None] * 3
+        if x.n_words >= quality.LEAST_WORDS and x.word_chars >= quality.LEAST_CHARS and ref[0] >= quality.LEAST_DOCS:
+            pair = lambda h: [sum(h[:-1]), h[-1]]
+            want = [plain_distance(classes, ref[1]), plain_distance(words[:-1], ref[2][:-1]), plain_distance(pair(words), pair(ref[2]))]
+            judged += 1
+        for mine, plain in zip((x.class_distance, x.word_distance, x.share_distance), want):
+            assert (mine is None) == (plain is None) and (plain is None or abs(mine - plain) < 1e-9), r.doc_id
+        far = any(d is not None and d > most for d, most in zip(want, (quality.MOST_CLASS, quality.MOST_WORD, quality.MOST_SHARE)))
+        assert x.kept == (not plain_quality(r.text)[5] and not far)
+    assert judged > 50
+
+
+def test_quality_clashing_names(spark):
+    """Columns of any name pass; the pipeline's stages take whole rows."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ("n_docs", "ref_words", "ref_classes", "_lang", "_c", "_w", "quality", "_quality", "_scan", "_reference", "_distances", "t1", "t2", "_jj_id", "component", "k x")
+    wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_duplicates, corpus_pipeline.decontaminated, corpus_pipeline.secrets_masked):
+        left = stage(spark, wide, SF)
+        assert left.columns == wide.columns
+        rows = left.collect()
+        assert rows and all(list(r)[5:] == list(range(len(names))) for r in rows)
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, docs, SF).collect()}
+    assert corpus_pipeline.tokens(spark, wide, SF).columns == corpus_pipeline.tokens(spark, docs, SF).columns
+
+
+def test_pipeline_odd_rows(spark):
+    """Each stage on awkward rows, and on none."""
+    import corpus_pipeline
+
+    docs = odd_docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        n = stage(spark, docs, SF).count()
+        assert n == len(ODD) + 2 if name in ("secret scans", "BPE encoding", "benchmark decontamination") else n <= len(ODD) + 2, name
+
+
 def test_quality_rejects_wrong_language_and_lists(spark):
     """Labelled clean rows of their own language are kept; the same texts under another
     language, and lists of uncommon words, are not."""
@@ -255,6 +331,44 @@ def test_warc_round_trip(spark):
     assert warc.dechunked(warc.chunked(b"x" * 20_001)) == b"x" * 20_001
 
 
+def test_warc_keeps_every_row(spark):
+    """Repeated rows, rows without an id, and copies of either are a record each, with an
+    id of its own; revisits refer to a record that is there."""
+    page, other = "<p>the same page " * 20, "<p>another page " * 20
+    rows = [(1, "a", page), (1, "a", page), (1, "b", page), (1, None, page), (2, "c", page), (2, "c", page), (None, "d", page), (None, "d", page)]
+    rows += [(None, "x", other), (None, "y", other), (None, "x", other), (3, "s", "short"), (3, "s", "short"), (4, None, None), (4, None, None)]
+    paths = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), shared_dir(spark, "every-row"))
+    found = warc.read_records(spark, paths).collect()
+    assert len(found) == len(rows) and len({r.origin_id for r in found}) == len(rows)
+    assert {r.refers_to_id for r in found if r.record_type == "revisit"} <= {r.origin_id for r in found if r.page_id == 1}
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.read_warc(spark, paths).collect())
+    kind = lambda i, t: ("revisit", 1) if t == page and i != 1 else ("response", 0)
+    assert got == sorted((i or 0, len(t or ""), *kind(i, t)) for i, _, t in rows)
+
+
+def test_bpe_digests(spark):
+    """Every row of the small table, and odd ones, against the library."""
+    lib = Tokenizer.from_file(WORD)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd_docs(spark).select("doc_id", "text"))
+    rows = bpe_stream.encode_digests(docs, WORD).collect()
+    assert len(rows) == 200 + len(ODD) + 2
+    for row in rows:
+        ids = lib.encode(row.text or "", add_special_tokens=False).ids
+        want = len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(lib.decode(ids, skip_special_tokens=False))
+        assert tuple(row.bpe) == want, row.doc_id
+
+
+def test_decoding_holds_partial_characters():
+    """Bytes of one character may come in several tokens, in calls of their own."""
+    data = "é 👍🏽 ok ".encode()
+    state = bpe_stream.Decoding({i: b" " + bytes([b]) for i, b in enumerate(data)})
+    state.shown = {i: bytes([b]) for i, b in enumerate(b" " + data)}
+    out = [state.feed([i]) for i in range(len(data) + 1)]
+    assert "".join(out) + state.end() == data.decode() and "" in out[2:]
+    broken = bpe_stream.Decoding({0: b" \xf0\x9f"})
+    assert broken.feed([0]) == "" and broken.end() == "\ufffd"
+
+
 def test_bpe(spark):
     lib = Tokenizer.from_file(WORD)
     r = random.Random(3)
@@ -339,6 +453,9 @@ def test_secrets(spark):
     docs = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string")
     for row in secrets.find_secrets(docs).collect():
         assert row.secrets.base_sha256 == sha(plain_secrets(row.text)), row.text
+        spans = [(m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, row.text or "") if m.end(r.group) - m.start(r.group) >= r.least]
+        assert row.secrets.spans == secrets.listed(sorted(spans))
+        assert list(row.secrets)[:3] == [sum(k == b for _, k, _ in spans) for b in range(3)]
     masked = secrets.without_secrets(odd_docs(spark)).collect()
     assert masked[13].text.startswith("[assign] Token: 'abc'") and masked[0].text is None and masked[15].text == "same same same"
     assert not secrets.trigram_query(secrets.RULES[2].pattern).trigrams()
@@ -439,6 +556,31 @@ def test_html_marking_attributes(tag):
     assert html_text.main_text(f"<article><{tag}>Not text.</div><p>More.</article>") == "More."
 
 
+def test_html_windows_decide(spark, monkeypatch):
+    """The sample pages' articles come back by the distribution alone, without their
+    tags; and it is the windows that keep short lines and leave out what lies apart."""
+    text, n = html_text.main_text, 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r.html)) == text(r.html)
+    long = ("Sentence of the story that goes on for a while, longer than a menu. " * 3).strip()
+    gap = "<div class=ad><p>Buy</p><p>this</p><p>now</p></div>"
+    page = f"<p>Apart before</p>{gap}<h2>Title</h2><p>{long}</p><p>End.</p>{gap}<p>Apart after</p>"
+    assert text(page) == f"Title\n{long}\nEnd."
+    monkeypatch.setattr(html_text, "WINDOW", 100)
+    assert text(page) == f"Apart before\nTitle\n{long}\nEnd.\nApart after"
+
+
+def test_html_loses_nothing():
+    text = html_text.main_text
+    for tag in ("<svg/>", '<iframe src="x"/>', "<object data=x>", "<svg>", "<iframe>", "<template>", "<noscript/>"):
+        assert text(f"<article><p>a one</p>{tag}<p>b two</p></article>") == "a one\nb two", tag
+    assert text('<article><p>a</p><div id="search-engines"><p>b</p></div><div class="notice">n</div><div class="site-search">s</div></article>') == "a\nb"
+    assert text("<article><p>a</p><script>x</article>") == "a"
+    begun = time.time()
+    assert text("<b>" * 20_000 + "x" + "</q>" * 20_000 + "<svg>" * 20_000 + "<p>y") == "x\ny"
+    assert time.time() - begun < 5
+
+
 def test_sample_pages(spark):
     """The generator's articles come back whole: headings and paragraphs in order."""
     import html as H
