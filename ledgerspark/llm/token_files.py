@@ -10,7 +10,9 @@ Documents are dealt by ranges of doc_id, so shards follow each other in order of
 doc_id; each task encodes, packs and writes its own range in one pass.
 
 Null texts count as empty and hold the end id only. Rows with the same doc_id all
-stay, in order of their text; null ids come first. An empty table gives no shard."""
+stay, in order of their text; null ids come first. An empty table gives no shard. Very
+long texts are encoded whole, one at a time. Only the id and text columns are read,
+whatever else the table holds. What the driver collects is one row a shard."""
 
 from __future__ import annotations
 
@@ -18,11 +20,11 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,20 +33,61 @@ from pyspark.sql import types as T
 
 #: Ids of one sequence, and sequences of one batch.
 LENGTH, BATCH_ROWS = 2048, 128
-#: Distinct words whose ids a worker remembers before it starts anew.
-MEMORY_WORDS = 1_000_000
+#: Bytes of runs and ids that a worker remembers before it starts anew, what an entry
+#: takes besides its run, and characters of a run above which it isn't remembered.
+MEMORY_BYTES, ENTRY_BYTES, WORD_CHARS = 240_000_000, 200, 64
 #: Characters of the texts whose words are looked up together.
 GROUP_CHARS = 4_000_000
 
-#: Where white space other than one space between words makes splitting at spaces unsure.
-_IRREGULAR = re.compile(r" \s")
-_WORD_STARTS = re.compile(r"(?= \S)")
-#: Runs that the byte-level pattern always keeps apart: letters of every Unicode
-#: version, digits, marks but for the apostrophe (contractions), and a lone newline.
-_RUNS = re.compile(
-    r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01bf\u0400-\u0481\u048a-\u04ff]+"
-    r"| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|(?<!\s)\n(?!\s)"
-)
+#: Where a longer text may be cut.
+_CUT = re.compile(r"(?= [A-Za-z])")
+#: What the byte-level pattern keeps apart, by byte: letters, digits, marks but for the
+#: apostrophe (contractions), and a space, which goes with what follows. OTHER bytes and
+#: apostrophes leave their word whole.
+OTHER, LETTER, DIGIT, MARK, SPACE, NEWLINE, APOSTROPHE = range(7)
+
+
+def _kind(b: int) -> int:
+    c = chr(b)
+    if b >= 128 or b < 33:
+        return SPACE if c == " " else NEWLINE if c == "\n" else OTHER
+    return LETTER if c.isalpha() else DIGIT if c.isdigit() else APOSTROPHE if c == "'" else OTHER if b == 127 else MARK
+
+
+_KINDS = np.array([_kind(b) for b in range(256)], np.uint8)
+#: Characters of two bytes that every version of Unicode has as letters.
+_PAIRS = np.zeros(1 << 16, bool)
+for _first, _last in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x1BF), (0x400, 0x481), (0x48A, 0x4FF)):
+    for _c in range(_first, _last + 1):
+        _PAIRS[int.from_bytes(chr(_c).encode(), "big")] = True
+
+
+def run_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places where the pattern surely begins a new unit in UTF-8 texts that lie one
+    behind the other; starts: where each begins. Words begin at a space before a letter,
+    digit, mark or apostrophe; a word of nothing but runs of one kind, with newlines that
+    have no white space beside them, is cut into its runs."""
+    n = len(data)
+    kind = _KINDS[data]
+    lead = np.flatnonzero(data[:-1] >= 0xC3)
+    lead = lead[_PAIRS[data[lead].astype(np.int64) << 8 | data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = LETTER
+    first = np.unique(starts[starts < n])
+    after, before = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    after[:-1], before[1:] = kind[1:], kind[:-1]
+    after[first[1:] - 1], before[first] = OTHER, OTHER
+    word = (kind == SPACE) & (after != OTHER) & (after != SPACE) & (after != NEWLINE)
+    word[first] = True
+    blank = lambda k: (k == SPACE) | (k == NEWLINE)
+    next_word = np.zeros(n, bool)
+    next_word[:-1] = word[1:]
+    alone = ~blank(before) & (~blank(after) | next_word)
+    odd = (kind == OTHER) | (kind == APOSTROPHE) | ((kind == SPACE) & ~word) | ((kind == NEWLINE) & ~alone)
+    number = np.cumsum(word, dtype=np.int32) - 1
+    whole = np.zeros(int(number[-1]) + 1, bool)
+    whole[number[odd]] = True
+    return np.flatnonzero(word | ((kind != before) & (before != SPACE) & ~whole[number]))
+
 
 SHARDS = "shard int, path string, n_docs long, n_ids long"
 INDEX = T.StructType(
@@ -61,9 +104,8 @@ INDEX = T.StructType(
 
 class ByteBpe:
     """The tokenizers library with a memory of words. The byte-level pattern never
-    joins text across a space before a character that isn't white space, so a
-    text's ids are those of its words, each with the space before it; a word's are
-    those of its runs of letters, digits and marks."""
+    joins text across a space before a character that isn't white space, nor across the
+    edges of runs of letters, digits and marks, so a text's ids are those of its runs."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -73,52 +115,62 @@ class ByteBpe:
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _marked(self, text: str) -> str | None:
-        """The text with a null character between words; None if it must stay whole."""
-        if "\0" in text or any(t in text for t in self.special):
-            return None
-        return "\0".join(_WORD_STARTS.split(text)) if _IRREGULAR.search(text) else text.replace(" ", "\0 ")
-
-    @staticmethod
-    def _runs(word: str) -> list[str]:
-        runs = _RUNS.findall(word)
-        return runs if sum(map(len, runs)) == len(word) else [word]
-
-    def _learned(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that aren't known, most of which are known from then on."""
-        runs = {w: self._runs(w) for w in words}
-        new = [*{r for rs in runs.values() for r in rs if r not in self.known}]
-        found = {r: np.array(g.ids, self.dtype).tobytes() for r, g in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        whole = {w: b"".join([found[r] if r in found else self.known[r] for r in rs]) for w, rs in runs.items()}
-        if len(self.known) + len(found) + len(whole) > MEMORY_WORDS:
-            self.known.clear()
-        self.known.update(found)
-        self.known.update((w, ids) for w, ids in whole.items() if "\n" not in w)
-        return whole
+        self.held = 0
+
+    def _learned(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs that aren't known, most of which are known from then on."""
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        found = [array(code, g.ids).tobytes() for g in self.lib.encode_batch_fast(runs, add_special_tokens=False)]
+        for run, ids in zip(runs, found):
+            if len(run) <= WORD_CHARS:
+                self.known[run] = ids
+                self.held += ENTRY_BYTES + len(run)
+        return found
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each whole text, in the file's integer type. Each distinct word
+        """The ids of each whole text, in the file's integer type. Each distinct run
         of the texts is looked up once."""
-        marked = [self._marked(t) for t in texts]
-        words = pc.split_pattern(pa.array([m or "" for m in marked], pa.large_string()), "\0")
-        coded = words.flatten().dictionary_encode()
+        out = [None if len(t) <= 2 * GROUP_CHARS and not any(s in t for s in self.special) else self._alone(t) for t in texts]
+        column = pa.array([t if o is None else "" for t, o in zip(texts, out)], pa.large_string())
+        bounds = np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1]
+        if not bounds[-1]:
+            return [o or b"" for o in out]
+        data = column.buffers()[2]
+        cuts = run_starts(np.frombuffer(data, np.uint8)[: bounds[-1]], bounds[:-1])
+        runs = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, bounds[-1]).astype(np.int64)), data)
+        coded = runs.dictionary_encode()
         distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         ids = list(map(self.known.get, distinct))
-        if missed := {w for w, b in zip(distinct, ids) if b is None}:
-            new = self._learned(missed)
-            ids = [new[w] if b is None else b for w, b in zip(distinct, ids)]
+        missed = [i for i, b in enumerate(ids) if b is None]
+        for i, new in zip(missed, self._learned([distinct[i] for i in missed])):
+            ids[i] = new
+        if self.held > MEMORY_BYTES:
+            self.known.clear()
+            self.held = 0
         size = self.dtype.itemsize
         held = np.frombuffer(b"".join(ids), self.dtype)
         n = np.fromiter(map(len, ids), np.int64, len(ids)) // size
         first, n_at = (np.cumsum(n) - n)[at], n[at]
         ends = np.concatenate([[0], np.cumsum(n_at)])
         flat = held[np.repeat(first - ends[:-1], n_at) + np.arange(ends[-1])].tobytes()
-        cuts = (ends[words.offsets.to_numpy()] * size).tolist()
-        return [flat[a:b] if m is not None else self._plain(t) for t, m, a, b in zip(texts, marked, cuts, cuts[1:])]
+        places = (ends[np.searchsorted(cuts, bounds)] * size).tolist()
+        return [flat[a:b] if o is None else o for o, a, b in zip(out, places, places[1:])]
+
+    def _alone(self, text: str) -> bytes:
+        """Ids of a text that holds special tokens, by the library as it is, or of a
+        very long one, in stretches that end before a space and a letter."""
+        if any(s in text for s in self.special):
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        out, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + GROUP_CHARS)
+            end = cut.start() if cut else len(text)
+            if end - at > 2 * GROUP_CHARS:  # nowhere to cut it
+                out.append(np.array(self.lib.encode(text[at:end], add_special_tokens=False).ids, self.dtype).tobytes())
+            else:
+                out += self.encode_all([text[at:end]])
+            at = end
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
