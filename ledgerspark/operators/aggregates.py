@@ -199,11 +199,13 @@ def gate_report(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def weakest_class(objects: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The weakest class (A is strongest, U weakest) over an object's evidence."""
+    """The weakest class (A is strongest, U weakest) over an object's known evidence
+    and its own class, ``fallback_class``. Unknown evidence doesn't count."""
+    rank = lambda c: F.when(F.col(c) == "U", "Z").otherwise(F.col(c))
     each = objects.select("object_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence, "evidence_id")
-    rank = F.when(F.col("evidence_class") == "U", "Z").otherwise(F.col("evidence_class"))
-    worst = each.groupBy("object_id").agg(F.max(rank).alias("w"))
-    return worst.select("object_id", F.when(F.col("w") == "Z", "U").otherwise(F.col("w")).alias("evidence_class"))
+    worst = each.groupBy("object_id").agg(F.max(rank("evidence_class")).alias("_worst"))
+    both = objects.select("object_id", rank("fallback_class").alias("_own")).join(worst, "object_id", "left").select("object_id", F.greatest("_own", "_worst").alias("_rank"))
+    return both.select("object_id", F.when(F.col("_rank") == "Z", "U").otherwise(F.col("_rank")).alias("evidence_class"))
 
 
 def first_duplicate_wins(df: DataFrame, cols: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -132,8 +132,8 @@ def shared_parent_siblings(edges: DataFrame) -> DataFrame:
 
 
 def shingled(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n, gram): the distinct word k-grams of each text, hashed, with how many
-    the text has. Texts of fewer than k words have none."""
+    """(id, n, grams): the distinct word k-grams of each text, hashed, and how many the
+    text has. Texts of fewer than k words have none and are left out."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
     none = F.array().cast("array<bigint>")
 
@@ -141,29 +141,43 @@ def shingled(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
         return F.when(F.size(w) >= k, F.array_distinct(each)).otherwise(none)
 
-    return df.select(F.col(id_col).alias("id"), F.explode(F.array(bound(words, grams))).alias("g")).select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    each = df.select(F.col(id_col).alias("id"), F.explode(F.array(bound(words, grams))).alias("grams"))
+    return each.select("id", F.size("grams").alias("n"), "grams").where("n > 0")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, threshold: float = 0.12) -> DataFrame:
     """Pairs (earlier, later) whose k-gram sets have a Jaccard similarity over
     the threshold, exactly, by an inverted index.
 
-    Texts with equal sets are one class: only one of each is indexed, so copies
+    Texts with equal sets are one class: only the first of each is indexed, so copies
     don't multiply candidates, and pairs come back between classes' first rows plus
-    each copy with its first row (similarity 1). Grams of a single class fall out
-    before the join."""
-    one = shingled(df, id_col, text_col, k)
-    sets = one.groupBy("id", "n").agg(F.sum(F.col("gram").cast("decimal(38,0)")).alias("s1"), F.bit_xor("gram").alias("s2"))
-    first = sets.withColumn("first", F.min("id").over(Window.partitionBy("n", "s1", "s2"))).select("id", "first")
-    copies = first.where("id <> first").select(F.col("first").alias("earlier"), F.col("id").alias("later"), F.lit(1.0).alias("similarity"))
-    index = one.join(first.where("id = first").select("id"), "id", "left_semi")
-    shared = index.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")
-    index = index.join(shared, "gram", "left_semi")
-    a, b = index.alias("a"), index.alias("b")
-    both = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")))
-    common = both.groupBy(F.col("a.id").alias("earlier"), F.col("b.id").alias("later"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("c"))
-    score = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return common.withColumn("similarity", score).where(F.col("similarity") > threshold).select("earlier", "later", "similarity").unionByName(copies)
+    each copy with its first row (similarity 1). A set needs only its rarest grams
+    in the index: a partner that shares more than t / (1 + t) of both sets' sizes, and
+    has at least t of this one's, can't be missed by the first n - floor(t * n) of
+    them. What many texts share, a notice or a boilerplate passage, is the most
+    frequent of each and mostly falls out, so it doesn't multiply candidates either."""
+    sets = shingled(df, id_col, text_col, k).repartition("id")  # one exchange, which all readers below reuse
+    total = F.aggregate("grams", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
+    parity = F.aggregate("grams", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    marked = sets.select("id", "n", total.alias("s1"), parity.alias("s2"))
+    firsts = marked.groupBy("n", "s1", "s2").agg(F.min("id").alias("first"))
+    copies = marked.join(firsts, ["n", "s1", "s2"]).where("id <> first").select(F.col("first").alias("earlier"), F.col("id").alias("later"), F.lit(1.0).alias("similarity"))
+    one = sets.join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
+    each = one.select("id", "n", F.explode("grams").alias("gram"))
+    shared = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(shared, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
+    # Grams of one class only are the rarest: they use up places of the first ones.
+    room = (F.col("n") - F.floor(F.lit(threshold) * F.col("n")) - (F.col("n") - F.size("ranked"))).cast("int")
+    sized = ranked.select("id", "n", F.transform("ranked", lambda x: x.gram).alias("grams"), F.greatest(room, F.lit(0)).alias("room"))
+    first = sized.select("id", "n", F.explode(F.slice("grams", F.lit(1), F.col("room"))).alias("gram"))
+    a, b = first.alias("a"), first.alias("b")
+    alike = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") > threshold * F.greatest("a.n", "b.n"))
+    near = a.join(b, alike).select(F.col("a.id").alias("earlier"), F.col("b.id").alias("later")).distinct()
+    left, right = (sized.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("grams").alias(f"of_{name}")) for name in ("earlier", "later"))
+    both = near.join(left, "earlier").join(right, "later")
+    common = F.size(F.array_intersect("of_earlier", "of_later"))
+    scored = both.withColumn("similarity", bound(common, lambda c: c / (F.col("n_earlier") + F.col("n_later") - c)))
+    return scored.where(F.col("similarity") > threshold).select("earlier", "later", "similarity").unionByName(copies)
 
 
 def plan_vs_registry(slots: DataFrame, produced: DataFrame) -> DataFrame:

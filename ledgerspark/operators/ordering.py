@@ -16,6 +16,12 @@ def page(df: DataFrame, order: Sequence[Column], limit: int | None = 20, offset:
     return df.orderBy(*order).offset(max(0, offset)).limit(min(100, max(1, 20 if limit is None else limit)))
 
 
+def page_with_total(df: DataFrame, order: Sequence[Column], limit: int | None = 20, offset: int = 0) -> DataFrame:
+    """K1: a page whose rows carry the count of all rows; the count is one row, so it is
+    broadcast."""
+    return page(df, order, limit, offset).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+
+
 def newest(df: DataFrame, by: str, order: Sequence[Column], n: int = 5) -> DataFrame:
     """K2: the newest n rows of each group; the window's limit cuts before the shuffle."""
     return df.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("position") <= n)
@@ -83,6 +89,34 @@ def manifest_equal(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return j.select(key, problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def union_typed(tables: dict[str, DataFrame], kind: str = "object_type") -> DataFrame:
+    """Rows of several tables under one schema, each with its type; columns that a
+    table lacks are null there."""
+    out = None
+    for name, table in tables.items():
+        part = table.withColumn(kind, F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def id_difference(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """Ids of one side only, each once, as missing or unexpected."""
+    gone = expected.select(key).distinct().join(actual.select(key), key, "left_anti").withColumn("problem", F.lit("missing"))
+    more = actual.select(key).distinct().join(expected.select(key), key, "left_anti").withColumn("problem", F.lit("unexpected"))
+    return gone.unionByName(more)
+
+
+def set_relation(a: Column, b: Column) -> Column:
+    """How two lists stand as sets: equal, contained (all of a in b), containing,
+    overlapping or disjoint. Nulls are empty lists, repeats count once."""
+    x, y = (F.array_distinct(F.coalesce(c, F.array())) for c in (a, b))
+    common = F.size(F.array_intersect(x, y))
+    return (
+        F.when((common == F.size(x)) & (common == F.size(y)), "equal").when(common == F.size(x), "contained")
+        .when(common == F.size(y), "containing").when(common > 0, "overlapping").otherwise("disjoint")
+    )
+
+
 def idempotent_append(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """The batch's rows whose id the target lacks, each id once."""
     return batch.dropDuplicates([key]).join(target.select(key), key, "left_anti")

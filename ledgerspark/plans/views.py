@@ -63,6 +63,12 @@ VIEWS: dict[str, tuple[str, str, str]] = {
         "CAST(o_orderkey AS STRING) AS storage_key, CAST(floor(o_totalprice) AS BIGINT) + o_orderkey % 3 AS size_bytes, CAST(o_custkey % 9 + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS STRING) AS sha256, o_orderdate AS modified_at",
         "o_orderkey % 5 <> 0",
     ),
+    "evidence": (
+        "part",
+        """p_partkey AS evidence_id, CASE WHEN p_retailprice < 1100 THEN 'A' WHEN p_retailprice < 1400 THEN 'C' WHEN p_retailprice < 1700 THEN 'D' ELSE 'U' END AS evidence_class,
+        'quote ' || p_name AS quote""",
+        "p_size > 25",
+    ),
     "predicted": ("documents", "doc_id, CASE WHEN n_chars > 300 THEN 1 ELSE 0 END AS quality", "TRUE"),
     "gold": ("labels", "doc_id, CAST(quality AS INT) AS quality", "TRUE"),
 }
