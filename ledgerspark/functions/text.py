@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,3 +61,48 @@ def statements(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row a sentence: (id, position from 0, statement); blank ones are left out."""
     parts = F.filter(F.transform(F.split(_col(text_col), r"(?<=[.!?…])[ \t\n\f\r]+"), lambda s: F.trim(s)), lambda s: s != "")
     return df.select(id_col, F.posexplode(parts).alias("position", "statement"))
+
+
+EDITS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_reference", "substitutions", "deletions", "insertions")])
+
+
+def edit_path(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of the shortest edit path; of several
+    that with the fewest substitutions, then deletions.
+
+    A path's counts are the digits of one number whose leading digit is the distance, so
+    the least number is the path asked for. A row of the table is one array: its
+    insertions are a running minimum."""
+    base = max(len(reference), len(hypothesis)) * 2 + 2
+    kind = np.int64 if base**4 < 2**62 else object
+    edit = base**3
+    substitution, deletion, insertion = edit + base**2, edit + base, edit + 1
+    of = {u: n for n, u in enumerate(dict.fromkeys([*reference, *hypothesis]))}
+    other = np.array([of[u] for u in hypothesis], np.int64)
+    along = np.arange(len(hypothesis) + 1).astype(kind) * insertion
+    row = along.copy()
+    for unit in reference:
+        new = row + deletion
+        step = np.where(other == of[unit], 0, substitution).astype(kind)
+        new[1:] = np.minimum(new[1:], row[:-1] + step)
+        row = np.minimum.accumulate(new - along) + along
+    left = int(row[-1]) % edit
+    return left // base**2, left // base % base, left % base
+
+
+def edit_counts(reference: Column | str, hypothesis: Column | str) -> Column:
+    """T4: a struct of n_reference, substitutions, deletions and insertions of two lists
+    of units (words or characters); null where either is. Arrow batches pass through
+    Python, as no built-in function splits the distance."""
+
+    @F.pandas_udf(EDITS)
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * 4 if x is None or y is None else (len(x), *edit_path(list(x), list(y))) for x, y in zip(a, b)]
+        return pd.DataFrame(rows, columns=EDITS.fieldNames())
+
+    return run(_col(reference), _col(hypothesis))
+
+
+def characters(text: Column | str) -> Column:
+    """The code points of a text."""
+    return F.filter(F.split(_col(text), ""), lambda c: c != "")

@@ -277,3 +277,13 @@ def entity_counts(entities: dict[str, DataFrame], by: str) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def error_rates(pairs: DataFrame, counts: str, by: Sequence[str] = ()) -> DataFrame:
+    """Errors of edit counts (a struct of text.edit_counts) and their rate by the
+    reference's units, at least one; overall, or for each group."""
+    part = lambda n: F.coalesce(F.sum(F.col(f"{counts}.{n}")), F.lit(0))
+    kinds = ("substitutions", "deletions", "insertions")
+    sums = pairs.groupBy(*by).agg(F.count("*").alias("n_pairs"), part("n_reference").alias("n_reference"), *[part(k).alias(k) for k in kinds])
+    errors = sum((F.col(k) for k in kinds), F.lit(0))
+    return sums.withColumn("errors", errors).withColumn("rate", F.col("errors") / F.greatest(F.col("n_reference"), F.lit(1)))

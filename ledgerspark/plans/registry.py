@@ -321,6 +321,14 @@ query("U5_set_relation", "claims", lambda c: c.groupBy("recording_id").agg(
 FROM (SELECT recording_id, count(*) FILTER (a) AS na, count(*) FILTER (b) AS nb, count(*) FILTER (a AND b) AS both_ FROM (SELECT recording_id, x, bool_or(relationship_type <> 'spouse' AND x IS NOT NULL) AS a, bool_or(relationship_type <> 'sibling' AND x IS NOT NULL) AS b FROM (SELECT recording_id, relationship_type, object_person_id % 5 AS x FROM claims) GROUP BY 1, 2) GROUP BY 1)""")
 
 
+def edited(part: DataFrame) -> DataFrame:
+    return part.select("p_partkey", "p_brand", X.edit_counts(X.characters("p_name"), X.characters("p_type")).alias("e"))
+
+
+query("T4_edit_counts", "part", lambda p: edited(p).select("p_partkey", F.col("e.n_reference").alias("n_reference"), (F.col("e.substitutions") + F.col("e.deletions") + F.col("e.insertions")).alias("errors")), "SELECT p_partkey, length(p_name)::BIGINT AS n_reference, levenshtein(p_name, p_type)::BIGINT AS errors FROM part")
+query("A15_error_rate_report", "part", lambda p: A.error_rates(edited(p), "e", ["p_brand"]).select("p_brand", "n_pairs", "n_reference", "errors", F.round("rate", 9).alias("rate")), "SELECT p_brand, count(*) AS n_pairs, sum(length(p_name))::BIGINT AS n_reference, sum(levenshtein(p_name, p_type))::BIGINT AS errors, round(sum(levenshtein(p_name, p_type)) / greatest(sum(length(p_name)), 1), 9) AS rate FROM part GROUP BY 1")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

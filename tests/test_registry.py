@@ -144,3 +144,37 @@ def test_empty_inputs(spark):
     assert tuple(A.queue_health(jobs, F.expr("TIMESTAMP '2024-01-01 00:00:00'")).first()) == (0, 0, 0, 0, None, 0)
     none = spark.createDataFrame([], "k long")
     assert tuple(A.set_prf(none, none, ["k"]).first()) == (0, 0, 0, 1.0, 1.0, 1.0)
+
+
+def test_edit_counts(spark):
+    """Against a plain table of (distance, substitutions, deletions, insertions)."""
+    from ledgerspark.functions import text as X
+
+    def plain(a, b):
+        best = {(0, 0): (0, 0, 0, 0)}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = []
+                if i and j:
+                    d, s, e, n = best[i - 1, j - 1]
+                    ways.append((d, s, e, n) if a[i - 1] == b[j - 1] else (d + 1, s + 1, e, n))
+                if i:
+                    d, s, e, n = best[i - 1, j]
+                    ways.append((d + 1, s, e + 1, n))
+                if j:
+                    d, s, e, n = best[i, j - 1]
+                    ways.append((d + 1, s, e, n + 1))
+                best[i, j] = min(ways, default=(0, 0, 0, 0))
+        return best[len(a), len(b)][1:]
+
+    r = random.Random(8)
+    pairs = [("".join(r.choice("abc") for _ in range(r.randrange(9))), "".join(r.choice("abcd") for _ in range(r.randrange(9)))) for _ in range(300)]
+    pairs += [("", ""), ("a", ""), ("", "ab"), (None, "a"), ("kitten", "sitting"), ("я и он", "я  ион")]
+    df = spark.createDataFrame(list(enumerate(pairs)), "i long, p struct<a:string,b:string>")
+    got = df.select("i", X.edit_counts(X.characters("p.a"), X.characters("p.b")).alias("e"))
+    for row in got.collect():
+        a, b = pairs[row.i]
+        want = (None,) * 4 if a is None else (len(a), *plain(a, b))
+        assert tuple(row.e) == want if row.e is not None else a is None, (a, b)
+    total = A.error_rates(got, "e").first()
+    assert total.n_pairs == len(pairs) and total.rate == total.errors / total.n_reference
