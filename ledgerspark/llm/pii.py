@@ -6,7 +6,9 @@ both sides and checks it. Numbers (network addresses, cards, telephones) have no
 literal anchor but their first digit or plus sign and are grown from it by
 patterns that never look at a character twice.
 
-Null texts count as empty: no spans. Repeated rows give repeated results."""
+Null and empty texts have no spans. Repeated rows give repeated results. Very long texts
+are scanned whole, one at a time. An empty table gives no rows. Other columns pass
+unchanged, whatever their names; one that has the name of the result is replaced."""
 
 from __future__ import annotations
 
@@ -28,7 +30,7 @@ RESULT = T.StructType(
 )
 
 #: Words before an identifier; the identifier must be close behind.
-CUES = ("account", "acct", "iban", "passport", "ssn", "konto", "compte", "cuenta", "mailto:")
+CUES = ("account", "acct", "iban", "passport", "ssn", "konto", "compte", "cuenta")
 SCHEMES = ("http://", "https://", "ftp://")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,6 +39,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ACCOUNT = re.compile(r"(?:[ ]?(?:number|no|nr|id)\b\.?)?[ ]?[:#=]?[ ]?([A-Z]{0,2}[0-9](?:[ -]?[0-9A-Z]){5,33})")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 _USER_ADDRESS = re.compile(r"[a-z]++://(?:[^\s/@:]++:[^\s/@]++@[^\s/]++\S*+|[^\s/]++/(?:~|@|u/|user/|users/)\S++)")
 
 
@@ -84,11 +87,28 @@ def base_numbers(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
-def accounts_at(text: str, ends: list[int]) -> list[tuple[int, int]]:
-    """Identifiers close behind a cue, with at least six digits."""
+def sound_account(cue: str, found: str) -> bool:
+    """Whether an identifier passes what its kind is checked by: two letters and two
+    digits before eleven or more begin an IBAN, which is 1 modulo 97; a social security
+    number has nine digits, and areas, groups and serials that are given out; any other
+    has six digits or more."""
+    plain = found.replace(" ", "").replace("-", "")
+    digits = sum("0" <= c <= "9" for c in plain)
+    if _IBAN.fullmatch(plain):
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    if cue == "ssn":
+        return digits == len(plain) == 9 and plain[:3] not in ("000", "666") and plain[0] != "9" and plain[3:5] != "00" and plain[5:] != "0000"
+    return digits >= 6
+
+
+def accounts_at(text: str, cues: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """Identifiers close behind a cue that is a word of its own, if they pass their check."""
     out = []
-    for end in ends:
-        if (m := _ACCOUNT.match(text, end)) and sum(c.isdigit() for c in m[1]) >= 6:
+    for end, cue in cues:
+        start = end - len(cue)
+        if start and text[start - 1].isalnum():
+            continue
+        if (m := _ACCOUNT.match(text, end)) and sound_account(cue, m[1]):
             out.append(m.span(1))
     return out
 
@@ -106,7 +126,7 @@ def scanner() -> Callable[[str | None], dict[str, list[tuple[int, int]]]]:
             elif word in schemes:
                 starts.append(end + 1 - len(word))
             else:
-                cues.append(end + 1)
+                cues.append((end + 1, word))
         spans = {"email": emails_at(text, signs), **base_numbers(text)}
         spans["address"] = [m.span() for s in starts if (m := _USER_ADDRESS.match(text, s))]
         spans["account"] = sorted(set(accounts_at(text, cues)))

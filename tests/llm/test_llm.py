@@ -433,6 +433,15 @@ def test_pii(spark):
     assert "address:" in odd[14].pii.spans and "account:" in odd[14].pii.spans
 
 
+def test_accounts_are_checked():
+    scan = pii.scanner()
+    of = lambda t: [t[a:b] for a, b in scan(t)["account"]]
+    assert of("IBAN: DE44 5001 0517 5407 3249 31.") == ["DE44 5001 0517 5407 3249 31"] and of("iban DE44 5001 0517 5407 3249 32") == []
+    assert of("ssn 123-45-6789") == ["123-45-6789"] and of("SSN: 000-45-6789") == of("ssn 123456") == []
+    assert of("myssn 123-45-6789") == of("reaccount 1234567") == [] and of("account no: 1234567") == ["1234567"]
+    assert [x for x in scan("see http://u:p@h.example/x and http://h.example/x")["address"]] == [(4, 26)]
+
+
 def plain_secrets(text):
     out = []
     kinds = [
