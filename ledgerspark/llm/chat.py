@@ -6,12 +6,16 @@ precedes is text, and reading takes one backslash off. Each turn is rendered, re
 again and compared to its source; where they differ, its text gets one backslash
 before every control string and is read again. A turn that still differs would be
 an error, never a silent change. As turns are read independently of their
-neighbours, a conversation reads back if its turns do.
+neighbours, a conversation reads back if its turns do. One escape is enough: it
+leaves no control string without a backslash and adds exactly the one that reading
+takes off, so a second round could change nothing.
 
 Roles are percent-encoded in heads, so that any string can be one. Null roles and
 texts count as empty. Turns are in order of turn, role and text (null turns
 first); repeated rows are repeated turns. Rows without conv_id are one
-conversation, the null one. Other columns are ignored."""
+conversation, the null one. An empty table gives no rows. Very long texts are formatted
+whole; a conversation is one string, so its turns are gathered in one row. Other
+columns are ignored, whatever their names."""
 
 from __future__ import annotations
 

@@ -9,7 +9,9 @@ The benchmark is held in blocks of bounded size: what one block needs is sent to
 the workers, and a larger benchmark means more passes, never a larger automaton.
 
 Null texts have no words. Items without words match nothing. Repeated rows give
-repeated results. An empty benchmark leaves every document clean."""
+repeated results. An empty benchmark leaves every document clean; an empty table of
+documents gives no rows. Very long texts are scanned whole, one at a time. Other columns
+pass unchanged, whatever their names; one that has the name of the result is replaced."""
 
 from __future__ import annotations
 
