@@ -16,6 +16,23 @@ GROUNDED = ("A", "B", "C")
 #: Parts of a key that make its value sensitive, and keys that are safe.
 SENSITIVE = ("token", "secret", "password", "authorization", "cookie", "api_key", "apikey", "transcript", "text", "prompt")
 SAFE = ("input_tokens", "output_tokens", "cached_tokens", "total_tokens", "token_count")
+#: Keys of log records that are never redacted, and parts of keys that always are.
+LOG_SAFE = tuple(
+    """request_id job_id recording_id book_id chapter_number family_id trace_id worker_id attempt status_code duration_ms method route
+    service environment level timestamp logger backend size_bytes mime_type content_type content-type content_length content-length
+    user-agent host accept provider model operation error_code exception_class event retryable poll_interval_seconds lease_seconds
+    heartbeat_seconds chapters_total chapters_approved word_count target_word_count output_language stage format export_format
+    plan_version repair_attempts status""".split()
+)
+LOG_SENSITIVE = tuple(
+    """authorization cookie set-cookie token access_token refresh_token password secret api_key service_role_key signed_url transcript
+    prompt response_content story_content body audio_bytes email first_name last_name speaker_name story quote text content prose
+    draft_text final_text evidence_quote unresolved_question""".split()
+)
+#: Parts of keys that traces leave out.
+TRACE_SENSITIVE = ("api_key", "audio_path", "authorization", "body", "name", "prompt", "secret", "text", "token", "transcript")
+#: What tokens in the strings of log records look like, and what stands for them.
+LOG_TOKENS = ((r"(?i)Bearer\s+[A-Za-z0-9-_=.]+", "Bearer [REDACTED]"), (r"\beyJ[A-Za-z0-9-_]+\.eyJ[A-Za-z0-9-_]+\.[A-Za-z0-9-_]+\b", "[REDACTED_TOKEN]"))
 
 
 def present(c: Column | str) -> Column:
@@ -116,12 +133,12 @@ def masked_text(text: Column | str) -> Column:
     return F.regexp_replace(out, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[redacted]")
 
 
-def is_sensitive(key: Column) -> Column:
+def is_sensitive(key: Column, sensitive: Sequence[str] = SENSITIVE, safe: Sequence[str] = SAFE) -> Column:
     low = F.lower(key)
     some = F.lit(False)
-    for part in SENSITIVE:
+    for part in sensitive:
         some = some | low.contains(part)
-    return some & ~low.isin(*SAFE)
+    return some & ~low.isin(*safe) if safe else some
 
 
 def redact_map(df: DataFrame, col: str) -> DataFrame:
@@ -129,11 +146,23 @@ def redact_map(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.transform_values(col, lambda k, v: F.when(is_sensitive(k), F.lit("[redacted]")).otherwise(masked_text(v))))
 
 
-def trace_attributes(df: DataFrame, col: str, most: int = 256) -> DataFrame:
+def redact_log_map(df: DataFrame, col: str) -> DataFrame:
+    """P11 by the rules of log records: values whose trimmed key has a sensitive part,
+    unless it is a safe key, become [REDACTED]; tokens in all others are masked."""
+
+    def value(k: Column, v: Column) -> Column:
+        for pattern, mark in LOG_TOKENS:
+            v = F.regexp_replace(v, pattern, mark)
+        return F.when(is_sensitive(F.trim(k), LOG_SENSITIVE, LOG_SAFE), F.lit("[REDACTED]")).otherwise(v)
+
+    return df.withColumn(col, F.transform_values(col, value))
+
+
+def trace_attributes(df: DataFrame, col: str, most: int = 256, sensitive: Sequence[str] = SENSITIVE, safe: Sequence[str] = SAFE) -> DataFrame:
     """Keys trimmed, lower-cased and cut at 64; empty and sensitive ones drop;
     values cut. Keys that become equal keep the last value."""
     entries = F.transform(F.map_entries(col), lambda e: F.struct(F.substring(F.lower(F.trim(e.key)), 1, 64).alias("key"), F.substring(e.value, 1, most).alias("value")))
-    kept = F.filter(entries, lambda e: (e.key != "") & ~is_sensitive(e.key) & e.value.isNotNull())
+    kept = F.filter(entries, lambda e: (e.key != "") & ~is_sensitive(e.key, sensitive, safe) & e.value.isNotNull())
     keys = F.array_distinct(F.transform(kept, lambda e: e.key))
     last = F.transform(keys, lambda k: F.element_at(F.transform(F.filter(kept, lambda e: e.key == k), lambda e: e.value), -1))
     return df.withColumn(col, F.map_from_arrays(keys, last))

@@ -4,9 +4,7 @@ A query reads the given tables, or tables that views.py derives from them, whole
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import evidence as E
@@ -19,31 +17,9 @@ from ledgerspark.operators import predicates as P
 from ledgerspark.operators import reports as R
 from ledgerspark.sources import ledger as L
 from ledgerspark.streaming import windows as S
+from ledgerspark.plans.register import QUERIES, SQL, Query, now, now_events, query
 from ledgerspark.plans.views import NOW, NOW_EVENTS, split_columns, view, with_views
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def now():
-    return F.expr(NOW)
-
-
-def now_events():
-    return F.expr(NOW_EVENTS)
-
-
-
-def query(name: str, tables: str, run: Callable[..., DataFrame], sql: str | None = None) -> None:
-    """Registers a query over tables; ``sql`` may name them."""
-    names = tables.split()
-    QUERIES[name] = lambda spark, sf_dir: run(*[view(spark, sf_dir, t) for t in names])
-    if sql:
-        from ledgerspark.plans.views import VIEWS
-
-        SQL[name] = with_views(sql, *[t for t in dict.fromkeys(names) if t in VIEWS])
-
 
 def with_evidence(claims: DataFrame) -> DataFrame:
     return claims.withColumn("evidence_ids", F.when(F.col("evidence_id") % 4 > 0, F.array("evidence_id")).otherwise(F.array().cast("array<bigint>")))
@@ -330,8 +306,12 @@ query("A15_error_rate_report", "part", lambda p: A.error_rates(edited(p), "e", [
 
 
 def queries() -> dict[str, Query]:
+    from ledgerspark.plans import archive  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from ledgerspark.plans import archive  # noqa: F401
+
     return dict(SQL)

@@ -71,6 +71,29 @@ VIEWS: dict[str, tuple[str, str, str]] = {
     ),
     "predicted": ("documents", "doc_id, CASE WHEN n_chars > 300 THEN 1 ELSE 0 END AS quality", "TRUE"),
     "gold": ("labels", "doc_id, CAST(quality AS INT) AS quality", "TRUE"),
+    "remarks": (
+        "lineitem",
+        """l_orderkey * 10 + l_linenumber AS remark_id, l_orderkey AS recording_id, CASE l_partkey % 14 WHEN 0 THEN 'Он мне не не брат' WHEN 1 THEN 'Бывший муж'
+        WHEN 2 THEN 'они развелись' WHEN 3 THEN 'не моя сестра' WHEN 4 THEN 'он мне как родной брат' WHEN 5 THEN 'неродной брат' WHEN 6 THEN 'Нет; точнее: Асан'
+        WHEN 7 THEN 'Мать болела; больница; развод' WHEN 8 THEN 'самоубийство и суд' WHEN 9 THEN 'Алматы емес; Астана болуы керек' WHEN 10 THEN 'бұрынғы үй'
+        WHEN 11 THEN 'не вдова; но небрат' WHEN 12 THEN NULL ELSE 'No; rather' END || CASE l_suppkey % 3 WHEN 0 THEN '; ағасы емес.' WHEN 1 THEN ' death' ELSE '' END AS text""",
+        "TRUE",
+    ),
+    "surfaces": (
+        "lineitem",
+        """l_orderkey * 10 + l_linenumber AS mention_id, l_orderkey * 10 + l_linenumber AS position, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_suppkey % 7 + l_partkey % 40 END AS person_id,
+        l_orderkey AS recording_id, l_orderkey % 3 AS speaker_id, CASE WHEN l_linenumber % 2 = 0 THEN 'Person  ' ELSE 'person ' END || CAST(l_suppkey % 7 + l_partkey % 40 + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS STRING) AS name,
+        CASE WHEN l_partkey % 5 = 0 THEN 'Al ' || CAST(l_partkey % 30 AS STRING) ELSE '' END AS alias, 'Al ' || CAST(l_suppkey % 30 AS STRING) AS variant,
+        CASE WHEN l_quantity < 30 THEN 'unknown' WHEN l_quantity < 40 THEN 'family' ELSE 'friend' END AS category,
+        CASE WHEN l_discount > 0.05 THEN 'rel ' || CAST(l_linenumber AS STRING) END AS relation, l_suppkey % 2 AS family_id""",
+        "TRUE",
+    ),
+    "known_people": (
+        "customer",
+        """c_custkey AS person_id, 'Person ' || CAST(c_custkey AS STRING) AS canonical_name, 'al ' || CAST(c_custkey % 40 AS STRING) AS alias, 'AL ' || CAST(c_custkey % 25 AS STRING) AS verified,
+        CASE WHEN c_custkey % 2 = 0 THEN 'unknown' ELSE 'neighbour' END AS category, 'kin' AS relation, c_custkey % 2 AS family_id""",
+        "c_custkey % 3 <> 0",
+    ),
 }
 
 
