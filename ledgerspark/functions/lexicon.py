@@ -53,6 +53,19 @@ RELATION_STATES = [
 CORRECTION_CUES = ["жоқ", "дұрыс айтсам", "дұрысы", "дәлірек айтсам", "нақтырақ айтсам", "нет", "точнее", "вернее", "правильнее сказать", "no", "i mean", "rather"]
 CORRECTION_FRAME = ("емес", "болуы керек")
 
+# Letters that only Kazakh has, and function words of one language.
+LANGUAGE_LETTERS = {"kk": "әғқңөұүһі", "ru": ""}
+LANGUAGE_WORDS = {
+    "kk": """мен бен пен және бірақ сол бұл ол біз олар үшін кейін содан сосын ма ме ба бе па пе ғой қой деп керек бар жоқ менің оның
+    біздің сонда қазір""",
+    "ru": """и в на с со что как я мы он она они но потом же к по у за от до это был была были было не мне нас нам там тогда когда
+    очень ещё еще уже его её ее их тоже""",
+}
+
+# Marks around what is said.
+QUOTE_MARKS = ["«»", "“”", "„“", '""']
+LEAST_QUOTE = 5
+
 
 def inflection_stems(word: Column | str) -> Column:
     """The word and what is left of it without one or two endings, three letters at
@@ -121,6 +134,34 @@ def correction_cues(text: Column | str) -> Column:
     return F.array_compact(F.array(*[F.when(_has(flat, c), F.lit(c)) for c in CORRECTION_CUES], frame))
 
 
+def read_language(text: Column | str) -> Column:
+    """T5: a struct of the languages that a text shows, by letters or function words of one
+    language only, and what it is in: one of them, mixed, or unknown. Null shows none."""
+    flat = F.coalesce(F.lower(_col(text)), F.lit(""))
+    words = F.regexp_extract_all(flat, F.lit(r"\p{L}+"), F.lit(0))
+    shown = []
+    for code in sorted(LANGUAGE_WORDS):
+        seen = F.arrays_overlap(words, F.array(*[F.lit(w) for w in LANGUAGE_WORDS[code].split()]))
+        if LANGUAGE_LETTERS[code]:
+            seen = seen | flat.rlike(f"[{LANGUAGE_LETTERS[code]}]")
+        shown.append(F.when(seen, F.lit(code)))
+    languages = F.array_compact(F.array(*shown))
+    detected = F.when(F.size(languages) == 0, "unknown").when(F.size(languages) == 1, F.get(languages, F.lit(0))).otherwise("mixed")
+    return F.struct(languages.alias("languages"), detected.alias("detected"))
+
+
+def quotes(text: Column | str) -> Column:
+    """What a text says in quotation marks on one line, then what follows a dash at
+    the start of a line or after a colon; white space as one space, outer marks off,
+    five characters at least, each once."""
+    text = _col(text)
+    found = [F.regexp_extract_all(text, F.lit(rf"{a}([^{b}\n]{{{LEAST_QUOTE},}}){b}"), F.lit(1)) for a, b in QUOTE_MARKS]
+    dash = rf"(?m)(?:^|\n|:\s*)[ \t]*[—–]\s*([^\n—–]{{{LEAST_QUOTE},}}?)(?=\s*,\s*[—–]|\s*$)"
+    found.append(F.regexp_extract_all(text, F.lit(dash), F.lit(1)))
+    trimmed = F.transform(F.concat(*found), lambda q: F.regexp_replace(F.regexp_replace(q, r"\s+", " "), "^[ ,;:—–-]+|[ ,;:—–-]+$", ""))
+    return F.array_distinct(F.filter(trimmed, lambda q: F.length(q) >= LEAST_QUOTE))
+
+
 def significant(flat: Column) -> Column:
     """Words of a normal form that have two characters, or are digits."""
     return F.filter(F.split(flat, " "), lambda w: (F.length(w) >= 2) | w.rlike(r"^\p{Nd}+$"))

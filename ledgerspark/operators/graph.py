@@ -7,6 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the session's checkpoint folder; the warehouse where none is set."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint()
+
+
 def canonical_relationship(df: DataFrame) -> DataFrame:
     """G1: parents first in parent_child, ends sorted in symmetric types; a relation
     to oneself falls out."""
@@ -40,13 +49,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(id, component) of every id on an edge: the least id reachable. Labels
     pass along edges and then to labels of labels, so rounds grow with the
     logarithm of the longest path."""
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
-    labels = both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("y")).select("id", F.least("id", "y").alias("label")).checkpoint()
+    both = kept(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
+    labels = kept(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("y")).select("id", F.least("id", "y").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
         far = step.join(labels.select(F.col("id").alias("next"), F.col("label").alias("far")), "next", "left")
-        new = far.select("id", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")).checkpoint()
+        new = kept(far.select("id", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")))
         labels = new.select("id", "label")
         if new.where("old <> label").isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -55,11 +64,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def generation_depth(edges: DataFrame, people: DataFrame, most: int = 64) -> DataFrame:
     """0 without a recorded parent, else one more than the deepest parent. After
     ``most`` rounds what still changes lies on or below a cycle and is reported."""
-    kin = edges.select(F.col("parent"), F.col("child").alias("person_id")).distinct().checkpoint()
-    depth = people.select("person_id", F.lit(0).alias("depth"), F.lit(False).alias("on_cycle")).checkpoint()
+    kin = kept(edges.select(F.col("parent"), F.col("child").alias("person_id")).distinct())
+    depth = kept(people.select("person_id", F.lit(0).alias("depth"), F.lit(False).alias("on_cycle")))
     for round_ in range(most + 1):
         above = kin.join(depth.select(F.col("person_id").alias("parent"), F.col("depth").alias("d")), "parent").groupBy("person_id").agg((F.max("d") + 1).alias("d"))
-        new = depth.join(above, "person_id", "left").select("person_id", F.coalesce("d", F.lit(0)).alias("depth"), (F.coalesce("d", F.lit(0)) != F.col("depth")).alias("on_cycle")).checkpoint()
+        new = kept(depth.join(above, "person_id", "left").select("person_id", F.coalesce("d", F.lit(0)).alias("depth"), (F.coalesce("d", F.lit(0)) != F.col("depth")).alias("on_cycle")))
         if new.where("on_cycle").isEmpty():
             return new
         depth = new

@@ -1,10 +1,17 @@
-"""Transcripts made of parts (inventory W3)."""
+"""Transcripts made of parts, and windows over long ones (inventory W3 to W6)."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ledgerspark.functions.text import estimated_tokens
 from ledgerspark.operators.joins import bound
 
 STITCHED = "struct<pieces:array<string>,tail:array<string>,reach:double,n_overlaps:bigint,dropped:bigint>"
@@ -55,3 +62,110 @@ def stitched(parts: DataFrame, key: str, most: int = 8, per_second: float = 5.0)
     start = F.expr(f"CAST(named_struct('pieces', array(), 'tail', array(), 'reach', 0, 'n_overlaps', 0, 'dropped', 0) AS {STITCHED})")
     folded = one.select(key, "skipped", F.aggregate("parts", start, step).alias("all"))
     return folded.select(key, F.array_join("all.pieces", " ").alias("text"), "all.n_overlaps", "all.dropped", "skipped")
+
+
+#: The bounds of a window and of what needs no windows.
+POLICY = {
+    "segments": 40, "words": 1200, "input_tokens": 6000, "segment_tokens": 480, "context_tokens": 32768, "schema_tokens": 9000, "overhead_tokens": 2000,
+    "target_tokens": 1450, "window_tokens": 1900, "window_segments": 6, "windows": 6, "overlap": 1, "least_tokens": 80, "pause_seconds": 1.2,
+}
+STOPS = ".!?;,:\n"
+NEAR_STOP = 80
+
+
+def window_decision(segments: DataFrame, key: str, policy: dict[str, float] = POLICY) -> DataFrame:
+    """(key, segments, words, input_tokens, reasons): why a transcript needs windows;
+    without a reason it is taken whole. Plain sums, combined before the shuffle."""
+    tokens = F.coalesce(estimated_tokens("text"), F.lit(0))
+    words = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0))), F.lit(0))
+    sums = segments.groupBy(key).agg(F.count("*").alias("segments"), F.sum(words).alias("words"), (F.sum(tokens) + policy["overhead_tokens"]).alias("input_tokens"), F.max(tokens).alias("_most"))
+    reasons = F.array(
+        F.when(F.col("segments") > policy["segments"], "segment_count"), F.when(F.col("words") > policy["words"], "normalized_tokens"),
+        F.when(F.col("input_tokens") > policy["input_tokens"], "estimated_input_tokens"), F.when(F.col("_most") > policy["segment_tokens"], "oversized_segment"),
+        F.when(F.col("input_tokens") > policy["context_tokens"] - policy["schema_tokens"], "provider_context_limit"),
+    )
+    return sums.select(key, "segments", "words", "input_tokens", F.array_compact(reasons).alias("reasons"))
+
+
+def cuts(text: str, parts: int) -> list[int]:
+    """Where a text falls into about so many parts: behind the stop that is nearest to
+    each even length, if one is near, the earlier of two."""
+    stops = np.array([m.start() for m in re.finditer(f"[{re.escape(STOPS)}]", text)], np.int64)
+    step, at = -(-len(text) // parts), [0]
+    while (aim := at[-1] + step) < len(text):
+        lo, hi = np.searchsorted(stops, [max(at[-1] + 1, aim - NEAR_STOP), aim + NEAR_STOP])
+        near = stops[lo:hi]
+        at.append(int(near[np.argmin(np.abs(near - aim))]) + 1 if len(near) else aim)
+    return at if at[-1] == len(text) else [*at, len(text)]
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _cuts(text: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([cuts(t, int(n)) if n > 1 else [0, len(t)] for t, n in zip(text, parts)])
+
+
+def split_oversized(segments: DataFrame, key: str, policy: dict[str, float] = POLICY) -> DataFrame:
+    """Segments (no, start, end, text) with those of more tokens than a window takes as
+    slices at stops, their times by their share of characters; slice counts from 0.
+    Null texts are empty."""
+    text = segments.withColumn("text", F.coalesce("text", F.lit("")))
+    parts = F.least(F.lit(policy["windows"]), F.ceil(F.col("_tokens") / policy["target_tokens"]))
+    sized = text.withColumn("_tokens", estimated_tokens("text")).withColumn("_cuts", _cuts("text", F.when(F.col("_tokens") > policy["window_tokens"], parts).otherwise(1).cast("int")))
+    spans = F.transform(F.sequence(F.lit(0), F.size("_cuts") - 2), lambda i: F.struct(F.get("_cuts", i).alias("a"), F.get("_cuts", i + 1).alias("b")))
+    each = sized.select(key, "no", "start", "end", "text", F.posexplode(spans).alias("slice", "_s"))
+    of = lambda edge: F.col("start") + (F.col("end") - F.col("start")) * F.when(F.length("text") > 0, F.col(f"_s.{edge}") / F.length("text")).otherwise(F.lit(1.0 if edge == "b" else 0.0))
+    return each.select(key, "no", "slice", of("a").alias("start"), of("b").alias("end"), F.substring("text", F.col("_s.a") + 1, F.col("_s.b") - F.col("_s.a")).alias("text"))
+
+
+def packed(no: list, start: list, end: list, tokens: list, texts: list, policy: dict[str, float] = POLICY) -> list[list[int]]:
+    """Rows of one transcript as windows, lists of row numbers. A window is full by
+    tokens, by segments, at a further slice of its last segment, or at a pause; the next
+    starts with its last row, but not between slices. Above the most windows, the cheapest
+    neighbours become one, rows of one segment and text once."""
+    out, lo, held = [], 0, 0
+    for i in range(1, len(no) + 1):
+        held += tokens[i - 1]
+        if i == len(no):
+            out.append(list(range(lo, i)))
+            break
+        slices = no[i] == no[i - 1]
+        full = held + tokens[i] > policy["window_tokens"] or i - lo >= policy["window_segments"]
+        pause = start[i] - end[i - 1] >= policy["pause_seconds"] and held >= policy["least_tokens"]
+        if slices or full or pause:
+            out.append(list(range(lo, i)))
+            lo = i if slices else max(lo, i - int(policy["overlap"]))
+            held = sum(tokens[lo:i])
+    while len(out) > policy["windows"]:
+        sums = [sum(tokens[i] for i in w) for w in out]
+        at = int(np.argmin(np.add(sums[:-1], sums[1:])))
+        once = {(no[i], texts[i]): i for i in reversed([*out[at], *out[at + 1]])}
+        out[at : at + 2] = [sorted(once.values())]
+    return out
+
+
+def planned_windows(segments: DataFrame, key: str, policy: dict[str, float] = POLICY, version: str = "1") -> DataFrame:
+    """The windows of each transcript: key, ordinal, window_id, segment numbers in order,
+    those that an earlier window has, start, end and tokens. One that needs no windows
+    (window_decision) is one. Packing needs a transcript's segments together: a task holds
+    one transcript at a time."""
+    id_type = segments.schema[key].dataType.simpleString()
+    whole = window_decision(segments, key, policy).select(key, (F.size("reasons") == 0).alias("whole"))
+    plain = segments.join(whole, key).where("whole").select(key, "no", F.lit(0).alias("slice"), "start", "end", F.coalesce("text", F.lit("")).alias("text"), "whole")
+    cut = split_oversized(segments.join(whole.where("NOT whole"), key, "left_semi"), key, policy).withColumn("whole", F.lit(False))
+    rows = plain.unionByName(cut).withColumn("tokens", estimated_tokens("text"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["no", "slice"], kind="stable").reset_index(drop=True)
+        no, start, end, tokens = (part[c].tolist() for c in ("no", "start", "end", "tokens"))
+        windows = [list(range(len(no)))] if part["whole"].iloc[0] else packed(no, start, end, tokens, part["text"].tolist(), policy)
+        out, seen, name = [], set(), part[key].iloc[0]
+        for n, w in enumerate(windows, 1):
+            ids = list(dict.fromkeys(no[i] for i in w))
+            sign = ",".join(f"{no[i]}:{start[i]:.3f}:{end[i]:.3f}" for i in w)
+            digest = hashlib.sha256("\x1f".join([str(name), version, str(n), sign]).encode()).hexdigest()[:24]
+            out.append((name, n, f"window_{digest}", ids, [i for i in ids if i in seen], min(start[i] for i in w), max(end[i] for i in w), sum(tokens[i] for i in w)))
+            seen.update(ids)
+        return pd.DataFrame(out, columns=["key", "ordinal", "window_id", "segments", "overlap", "start", "end", "tokens"])
+
+    schema = f"key {id_type}, ordinal int, window_id string, segments array<bigint>, overlap array<bigint>, start double, end double, tokens bigint"
+    return rows.groupBy(key).applyInPandas(run, schema).withColumnRenamed("key", key)

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import lexicon as X
+from ledgerspark.operators import graph as G
 from ledgerspark.operators import joins as J
 from ledgerspark.operators import people as H
 from ledgerspark.operators import predicates as P
 from ledgerspark.operators import scores as C
 from ledgerspark.operators import transcripts as W
 from ledgerspark.operators import upkeep as U
+from ledgerspark.operators.ingest import ingest_claims
 from ledgerspark.plans.register import now, now_events, query
 from ledgerspark.plans.views import NOW_EVENTS, split_columns
 from ledgerspark.streaming import state as S
@@ -210,3 +212,73 @@ def reservation_log(e: DataFrame) -> DataFrame:
 
 
 query("X5_reservation_expiry", "events", lambda e: S.reservation_expiry(reservation_log(e), "2 hours").select("reservation_id", "outcome"), "SELECT event_id AS reservation_id, CASE event_type WHEN 'purchase' THEN 'committed' WHEN 'view' THEN 'released' ELSE 'expired' END AS outcome FROM events")
+
+# Languages, quotes and windows.
+_HAS = lambda code: "list_has_any(w, " + repr(X.LANGUAGE_WORDS[code].split()) + ")"
+query("T5_read_language", "remarks", lambda r: r.select("remark_id", X.read_language("text").alias("l")).select("remark_id", F.array_join("l.languages", ",").alias("languages"), "l.detected"), rf"""SELECT remark_id, concat_ws(',', CASE WHEN kk THEN 'kk' END, CASE WHEN ru THEN 'ru' END) AS languages, CASE WHEN kk AND ru THEN 'mixed' WHEN kk THEN 'kk' WHEN ru THEN 'ru' ELSE 'unknown' END AS detected
+FROM (SELECT remark_id, {_HAS("kk")} OR regexp_matches(t, '[{X.LANGUAGE_LETTERS["kk"]}]') AS kk, {_HAS("ru")} AS ru FROM (SELECT remark_id, t, regexp_extract_all(t, '\p{{L}}+') AS w FROM (SELECT remark_id, lower(coalesce(text, '')) AS t FROM remarks)))""")
+query("T23_quotes", "documents", lambda d: d.select("doc_id", F.array_join(F.array_sort(X.quotes(F.translate("text", ".,—–", '"«'))), "|").alias("quotes")), r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(t, '«([^»\n]{5,})»', 1), regexp_extract_all(t, '"([^"\n]{5,})"', 1), regexp_extract_all(t, '“([^”\n]{5,})”', 1), regexp_extract_all(t, '„([^“\n]{5,})“', 1)),
+lambda q: trim(regexp_replace(q, '\s+', ' ', 'g'), ' ,;:—–-')), lambda q: length(q) >= 5))), '|') AS quotes FROM (SELECT doc_id, translate(text, '.,—–', '"«') AS t FROM documents)""")
+
+
+def lines(d: DataFrame) -> DataFrame:
+    """Documents as transcripts: a line is a segment of as many seconds as it has
+    characters, by ten, and every fourth follows a pause."""
+    each = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "text"))
+    start = F.col("no") * 10000.0 + F.when(F.col("no") % 4 == 0, 2.0).otherwise(0.0)
+    return each.select("doc_id", F.col("no").cast("long").alias("no"), start.alias("start"), (start + 9999.0 - F.when(F.col("no") % 4 == 3, 0.0).otherwise(-1.0)).alias("end"), "text")
+
+
+_TOKENS = r"greatest(len(regexp_extract_all(t, '[\p{L}\p{M}\p{Nd}\p{Pc}]+')), ceil(length(regexp_replace(t, '\s+', '', 'g')) / 3.5))::BIGINT"
+query("W4_window_decision", "documents", lambda d: W.window_decision(lines(d), "doc_id").withColumn("reasons", F.array_join("reasons", ",")), rf"""SELECT doc_id, n AS segments, words::BIGINT AS words, i::BIGINT AS input_tokens, concat_ws(',', CASE WHEN n > 40 THEN 'segment_count' END, CASE WHEN words > 1200 THEN 'normalized_tokens' END, CASE WHEN i > 6000 THEN 'estimated_input_tokens' END, CASE WHEN m > 480 THEN 'oversized_segment' END, CASE WHEN i > 23768 THEN 'provider_context_limit' END) AS reasons
+FROM (SELECT doc_id, count(*) AS n, sum(len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_''-]+'))) AS words, sum({_TOKENS}) + 2000 AS i, max({_TOKENS}) AS m FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) GROUP BY 1)""")
+query("W4_plan_windows", "documents", lambda d: W.planned_windows(lines(d), "doc_id").select("doc_id", "ordinal", "window_id", F.array_join("segments", ",").alias("segments"), F.array_join("overlap", ",").alias("overlap"), "tokens"))
+query("W5_split_oversized", "documents", lambda d: W.split_oversized(lines(d), "doc_id"))
+
+
+# Families and components, over a tree of parts.
+def tree(p: DataFrame) -> DataFrame:
+    child = F.col("p_partkey")
+    kin = p.where("p_partkey > 0").select(F.lit("parent_child").alias("relationship_type"), F.floor(child / 3).alias("subject_person_id"), child.alias("object_person_id"))
+    wed = p.where("p_size > 40").select(F.lit("spouse"), child, child + 1 + F.col("p_size") % 3)
+    return kin.union(wed).union(p.where("p_size < 3").select(F.lit("sibling"), child, child + 5))
+
+
+def persons(p: DataFrame) -> DataFrame:
+    return p.select(F.col("p_partkey").alias("person_id"))
+
+
+def joined(c: str) -> Column:
+    return F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
+
+
+query("G2_family_relations", "part part", lambda p, q: G.family_relations(tree(p), persons(q)).select("person_id", joined("parents"), joined("children"), joined("siblings"), "spouse_id"), """WITH k AS (SELECT p_partkey // 3 AS a, p_partkey AS b FROM part WHERE p_partkey > 0), s AS (SELECT p_partkey AS a, p_partkey + 1 + p_size % 3 AS b FROM part WHERE p_size > 40), t AS (SELECT p_partkey AS a, p_partkey + 5 AS b FROM part WHERE p_size < 3),
+r AS (SELECT b AS p, 'parents' AS k, a AS o FROM k UNION SELECT a, 'children', b FROM k UNION SELECT x.b, 'siblings', y.b FROM k x JOIN k y ON x.a = y.a AND x.b <> y.b UNION SELECT a, 'siblings', b FROM t UNION SELECT b, 'siblings', a FROM t UNION SELECT a, 'spouse', b FROM s UNION SELECT b, 'spouse', a FROM s)
+SELECT p_partkey AS person_id, coalesce(string_agg(o::VARCHAR, ',' ORDER BY o) FILTER (k = 'parents'), '') AS parents, coalesce(string_agg(o::VARCHAR, ',' ORDER BY o) FILTER (k = 'children'), '') AS children, coalesce(string_agg(o::VARCHAR, ',' ORDER BY o) FILTER (k = 'siblings'), '') AS siblings, min(o) FILTER (k = 'spouse') AS spouse_id FROM part LEFT JOIN r ON p = p_partkey GROUP BY 1""")
+query("G3_generation_depth", "part part", lambda p, q: G.generation_depth(tree(p).where("relationship_type = 'parent_child'").select(F.col("subject_person_id").alias("parent"), F.col("object_person_id").alias("child")), persons(q)), """WITH RECURSIVE d AS (SELECT 0::BIGINT AS p, 0 AS n UNION ALL SELECT p_partkey, n + 1 FROM d JOIN part ON p_partkey // 3 = p AND p_partkey > 0) SELECT p AS person_id, n AS depth, false AS on_cycle FROM d""")
+query("G7_connected_components", "part orders", lambda p, o: G.connected_components(tree(p).where("relationship_type = 'spouse'").select(F.col("subject_person_id").alias("a"), F.col("object_person_id").alias("b")).union(o.select(-F.col("o_custkey") - 1, F.col("o_orderkey") + 1000000000))), """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + 1 + p_size % 3 AS b FROM part WHERE p_size > 40), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.b, c FROM r JOIN u ON u.a = r.id)
+SELECT id, min(c) AS component FROM r GROUP BY 1 UNION ALL SELECT o_orderkey + 1000000000, -o_custkey - 1 FROM orders UNION ALL SELECT DISTINCT -o_custkey - 1, -o_custkey - 1 FROM orders""")
+
+
+# Ingest: half of the batch is in the archive already. Of rows that share an id the least counts.
+_CLAIM = ["subject_person_id", "object_person_id", "relationship_type", "subject_role", "evidence_class", "status", "predicate", "value", "created_at", "recording_id"]
+
+
+def one_each(c: DataFrame) -> DataFrame:
+    return c.groupBy("claim_id").agg(F.min(F.struct(*_CLAIM)).alias("c")).select("claim_id", "c.*", F.col("c.subject_person_id").alias("person_id"))
+
+
+def ingested(c: DataFrame, p: DataFrame, part: str) -> DataFrame:
+    from ledgerspark.plans.registry import judged
+
+    claims = one_each(c)
+    return ingest_claims(claims.where("status = 'active'"), claims, judged(claims), p)[part]
+
+
+_STATES = f""", one AS (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY {", ".join(f"{c} NULLS FIRST" for c in _CLAIM)}) = 1),
+st AS (SELECT one.*, CASE WHEN p IS NULL THEN status WHEN r % 3 = 1 THEN 'rejected' WHEN r % 3 = 2 THEN 'disputed' WHEN one.claim_id = p THEN 'accepted' ELSE 'rejected' END AS state_now
+FROM one LEFT JOIN (SELECT claim_id, recording_id AS r, max(claim_id) OVER (PARTITION BY recording_id) AS p FROM one WHERE relationship_type = 'spouse') USING (claim_id)),
+so AS (SELECT * FROM st WHERE state_now IN ('active', 'accepted') AND evidence_class IN ('A', 'B', 'C'))"""
+query("E2_ingest_claims", "claims people", lambda c, p: ingested(c, p, "claims").select("claim_id", "status"), _STATES + " SELECT claim_id, state_now AS status FROM st")
+query("E2_ingest_edges", "claims people", lambda c, p: ingested(c, p, "edges").select("relationship_type", "subject_person_id", "object_person_id", F.array_join("source_claim_ids", ",").alias("sources")), _STATES + """ SELECT relationship_type, a AS subject_person_id, b AS object_person_id, string_agg(claim_id::VARCHAR, ',' ORDER BY claim_id) AS sources FROM (SELECT claim_id, relationship_type, CASE WHEN relationship_type <> 'parent_child' THEN least(subject_person_id, object_person_id) WHEN subject_role = 'child' THEN object_person_id ELSE subject_person_id END AS a,
+CASE WHEN relationship_type <> 'parent_child' THEN greatest(subject_person_id, object_person_id) WHEN subject_role = 'child' THEN subject_person_id ELSE object_person_id END AS b FROM so WHERE subject_person_id <> object_person_id) GROUP BY 1, 2, 3""")

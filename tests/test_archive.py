@@ -153,3 +153,61 @@ def test_monitoring_summary_is_one_row(spark):
     got = U.monitoring_summary(jobs, jobs, F.lit(AT + timedelta(hours=1)), 48, 30).first()
     assert (got.queue_queued, got.day_completed, got.cleanup_due, got.stuck_jobs) == (1, 1, 1, 0)
     assert U.monitoring_summary(jobs.limit(0), jobs.limit(0), F.lit(AT), 48, 30).count() == 1
+
+
+def segments_of(spark, rows):
+    return spark.createDataFrame(rows, "k int, no long, start double, end double, text string")
+
+
+def test_window_decision(spark):
+    rows = [(1, n, n * 1.0, n + 1.0, "a b") for n in range(41)] + [(2, 0, 0.0, 1.0, None), (3, 0, 0.0, 9.0, "word " * 1300)]
+    got = {r.k: (r.segments, r.words, r.input_tokens, r.reasons) for r in W.window_decision(segments_of(spark, rows), "k").collect()}
+    assert got == {1: (41, 82, 2082, ["segment_count"]), 2: (1, 0, 2000, []), 3: (1, 1300, 3486, ["normalized_tokens", "oversized_segment"])}
+
+
+def test_cuts_hold_the_text():
+    r = random.Random(4)
+    for _ in range(300):
+        text = "".join(r.choice("abcd efg.,\n") if r.random() < 0.5 else "x" for _ in range(r.randrange(1, 900)))
+        parts = r.randrange(2, 7)
+        at = W.cuts(text, parts)
+        assert at[0] == 0 and at[-1] == len(text) and at == sorted(set(at))
+        step = -(-len(text) // parts)
+        for a, b in zip(at[:-2], at[1:-1]):
+            near = [i for i in range(max(a + 1, a + step - 80), min(len(text), a + step + 80)) if text[i] in W.STOPS]
+            assert b == (min(near, key=lambda i: abs(i - a - step)) + 1 if near else a + step)
+
+
+def test_split_oversized(spark):
+    text = ("word " * 10 + "end. ") * 190
+    rows = [(1, 0, 10.0, 20.0, text), (1, 1, 20.0, 21.0, "short"), (1, 2, 21.0, 22.0, None)]
+    got = W.split_oversized(segments_of(spark, rows), "k").orderBy("no", "slice").collect()
+    long = [r for r in got if r.no == 0]
+    assert "".join(r.text for r in long) == text and len(long) > 1 and all(r.text.endswith("end.") for r in long[:-1])
+    assert long[0].start == 10.0 and long[-1].end == 20.0 and all(a.end == b.start for a, b in zip(long, long[1:]))
+    assert [tuple(r) for r in got if r.no > 0] == [(1, 1, 0, 20.0, 21.0, "short"), (1, 2, 0, 21.0, 22.0, "")]
+
+
+def test_windows(spark):
+    pack = lambda no, tokens, start=None: W.packed(no, start or no, [s + 1 for s in start or no], tokens, [str(i) for i in range(len(no))])
+    assert pack([0, 1, 2], [10, 10, 10]) == [[0, 1, 2]]
+    assert pack(list(range(8)), [10] * 8) == [[0, 1, 2, 3, 4, 5], [5, 6, 7]]
+    assert pack([0, 0, 1], [1000, 10, 10]) == [[0], [1, 2]]
+    assert pack([0, 1, 2], [50, 50, 50], [0, 1, 9]) == [[0, 1], [1, 2]]
+    assert pack([0, 1], [50, 50], [0, 9]) == [[0, 1]]
+    many = pack(list(range(60)), [10] * 60)
+    assert len(many) == 6 and sorted({i for w in many for i in w}) == list(range(60))
+    rows = [(1, n, float(n), n + 1.0, "a b c") for n in range(50)] + [(2, n, float(n), n + 1.0, "a") for n in range(9)]
+    got = W.planned_windows(segments_of(spark, rows).repartition(3), "k").orderBy("k", "ordinal").collect()
+    one = [r for r in got if r.k == 1]
+    assert [r.segments for r in got if r.k == 2] == [list(range(9))] and len(one) == 6
+    assert all(b.overlap == [a.segments[-1]] for a, b in zip(one, one[1:])) and len({r.window_id for r in got}) == 7
+    assert W.planned_windows(segments_of(spark, []), "k").count() == 0
+
+
+def test_languages_and_quotes(spark):
+    texts = ["Он был дома", "Біз бардық", "Біз и они", "Hello", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string").orderBy("n")
+    assert [r[0].detected for r in df.select(X.read_language("text")).collect()] == ["ru", "kk", "mixed", "unknown", "unknown", "unknown"]
+    said = spark.createDataFrame([('«Иди сюда, » сказал он "и  ещё раз" "abc"\n— Не пойду домой\n"и ещё раз"',), (None,)], "text string")
+    assert [r[0] for r in said.select(X.quotes("text")).collect()] == [["Иди сюда", "и ещё раз", "Не пойду домой"], None]
