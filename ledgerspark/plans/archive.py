@@ -15,7 +15,7 @@ from ledgerspark.operators import transcripts as W
 from ledgerspark.operators import upkeep as U
 from ledgerspark.operators.ingest import ingest_claims
 from ledgerspark.plans.register import now, now_events, query
-from ledgerspark.plans.views import NOW_EVENTS, split_columns
+from ledgerspark.plans.views import NOW, NOW_EVENTS, split_columns
 from ledgerspark.streaming import state as S
 
 def empty() -> Column:
@@ -193,7 +193,12 @@ query("E9_expired_traces", "trace jobs", lambda t, j: U.expired_traces(t, j, now
 query("E10_erasure_set", "jobs recordings claims", lambda j, r, c: U.erasure_set({"job": (j, "job_id", "recording_id"), "recording": (r, "recording_id", "recording_id"), "claim": (c, "claim_id", "recording_id")}, j.where("family_id = 7"), "recording_id"), """SELECT DISTINCT kind, id FROM (SELECT 'job' AS kind, job_id::VARCHAR AS id, recording_id FROM jobs UNION ALL SELECT 'recording', recording_id::VARCHAR, recording_id FROM recordings UNION ALL SELECT 'claim', claim_id::VARCHAR, recording_id FROM claims) WHERE recording_id IN (SELECT recording_id FROM jobs WHERE family_id = 7)""")
 query("E10_object_deletions", "jobs", lambda j: U.object_deletions(j.select("stage" , F.lit("s3").alias("backend"), F.when(F.col("job_id") % 6 == 0, " ").otherwise(F.concat(F.lit("k/"), (F.col("user_id") % 90).cast("string"))).alias("storage_key")).withColumnRenamed("stage", "kind")), "SELECT DISTINCT stage AS kind, 's3' AS backend, 'k/' || (user_id % 90)::VARCHAR AS storage_key FROM jobs WHERE job_id % 6 <> 0")
 query("E11_restore_counts", "jobs claims documents recordings", lambda j, c, d, r: U.restore_counts({"jobs": j, "claims": c, "documents": d}, j.agg(F.count("*").alias("n")).select(F.explode(F.create_map(F.lit("jobs"), F.col("n"), F.lit("claims"), F.col("n"), F.lit("recordings"), F.col("n"))).alias("name", "n_rows"))), "SELECT name, CASE WHEN name <> 'documents' THEN (SELECT count(*) FROM jobs) END AS n_rows, n AS n_found FROM (SELECT 'claims' AS name, count(*) AS n FROM claims UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'recordings', NULL) WHERE name <> 'claims' OR n <> (SELECT count(*) FROM jobs)")
-query("E13_monitoring_summary", "jobs", lambda j: U.monitoring_summary(j, j.where("attempts > 1"), now(), 48, 30))
+_N = "count(*) FILTER ({}) AS {}"
+query("E13_monitoring_summary", "jobs", lambda j: U.monitoring_summary(j, j.where("attempts > 1"), now(), 48, 30), f"""SELECT * FROM (SELECT {_N.format("status = 'queued'", "queue_queued")}, {_N.format("status = 'transcribing'", "queue_running")}, {_N.format("status = 'completed'", "queue_completed")}, {_N.format("status = 'failed'", "queue_failed")},
+max(CASE WHEN status = 'queued' THEN (epoch_us({NOW}) - epoch_us(created_at)) / 1e6 END) AS queue_oldest_queued_seconds, {_N.format(f"status = 'transcribing' AND lease_expires_at <= {NOW}", "queue_expired_leases")} FROM jobs),
+(SELECT {_N.format("status = 'completed'", "day_completed")}, {_N.format("status = 'failed'", "day_failed")} FROM jobs WHERE completed_at >= {NOW} - INTERVAL 24 HOURS),
+(SELECT {_N.format(f"status = 'queued' AND next_attempt_at <= {NOW}", "cleanup_due")}, {_N.format(f"status = 'queued' AND next_attempt_at > {NOW}", "cleanup_waiting")}, {_N.format("status = 'transcribing'", "cleanup_running")}, {_N.format("status = 'failed'", "cleanup_failed")}, {_N.format("attempts >= max_attempts", "cleanup_exhausted")} FROM jobs WHERE attempts > 1),
+(SELECT count(DISTINCT job_id) AS stuck_jobs FROM (SELECT * FROM (SELECT job_id FROM jobs WHERE status = 'queued' AND created_at < {NOW} - INTERVAL 48 HOURS ORDER BY created_at, job_id LIMIT 50) UNION ALL SELECT * FROM (SELECT job_id FROM jobs WHERE status = 'transcribing' AND lease_expires_at < {NOW} - INTERVAL 30 MINUTES ORDER BY lease_expires_at, job_id LIMIT 50) UNION ALL SELECT * FROM (SELECT job_id FROM jobs WHERE status IN ('queued', 'transcribing') AND attempts >= max_attempts ORDER BY created_at, job_id LIMIT 50)))""")
 
 # Streamed state.
 query("X3_job_state", "decisions", lambda d: S.latest(d, "conflict_id", "resulting_status", ["created_at", "event_id"]).withColumnRenamed("conflict_id", "job_id"), "SELECT conflict_id AS job_id, arg_max(resulting_status, (created_at, event_id)) AS state, max(created_at) AS since, count(*) AS n_changes FROM decisions WHERE conflict_id IS NOT NULL GROUP BY 1")
