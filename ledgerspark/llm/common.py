@@ -74,3 +74,27 @@ def small_rows(df: DataFrame, bound: int) -> list | None:
     """The rows of df if there are at most ``bound``, else None."""
     rows = df.limit(bound + 1).collect()
     return rows if len(rows) <= bound else None
+
+
+def with_struct(
+    df: DataFrame, inputs: list[str], out: str, fields: T.StructType, make: Callable[[], Callable[..., tuple]]
+) -> DataFrame:
+    """with_text_struct for functions of several columns: ``make()`` returns the function
+    of their values in one row."""
+    base = without(df, out)
+    schema = T.StructType([*base.schema.fields, T.StructField(out, fields, False)])
+    lower = [c.lower() for c in base.columns]
+    at = [lower.index(c.lower()) for c in inputs]
+    names, kinds = schema.fieldNames(), list(to_arrow_schema(fields))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                rows = [work(*x) for x in zip(*(part.column(i).to_pylist() for i in at), strict=True)]
+                values = [pa.array(v, type=k.type) for v, k in zip(zip(*rows), kinds, strict=True)]
+                struct = pa.StructArray.from_arrays(values, fields=kinds)
+                yield pa.RecordBatch.from_arrays([*part.columns, struct], names=names)
+
+    return base.mapInArrow(run, schema)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import bpe_stream, chat, decontaminate, html_text, jaccard_join, pii, quality, secrets, token_files, warc
-from ledgerspark.llm.common import shared_dir
+from ledgerspark.llm import bpe_stream, chat, decontaminate, fim_frames, html_text, jaccard_join, pii, quality, secrets, token_files, warc
+from ledgerspark.llm.common import shared_dir, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +84,26 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(pages).select("page_id", "url", "main.text", "main.n_chars")
 
 
+def op11_fim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = written(fim_frames.store_frames(docs), "fim-frames")
+    made = fim_frames.digests(fim_frames.fill_in_middle(stored))
+    return made.select(
+        "doc_id",
+        F.col("stored.n_units").alias("n"),
+        "fim.form",
+        F.col("fim.first").alias("prefix_chars"),
+        (F.col("fim.second") - F.col("fim.first")).alias("middle_chars"),
+        "digests.*",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = (
         op1_quality_rules, op2_ngram_jaccard_join, op3_token_files, op4_warc, op5_bpe, op6_pii, op7_chat_format, op8_decontaminate, op9_secrets, op10_html_text,
+        op11_fim_frames,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
@@ -153,8 +168,26 @@ FROM s LEFT JOIN (SELECT id, min(other) AS component_id FROM r GROUP BY id) c ON
 """
 
 
+_OP11 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), c AS (
+  SELECT *, substring(t, 1, least(a, b)) AS p, substring(t, least(a, b) + 1, abs(a - b)) AS m, substring(t, greatest(a, b) + 1) AS s FROM u
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN abs(a - b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op2_ngram_jaccard_join": _OP2, "op4_warc": _OP4, "op7_chat_format": _OP7, "op8_decontaminate": _OP8}
+    out = {"op2_ngram_jaccard_join": _OP2, "op4_warc": _OP4, "op7_chat_format": _OP7, "op8_decontaminate": _OP8, "op11_fim_frames": _OP11}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
