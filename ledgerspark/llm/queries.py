@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import bpe_stream, chat, decontaminate, fim_frames, html_text, jaccard_join, pii, quality, secrets, token_files, warc
+from ledgerspark.llm import bpe_stream, chat, decontaminate, fim_frames, html_text, jaccard_join, pii, quality, repair, secrets, token_files, warc
 from ledgerspark.llm.common import shared_dir, written
 
 
@@ -98,12 +98,17 @@ def op11_fim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.Repair(repair.damaged(rows)).report(rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = (
         op1_quality_rules, op2_ngram_jaccard_join, op3_token_files, op4_warc, op5_bpe, op6_pii, op7_chat_format, op8_decontaminate, op9_secrets, op10_html_text,
-        op11_fim_frames,
+        op11_fim_frames, op13_conversation_repair,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
@@ -186,8 +191,77 @@ FROM c
 """
 
 
+_ARROWS = {"s": {"0": 1}, "u": {"0": 2, "1": 2, "3": 2}, "a": {"2": 3}}
+
+
+def _op13_state(s: int) -> str:
+    """The cheapest way on from state s, over the row in ``i``: cost, audit, lines."""
+    to = {0: 2, 1: 2, 2: 3, 3: 2}[s]
+    role = "user" if to == 2 else "assistant"
+    keep = " ".join(f"WHEN '{k}' THEN {v[str(s)]}" for k, v in _ARROWS.items() if str(s) in v)
+    more = "CASE WHEN fault = 3 THEN 5 ELSE 0 END"
+    arm = "{{'c': o[{to} + 1].c + {cost}, 'a': '{letter}' || o[{to} + 1].a, 't': {line}o[{to} + 1].t}}"
+    kept = arm.format(to="k", cost=more, letter="K", line="[role || ':' || text] || ")
+    moved = arm.format(to=to, cost=f"1 + {more}", letter="R", line=f"['{role}:' || text] || ")
+    gone = arm.format(to=s, cost=2, letter="D", line="")
+    return (
+        f"list_min([{gone}] || CASE WHEN fault IN (1, 2) THEN [] ELSE [{moved}] END || "
+        f"list_transform(list_filter([CASE initial {keep} END], lambda k: k IS NOT NULL AND fault NOT IN (1, 2)), lambda k: {kept}))"
+    )
+
+
+def _op13_inserts(v: str) -> str:
+    """States v, once more with an insert first where that is less."""
+
+    def one(s: int) -> str:
+        to = {0: 2, 1: 2, 2: 3, 3: 2}[s]
+        role = "user" if to == 2 else "assistant"
+        there = f"{v}[{to + 1}]"
+        return f"list_min([{v}[{s + 1}], {{'c': {there}.c + 5, 'a': 'I' || {there}.a, 't': ['{role}:'] || {there}.t}}])"
+
+    return f"[{', '.join(map(one, range(4)))}]"
+
+
+_OP13 = rf"""
+WITH RECURSIVE k AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), z AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)),
+    lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)),
+      lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS draw FROM k
+), d AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+    unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM z
+), o AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d)
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS bad FROM o
+), n AS (
+  SELECT conv_id, count(*) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (bad) AS illegal FROM f GROUP BY conv_id
+), r AS (
+  SELECT conv_id, n AS i, [{{'c': 0, 'a': '', 't': []::VARCHAR[]}}, {{'c': 10, 'a': 'II', 't': ['user:', 'assistant:']}},
+    {{'c': 5, 'a': 'I', 't': ['assistant:']}}, {{'c': 0, 'a': '', 't': []::VARCHAR[]}}] AS o FROM n
+  UNION ALL
+  SELECT conv_id, i, {_op13_inserts("v1")} AS o FROM (
+    SELECT conv_id, i, {_op13_inserts("v")} AS v1 FROM (
+      SELECT r.conv_id, r.i - 1 AS i, [{", ".join(_op13_state(s) for s in range(4))}] AS v
+      FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i)))
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(o[1].c, 0)::BIGINT AS cost,
+  coalesce(o[1].a, '') AS audit, sha256(coalesce(array_to_string(o[1].t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op2_ngram_jaccard_join": _OP2, "op4_warc": _OP4, "op7_chat_format": _OP7, "op8_decontaminate": _OP8, "op11_fim_frames": _OP11}
+    out = {"op2_ngram_jaccard_join": _OP2, "op4_warc": _OP4, "op7_chat_format": _OP7, "op8_decontaminate": _OP8, "op11_fim_frames": _OP11, "op13_conversation_repair": _OP13}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
