@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import bpe_stream, chat, decontaminate, fim_frames, html_text, jaccard_join, pii, quality, repair, secrets, token_files, warc
+from ledgerspark.llm import bpe_stream, chat, decontaminate, fim_frames, html_text, jaccard_join, pii, quality, repair, secrets, token_files, toxicity, warc
 from ledgerspark.llm.common import shared_dir, written
 
 
@@ -98,6 +98,15 @@ def op11_fim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (~toxicity.usable(F.col("doc_id"))).alias("held_out"), "toxicity.score", "toxicity.predicted",
+        F.array_join(F.col("toxicity.evidence.doc_id").cast("array<string>"), ",").alias("evidence"),
+    )
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return repair.Repair(repair.damaged(rows)).report(rows)
@@ -108,7 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     own = (
         op1_quality_rules, op2_ngram_jaccard_join, op3_token_files, op4_warc, op5_bpe, op6_pii, op7_chat_format, op8_decontaminate, op9_secrets, op10_html_text,
-        op11_fim_frames, op13_conversation_repair,
+        op11_fim_frames, op12_toxicity, op13_conversation_repair,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
