@@ -29,6 +29,18 @@ def normalized(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_folded(_col(text)), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
+def archive_key(text: Column | str) -> Column:
+    """The archive's normal form: NFKC, case folded, everything but letters and digits
+    (marks too) as one space."""
+    return F.trim(F.regexp_replace(_folded(_col(text)), r"[^\p{L}\p{N}]+", " "))
+
+
+def name_key(text: Column | str) -> Column:
+    """The form in which names are looked for: NFKC, case folded, letters, digits and
+    underscores alone, so that spaces, hyphens and apostrophes don't count."""
+    return F.regexp_replace(_folded(_col(text)), r"[^\p{L}\p{N}_]+", "")
+
+
 def words(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(WORD), F.lit(0))
 

@@ -28,7 +28,7 @@ def listed(c: str) -> Column:
 
 # People.
 def archive_people(p: DataFrame) -> DataFrame:
-    maps = F.create_map(F.lit("1"), F.col("relation"))
+    maps = F.when(F.col("person_id") % 7 > 0, F.create_map(F.lit("1"), F.col("relation"))).otherwise(F.create_map().cast("map<string,string>"))
     return p.select("family_id", "person_id", "canonical_name", F.array("alias").alias("aliases"), F.array("verified").alias("verified_aliases"), "category", maps.alias("relations"), F.array(F.lit("0")).alias("recording_ids"))
 
 
@@ -42,7 +42,8 @@ def flat_people(p: DataFrame) -> DataFrame:
     return p.select("person_id", "canonical_name", "category", *[F.array_join(c, ",").alias(c) for c in ("aliases", "verified_aliases")], F.size("recording_ids").cast("long").alias("n_recordings"), F.array_join(F.array_sort(pairs), ",").alias("relations"))
 
 
-_FOLD = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+_FOLD = r"trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_KEY = r"regexp_replace(lower({}), '[^a-z0-9_]+', '', 'g')"
 
 
 def _names(rows: str) -> str:
@@ -56,11 +57,11 @@ base AS (SELECT person_id, coalesce(k.canonical_name, f.name) AS canonical_name,
   FULL JOIN (SELECT person_id, arg_min(name, position) AS name, arg_min(category, position) FILTER (category <> 'unknown') AS category FROM m GROUP BY 1) f USING (person_id)),
 al AS ({_names("SELECT person_id, 0 AS late, 0 AS o1, 0 AS o2, alias AS name FROM known_people UNION ALL SELECT person_id, 1, position, 0, name FROM m JOIN base USING (person_id) WHERE " + _FOLD.format("name") + " <> " + _FOLD.format("canonical_name") + " UNION ALL SELECT person_id, 1, position, 1, alias FROM m")}),
 ve AS ({_names("SELECT person_id, 0 AS late, 0 AS o1, 0 AS o2, verified AS name FROM known_people UNION ALL SELECT person_id, 1, position, 0, alias FROM m WHERE mention_id % 4 = 0")}),
-rc AS (SELECT person_id, count(DISTINCT r) AS n FROM (SELECT person_id, 0 AS r FROM known_people UNION ALL SELECT person_id, recording_id FROM m) GROUP BY 1),
-rl AS (SELECT person_id, string_agg(s || '=' || r, ',' ORDER BY s || '=' || r) AS relations FROM (SELECT person_id, s, arg_max(r, p) AS r FROM (SELECT person_id, '1' AS s, relation AS r, -1 AS p FROM known_people UNION ALL SELECT person_id, speaker_id::VARCHAR, relation, position FROM m WHERE relation IS NOT NULL) GROUP BY 1, 2) GROUP BY 1)
-SELECT person_id, canonical_name, category, coalesce(al.names, '') AS aliases, coalesce(ve.names, '') AS verified_aliases, n AS n_recordings, rl.relations FROM base LEFT JOIN al USING (person_id) LEFT JOIN ve USING (person_id) LEFT JOIN rc USING (person_id) LEFT JOIN rl USING (person_id)""")
-query("J10_mention_candidates", "surfaces known_people", lambda m, p: H.mention_candidates(archive_mentions(m), archive_people(p)), f""", s AS (SELECT family_id, mention_id, w, {_FOLD.format("x")} AS n FROM (SELECT family_id, mention_id, 'name' AS w, name AS x FROM surfaces UNION ALL SELECT family_id, mention_id, 'alias', alias FROM surfaces UNION ALL SELECT family_id, mention_id, 'variant', variant FROM surfaces)),
-k AS (SELECT family_id, person_id, {_FOLD.format("canonical_name")} AS c, {_FOLD.format("verified")} AS v, {_FOLD.format("alias")} AS a FROM known_people)
+rc AS (SELECT person_id, count(DISTINCT r) AS n FROM (SELECT person_id, '0' AS r FROM known_people UNION ALL SELECT person_id, recording_id FROM m) GROUP BY 1),
+rl AS (SELECT person_id, string_agg(s || '=' || r, ',' ORDER BY s || '=' || r) AS relations FROM (SELECT person_id, s, arg_max(r, p) AS r FROM (SELECT person_id, '1' AS s, relation AS r, -1 AS p FROM known_people WHERE person_id % 7 > 0 UNION ALL SELECT person_id, speaker_id::VARCHAR, relation, position FROM m WHERE relation IS NOT NULL) GROUP BY 1, 2) GROUP BY 1)
+SELECT person_id, canonical_name, category, coalesce(al.names, '') AS aliases, coalesce(ve.names, '') AS verified_aliases, n AS n_recordings, coalesce(rl.relations, '') AS relations FROM base LEFT JOIN al USING (person_id) LEFT JOIN ve USING (person_id) LEFT JOIN rc USING (person_id) LEFT JOIN rl USING (person_id)""")
+query("J10_mention_candidates", "surfaces known_people", lambda m, p: H.mention_candidates(archive_mentions(m), archive_people(p)), f""", s AS (SELECT family_id, mention_id, w, {_KEY.format("x")} AS n FROM (SELECT family_id, mention_id, 'name' AS w, name AS x FROM surfaces UNION ALL SELECT family_id, mention_id, 'alias', alias FROM surfaces UNION ALL SELECT family_id, mention_id, 'variant', variant FROM surfaces)),
+k AS (SELECT family_id, person_id, {_KEY.format("canonical_name")} AS c, {_KEY.format("verified")} AS v, {_KEY.format("alias")} AS a FROM known_people)
 SELECT DISTINCT mention_id, person_id, rule FROM (SELECT mention_id, person_id, 'name_canonical' AS rule FROM s JOIN k ON s.family_id = k.family_id AND n = c AND w = 'name' UNION ALL SELECT mention_id, person_id, 'name_alias' FROM s JOIN k ON s.family_id = k.family_id AND n = a AND w = 'name'
 UNION ALL SELECT mention_id, person_id, 'name_verified' FROM s JOIN k ON s.family_id = k.family_id AND n = v AND w = 'name' UNION ALL SELECT mention_id, person_id, 'mention_alias' FROM s JOIN k ON s.family_id = k.family_id AND n IN (c, a) AND w = 'alias'
 UNION ALL SELECT mention_id, person_id, CASE n WHEN c THEN 'variant_canonical' WHEN v THEN 'variant_verified' ELSE 'variant_alias' END FROM s JOIN k ON s.family_id = k.family_id AND n IN (c, v, a) AND w = 'variant')""")

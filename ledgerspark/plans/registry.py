@@ -306,12 +306,12 @@ query("A15_error_rate_report", "part", lambda p: A.error_rates(edited(p), "e", [
 
 
 def queries() -> dict[str, Query]:
-    from ledgerspark.plans import archive  # noqa: F401  registers its own
+    from ledgerspark.plans import archive, jobs  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from ledgerspark.plans import archive  # noqa: F401
+    from ledgerspark.plans import archive, jobs  # noqa: F401
 
     return dict(SQL)

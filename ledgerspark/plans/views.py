@@ -82,7 +82,8 @@ VIEWS: dict[str, tuple[str, str, str]] = {
     "surfaces": (
         "lineitem",
         """l_orderkey * 10 + l_linenumber AS mention_id, l_orderkey * 10 + l_linenumber AS position, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_suppkey % 7 + l_partkey END AS person_id,
-        l_orderkey AS recording_id, l_orderkey % 3 AS speaker_id, CASE WHEN l_linenumber % 2 = 0 THEN 'Person  ' ELSE 'person ' END || CAST(l_suppkey % 7 + l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS STRING) AS name,
+        CASE WHEN l_linenumber % 2 = 0 THEN 'rec' ELSE 'Rec' END || CAST(l_orderkey % 40 AS STRING) AS recording_id, l_orderkey % 3 AS speaker_id,
+        CASE l_linenumber % 3 WHEN 0 THEN 'Person  ' WHEN 1 THEN 'person-' ELSE 'person ' END || CAST(l_suppkey % 7 + l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS STRING) AS name,
         CASE WHEN l_partkey % 5 = 0 THEN 'Al ' || CAST(l_partkey AS STRING) ELSE '' END AS alias, 'Al ' || CAST(l_suppkey * 7 AS STRING) AS variant,
         CASE WHEN l_quantity < 30 THEN 'unknown' WHEN l_quantity < 40 THEN 'family' ELSE 'friend' END AS category,
         CASE WHEN l_discount > 0.05 THEN 'rel ' || CAST(l_linenumber AS STRING) END AS relation, l_suppkey % 2 AS family_id""",

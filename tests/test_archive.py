@@ -129,9 +129,12 @@ def test_upsert_people_on_odd_rows(spark):
     ]
     got = {r.person_id: r.asDict() for r in H.upsert_people(people, spark.createDataFrame(rows, schema)).collect()}
     assert got[1] == {"person_id": 1, "canonical_name": "Ana", "category": "family", "aliases": ["Anya", "Nan", "Anna"], "verified_aliases": ["Nan"], "recording_ids": ["r0", "r1"], "relations": {"s": "sister"}}
-    assert got[2] == {"person_id": 2, "canonical_name": "Bo", "category": "unknown", "aliases": ["Bo", "Bob"], "verified_aliases": [], "recording_ids": ["r1", "r2"], "relations": None}
+    assert got[2] == {"person_id": 2, "canonical_name": "Bo", "category": "unknown", "aliases": ["Bo", "Bob"], "verified_aliases": [], "recording_ids": ["r1", "r2"], "relations": {}}
     assert len(got) == 2
     assert H.upsert_people(people, spark.createDataFrame([], schema)).count() == 1
+    more = [(1, 1, "R0", "s", "a-N_a", ["O'Neil"], None, "unknown", None), (2, 1, "r0", "s", "An\u0061", ["o neil", "ＯＮＥＩＬ"], None, "unknown", None)]
+    one = H.upsert_people(people.withColumn("relations", F.lit(None).cast("map<string,string>")), spark.createDataFrame(more, schema)).first().asDict()
+    assert one["aliases"] == ["Anya", "a-N_a", "O'Neil", "ＯＮＥＩＬ"] and one["recording_ids"] == ["r0", "R0"] and one["relations"] == {}
 
 
 def test_coreference_scores_of_nothing(spark):
@@ -211,3 +214,10 @@ def test_languages_and_quotes(spark):
     assert [r[0].detected for r in df.select(X.read_language("text")).collect()] == ["ru", "kk", "mixed", "unknown", "unknown", "unknown"]
     said = spark.createDataFrame([('«Иди сюда, » сказал он "и  ещё раз" "abc"\n— Не пойду домой\n"и ещё раз"',), (None,)], "text string")
     assert [r[0] for r in said.select(X.quotes("text")).collect()] == [["Иди сюда", "и ещё раз", "Не пойду домой"], None]
+
+
+def test_candidates_by_letters_alone(spark):
+    said = spark.createDataFrame([(1, "m1", "Анна-Мария", [], []), (1, "m2", "ＡＬ Іван", ["!"], []), (2, "m3", "аннамария", [], [])], "family_id int, mention_id string, name string, aliases array<string>, variants array<string>")
+    known = spark.createDataFrame([(1, "p1", "анна мария", [], []), (1, "p2", "x", ["al-іван"], ["!"])], "family_id int, person_id string, canonical_name string, aliases array<string>, verified_aliases array<string>")
+    got = sorted(tuple(r) for r in H.mention_candidates(said, known).collect())
+    assert got == [("m1", "p1", "name_canonical"), ("m2", "p2", "name_alias")]
