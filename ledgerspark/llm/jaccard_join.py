@@ -14,10 +14,12 @@ both hold a common key. Candidates are verified on their whole shingle sets.
 Near copies come in groups, so matches are never expanded into pairs. Equal sets are
 one class. Every class of a key is held against the key's hub, the class with the most
 matched keys, and links give components. Keys that still hold several components are
-then compared across components inside cells: a hub's classes are dealt into cells of
-bounded size, parities of shingles rule out pairs there, and a cell returns at most as
-many links as it has sets. No link between components is lost; links inside one need
-not be listed.
+stars of open pairs. A star of many sets, as boilerplate makes them, is split by how its
+sets differ from what most of them hold: sets that link, but for certain links with the
+one nearest to that, differ from it alike somewhere, so such shingles are keys of smaller
+stars. Small stars are compared inside cells of bounded size: parities of shingles rule
+out pairs there, and a cell returns at most as many links as it has sets. No link between
+components is lost; links inside one need not be listed.
 
 Null, empty and blank texts have an empty set and link with nothing: their component
 is their own doc_id. Repeated rows are repeated members of a class; each row of a
@@ -51,6 +53,8 @@ SPARE = 1.06
 SHARING, MORE = 100.0, 0.2
 #: Sets and shingles of a cell on average, at most.
 FEW, CELL_SHINGLES = 500, 250_000
+#: Sets of which a star's core is taken, about, and how often stars are split at most.
+CORE_SETS, LEVELS = 48, 6
 #: Least bits of a set's sketch.
 SKETCH_BITS = 512
 #: Rows of at most 64 bytes up to which a list of sets or rows is broadcast; a longer
@@ -377,12 +381,13 @@ def bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def with_texts(cells: DataFrame, owners: DataFrame, rows: DataFrame) -> DataFrame:
-    """Cells with one text of each set; only the texts that cells need are shuffled."""
+def with_texts(cells: DataFrame, owners: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
+    """Cells with one text of each set, and the columns ``more``; only the texts that
+    cells need are shuffled."""
     needed = owners.join(cells.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "t1", "t2")
     found = rows.select("t1", "t2", "text").join(bounded(written(needed, "needed")), ["t1", "t2"])
     texts = written(found.groupBy("set_id").agg(F.min("text").alias("text")), "texts")
-    return cells.join(texts, "set_id").select(*CELL, "outer", "set_id", "component", "text")
+    return cells.join(texts, "set_id").select(*CELL, "outer", "set_id", "component", "text", *more)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -428,10 +433,10 @@ def star_cells(stars: DataFrame) -> DataFrame:
     return own.unionByName(member)
 
 
-def open_cells(hubbed: DataFrame, owners: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cells for what can still hide a link between components: sets of one hub that
-    share a key of several components. Each hub's sets outside its component are held
-    against all its sets, in cells of so many of either."""
+def open_stars(hubbed: DataFrame, owners: DataFrame, labels: DataFrame) -> DataFrame:
+    """What can still hide a link between components: (hub, set_id, size, sketch,
+    component, away), the sets of one hub that share a key of several components. A set
+    is away if its component isn't the hub's; every open pair has one that is."""
     sides = owners.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     number = F.conv(F.substring(F.hex(F.coalesce("component", "set_id")), 1, 15), 16, 10).cast("long")
     sides = written(sides.select("node", "set_id", "size", "sketch", number.alias("component")), "sides")
@@ -440,7 +445,13 @@ def open_cells(hubbed: DataFrame, owners: DataFrame, labels: DataFrame) -> DataF
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max(F.greatest("component", "other")).alias("most")).where("least <> most").select("key")
     stars = written(placed.join(written(mixed, "mixed"), "key").select("hub", "node").distinct(), "open")
     home = of_node.select(F.col("node").alias("hub"), F.col("component").alias("home"))
-    rows = written(stars.join(home, "hub").join(sides, "node").select("hub", "set_id", "size", "sketch", "component", (F.col("component") != F.col("home")).alias("away")), "stars")
+    rows = stars.join(home, "hub").join(sides, "node")
+    return written(rows.select("hub", "set_id", "size", "sketch", "component", (F.col("component") != F.col("home")).alias("away")), "stars")
+
+
+def open_cells(rows: DataFrame) -> DataFrame:
+    """Cells of stars: each star's sets that are away are held against all its sets, in
+    cells of so many of either."""
     of = lambda n, size: F.greatest(F.ceil(n / FEW), F.ceil(size / CELL_SHINGLES), F.lit(1))
     away = F.col("away").cast("long")
     parts = rows.groupBy("hub").agg(of(F.count("*"), F.sum("size")).alias("js"), of(F.sum(away), F.sum(away * F.col("size"))).alias("is"), F.max("away").alias("any"))
@@ -452,6 +463,96 @@ def open_cells(hubbed: DataFrame, owners: DataFrame, labels: DataFrame) -> DataF
     return outer.unionByName(inner)
 
 
+def residues(rows: DataFrame, owners: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(hub, token, set_id, component, slack): how the sets of stars differ from what
+    most sets of their star hold, a row a shingle, and a row with a null token for the
+    set itself. The core is what more than half of a sample of the star's sets hold; any
+    core gives whole results, a common one gives few rows. A set's slack is
+    (100 + percent) * differing shingles - (100 - percent) * its size."""
+    counts = rows.groupBy("hub").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / FEW), F.ceil(F.sum("size") / CELL_SHINGLES)).alias("parts"))
+    placed = rows.join(bounded(written(counts, "star-parts")), "hub")
+    cell = [F.col("hub"), F.lit(0).cast("long").alias("i"), F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("j"), F.lit(False).alias("outer"), F.col("set_id"), F.col("component")]
+    drawn = F.pmod(F.xxhash64("set_id", F.lit(7)), F.ceil(F.col("n") / CORE_SETS)) == 0
+    whole = written(with_texts(placed.select(*cell, drawn.alias("drawn")), owners, texts, "drawn"), "star-texts")
+
+    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for hub, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = shingles(text.as_py(), words, k).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), hub), pa.int64()), pa.array(found)], names=["hub", "token"])
+
+    sample = whole.where("drawn").select("hub", "text")
+    held = sample.mapInArrow(tokens, "hub long, token long").groupBy("hub", "token").agg(F.count("*").alias("n"))
+    drawn_sets = sample.groupBy("hub").agg(F.count("*").alias("sets"))
+    core = held.join(F.broadcast(drawn_sets) if counts.count() <= BROADCAST_ROWS else drawn_sets, "hub").where("2 * n > sets").groupBy("hub").agg(F.collect_list("token").alias("core"))
+    own = counts.join(core, "hub", "left").select(
+        "hub", F.lit(0).cast("long").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.lit(True).alias("outer"),
+        F.coalesce("core", F.array().cast("array<long>")).alias("core"),
+    )
+    cells = whole.select(*CELL, "outer", "set_id", "component", "text").unionByName(own, allowMissingColumns=True)
+    schema = _fields("hub long, token long, set_id binary, component long, slack long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for (hub, _, _), table in each_cell(batches):
+            outer = table["outer"].to_numpy()
+            middle = np.sort(np.array(table["core"][int(np.flatnonzero(outer)[0])].as_py(), np.int64).view(np.uint64))
+            table = table.filter(pa.array(~outer))
+            sets = [shingles(text.as_py(), words, k) for text in table["text"]]
+            for start in range(0, len(sets), SLICE_ROWS):
+                some = sets[start : start + SLICE_ROWS]
+                apart = [np.setxor1d(x, middle, assume_unique=True).view(np.int64) for x in some]
+                slacks = [(100 + percent) * len(d) - (100 - percent) * len(x) for x, d in zip(some, apart)]
+                at = np.repeat(np.arange(len(some)), [len(d) + 1 for d in apart])
+                tokens = np.concatenate([np.concatenate(([0], d)) for d in apart])
+                itself = np.concatenate(([True], at[1:] != at[:-1]))
+                part = table.slice(start, len(some)).take(pa.array(at)).combine_chunks()
+                columns = [pa.array(np.full(len(at), hub)), pa.array(tokens, mask=itself), part["set_id"].combine_chunks(), part["component"].combine_chunks(), pa.array(np.array(slacks)[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return written(in_cells(cells).mapInArrow(run, schema), "residues")
+
+
+def split_stars(rows: DataFrame, owners: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that are certain, and smaller stars for all others.
+
+    With C any set, A and B differ in no more than A and C and B and C together. If
+    the slacks of two sets add up to nothing or less, they link, and so does either with
+    the set of least slack: these links are returned. If they add up to more, the sets can
+    link only where they differ from C alike, in one shingle at least: the sets of a star
+    that share such a shingle are a new star. Stars of the same sets are taken once."""
+    apart = residues(rows, owners, texts, k, percent)
+    single = apart.where("token IS NULL")
+    near = single.groupBy("hub").agg(F.min(F.struct("slack", "set_id", "component")).alias("x"))
+    near = near.select("hub", F.col("x.set_id").alias("a"), F.col("x.slack").alias("least"), F.col("x.component").alias("home")).where("least <= 0")
+    certain = single.join(bounded(written(near, "nearest")), "hub").where("slack + least <= 0 AND component <> home").select("a", F.col("set_id").alias("b"))
+    shared = apart.where("token IS NOT NULL").groupBy("hub", "token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("y"),
+        F.min("component").alias("home"), F.max("component").alias("most"),
+    )
+    once = shared.where("home <> most").groupBy("hub", "n", "x", "y").agg(F.min("token").alias("token"), F.min("home").alias("home"))
+    once = bounded(written(once.select("hub", "token", "home"), "shared"))
+    found = apart.join(once, ["hub", "token"]).select(F.xxhash64("hub", "token").alias("hub"), "set_id", "component", (F.col("component") != F.col("home")).alias("away"))
+    found = found.join(owners.select("set_id", "size", "sketch"), "set_id")
+    return written(certain, "certain"), written(found.select("hub", "set_id", "size", "sketch", "component", "away"), "stars")
+
+
+def open_work(rows: DataFrame, owners: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Cells for all open stars, and links that are certain. Stars of more than FEW sets
+    are split until they are small, LEVELS times at most; what is large then is held
+    against itself in cells."""
+    cells, links = [], None
+    for _ in range(LEVELS):
+        large = written(rows.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("hub"), "large")
+        if not large.limit(1).count():
+            break
+        cells.append(open_cells(rows.join(bounded(large), "hub", "left_anti")))
+        certain, rows = split_stars(rows.join(bounded(large), "hub"), owners, texts, k, percent)
+        links = certain if links is None else links.union(certain)
+    return functools.reduce(DataFrame.unionByName, [*cells, open_cells(rows)]), links
+
+
 def classed_rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """One row per document: doc_id, t1, t2, n_shingles, set_id and component, the
     number of its group; null for an empty set."""
@@ -474,11 +575,14 @@ def classed_rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: i
     labels = components(edges)
 
     # Then what can still hide a link between components.
-    left = written(possible_sets(open_cells(hubbed, owners, labels), percent), "possible")
+    cells, certain = open_work(open_stars(hubbed, owners, labels), owners, rows, k, percent)
+    left = written(possible_sets(cells, percent), "possible")
+    more = certain
     if left.limit(1).count():
-        more = written(links_in_cells(with_texts(left, owners, rows), k, percent), "links")
-        if more.limit(1).count():
-            labels = components(edges.union(more))
+        found = written(links_in_cells(with_texts(left, owners, rows), k, percent), "links")
+        more = found if more is None else more.union(found)
+    if more is not None and more.limit(1).count():
+        labels = components(edges.union(more))
 
     classed = signed.select("doc_id", "t1", "t2", "n_shingles", "set_id").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     return classed.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id")))
