@@ -7,15 +7,17 @@ links; where the page marks its article, SURGE inside it and nothing outside. Ta
 without text between them make no line. Sizes are summed over sliding windows of WINDOW
 lines. Text dives where a window's sum is nothing, so what lies between two dives is
 a stretch; a stretch in which some window surges, to SURGE or the page's largest sum,
-is text, and is kept whole: its short lines too, and its lines of links. Between the
-first and the last such stretch every line with a size stays.
+or that holds a sentence of its own, is text, and is kept whole: its short lines too, and
+its lines of links. Between the first and the last such stretch every line with a size
+stays. Where no article is marked, legal and cookie lines at either end of the text go.
 
 So a marked article is all text, as each of its lines surges, and its tags do most of
 the work there. On other pages the sums alone tell text from what is between.
 
-Null and empty pages have an empty text. Unclosed and crossing tags are allowed. Very
-long pages are read whole, in time proportional to their length for well-formed tags.
-Repeated rows give repeated results; an empty table gives no rows. Other columns pass
+Null and empty pages have an empty text. Unclosed and crossing tags are allowed; a
+comment that isn't closed takes the rest of the page. Very long pages are read whole, in
+time proportional to their length, whatever they hold. Repeated rows give repeated
+results, so there are no ties; an empty table gives no rows. Other columns pass
 unchanged, whatever their names; one that has the name of the result is replaced."""
 
 from __future__ import annotations
@@ -48,15 +50,25 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Words of a class or id that mark what isn't the article: first or last of the words
 #: of one name, or only last (a form for search, but not what is said of search engines).
 MARKS = re.compile(
-    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|masthead|footer|sidebar\w*|aside|comments?|disqus|cookie\w*|consent|gdpr|"
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|masthead|foot(?:er)?|colophon|copyright|legal|sidebar\w*|aside|comment\w*|disqus|cookie\w*|consent|gdpr|"
     r"popup|modal|overlay|newsletter|subscri\w*|signup|share|sharing|social|related|recommend\w*|widget\w*|toolbar|pagination|pager",
     re.I,
 )
 LAST_MARKS = re.compile(r"header|side|repl(?:y|ies)|respond|notices?|alerts?|login|form|search", re.I)
 _WORDS = re.compile(r"[_-]+")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>", re.S)
 #: One attribute after the other from the start of the tag: its whole name and its value.
-_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+)))?""")
+#: Every character is taken by some match, so that none is looked at from several starts.
+_ATTRIBUTE = re.compile(r"""[\s/]++|=|([^\s/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(\S++)))?+""")
+#: A value without quotes at the end of a tag, whose last character is a slash.
+_BARE_VALUE = re.compile(r"=[^\s\"'=]*+(?<=/)\Z")
+#: Decimal references of so many digits that they name no character, or but zeros first.
+_LONG_REFERENCE = re.compile(r"&#([0-9]{8,})")
+#: What makes a line a sentence: words, and a stop at its end.
+_SENTENCE = re.compile(r"(?:\S+\s+){4,}\S*[.!?…][\"'”’»)\]]*\Z")
+#: Lines that belong to the site, where they stand first or last in a text.
+_SITE_LINE = re.compile(r"\A(?:©|\(c\)|copyright\b)|\A(?:privacy policy|terms of (?:use|service))\b", re.I)
+_COOKIES, _CONSENT = re.compile(r"\bcookies?\b", re.I), re.compile(r"\b(?:accept|agree|consent|experience|policy|settings)\b", re.I)
 #: An element that a start tag of the same kind closes.
 _SIBLING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
@@ -66,7 +78,7 @@ RESULT = T.StructType([T.StructField("text", T.StringType(), False), T.StructFie
 def is_marked(attributes: str) -> bool:
     seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
-        if m[1].lower() in seen:  # the first of a name counts
+        if not m[1] or m[1].lower() in seen:  # the first of a name counts
             continue
         seen.add(m[1].lower())
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -82,6 +94,20 @@ def names_aside(name: str) -> bool:
     return bool(words) and any(MARKS.fullmatch(w) for w in (words[0], words[-1])) or bool(words and LAST_MARKS.fullmatch(words[-1]))
 
 
+def is_site_line(text: str) -> bool:
+    return bool(_SITE_LINE.search(text) or (_COOKIES.search(text) and _CONSENT.search(text)))
+
+
+def decoded(text: str) -> str:
+    """Text with its character references decoded."""
+
+    def short(m: re.Match) -> str:
+        digits = m[1].lstrip("0") or "0"
+        return f"&#{digits}" if len(digits) < 8 else "&#xFFFFFFF"
+
+    return unescape(_LONG_REFERENCE.sub(short, text))
+
+
 def lines(page: str) -> Iterator[tuple[str, bool, bool, float]]:
     """The page's lines: text, whether aside, whether in an article, share of links."""
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is aside
@@ -98,12 +124,15 @@ def lines(page: str) -> Iterator[tuple[str, bool, bool, float]]:
         parts.clear()
         return text, was_aside, was_article, share
 
-    at, n = 0, len(page)
+    # No tag ends behind the last bracket, so nothing is looked for there.
+    at, n, tags = 0, len(page), page.rfind(">") + 1
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, tags) if at < tags else None
         end = m.start() if m else n
+        if not m and (comment := page.find("<!--", at)) >= 0:
+            end = n = comment
         if end > at:
-            text = unescape(page[at:end])
+            text = decoded(page[at:end])
             parts.append(text)
             if link:
                 linked += len(text.strip())
@@ -111,6 +140,8 @@ def lines(page: str) -> Iterator[tuple[str, bool, bool, float]]:
             break
         at = m.end()
         if not m[2]:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in BLOCKS:
@@ -129,7 +160,7 @@ def lines(page: str) -> Iterator[tuple[str, bool, bool, float]]:
                     if x == name:
                         break
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or (m[3].endswith("/") and not _BARE_VALUE.search(m[3])):
             continue
         if name in RAW:
             close = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -185,11 +216,19 @@ def main_text(page: str | None) -> str:
                 last = end
             top = max(top, sums[end])
             end += 1
-        if top >= surge:
-            marked = sizes[at] >= SURGE * len(found[at][0])
+        marked = sizes[at] >= SURGE * len(found[at][0])
+        if top >= surge or any(sizes[i] and _SENTENCE.search(found[i][0]) for i in range(at, last + 1)):
             kept.update(i for i in range(at, last + 1) if sizes[i] or not (found[i][1] or marked))
         at = max(end, last + 1)
-    return "\n".join(found[i][0] for i in range(min(kept), max(kept) + 1) if i in kept or sizes[i]) if kept else ""
+    text = [i for i in range(min(kept), max(kept) + 1) if i in kept or sizes[i]] if kept else []
+    if text and not any(inside and not aside for _, aside, inside, _ in found):
+        first, past = 0, len(text)
+        while first < past and is_site_line(found[text[first]][0]):
+            first += 1
+        while past > first and is_site_line(found[text[past - 1]][0]):
+            past -= 1
+        text = text[first:past]
+    return "\n".join(found[i][0] for i in text)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", out: str = "main") -> DataFrame:
