@@ -53,8 +53,9 @@ SPARE = 1.06
 SHARING, MORE = 100.0, 0.2
 #: Sets and shingles of a cell on average, at most.
 FEW, CELL_SHINGLES = 500, 250_000
-#: Sets of which a star's core is taken, about, and how often stars are split at most.
-CORE_SETS, LEVELS = 48, 6
+#: Stars of more than SPLIT * FEW sets are split, LEVELS times at most; smaller ones make at
+#: most 2 * SPLIT cell rows a set. Sets of which a star's core is taken, about.
+SPLIT, LEVELS, CORE_SETS = 8, 6, 48
 #: Least bits of a set's sketch.
 SKETCH_BITS = 512
 #: Rows of at most 64 bytes up to which a list of sets or rows is broadcast; a longer
@@ -539,12 +540,11 @@ def split_stars(rows: DataFrame, owners: DataFrame, texts: DataFrame, k: int, pe
 
 
 def open_work(rows: DataFrame, owners: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Cells for all open stars, and links that are certain. Stars of more than FEW sets
-    are split until they are small, LEVELS times at most; what is large then is held
-    against itself in cells."""
+    """Cells for all open stars, and links that are certain. Large stars are split until
+    they are small; what is large after all LEVELS is held against itself in cells."""
     cells, links = [], None
     for _ in range(LEVELS):
-        large = written(rows.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("hub"), "large")
+        large = written(rows.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT * FEW).select("hub"), "large")
         if not large.limit(1).count():
             break
         cells.append(open_cells(rows.join(bounded(large), "hub", "left_anti")))

@@ -14,11 +14,13 @@ def boilerplate(n, seed=1, shared=400, own=60):
     return [(i, " ".join(passage + [f"w{r.randrange(10**9)}" for _ in range(own)])) for i in range(n)]
 
 
-@pytest.mark.parametrize(("seed", "percent", "few"), [(1, 90, 4), (3, 80, 4), (4, 90, 12)])
+@pytest.mark.parametrize(("seed", "percent", "few"), [(1, 90, 4), (3, 80, 6)])
 def test_links_as_by_brute_force(spark, monkeypatch, seed, percent, few):
     """Passages of several levels, own parts on both sides of what a link allows, copies
     with edits among them, and sets next to the bare passage."""
     monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "SPLIT", 1)
+    monkeypatch.setattr(jaccard_join, "LEVELS", 3)
     monkeypatch.setattr(jaccard_join, "CORE_SETS", 3 + seed)
     r = random.Random(seed)
     word = lambda: f"w{r.randrange(10**6)}"
@@ -43,6 +45,7 @@ def test_links_as_by_brute_force(spark, monkeypatch, seed, percent, few):
 def work(spark, monkeypatch, n):
     """Rows of cells and of residues that n texts make."""
     seen = []
+    monkeypatch.setattr(jaccard_join, "SPLIT", 2)
     for name in ("possible_sets", "split_stars"):
         real = getattr(jaccard_join, name)
 
@@ -59,5 +62,5 @@ def work(spark, monkeypatch, n):
 
 
 def test_rows_grow_in_proportion(spark, monkeypatch):
-    small, large = work(spark, monkeypatch, 2000), work(spark, monkeypatch, 8000)
-    assert 0 < small and large <= 5 * small and large <= 5 * 8000
+    small, large = work(spark, monkeypatch, 1500), work(spark, monkeypatch, 6000)
+    assert 0 < small and large <= 5 * small and large <= 5 * 6000
