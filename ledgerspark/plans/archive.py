@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.functions import claims as K
 from ledgerspark.functions import lexicon as X
 from ledgerspark.operators import graph as G
 from ledgerspark.operators import joins as J
@@ -288,3 +289,46 @@ so AS (SELECT * FROM st WHERE state_now IN ('active', 'accepted') AND evidence_c
 query("E2_ingest_claims", "claims people", lambda c, p: ingested(c, p, "claims").select("claim_id", "status"), _STATES + " SELECT claim_id, state_now AS status FROM st")
 query("E2_ingest_edges", "claims people", lambda c, p: ingested(c, p, "edges").select("relationship_type", "subject_person_id", "object_person_id", F.array_join("source_claim_ids", ",").alias("sources")), _STATES + """ SELECT relationship_type, a AS subject_person_id, b AS object_person_id, string_agg(claim_id::VARCHAR, ',' ORDER BY claim_id) AS sources FROM (SELECT claim_id, relationship_type, CASE WHEN relationship_type <> 'parent_child' THEN least(subject_person_id, object_person_id) WHEN subject_role = 'child' THEN object_person_id ELSE subject_person_id END AS a,
 CASE WHEN relationship_type <> 'parent_child' THEN greatest(subject_person_id, object_person_id) WHEN subject_role = 'child' THEN subject_person_id ELSE object_person_id END AS b FROM so WHERE subject_person_id <> object_person_id) GROUP BY 1, 2, 3""")
+
+# Dates, clauses and markers of what lines say; the SQL builds what each kind of text must give.
+_SAID_DATE = """l_orderkey * 10 + l_linenumber AS remark_id, l_partkey % 12 AS kind, 1900 + l_suppkey % 100 AS y, l_partkey % 12 + 1 AS m, l_suppkey % 31 + 1 AS d, l_linenumber AS n"""
+_DATE_TEXT = """CASE kind WHEN 0 THEN CAST(y AS STRING) || '-' || lpad(CAST(m AS STRING), 2, '0') || '-' || lpad(CAST(d AS STRING), 2, '0') WHEN 1 THEN '3/4/' || CAST(y AS STRING) WHEN 2 THEN 'между ' || CAST(y AS STRING) || ' и ' || CAST(1900 + n * 15 AS STRING)
+WHEN 3 THEN 'до ' || CAST(y AS STRING) || ' года' WHEN 4 THEN 'после ' || CAST(y AS STRING) WHEN 5 THEN 'примерно ' || CAST(y AS STRING) WHEN 6 THEN ' ' || CAST(y AS STRING) || ' ' WHEN 7 THEN CAST(n AS STRING) || ' мая ' || CAST(y AS STRING) || ' года'
+WHEN 8 THEN CAST(d AS STRING) || ' ақпан ' || CAST(y AS STRING) WHEN 9 THEN 'май ' || CAST(y AS STRING) WHEN 10 THEN 'когда ему было ' || CAST(n AS STRING) ELSE '' END"""
+
+
+def said_dates(lines: DataFrame) -> DataFrame:
+    rows = lines.selectExpr(*split_columns(_SAID_DATE)).selectExpr("remark_id", f"{_DATE_TEXT} AS text")
+    return rows.select("remark_id", "text", K.parsed_date("text").alias("x")).select("remark_id", "text", "x.*")
+
+
+query("T18_parsed_dates", "lineitem", said_dates, f"""WITH s AS (SELECT *, {_DATE_TEXT} AS text, y::VARCHAR AS ys, 1900 + n * 15 AS z FROM (SELECT {_SAID_DATE} FROM lineitem)),
+c AS (SELECT *, CASE kind WHEN 0 THEN text WHEN 7 THEN ys || '-05-' || lpad(n::VARCHAR, 2, '0') WHEN 8 THEN ys || '-02-' || lpad(d::VARCHAR, 2, '0') END AS day FROM s),
+v AS (SELECT *, CASE WHEN day IS NULL THEN kind = 11 OR (kind = 2 AND y > z) ELSE try_cast(day AS DATE) IS NULL END AS bad FROM c)
+SELECT remark_id, text, CASE WHEN bad THEN NULL WHEN kind IN (0, 7, 8) THEN 'exact_date' WHEN kind = 1 THEN 'unknown' WHEN kind = 2 THEN 'range' WHEN kind IN (3, 4, 10) THEN 'relative' WHEN kind = 5 THEN 'approximate' WHEN kind = 6 THEN 'year' ELSE 'month_year' END AS kind,
+CASE WHEN bad THEN NULL WHEN kind IN (0, 7, 8) THEN 'day' WHEN kind IN (1, 10) THEN 'unknown' WHEN kind = 2 THEN 'range' WHEN kind = 9 THEN 'month' ELSE 'year' END AS "precision",
+CASE WHEN bad THEN NULL WHEN day IS NOT NULL THEN day WHEN kind IN (5, 6) THEN ys WHEN kind = 9 THEN ys || '-05' END AS value,
+CASE WHEN bad THEN NULL WHEN kind = 2 THEN ys WHEN kind = 4 THEN (y + 1)::VARCHAR WHEN kind = 5 THEN (y - 1)::VARCHAR END AS lower_bound,
+CASE WHEN bad THEN NULL WHEN kind = 2 THEN z::VARCHAR || '-12-31' WHEN kind = 3 THEN (y - 1)::VARCHAR || '-12-31' WHEN kind = 5 THEN (y + 1)::VARCHAR || '-12-31' END AS upper_bound,
+NOT bad AND kind = 5 AS approximate, CASE WHEN bad THEN NULL WHEN kind = 2 THEN 'between' WHEN kind = 3 THEN 'before' WHEN kind = 4 THEN 'after' WHEN kind = 10 THEN 'at_age' END AS relation,
+CASE WHEN bad THEN NULL WHEN kind = 1 THEN 'locale_ambiguous_numeric_date' WHEN kind IN (3, 4) THEN 'semantic_anchor_not_identified' WHEN kind = 10 THEN 'birth_anchor_missing' END AS reason,
+CASE WHEN bad THEN CASE WHEN kind = 2 THEN 'temporal_range_invalid' ELSE 'temporal_value_invalid' END WHEN kind = 1 THEN 'temporal_format_ambiguous' WHEN kind IN (3, 4, 10) THEN 'temporal_anchor_missing' END AS issue FROM v""")
+_CHECKED = "l_orderkey * 10 + l_linenumber AS remark_id, CASE WHEN l_partkey % 2 = 0 THEN 'около ' ELSE 'в ' END || CAST(1900 + l_suppkey % 90 AS STRING) AS expression, CASE l_linenumber % 3 WHEN 0 THEN 'exact_date' ELSE 'approximate' END AS kind, 'year' AS grain, l_linenumber % 2 = 0 AS approximate, CASE WHEN l_suppkey % 7 = 0 THEN '1950-02-30' ELSE '1950' END AS value, 'Это было  ОКОЛО ' || CAST(1900 + l_suppkey % 90 AS STRING) AS evidence"
+query("T19_date_checks", "lineitem", lambda lines: lines.selectExpr(*split_columns(_CHECKED)).select("remark_id", F.array_join(K.date_checks("expression", "kind", "grain", "approximate", "value", "evidence", F.lit(None).cast("string")), ",").alias("issues")), f"""WITH c AS (SELECT {_CHECKED} FROM lineitem)
+SELECT remark_id, concat_ws(',', CASE WHEN NOT starts_with(expression, 'около') THEN 'temporal_evidence_unsupported' END, CASE WHEN starts_with(expression, 'около') AND (kind = 'exact_date' OR NOT approximate) THEN 'silently_exactified' END,
+CASE WHEN value = '1950-02-30' THEN 'invalid_calendar_value' END, CASE WHEN starts_with(expression, 'около') AND kind = 'exact_date' THEN 'temporal_precision_overstated' END) AS issues FROM c""")
+_TOLD = """l_orderkey * 10 + l_linenumber AS remark_id, l_partkey % 5 AS a, l_suppkey % 4 AS b, CASE l_partkey % 5 WHEN 0 THEN 'Асан, кажется, уехал' WHEN 1 THEN 'Асан «наверное» уехал' WHEN 2 THEN 'Асан уехал' WHEN 3 THEN 'есімде жоқ, Асан, вроде, уехал' ELSE 'Асану не кажется' END || '. ' ||
+CASE l_suppkey % 4 WHEN 0 THEN 'Дина, шамасы, келді' WHEN 1 THEN 'Дина келді' WHEN 2 THEN 'Дина возможно-то; Асан' ELSE 'без сомнения, возможно' END AS text, CASE WHEN l_linenumber % 2 = 0 THEN 'uncertain' ELSE 'explicit' END AS mode"""
+
+
+def told_certainty(lines: DataFrame) -> DataFrame:
+    rows = lines.selectExpr(*split_columns(_TOLD)).withColumn("names", F.array(F.lit("Дина")))
+    rows = K.with_uncertainty(rows, "text", "names", "mode", "u").withColumn("quotes", K.quoted("text")).withColumn("ms", K.uncertainty_markers("text", F.col("quotes")))
+    return rows.select("remark_id", F.size("ms").cast("long").alias("n_markers"), F.size(K.clauses("text")).cast("long").alias("n_clauses"), F.col("u.status").alias("status"), F.array_join("u.markers", ",").alias("markers"), F.col("u.issue").alias("issue"))
+
+
+query("T16_uncertainty", "lineitem", told_certainty, f"""WITH c AS (SELECT *, CASE a WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS na, CASE WHEN b IN (0, 2) THEN 1 ELSE 0 END AS nb, CASE a WHEN 0 THEN 'кажется' WHEN 3 THEN 'есімде жоқ,вроде' END AS ma, CASE b WHEN 0 THEN 'шамасы' WHEN 2 THEN 'возможно' END AS mb, mode = 'uncertain' AS un FROM (SELECT {_TOLD} FROM lineitem))
+SELECT remark_id, (na + nb)::BIGINT AS n_markers, CASE WHEN b = 2 THEN 3 ELSE 2 END::BIGINT AS n_clauses,
+CASE WHEN b = 3 THEN CASE WHEN un OR na > 0 THEN 'unresolved' END WHEN nb > 0 THEN 'uncertain' WHEN un THEN 'unresolved' END AS status,
+CASE WHEN b = 3 THEN CASE WHEN un OR na > 0 THEN coalesce(ma, '') END WHEN nb > 0 THEN mb WHEN un THEN '' END AS markers,
+CASE WHEN b = 3 THEN CASE WHEN un OR na > 0 THEN 'uncertainty_scope_ambiguous' END WHEN nb > 0 THEN NULL WHEN un THEN 'uncertainty_marker_unsupported' END AS issue FROM c""")

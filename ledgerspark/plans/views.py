@@ -108,11 +108,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def split_columns(columns: str) -> list[str]:
-    """The items of a select list."""
-    out, depth, start = [], 0, 0
+    """The items of a select list; commas in parentheses and strings don't part them."""
+    out, depth, start, quoted = [], 0, 0, False
     for i, c in enumerate(columns):
-        depth += (c == "(") - (c == ")")
-        if c == "," and depth == 0:
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and depth == 0 and not quoted:
             out.append(columns[start:i].strip())
             start = i + 1
     return [*out, columns[start:].strip()]
