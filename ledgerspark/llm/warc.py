@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from ledgerspark.llm.common import written
 
 #: Bytes of a record's block above which it is split; bytes of one transfer chunk.
-SEGMENT_BYTES, CHUNK_BYTES = 1 << 15, 1 << 13
+SEGMENT_BYTES, CHUNK_BYTES = 1 << 12, 1 << 10
 #: Payloads under these bytes are never revisited.
 LEAST_REVISIT = 100
 
