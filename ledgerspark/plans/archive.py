@@ -12,6 +12,7 @@ from ledgerspark.operators import joins as J
 from ledgerspark.operators import people as H
 from ledgerspark.operators import predicates as P
 from ledgerspark.operators import scores as C
+from ledgerspark.operators import support as V
 from ledgerspark.operators import transcripts as W
 from ledgerspark.operators import upkeep as U
 from ledgerspark.operators.ingest import ingest_claims
@@ -332,3 +333,39 @@ SELECT remark_id, (na + nb)::BIGINT AS n_markers, CASE WHEN b = 2 THEN 3 ELSE 2
 CASE WHEN b = 3 THEN CASE WHEN un OR na > 0 THEN 'unresolved' END WHEN nb > 0 THEN 'uncertain' WHEN un THEN 'unresolved' END AS status,
 CASE WHEN b = 3 THEN CASE WHEN un OR na > 0 THEN coalesce(ma, '') END WHEN nb > 0 THEN mb WHEN un THEN '' END AS markers,
 CASE WHEN b = 3 THEN CASE WHEN un OR na > 0 THEN 'uncertainty_scope_ambiguous' END WHEN nb > 0 THEN NULL WHEN un THEN 'uncertainty_marker_unsupported' END AS issue FROM c""")
+
+# What lines of documents are borne out by passages of the benchmark, and which passages they use.
+_FLAT = r"trim(regexp_replace(replace(replace(lower({}), 'ß', 'ss'), 'ё', 'е'), '[^\pL\pN-]+', ' ', 'g'))"
+_SIG = {name: {side: "(" + " OR ".join(f"contains(p, '{m}')" for m in markers) + ")" for side, markers in two.items()} for name, two in V.SIDES.items()}
+_READ = f"""SELECT *, ' ' || flat || ' ' AS p, list_distinct(list_transform(list_filter(string_split(flat, ' '), lambda w: length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in V.STOP_WORDS)}) AND NOT regexp_full_match(w, '[0-9]+')), lambda w: left(w, 6))) AS stems"""
+_SIGNED = "SELECT *, " + "(" + " OR ".join(f"contains(p, '{m}')" for m in V.NEGATION) + ") AS negated, " + ", ".join(f"CASE WHEN {' AND '.join(two.values())} THEN 'conflicting' " + " ".join(f"WHEN {cond} THEN '{side}'" for side, cond in two.items()) + f" END AS {name}" for name, two in _SIG.items())
+_FITS = "s.negated = e.negated AND " + " AND ".join(f"coalesce(s.{n}, '') <> 'conflicting' AND coalesce(e.{n}, '') <> 'conflicting' AND (s.{n} IS NULL OR coalesce(s.{n} = e.{n}, false))" for n in V.SIDES)
+
+
+def doc_lines(docs: DataFrame) -> DataFrame:
+    parts = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    return parts.select(F.lit(0).alias("scope"), (F.col("doc_id") * 100000 + F.col("at")).alias("sentence_id"), "text")
+
+
+def passages(items: DataFrame) -> DataFrame:
+    return items.select(F.lit(0).alias("scope"), F.col("item_id").alias("evidence_id"), "text")
+
+
+def shops(people: DataFrame) -> DataFrame:
+    return people.select(F.lit(0).alias("scope"), F.col("canonical_name").alias("name"))
+
+
+def planned_passages(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("text_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("evidence_id")).where((F.col("text_id") + F.col("evidence_id")) % 20 == 0)
+
+
+_PASSAGES = f"e AS ({_SIGNED} FROM ({_READ} FROM (SELECT item_id, text, {_FLAT.format('text')} AS flat FROM benchmark)))"
+query("J16_sentence_support", "documents benchmark people", lambda d, b, p: V.sentence_support(doc_lines(d), passages(b), shops(p)).drop("scope"), f""", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents),
+s AS ({_SIGNED} FROM ({_READ} FROM (SELECT doc_id * 100000 + place AS sentence_id, {_FLAT.format('text')} AS flat FROM l))), {_PASSAGES},
+m AS (SELECT sentence_id, min(item_id) AS evidence_id FROM s JOIN e ON {_FITS} AND (contains(e.flat, s.flat) OR contains(s.flat, e.flat) OR len(list_intersect(s.stems, e.stems)) >= 2) WHERE len(s.stems) > 0 AND e.flat <> '' GROUP BY 1)
+SELECT sentence_id, len(s.stems) = 0 OR evidence_id IS NOT NULL AS supported, evidence_id FROM s LEFT JOIN m USING (sentence_id)""")
+query("J17_evidence_used", "documents benchmark people", lambda d, b, p: V.evidence_used(d.select(F.lit(0).alias("scope"), F.col("doc_id").alias("text_id"), "text"), passages(b), planned_passages(d), shops(p)), f""", {_PASSAGES},
+w AS (SELECT doc_id AS text_id, unnest(range(0, 40)) AS evidence_id, text, {_FLAT.format('text')} AS whole FROM documents), k AS (SELECT * FROM w WHERE (text_id + evidence_id) % 20 = 0),
+s AS ({_SIGNED} FROM ({_READ} FROM (SELECT doc_id AS text_id, {_FLAT.format('text')} AS flat FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?…\\n]+')) AS text FROM documents)))),
+u AS (SELECT DISTINCT k.text_id, k.evidence_id FROM k JOIN e ON e.item_id = k.evidence_id JOIN s ON s.text_id = k.text_id WHERE {_FITS} AND len(e.stems) >= 2 AND len(list_intersect(s.stems, e.stems)) >= greatest(2, least(4, greatest(2, len(e.stems) // 3))))
+SELECT k.text_id, k.evidence_id, u.text_id IS NOT NULL OR coalesce(e.flat <> '' AND contains(whole, e.flat), false) AS used FROM k LEFT JOIN u ON u.text_id = k.text_id AND u.evidence_id = k.evidence_id LEFT JOIN e ON e.item_id = k.evidence_id""")
