@@ -110,8 +110,13 @@ def stage_durations(trace: DataFrame) -> DataFrame:
     )
 
 
-def latency_profile(samples: DataFrame, by: str, value: str) -> DataFrame:
-    """Exact percentiles (interpolated), least, most and mean."""
+def latency_profile(samples: DataFrame, by: str | None, value: str) -> DataFrame:
+    """Exact percentiles (interpolated), least, most and mean. Without ``by`` it is one
+    row of all samples rounded to two places, of zeros where there are none."""
+    if by is None:
+        one = latency_profile(samples.withColumn("_all", F.lit(1)), "_all", value).drop("_all")
+        rows = one.unionByName(samples.sparkSession.range(1).select(F.lit(0).cast("long").alias("n")), allowMissingColumns=True)
+        return rows.agg(F.max("n").alias("n"), *[F.round(F.coalesce(F.max(c).cast("double"), F.lit(0.0)), 2).alias(c) for c in rows.columns if c != "n"])
     q = F.percentile(value, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]))
     out = samples.groupBy(by).agg(F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.count(value).alias("n"))
     return out.select(by, "n", "min", *[F.get("q", F.lit(i)).alias(p) for i, p in enumerate(("p50", "p90", "p95", "p99"))], "max", "mean")

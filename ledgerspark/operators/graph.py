@@ -45,10 +45,16 @@ def family_relations(edges: DataFrame, people: DataFrame) -> DataFrame:
     return people.select("person_id").join(found, "person_id", "left")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) of every id on an edge: the least id reachable. Labels
-    pass along edges and then to labels of labels, so rounds grow with the
-    logarithm of the longest path."""
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", people: DataFrame | None = None) -> DataFrame:
+    """(id, component) of every id on an edge, and of every id of ``people`` (id): the
+    least id reachable, which for those without an edge is their own. Labels pass along
+    edges and then to labels of labels, so rounds grow with the logarithm of the longest
+    path. Edges with a null end link nothing."""
+    if people is not None:
+        linked = connected_components(edges, a, b)
+        alone = people.select("id").where("id IS NOT NULL").distinct().join(linked, "id", "left_anti")
+        return linked.unionByName(alone.withColumn("component", F.col("id")))
+    edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     both = kept(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
     labels = kept(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("y")).select("id", F.least("id", "y").alias("label")))
     while True:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.lexicon import factual_support
-from ledgerspark.functions.text import statements
+from ledgerspark.functions.text import normalized, statements
+from ledgerspark.operators.aggregates import multiset_prf
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -76,3 +77,37 @@ def statement_support(texts: DataFrame, kind: str = "kind", id_col: str = "id")
     told = each.select(f"of.{kind}", factual_support("statement", "of.evidence").isin("exact", "ordered").alias("supported"))
     out = told.groupBy(kind).agg(F.count("*").alias("statements"), F.count_if(~F.col("supported")).cast("long").alias("unsupported"))
     return out.withColumn("rate", 1 - F.col("unsupported") / F.col("statements"))
+
+
+def _known(df: DataFrame, col: str, table: DataFrame, sentinel: str) -> DataFrame:
+    """df with the items of ``col`` as table (case_id, item, known) knows them, sorted; what it
+    doesn't know keeps a sentinel, so that it equals nothing."""
+    each = df.select("case_id", "row", F.explode(col).alias("item")).join(table, ["case_id", "item"], "left")
+    told = F.coalesce("known", F.concat(F.lit(sentinel), "item"))
+    lists = each.groupBy("case_id", "row").agg(F.sort_array(F.collect_list(told)).alias("_l"))
+    return df.join(lists, ["case_id", "row"], "left").withColumn(col, F.coalesce("_l", F.array().cast("array<string>"))).drop("_l")
+
+
+def semantic_match(actual: DataFrame, gold: DataFrame, mentions: DataFrame) -> DataFrame:
+    """By case and kind (event, description, story) the matches of found objects and gold
+    ones as multisets of keys (label, sorted people, sorted events, sorted segments), and
+    for events how many gold ones were found with exactly their people.
+
+    actual: case_id, row (a number of its own), kind, id, label, members (mention ids), events
+    (event ids), segments; gold: the same with person and event keys. mentions: case_id,
+    mention_id, person_key. A mention without a person, and an event whose key isn't that of
+    exactly one gold event, match nothing. A case without objects of a kind has no row."""
+    none = F.array().cast("array<string>")
+    lists = {c: F.coalesce(c, none) for c in ("members", "events", "segments")}
+    label = {"label": F.coalesce(normalized("label"), F.lit(""))}
+    people = mentions.where("person_key IS NOT NULL").groupBy("case_id", F.col("mention_id").alias("item")).agg(F.min("person_key").alias("known"))
+    key = F.to_json(F.struct("label", F.sort_array("members").alias("m"), F.sort_array("events").alias("e"), F.sort_array("segments").alias("s")))
+    found = _known(actual.withColumns(lists | label), "members", people, "__unmatched__:")
+    want = gold.withColumns(lists | label).withColumn("key", key)
+    one = want.where("kind = 'event'").groupBy("case_id", "key").agg(F.count("*").alias("n"), F.min("id").alias("known")).where("n = 1")
+    same = found.where("kind = 'event'").withColumn("key", key).join(one, ["case_id", "key"]).groupBy("case_id", F.col("id").alias("item")).agg(F.min("known").alias("known"))
+    found = _known(found, "events", same, "__unmatched_event__:").withColumn("key", key)
+    match = multiset_prf(found.select("case_id", "kind", "key"), want.select("case_id", "kind", "key"), ["key"], ["case_id", "kind"])
+    events = want.where("kind = 'event'").join(found.where("kind = 'event'").select("case_id", "key").distinct().withColumn("hit", F.lit(True)), ["case_id", "key"], "left")
+    right = events.groupBy("case_id").agg(F.count("hit").alias("participants_right"), F.count("*").alias("participants_of")).withColumn("kind", F.lit("event"))
+    return match.join(right, ["case_id", "kind"], "left")

@@ -264,8 +264,9 @@ query("G2_family_relations", "part part", lambda p, q: G.family_relations(tree(p
 r AS (SELECT b AS p, 'parents' AS k, a AS o FROM k UNION SELECT a, 'children', b FROM k UNION SELECT x.b, 'siblings', y.b FROM k x JOIN k y ON x.a = y.a AND x.b <> y.b UNION SELECT a, 'siblings', b FROM t UNION SELECT b, 'siblings', a FROM t UNION SELECT a, 'spouse', b FROM s UNION SELECT b, 'spouse', a FROM s)
 SELECT p_partkey AS person_id, coalesce(string_agg(o::VARCHAR, ',' ORDER BY o) FILTER (k = 'parents'), '') AS parents, coalesce(string_agg(o::VARCHAR, ',' ORDER BY o) FILTER (k = 'children'), '') AS children, coalesce(string_agg(o::VARCHAR, ',' ORDER BY o) FILTER (k = 'siblings'), '') AS siblings, min(o) FILTER (k = 'spouse') AS spouse_id FROM part LEFT JOIN r ON p = p_partkey GROUP BY 1""")
 query("G3_generation_depth", "part part", lambda p, q: G.generation_depth(tree(p).where("relationship_type = 'parent_child'").select(F.col("subject_person_id").alias("parent"), F.col("object_person_id").alias("child")), persons(q)), """WITH RECURSIVE d AS (SELECT 0::BIGINT AS p, 0 AS n UNION ALL SELECT p_partkey, n + 1 FROM d JOIN part ON p_partkey // 3 = p AND p_partkey > 0) SELECT p AS person_id, n AS depth, false AS on_cycle FROM d""")
-query("G7_connected_components", "part orders", lambda p, o: G.connected_components(tree(p).where("relationship_type = 'spouse'").select(F.col("subject_person_id").alias("a"), F.col("object_person_id").alias("b")).union(o.select(-F.col("o_custkey") - 1, F.col("o_orderkey") + 1000000000))), """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + 1 + p_size % 3 AS b FROM part WHERE p_size > 40), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.b, c FROM r JOIN u ON u.a = r.id)
-SELECT id, min(c) AS component FROM r GROUP BY 1 UNION ALL SELECT o_orderkey + 1000000000, -o_custkey - 1 FROM orders UNION ALL SELECT DISTINCT -o_custkey - 1, -o_custkey - 1 FROM orders""")
+query("G7_connected_components", "part orders", lambda p, o: G.connected_components(tree(p).where("relationship_type = 'spouse'").select(F.col("subject_person_id").alias("a"), F.col("object_person_id").alias("b")).union(o.select(-F.col("o_custkey") - 1, F.col("o_orderkey") + 1000000000)), people=p.select(F.col("p_partkey").alias("id"))), """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + 1 + p_size % 3 AS b FROM part WHERE p_size > 40), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.b, c FROM r JOIN u ON u.a = r.id)
+SELECT id, min(c) AS component FROM r GROUP BY 1 UNION ALL SELECT o_orderkey + 1000000000, -o_custkey - 1 FROM orders UNION ALL SELECT DISTINCT -o_custkey - 1, -o_custkey - 1 FROM orders
+UNION ALL SELECT p_partkey, p_partkey FROM part WHERE p_partkey NOT IN (SELECT id FROM r)""")
 
 
 # Ingest: half of the batch is in the archive already. Of rows that share an id the least counts.
@@ -369,3 +370,34 @@ w AS (SELECT doc_id AS text_id, unnest(range(0, 40)) AS evidence_id, text, {_FLA
 s AS ({_SIGNED} FROM ({_READ} FROM (SELECT doc_id AS text_id, {_FLAT.format('text')} AS flat FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?…\\n]+')) AS text FROM documents)))),
 u AS (SELECT DISTINCT k.text_id, k.evidence_id FROM k JOIN e ON e.item_id = k.evidence_id JOIN s ON s.text_id = k.text_id WHERE {_FITS} AND len(e.stems) >= 2 AND len(list_intersect(s.stems, e.stems)) >= greatest(2, least(4, greatest(2, len(e.stems) // 3))))
 SELECT k.text_id, k.evidence_id, u.text_id IS NOT NULL OR coalesce(e.flat <> '' AND contains(whole, e.flat), false) AS used FROM k LEFT JOIN u ON u.text_id = k.text_id AND u.evidence_id = k.evidence_id LEFT JOIN e ON e.item_id = k.evidence_id""")
+
+
+# Objects found by lines, and gold ones that agree with them where both mentions are known.
+_FOUND = """l_orderkey AS case_id, l_linenumber AS n, CASE l_linenumber % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'story' ELSE 'description' END AS kind, l_partkey % 4 AS a, l_suppkey % 4 AS b, l_partkey % 2 AS s, l_suppkey % 3 AS t"""
+
+
+def matched_objects(lines: DataFrame) -> DataFrame:
+    rows = lines.selectExpr(*split_columns(_FOUND))
+    rows = rows.groupBy("case_id", "n").agg(F.min(F.struct("kind", "a", "b", "s", "t")).alias("x")).select("case_id", "n", "x.*")
+    mention, person = (lambda c: F.concat(F.lit("m"), F.col(c).cast("string"))), (lambda c: F.concat(F.lit("p"), F.col(c).cast("string")))
+    others = F.array(F.lit("e3"), F.lit("e6"))
+    base = [F.col("case_id"), F.col("n").cast("long").alias("row"), F.col("kind"), F.concat(F.lit("e"), F.col("n").cast("string")).alias("id")]
+    story = F.col("kind") == "story"
+    none = F.array().cast("array<string>")
+    actual = rows.select(*base, F.when(F.col("t") == 0, "The  Label").otherwise("the-label").alias("label"), F.array(mention("a"), mention("b")).alias("members"), F.when(story, others).otherwise(none).alias("events"), F.array(F.concat(F.lit("s"), F.col("s").cast("string"))).alias("segments"))
+    gold = rows.select(*base, F.lit("the label").alias("label"), F.array(person("b"), person("a")).alias("members"), F.when(story, others).otherwise(none).alias("events"), F.array(F.when(F.col("t") == 2, "s9").otherwise(F.concat(F.lit("s"), F.col("s").cast("string")))).alias("segments"))
+    known = rows.select("case_id").distinct().select("case_id", F.explode(F.array(*[F.struct(F.lit(f"m{k}").alias("mention_id"), F.lit(None if k == 2 else f"p{k}").cast("string").alias("person_key")) for k in range(3)])).alias("x")).select("case_id", "x.*")
+    return C.semantic_match(actual, gold, known)
+
+
+_AGREE = "a < 2 AND b < 2"
+query("A39_semantic_match", "lineitem", lambda lines: matched_objects(lines).select("case_id", "kind", "tp", "fp", "fn", "participants_right", "participants_of"), f"""WITH r AS (SELECT case_id, n, min({{'kind': kind, 'a': a, 'b': b, 's': s, 't': t}}) AS x FROM (SELECT {_FOUND} FROM lineitem) GROUP BY 1, 2),
+o AS (SELECT case_id, n, x.kind AS kind, x.a AS a, x.b AS b, x.s AS s, x.t AS t FROM r),
+k AS (SELECT *, list_sort([CASE WHEN a < 2 THEN 'p' || a ELSE '!' || a END, CASE WHEN b < 2 THEN 'p' || b ELSE '!' || b END])::VARCHAR || ' s' || s AS fk, list_sort(['p' || a, 'p' || b])::VARCHAR || CASE WHEN t = 2 THEN ' s9' ELSE ' s' || s END AS gk FROM o),
+g AS (SELECT case_id, gk, count(*) AS n, min('e' || n) AS id FROM k WHERE kind = 'event' GROUP BY 1, 2),
+m AS (SELECT k.case_id, 'e' || k.n AS e, min(g.id) AS id FROM k JOIN g ON g.case_id = k.case_id AND g.gk = k.fk AND g.n = 1 WHERE k.kind = 'event' GROUP BY 1, 2),
+w AS (SELECT k.*, coalesce((SELECT string_agg(coalesce(m.id, '?' || v.e), ',' ORDER BY coalesce(m.id, '?' || v.e)) FROM (VALUES ('e3'), ('e6')) v(e) LEFT JOIN m ON m.e = v.e AND m.case_id = k.case_id), '') AS fe FROM k),
+f AS (SELECT case_id, kind, fk || CASE WHEN kind = 'story' THEN fe ELSE '' END AS key, count(*) AS c FROM w GROUP BY 1, 2, 3), h AS (SELECT case_id, kind, gk || CASE WHEN kind = 'story' THEN 'e3,e6' ELSE '' END AS key, count(*) AS c FROM k GROUP BY 1, 2, 3),
+j AS (SELECT case_id, kind, key, coalesce(f.c, 0) AS x, coalesce(h.c, 0) AS y FROM f FULL JOIN h USING (case_id, kind, key)),
+p AS (SELECT case_id, 'event' AS kind, count(*) AS participants_of, count(*) FILTER (gk IN (SELECT fk FROM k q WHERE q.case_id = k.case_id AND q.kind = 'event')) AS participants_right FROM k WHERE kind = 'event' GROUP BY 1)
+SELECT case_id, kind, sum(least(x, y))::BIGINT AS tp, sum(greatest(x - y, 0))::BIGINT AS fp, sum(greatest(y - x, 0))::BIGINT AS fn, any_value(participants_right) AS participants_right, any_value(participants_of) AS participants_of FROM j LEFT JOIN p USING (case_id, kind) GROUP BY 1, 2""")

@@ -221,3 +221,37 @@ def test_candidates_by_letters_alone(spark):
     known = spark.createDataFrame([(1, "p1", "анна мария", [], []), (1, "p2", "x", ["al-іван"], ["!"])], "family_id int, person_id string, canonical_name string, aliases array<string>, verified_aliases array<string>")
     got = sorted(tuple(r) for r in H.mention_candidates(said, known).collect())
     assert got == [("m1", "p1", "name_canonical"), ("m2", "p2", "name_alias")]
+
+
+def test_semantic_match(spark):
+    schema = "case_id int, row int, kind string, id string, label string, members array<string>, events array<string>, segments array<string>"
+    actual = [
+        (1, 1, "event", "v1", "Wedding!", ["m1", "m2"], None, ["s2", "s1"]), (1, 2, "event", "v2", "wedding", ["m1", "mx"], [], ["s1"]), (1, 3, "event", "v3", None, [], [], None),
+        (1, 4, "story", "t1", None, ["m1"], ["v1"], ["s1"]), (1, 5, "story", "t2", None, ["m1"], ["v3"], ["s1"]), (1, 6, "description", "d", None, ["m2"], None, ["s"]), (1, 7, "description", "d", None, ["m2"], None, ["s"]),
+    ]
+    gold = [
+        (1, 1, "event", "g1", "wedding", ["p2", "p1"], None, ["s1", "s2"]), (1, 2, "event", "g2", "", [], None, []), (1, 3, "event", "g3", "", [], None, []),
+        (1, 4, "story", "x1", None, ["p1"], ["g1"], ["s1"]), (1, 5, "story", "x2", None, ["p1"], ["g2"], ["s1"]), (1, 6, "description", "y", None, ["p2"], None, ["s"]), (2, 7, "description", "y", None, ["p2"], None, ["s"]),
+    ]
+    mentions = spark.createDataFrame([(1, "m1", "p1"), (1, "m2", "p2"), (1, "mx", None)], "case_id int, mention_id string, person_key string")
+    of = lambda rows: spark.createDataFrame(rows, schema)
+    got = {(r.case_id, r.kind): (r.tp, r.fp, r.fn, r.participants_right, r.participants_of) for r in C.semantic_match(of(actual), of(gold), mentions).collect()}
+    # v3 has the key of two gold events: it matches one, but the story that names it matches none.
+    assert got == {(1, "event"): (2, 1, 1, 3, 3), (1, "story"): (1, 1, 1, None, None), (1, "description"): (1, 1, 0, None, None), (2, "description"): (0, 0, 1, None, None)}
+    assert C.semantic_match(of([]), of([]), mentions).count() == 0
+
+
+def test_components_of_people_without_edges(spark):
+    from ledgerspark.operators.graph import connected_components
+
+    edges = spark.createDataFrame([(2, 3), (3, 5), (7, None)], "a int, b int")
+    people = spark.createDataFrame([(1,), (2,), (7,), (7,), (None,)], "id int")
+    assert sorted(map(tuple, connected_components(edges, people=people).collect())) == [(1, 1), (2, 2), (3, 2), (5, 2), (7, 7)]
+
+
+def test_latencies_of_all_and_of_none(spark):
+    from ledgerspark.operators.aggregates import latency_profile
+
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.005,)], "ms double")
+    assert latency_profile(df, None, "ms").first().asDict() == {"n": 3, "min": 1.0, "p50": 2.0, "p90": 3.6, "p95": 3.8, "p99": 3.96, "max": 4.01, "mean": 2.34}
+    assert set(latency_profile(df.limit(0), None, "ms").first()) == {0, 0.0}
