@@ -2,11 +2,13 @@
 
 One Aho-Corasick automaton finds anchors (at-signs, schemes, identifier cues) in a
 pass over the text; at each anchor a deterministic local parser grows the span to
-both sides and checks it. Numbers (network addresses, cards, telephones) have no
+both sides and checks it: e-mail addresses, web addresses that name a user, and account
+numbers behind a cue. Numbers (network addresses, cards, telephones) have no
 literal anchor but their first digit or plus sign and are grown from it by
 patterns that never look at a character twice.
 
-Null and empty texts have no spans. Repeated rows give repeated results. Very long texts
+Null and empty texts have no spans. Repeated rows give repeated results. Spans of a kind
+don't overlap; those of two kinds may, and are listed by kind, so there are no ties. Very long texts
 are scanned whole, one at a time. An empty table gives no rows. Other columns pass
 unchanged, whatever their names; one that has the name of the result is replaced."""
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import ahocorasick
@@ -38,9 +41,23 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ACCOUNT = re.compile(r"(?:[ ]?(?:number|no|nr|id)\b\.?)?[ ]?[:#=]?[ ]?([A-Z]{0,2}[0-9](?:[ -]?[0-9A-Z]){5,33})")
+_LABEL = re.compile(r"(?:[ ]?(?:number|no|nr|id)\b\.?)?[ ]?[:#=]?[ ]?")
+_FIRST = re.compile(r"[A-Z]{0,2}[0-9][0-9A-Z]*+")
+#: What may follow in an identifier: digits behind a space or hyphen, letters and digits
+#: behind a hyphen, and the short groups of an IBAN.
+_MORE = re.compile(r"[ -][0-9]++(?![0-9A-Za-z])|-(?=[A-Z]*[0-9])[0-9A-Z]++(?![0-9A-Za-z])")
+_MORE_IBAN = re.compile(r"[ -](?=[A-Z]{0,3}[0-9])[0-9A-Z]{1,4}+(?![0-9A-Za-z])")
+_LONGEST = 36
+_IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
-_USER_ADDRESS = re.compile(r"[a-z]++://(?:[^\s/@:]++:[^\s/@]++@[^\s/]++\S*+|[^\s/]++/(?:~|@|u/|user/|users/)\S++)")
+#: A web address holds no quotes, brackets, braces or blanks; stops behind it aren't its own.
+_WEB = re.compile(r"[a-z]++://[^\s\"'<>`{}|\\^]++")
+_STOPS, _CLOSING = ".,;:!?*", {")": "(", "]": "["}
+_HOST = r"(?:[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+|\[[0-9A-Fa-f:.]++\])(?::[0-9]{1,5})?"
+_USER_ADDRESS = re.compile(rf"[a-z]++://(?:[^\s/@:]++:[^\s/@]++@{_HOST}(?:[/?#]\S*)?|{_HOST}/(?:~|@|u/|user/|users/)[^/?#]\S*)")
+
+#: The part of it that decides, so that what is no user's is left at once.
+_USER_HEAD = re.compile(rf"[a-z]++://(?:[^\s/@:]++:[^\s/@]++@{_HOST}(?=[/?#]|[.,;:!?*)\]]*+\Z)|{_HOST}/(?:~|@|u/|user/|users/)[^/?#])")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -101,6 +118,40 @@ def sound_account(cue: str, found: str) -> bool:
     return digits >= 6
 
 
+def addresses_at(text: str, starts: list[int]) -> list[tuple[int, int]]:
+    """The web addresses from schemes that name a user: grown over what an address may
+    hold, cut before stops and closing brackets that it didn't open, then validated. An
+    address inside another one is part of it."""
+    out, last, grown = [], 0, 0
+    for start in starts:
+        if start < last:
+            continue
+        if start >= grown:
+            grown = m.end() if (m := _WEB.match(text, start)) else start
+        if not _USER_HEAD.match(text, start, grown):
+            continue
+        end, held = grown, Counter(text[start:grown])
+        while end > start and (text[end - 1] in _STOPS or (text[end - 1] in _CLOSING and held[text[end - 1]] > held[_CLOSING[text[end - 1]]])):
+            held[text[end - 1]] -= 1
+            end -= 1
+        if _USER_ADDRESS.fullmatch(text, start, end):
+            out.append((start, last := end))
+    return out
+
+
+def identifier_at(text: str, at: int) -> tuple[int, int] | None:
+    """The identifier behind a cue that ends at ``at``: one group of digits and capitals, and
+    further groups as long as they can't be words of the sentence."""
+    start = _LABEL.match(text, at).end()
+    m = _FIRST.match(text, start)
+    if not m or text[m.end() : m.end() + 1].isalpha():
+        return None
+    more, end = _MORE_IBAN if _IBAN_HEAD.match(m[0]) else _MORE, m.end()
+    while (m := more.match(text, end)) and m.end() - start <= _LONGEST:
+        end = m.end()
+    return start, end
+
+
 def accounts_at(text: str, cues: list[tuple[int, str]]) -> list[tuple[int, int]]:
     """Identifiers close behind a cue that is a word of its own, if they pass their check."""
     out = []
@@ -108,8 +159,8 @@ def accounts_at(text: str, cues: list[tuple[int, str]]) -> list[tuple[int, int]]
         start = end - len(cue)
         if start and text[start - 1].isalnum():
             continue
-        if (m := _ACCOUNT.match(text, end)) and sound_account(cue, m[1]):
-            out.append(m.span(1))
+        if (span := identifier_at(text, end)) and sound_account(cue, text[span[0] : span[1]]):
+            out.append(span)
     return out
 
 
@@ -128,7 +179,7 @@ def scanner() -> Callable[[str | None], dict[str, list[tuple[int, int]]]]:
             else:
                 cues.append((end + 1, word))
         spans = {"email": emails_at(text, signs), **base_numbers(text)}
-        spans["address"] = [m.span() for s in starts if (m := _USER_ADDRESS.match(text, s))]
+        spans["address"] = addresses_at(text, starts)
         spans["account"] = sorted(set(accounts_at(text, cues)))
         return spans
 
