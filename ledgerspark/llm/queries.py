@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pipeline_module():
+    """The pipeline, which lies beside the package, from any working directory."""
+    top = str(Path(__file__).resolve().parents[2])
+    if top not in sys.path:
+        sys.path.append(top)
+    import corpus_pipeline
+
+    return corpus_pipeline
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "share_distance", "kept")
@@ -113,13 +125,11 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = (
         op1_quality_rules, op2_ngram_jaccard_join, op3_token_files, op4_warc, op5_bpe, op6_pii, op7_chat_format, op8_decontaminate, op9_secrets, op10_html_text,
         op11_fim_frames, op12_toxicity, op13_conversation_repair,
     )
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline_module().run}
 
 
 _OP4 = """
@@ -270,7 +280,6 @@ LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = 0
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
     out = {"op2_ngram_jaccard_join": _OP2, "op4_warc": _OP4, "op7_chat_format": _OP7, "op8_decontaminate": _OP8, "op11_fim_frames": _OP11, "op13_conversation_repair": _OP13}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    whole = pipeline_module().ORACLE_SQL
+    return out | ({"pipeline": whole} if whole else {})
