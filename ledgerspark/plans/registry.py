@@ -171,8 +171,8 @@ query("G6_neighbours", "claims", lambda c: G.neighbours(c.where("object_person_i
 
 # Evidence and sources.
 def offsets(docs: DataFrame) -> DataFrame:
-    w = F.explode(E.word_offsets("text")).alias("w")
-    return docs.select("doc_id", w).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("w.start").alias("starts"), F.sum("w.end").alias("ends"))
+    rows = E.word_offsets(docs.select("doc_id", "text"))
+    return rows.select("doc_id", F.explode("words").alias("w")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("w.start").alias("starts"), F.sum("w.end").alias("ends"))
 
 
 query("T2_tokenize", "documents", offsets, rf"""WITH p AS (SELECT doc_id, rid, unnest(g) AS p, generate_subscripts(g, 1) AS k FROM (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(text, '{_W}|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+') AS g FROM documents)),
