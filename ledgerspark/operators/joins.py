@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.text import bound
 from ledgerspark.operators.predicates import seconds_between
 
 
@@ -19,12 +20,6 @@ def eligible_recordings(recordings: DataFrame, jobs: DataFrame, results: DataFra
     return recordings.join(done, "recording_id").join(results, "recording_id").orderBy("created_at", "recording_id")
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with the value computed once for the row: as a lambda's argument it
-    isn't computed again inside the lambdas within."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def first_occurrences(values: Column) -> Column:
     """Persons of a list of (pos, person_id) structs in order, each once."""
     return F.array_distinct(F.transform(F.sort_array(values), lambda x: x.person_id))

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.functions.text import estimated_tokens
-from ledgerspark.operators.joins import bound
+from ledgerspark.functions.text import bound, estimated_tokens
 
 STITCHED = "struct<pieces:array<string>,tail:array<string>,reach:double,n_overlaps:bigint,dropped:bigint>"
 
