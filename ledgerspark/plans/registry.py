@@ -196,11 +196,13 @@ FROM (SELECT doc_id, text, string_split(text, ' ')[2:5] AS w FROM documents))"""
 
 
 def spans_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spans of the third word with guessed offsets, and their segments."""
+    """Spans of the third word with guessed offsets, and their segments. A segment is named
+    by the row's id and text, as ids may repeat, and an unknown one by a name that no id has."""
+    own = F.concat_ws(" ", F.col("doc_id").cast("string"), F.coalesce(F.sha2("text", 256), F.lit("none")))
     word = F.element_at(F.split("text", " "), F.when(F.size(F.split("text", " ")) >= 3, 3).otherwise(1))
     layer = F.when(F.col("doc_id") % 5 == 0, "readable_transcript").when(F.col("doc_id") % 11 == 0, "other")
-    spans = docs.select(F.col("doc_id").alias("evidence_id"), (F.col("doc_id") + F.when(F.col("doc_id") % 13 == 0, 10**12).otherwise(0)).alias("segment_id"), layer.alias("source_layer"), word.alias("text"), F.lit(0).cast("long").alias("start_char"), F.length(word).cast("long").alias("end_char"))
-    segments = docs.select(F.col("doc_id").alias("segment_id"), F.col("text").alias("raw_text"), F.when(F.col("doc_id") % 10 == 0, F.upper("text")).alias("readable_text"))
+    spans = docs.select(F.col("doc_id").alias("evidence_id"), F.when(F.col("doc_id") % 13 == 0, "unknown").otherwise(own).alias("segment_id"), layer.alias("source_layer"), word.alias("text"), F.lit(0).cast("long").alias("start_char"), F.length(word).cast("long").alias("end_char"))
+    segments = docs.withColumn("segment_id", own).dropDuplicates(["segment_id"]).select("segment_id", F.col("text").alias("raw_text"), F.when(F.col("doc_id") % 10 == 0, F.upper("text")).alias("readable_text"))
     return spans, segments
 
 
