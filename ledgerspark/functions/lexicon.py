@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.functions.text import _col, normalized
+from ledgerspark.functions.text import _col, bound, normalized
 
 # Endings of Russian and Kazakh words.
 ENDINGS = (
@@ -96,24 +96,26 @@ def _has(flat: Column, marker: str) -> Column:
 
 
 def _categories(flat: Column, markers: dict[str, str]) -> Column:
-    one = lambda words: _any([_has(flat, m) for m in words.split()])
-    return F.array_compact(F.array(*[F.when(one(markers[c]), F.lit(c)) for c in sorted(markers)]))
-
+    def one(words: str) -> Column:
+        open_, whole = [], []
+        for m in words.split():
+            (open_ if m.endswith("*") else whole).append(rf"\Q{m.rstrip('*')}\E")
+        return flat.rlike("|".join([f" (?:{'|'.join(whole)}) "] * bool(whole) + [f" (?:{'|'.join(open_)})"] * bool(open_)))
 
-def _any(tests: list[Column]) -> Column:
-    found = tests[0]
-    for t in tests[1:]:
-        found = found | t
-    return found
+    return F.array_compact(F.array(*[F.when(one(markers[c]), F.lit(c)) for c in sorted(markers)]))
 
 
 def sensitivity(text: Column | str) -> Column:
     """A struct of level (highly_sensitive, sensitive, normal) and the categories of
-    that level whose markers occur, sorted."""
-    flat = F.concat(F.lit(" "), normalized(text), F.lit(" "))
-    high, some = _categories(flat, HIGHLY_SENSITIVE), _categories(flat, SENSITIVE)
-    level = F.when(F.size(high) > 0, "highly_sensitive").when(F.size(some) > 0, "sensitive").otherwise("normal")
-    return F.struct(level.alias("level"), F.when(F.size(high) > 0, high).otherwise(some).alias("categories"))
+    that level whose markers occur, sorted. The normal form is made once, and each
+    category is one expression over it."""
+
+    def told(found: Column) -> Column:
+        level = F.when(F.size(found.high) > 0, "highly_sensitive").when(F.size(found.some) > 0, "sensitive").otherwise("normal")
+        return F.struct(level.alias("level"), F.when(F.size(found.high) > 0, found.high).otherwise(found.some).alias("categories"))
+
+    both = lambda flat: F.struct(_categories(flat, HIGHLY_SENSITIVE).alias("high"), _categories(flat, SENSITIVE).alias("some"))
+    return bound(bound(F.concat(F.lit(" "), normalized(text), F.lit(" ")), both), told)
 
 
 def relationship_state(text: Column | str) -> Column:
@@ -128,10 +130,13 @@ def relationship_state(text: Column | str) -> Column:
 
 def correction_cues(text: Column | str) -> Column:
     """The cues that a text holds as whole phrases, in the list's order, and its frame last."""
-    flat = F.concat(F.lit(" "), normalized(text), F.lit(" "))
     first, second = CORRECTION_FRAME
-    frame = F.when(_has(flat, first) & _has(flat, second), F.lit(f"{first} ... {second}"))
-    return F.array_compact(F.array(*[F.when(_has(flat, c), F.lit(c)) for c in CORRECTION_CUES], frame))
+
+    def found(flat: Column) -> Column:
+        frame = F.when(_has(flat, first) & _has(flat, second), F.lit(f"{first} ... {second}"))
+        return F.array_compact(F.array(*[F.when(_has(flat, c), F.lit(c)) for c in CORRECTION_CUES], frame))
+
+    return bound(F.concat(F.lit(" "), normalized(text), F.lit(" ")), found)
 
 
 def read_language(text: Column | str) -> Column:
