@@ -3,6 +3,8 @@ quotes, and whether a text supports a statement. All but the last stay inside th
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -167,19 +169,20 @@ def quotes(text: Column | str) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda q: F.length(q) >= LEAST_QUOTE))
 
 
-def significant(flat: Column) -> Column:
+def significant(flat: str) -> list[str]:
     """Words of a normal form that have two characters, or are digits."""
-    return F.filter(F.split(flat, " "), lambda w: (F.length(w) >= 2) | w.rlike(r"^\p{Nd}+$"))
+    return [w for w in flat.split(" ") if len(w) >= 2 or w.isdecimal()]
 
 
-def _stems(word: str) -> set[str]:
+@lru_cache(maxsize=1 << 16)
+def _stems(word: str) -> frozenset[str]:
     if word.isdigit() or len(word) < LEAST_STEM:
-        return {word}
+        return frozenset({word})
     found = last = {word}
     for _ in range(STRIPS):
         last = {w[: -len(e)] for w in last for e in ENDINGS if w.endswith(e) and len(w) - len(e) >= LEAST_STEM}
         found = found | last
-    return found
+    return frozenset(found)
 
 
 def support(statement: list[str], evidence: list[str]) -> str:
@@ -210,7 +213,7 @@ def support(statement: list[str], evidence: list[str]) -> str:
 
 @F.pandas_udf(T.StringType())
 def _supports(statement: pd.Series, evidence: pd.Series) -> pd.Series:
-    return pd.Series([support(list(s), list(e)) for s, e in zip(statement, evidence)], dtype=object)
+    return pd.Series([None if s is None else support(significant(s), significant(e)) for s, e in zip(statement, evidence)], dtype=object)
 
 
 def factual_support(statement: Column | str, evidence: Column | str) -> Column:
@@ -218,5 +221,7 @@ def factual_support(statement: Column | str, evidence: Column | str) -> Column:
     role_order_changed. Only exact and ordered support the statement; null or empty
     texts are unsupported. Words of one stem count as one. The order needs Python."""
     s, e = (F.coalesce(normalized(c), F.lit("")) for c in (statement, evidence))
-    told = F.when((s == "") | (e == ""), "unsupported").when(e.contains(s), "exact")
-    return F.coalesce(told, _supports(significant(s), significant(e)))
+    both = lambda x: F.when((x.s == "") | (x.e == ""), "unsupported").when(x.e.contains(x.s), "exact")
+    read = bound(F.struct(s.alias("s"), e.alias("e")), lambda x: F.struct(both(x).alias("told"), x.s.alias("s"), x.e.alias("e")))
+    open_ = read.told.isNull()
+    return F.coalesce(read.told, _supports(F.when(open_, read.s), F.when(open_, read.e)))
