@@ -134,11 +134,14 @@ def packed(no: list, start: list, end: list, tokens: list, texts: list, policy:
             out.append(list(range(lo, i)))
             lo = i if slices else max(lo, i - int(policy["overlap"]))
             held = sum(tokens[lo:i])
+    # Only the sum of the window that is made anew is taken again.
+    sums = np.array([sum(tokens[i] for i in w) for w in out], np.int64)
     while len(out) > policy["windows"]:
-        sums = [sum(tokens[i] for i in w) for w in out]
-        at = int(np.argmin(np.add(sums[:-1], sums[1:])))
+        at = int(np.argmin(sums[:-1] + sums[1:]))
         once = {(no[i], texts[i]): i for i in reversed([*out[at], *out[at + 1]])}
         out[at : at + 2] = [sorted(once.values())]
+        sums = np.delete(sums, at + 1)
+        sums[at] = sum(tokens[i] for i in out[at])
     return out
 
 
