@@ -17,7 +17,7 @@ from ledgerspark.operators import predicates as P
 from ledgerspark.operators import reports as R
 from ledgerspark.sources import ledger as L
 from ledgerspark.streaming import windows as S
-from ledgerspark.plans.register import QUERIES, SQL, Query, now, now_events, query
+from ledgerspark.plans.register import QUERIES, SQL, Query, now, now_events, query, spread
 from ledgerspark.plans.views import NOW, NOW_EVENTS, split_columns, view, with_views
 
 
@@ -300,7 +300,7 @@ FROM (SELECT recording_id, count(*) FILTER (a) AS na, count(*) FILTER (b) AS nb,
 
 
 def edited(part: DataFrame) -> DataFrame:
-    return part.select("p_partkey", "p_brand", X.edit_counts(X.characters("p_name"), X.characters("p_type")).alias("e"))
+    return spread(part, "p_partkey").select("p_partkey", "p_brand", X.edit_counts(X.characters("p_name"), X.characters("p_type")).alias("e"))
 
 
 query("T4_edit_counts", "part", lambda p: edited(p).select("p_partkey", F.col("e.n_reference").alias("n_reference"), (F.col("e.substitutions") + F.col("e.deletions") + F.col("e.insertions")).alias("errors")), "SELECT p_partkey, length(p_name)::BIGINT AS n_reference, levenshtein(p_name, p_type)::BIGINT AS errors FROM part")
