@@ -57,9 +57,19 @@ def word_offsets(docs: DataFrame, text_col: str = "text", out: str = "words", st
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, found_type)]))
 
 
+#: Characters that are composed already and that nothing before them composes with.
+COMPOSED = r"\x00-\u02FF\u0400-\u0482\u048A-\u052F\u2010-\u2027\u2116"
+
+
 @F.pandas_udf(T.StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+def _composed_beyond(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore") if text.notna().any() else text
+
+
+def _composed(text: Column) -> Column:
+    """NFC. Only texts with characters that it may change are held by Python."""
+    beyond = text.rlike(f"[^{COMPOSED}]")
+    return F.when(beyond, _composed_beyond(F.when(beyond, text))).otherwise(text)
 
 
 def spaced(text: Column | str) -> Column:
