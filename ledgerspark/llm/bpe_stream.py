@@ -32,7 +32,7 @@ from ledgerspark.llm.common import with_text_struct
 #: Characters of a text that are normalised at once.
 PIECE_CHARS = 1 << 16
 #: Distinct words whose tokens a worker remembers before it starts anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 150_000
 #: White space as the tokenizer's patterns have it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = re.compile(f"[{SPACE}]+")

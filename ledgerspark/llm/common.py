@@ -3,6 +3,7 @@ folder, and a way to add one struct column computed from a text column."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -44,6 +45,24 @@ def without(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()])
 
 
+def give_back() -> None:
+    """Returns to the system what a task held: a worker lives on, and an executor has several
+    of them beside its heap, idle ones too."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives its memory back when a task is done."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def with_text_struct(
     df: DataFrame, text_col: str, out: str, fields: T.StructType, make: Callable[[], Callable[[str | None], tuple]]
 ) -> DataFrame:
@@ -67,7 +86,7 @@ def with_text_struct(
                 struct = pa.StructArray.from_arrays(values, fields=kinds)
                 yield pa.RecordBatch.from_arrays([*part.columns, struct], names=names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def small_rows(df: DataFrame, bound: int) -> list | None:
@@ -97,4 +116,4 @@ def with_struct(
                 struct = pa.StructArray.from_arrays(values, fields=kinds)
                 yield pa.RecordBatch.from_arrays([*part.columns, struct], names=names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)

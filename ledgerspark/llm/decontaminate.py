@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerspark.llm.common import SLICE_ROWS, without
+from ledgerspark.llm.common import SLICE_ROWS, lean, without
 
 WINDOW = 10
 #: Characters of benchmark texts in one automaton.
@@ -147,7 +147,7 @@ def scan_benchmark(
                     keep = part.columns if first else part.columns[:-1]
                     yield pa.RecordBatch.from_arrays([*keep, pa.StructArray.from_arrays(values, fields=kinds)], names=names)
 
-        base = base.mapInArrow(run, schema)
+        base = base.mapInArrow(lean(run), schema)
     return base
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.common import SLICE_ROWS, written
+from ledgerspark.llm.common import SLICE_ROWS, lean, written
 
 #: Growth of a band's sizes; a power of two above every band's number.
 BAND, BANDS = 1.7, 64
@@ -62,7 +62,7 @@ SKETCH_BITS = 512
 #: one is joined by shuffles.
 BROADCAST_ROWS = 500_000
 #: Bytes of a word, and numbers of words, that a task remembers.
-WORD_BYTES, WORDS = 64, 500_000
+WORD_BYTES, WORDS = 64, 200_000
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -295,7 +295,7 @@ def signed_sets(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 columns = [part.column(0), part.column(1), part.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(nodes), lists(sketches), lists(keys)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def in_cells(rows: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ def possible_sets(cells: DataFrame, percent: int) -> DataFrame:
                 kept = rows.select(schema.fieldNames()).take(pa.array(np.flatnonzero(found))).combine_chunks()
                 yield from kept.to_batches()
 
-    return in_cells(cells).mapInArrow(run, schema)
+    return in_cells(cells).mapInArrow(lean(run), schema)
 
 
 def links_in_cells(cells: DataFrame, k: int, percent: int) -> DataFrame:
@@ -374,7 +374,7 @@ def links_in_cells(cells: DataFrame, k: int, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=schema.fieldNames())
 
-    return in_cells(cells).mapInArrow(run, schema)
+    return in_cells(cells).mapInArrow(lean(run), schema)
 
 
 def bounded(rows: DataFrame) -> DataFrame:
@@ -484,7 +484,7 @@ def residues(rows: DataFrame, owners: DataFrame, texts: DataFrame, k: int, perce
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), hub), pa.int64()), pa.array(found)], names=["hub", "token"])
 
     sample = whole.where("drawn").select("hub", "text")
-    held = sample.mapInArrow(tokens, "hub long, token long").groupBy("hub", "token").agg(F.count("*").alias("n"))
+    held = sample.mapInArrow(lean(tokens), "hub long, token long").groupBy("hub", "token").agg(F.count("*").alias("n"))
     drawn_sets = sample.groupBy("hub").agg(F.count("*").alias("sets"))
     core = held.join(F.broadcast(drawn_sets) if counts.count() <= BROADCAST_ROWS else drawn_sets, "hub").where("2 * n > sets").groupBy("hub").agg(F.collect_list("token").alias("core"))
     own = counts.join(core, "hub", "left").select(
@@ -512,7 +512,7 @@ def residues(rows: DataFrame, owners: DataFrame, texts: DataFrame, k: int, perce
                 columns = [pa.array(np.full(len(at), hub)), pa.array(tokens, mask=itself), part["set_id"].combine_chunks(), part["component"].combine_chunks(), pa.array(np.array(slacks)[at])]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return written(in_cells(cells).mapInArrow(run, schema), "residues")
+    return written(in_cells(cells).mapInArrow(lean(run), schema), "residues")
 
 
 def split_stars(rows: DataFrame, owners: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:

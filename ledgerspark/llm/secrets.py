@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerspark.llm.common import SLICE_ROWS, without
+from ledgerspark.llm.common import SLICE_ROWS, lean, without
 
 #: Strings a part of an expression may stand for, above which they aren't listed.
 MOST_STRINGS = 24
@@ -253,7 +253,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets")
             struct = pa.StructArray.from_arrays([pa.array(c, type=k.type) for c, k in zip(columns, kinds, strict=True)], fields=kinds)
             yield pa.RecordBatch.from_arrays([*part.columns, struct], names=names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -274,7 +274,7 @@ def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 part = pa.RecordBatch.from_arrays(columns, names=names)
             yield pa.RecordBatch.from_arrays(part.columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...] = RULES) -> str:

@@ -64,3 +64,14 @@ def work(spark, monkeypatch, n):
 def test_rows_grow_in_proportion(spark, monkeypatch):
     small, large = work(spark, monkeypatch, 1500), work(spark, monkeypatch, 6000)
     assert 0 < small and large <= 5 * small and large <= 5 * 6000
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """Pipeline: a worker that lives on keeps nothing of a finished task."""
+    from ledgerspark.llm import common
+
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(True))
+    task = common.lean(lambda batches: iter([*batches, 3]))([1, 2])
+    assert next(task) == 1 and not done
+    assert list(task) == [2, 3] and done == [True]
