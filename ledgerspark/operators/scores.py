@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.lexicon import factual_support
-from ledgerspark.functions.text import normalized, statements
-from ledgerspark.operators.aggregates import multiset_prf
+from ledgerspark.functions.text import statements, with_normalized
+from ledgerspark.operators.aggregates import prf_of
+from ledgerspark.operators.graph import kept
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -79,15 +80,6 @@ def statement_support(texts: DataFrame, kind: str = "kind", id_col: str = "id")
     return out.withColumn("rate", 1 - F.col("unsupported") / F.col("statements"))
 
 
-def _known(df: DataFrame, col: str, table: DataFrame, sentinel: str) -> DataFrame:
-    """df with the items of ``col`` as table (case_id, item, known) knows them, sorted; what it
-    doesn't know keeps a sentinel, so that it equals nothing."""
-    each = df.select("case_id", "row", F.explode(col).alias("item")).join(table, ["case_id", "item"], "left")
-    told = F.coalesce("known", F.concat(F.lit(sentinel), "item"))
-    lists = each.groupBy("case_id", "row").agg(F.sort_array(F.collect_list(told)).alias("_l"))
-    return df.join(lists, ["case_id", "row"], "left").withColumn(col, F.coalesce("_l", F.array().cast("array<string>"))).drop("_l")
-
-
 def semantic_match(actual: DataFrame, gold: DataFrame, mentions: DataFrame) -> DataFrame:
     """By case and kind (event, description, story) the matches of found objects and gold
     ones as multisets of keys (label, sorted people, sorted events, sorted segments), and
@@ -96,18 +88,48 @@ def semantic_match(actual: DataFrame, gold: DataFrame, mentions: DataFrame) -> D
     actual: case_id, row (a number of its own), kind, id, label, members (mention ids), events
     (event ids), segments; gold: the same with person and event keys. mentions: case_id,
     mention_id, person_key. A mention without a person, and an event whose key isn't that of
-    exactly one gold event, match nothing. A case without objects of a kind has no row."""
+    exactly one gold event, match nothing. A case without objects of a kind has no row.
+
+    People are looked up once and written; only objects that name events are looked up
+    again. Both sides meet in one grouping by key."""
     none = F.array().cast("array<string>")
-    lists = {c: F.coalesce(c, none) for c in ("members", "events", "segments")}
-    label = {"label": F.coalesce(normalized("label"), F.lit(""))}
+
+    def based(df: DataFrame) -> DataFrame:
+        """df with empty lists for null ones and what its key needs of labels and segments."""
+        df = with_normalized(df.withColumns({c: F.coalesce(c, none) for c in ("members", "events", "segments")}), "label")
+        return df.withColumn("base", F.to_json(F.struct(F.coalesce("label", F.lit("")).alias("l"), F.sort_array("segments").alias("s"))))
+
+    def told(known: str, sentinel: str) -> Column:
+        """What an item is known as; an unknown one keeps a sentinel, so that it equals nothing."""
+        return F.sort_array(F.collect_list(F.coalesce(known, F.concat(F.lit(sentinel), "item"))))
+
+    def key(members: Column, events: Column) -> Column:
+        return F.concat("base", F.to_json(members), F.when(F.size(events) == 0, "").otherwise(F.to_json(events)))
+
     people = mentions.where("person_key IS NOT NULL").groupBy("case_id", F.col("mention_id").alias("item")).agg(F.min("person_key").alias("known"))
-    key = F.to_json(F.struct("label", F.sort_array("members").alias("m"), F.sort_array("events").alias("e"), F.sort_array("segments").alias("s")))
-    found = _known(actual.withColumns(lists | label), "members", people, "__unmatched__:")
-    want = gold.withColumns(lists | label).withColumn("key", key)
-    one = want.where("kind = 'event'").groupBy("case_id", "key").agg(F.count("*").alias("n"), F.min("id").alias("known")).where("n = 1")
-    same = found.where("kind = 'event'").withColumn("key", key).join(one, ["case_id", "key"]).groupBy("case_id", F.col("id").alias("item")).agg(F.min("known").alias("known"))
-    found = _known(found, "events", same, "__unmatched_event__:").withColumn("key", key)
-    match = multiset_prf(found.select("case_id", "kind", "key"), want.select("case_id", "kind", "key"), ["key"], ["case_id", "kind"])
-    events = want.where("kind = 'event'").join(found.where("kind = 'event'").select("case_id", "key").distinct().withColumn("hit", F.lit(True)), ["case_id", "key"], "left")
-    right = events.groupBy("case_id").agg(F.count("hit").alias("participants_right"), F.count("*").alias("participants_of")).withColumn("kind", F.lit("event"))
-    return match.join(right, ["case_id", "kind"], "left")
+    each = based(actual).select("case_id", "row", F.struct("kind", "id", "base", "events").alias("x"), F.explode_outer("members").alias("item"))
+    found = each.join(people, ["case_id", "item"], "left").groupBy("case_id", "row").agg(F.first("x").alias("x"), told("known", "__unmatched__:").alias("members"))
+    found = kept(found.select("case_id", "row", "x.*", "members"))
+    want = based(gold).select("case_id", "kind", "id", key(F.sort_array("members"), F.sort_array("events")).alias("key"))
+
+    event, plain = F.col("kind") == "event", F.size("events") == 0
+    one = want.where(event).groupBy("case_id", "key").agg(F.count("*").alias("n"), F.min("id").alias("known")).where("n = 1")
+    same = found.where(event).select("case_id", F.col("id").alias("item"), key(F.col("members"), F.sort_array("events")).alias("key"))
+    same = same.join(one, ["case_id", "key"]).groupBy("case_id", "item").agg(F.min("known").alias("known"))
+    named = found.where(~plain).select("case_id", "row", F.struct("kind", "base", "members").alias("x"), F.explode("events").alias("item"))
+    named = named.join(same, ["case_id", "item"], "left").groupBy("case_id", "row").agg(F.first("x").alias("x"), told("known", "__unmatched_event__:").alias("events"))
+    keys = found.where(plain).select("case_id", "kind", "base", "members", "events").union(named.select("case_id", "x.*", "events"))
+    keys = keys.select("case_id", "kind", key(F.col("members"), F.col("events")).alias("key"))
+
+    apart = F.col("case_id").isNull() | F.col("kind").isNull()  # these equal nothing
+    sides = [df.select("case_id", "kind", "key", F.when(apart, n).alias("side"), F.lit(1 - n).alias("a"), F.lit(n).alias("e")) for n, df in enumerate((keys, want.drop("id")))]
+    met = sides[0].union(sides[1]).groupBy("case_id", "kind", "key", "side").agg(F.sum("a").alias("a"), F.sum("e").alias("e"))
+    counts = met.groupBy("case_id", "kind").agg(
+        F.sum(F.least("a", "e")).alias("tp"), F.sum(F.greatest(F.col("a") - F.col("e"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("e") - F.col("a"), F.lit(0))).alias("fn"),
+        F.sum(F.when(F.col("a") > 0, F.col("e")).otherwise(0)).alias("right"), F.sum("e").alias("of"),
+    )
+    scored = event & F.col("case_id").isNotNull() & (F.col("of") > 0)
+    return counts.select(
+        "case_id", "kind", "tp", "fp", "fn", *prf_of(F.col("tp"), F.col("fp"), F.col("fn")),
+        F.when(scored, F.col("right")).alias("participants_right"), F.when(scored, F.col("of")).alias("participants_of"),
+    )
