@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,20 +157,37 @@ def planned_windows(segments: DataFrame, key: str, policy: dict[str, float] = PO
     whole = window_decision(segments, key, policy).select(key, (F.size("reasons") == 0).alias("whole"))
     plain = segments.join(whole, key).where("whole").select(key, "no", F.lit(0).alias("slice"), "start", "end", F.coalesce("text", F.lit("")).alias("text"), "whole")
     cut = split_oversized(segments.join(whole.where("NOT whole"), key, "left_semi"), key, policy).withColumn("whole", F.lit(False))
-    rows = plain.unionByName(cut).withColumn("tokens", estimated_tokens("text"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["no", "slice"], kind="stable").reset_index(drop=True)
-        no, start, end, tokens = (part[c].tolist() for c in ("no", "start", "end", "tokens"))
-        windows = [list(range(len(no)))] if part["whole"].iloc[0] else packed(no, start, end, tokens, part["text"].tolist(), policy)
-        out, seen, name = [], set(), part[key].iloc[0]
+    # Only windows that become one compare texts, so what is whole leaves its text behind.
+    rows = plain.unionByName(cut).withColumn("tokens", estimated_tokens("text")).withColumn("text", F.when(~F.col("whole"), F.col("text")))
+    names = [key, "no", "slice", "start", "end", "text", "tokens", "whole"]
+    dealt = rows.select(*names).repartition(key).sortWithinPartitions(key, "no", "slice")
+    nan = float("nan")
+
+    def windows_of(name, group: Iterable[tuple]) -> Iterator[tuple]:
+        _, no, _, start, end, texts, tokens, is_whole = map(list, zip(*group, strict=True))
+        start, end = ([nan if x is None else x for x in times] for times in (start, end))
+        windows = [list(range(len(no)))] if is_whole[0] else packed(no, start, end, tokens, texts, policy)
+        seen = set()
         for n, w in enumerate(windows, 1):
             ids = list(dict.fromkeys(no[i] for i in w))
             sign = ",".join(f"{no[i]}:{start[i]:.3f}:{end[i]:.3f}" for i in w)
             digest = hashlib.sha256("\x1f".join([str(name), version, str(n), sign]).encode()).hexdigest()[:24]
-            out.append((name, n, f"window_{digest}", ids, [i for i in ids if i in seen], min(start[i] for i in w), max(end[i] for i in w), sum(tokens[i] for i in w)))
+            yield (name, n, f"window_{digest}", ids, [i for i in ids if i in seen], min(start[i] for i in w), max(end[i] for i in w), sum(tokens[i] for i in w))
             seen.update(ids)
-        return pd.DataFrame(out, columns=["key", "ordinal", "window_id", "segments", "overlap", "start", "end", "tokens"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Transcripts stream by, one after the other, without a data frame for each."""
+        kinds: list[pa.DataType] = []
+
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                kinds[:] = [batch.column(key).type, pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.int64()]
+                yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+
+        found = itertools.chain.from_iterable(windows_of(name, group) for name, group in itertools.groupby(each(), key=lambda row: row[0]))
+        while some := list(itertools.islice(found, 2000)):
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "ordinal", "window_id", "segments", "overlap", "start", "end", "tokens"])
 
     schema = f"key {id_type}, ordinal int, window_id string, segments array<bigint>, overlap array<bigint>, start double, end double, tokens bigint"
-    return rows.groupBy(key).applyInPandas(run, schema).withColumnRenamed("key", key)
+    return dealt.mapInArrow(run, schema).withColumnRenamed("key", key)
